@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexiloom.functions.draws import bind
+
 NORM_EPS = 1e-5
 
 
@@ -24,38 +26,33 @@ def add(a: Column, b: Column) -> Column:
     return F.zip_with(doubles(a), doubles(b), lambda x, y: x + y)
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, also from inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def rms_norm(vector: Column) -> Column:
     v = doubles(vector)
     mean_square = total(F.transform(v, lambda x: x * x)) / F.size(v)
-    return _bind(F.sqrt(mean_square + F.lit(NORM_EPS)), lambda s: F.transform(v, lambda x: x / s))
+    return bind(F.sqrt(mean_square + F.lit(NORM_EPS)), lambda s: F.transform(v, lambda x: x / s))
 
 
 def layer_norm(vector: Column) -> Column:
     v = doubles(vector)
-    centred = _bind(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
+    centred = bind(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
 
     def scaled(c: Column) -> Column:
         spread = total(F.transform(c, lambda x: x * x)) / F.size(c)
-        return _bind(F.sqrt(spread + F.lit(NORM_EPS)), lambda s: F.transform(c, lambda x: x / s))
+        return bind(F.sqrt(spread + F.lit(NORM_EPS)), lambda s: F.transform(c, lambda x: x / s))
 
-    return _bind(centred, scaled)
+    return bind(centred, scaled)
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Scale, subtract the maximum, exponentiate and divide by the (floored) sum."""
     scaled = F.transform(doubles(logits), lambda x: x / F.lit(max(temperature, 1e-4)))
-    exps = _bind(
+    exps = bind(
         scaled,
-        lambda v: _bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))),
+        lambda v: bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))),
     )
-    return _bind(
+    return bind(
         exps,
-        lambda e: _bind(
+        lambda e: bind(
             F.greatest(total(e), F.lit(1e-9)), lambda s: F.transform(e, lambda x: x / s)
         ),
     )

@@ -71,9 +71,17 @@ def running(
 
 
 def with_offsets(
-    df: DataFrame, key: str, weight: Column | None = None, seed: int | str = 42, name: str = "pos"
+    df: DataFrame,
+    key: str,
+    weight: Column | None = None,
+    seed: int | str = 42,
+    name: str = "pos",
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add the summed ``weight`` (by default the number) of all rows before this in shuffle order."""
+    """Add the summed ``weight`` (by default the number) of all rows before this in shuffle order.
+
+    With ``by``, each of its few values (such as the splits) has an order of its own.
+    """
     ordered = df.withColumn("_key", shuffle_key(F.col(key), seed))
     weight = F.lit(1) if weight is None else weight
     return running(
@@ -82,6 +90,7 @@ def with_offsets(
         weight.cast("bigint"),
         F.substring("_key", 1, DIGITS),
         ["_key", key],
+        by,
         name=name,
         few_buckets=True,
     ).drop("_key")

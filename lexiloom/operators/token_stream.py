@@ -10,16 +10,21 @@ from lexiloom.operators.order import with_offsets
 
 
 def token_stream(
-    docs: DataFrame, key: str, n_tokens: Column, eos: bool = False, seed: int | str = 42
+    docs: DataFrame,
+    key: str,
+    n_tokens: Column,
+    eos: bool = False,
+    seed: int | str = 42,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add ``n_tokens``, ``first_idx`` and ``last_idx`` of each document in shuffle order.
 
     With ``eos``, one end token follows each document and counts as its last.
     """
     n = n_tokens + 1 if eos else n_tokens
-    return (
-        with_offsets(docs.withColumn("n_tokens", n.cast("bigint")), key, F.col("n_tokens"), seed, "first_idx")
-        .withColumn("last_idx", F.col("first_idx") + F.col("n_tokens") - 1)
+    sized = docs.withColumn("n_tokens", n.cast("bigint"))
+    return with_offsets(sized, key, F.col("n_tokens"), seed, "first_idx", by).withColumn(
+        "last_idx", F.col("first_idx") + F.col("n_tokens") - 1
     )
 
 
