@@ -47,13 +47,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _top(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the ``k`` largest scores, ties by key."""
+    rows = np.arange(len(scores))
+    if len(scores) > k:
+        rows = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    return rows[np.lexsort((keys[rows], -scores[rows]))[:k]]
+
+
 def _best_rows(table, vector: str, key: str, query_ids: list, queries: np.ndarray, k: int) -> pa.Table:
     """The ``k`` best rows of a batch for each query, ties by key."""
     rows = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
     vectors = _matrix(rows.column(vector))
     scores = np.round(vectors @ queries.T / np.sqrt(vectors.shape[1]), 9)
     keys = rows.column(key).to_numpy()
-    take = [np.lexsort((keys, -scores[:, q]))[:k] for q in range(len(query_ids))]
+    take = [_top(scores[:, q], keys, k) for q in range(len(query_ids))]
     picked = rows.take(pa.array(np.concatenate(take)))
     owner = np.repeat(np.arange(len(query_ids)), [len(t) for t in take])
     best = np.concatenate([scores[t, q] for q, t in enumerate(take)])
