@@ -11,10 +11,11 @@ from lexiloom.functions.chat import END_TAG, legacy_prompt
 from lexiloom.functions.draws import bind, draw
 from lexiloom.functions.ids import tail_tokens
 from lexiloom.functions.text import byte_ids, byte_tail
-from lexiloom.operators.ngram import BROADCAST_ROWS, BYTES, HOT, Alphabet, cumulative
+from lexiloom.operators.ngram import BROADCAST_ROWS, BYTES, Alphabet, cumulative
 from lexiloom.session import cut_lineage
 
 ROUNDS_PER_CUT = 8
+HOT_ENTRIES = 1 << 18
 
 
 def free_prompts(seeds: DataFrame, key: str, block: int) -> DataFrame:
@@ -64,8 +65,9 @@ def _lookup(state: DataFrame, table: DataFrame, order: int, alphabet: Alphabet,
     if alphabet.base**order <= BROADCAST_ROWS:
         small = table.select(F.col("context").alias("_context"), F.col("cdf").alias(name))
         return state.join(F.broadcast(small), "_context", "left").drop("_context")
-    # contexts that hold a large share of the model are broadcast; the others are joined by shuffle
-    share = HOT // 10
+    # contexts that hold a large share of the model are broadcast (at most HOT_ENTRIES entries in
+    # all); the others are joined by shuffle
+    share = max(1, HOT_ENTRIES // alphabet.base)
     grand = table.agg(F.sum("total").alias("n")).scalar()
     is_hot = F.col("total") * share >= grand
     hot = table.where(is_hot).select(F.col("context").alias("_context"), F.col("cdf").alias("_hot"))

@@ -55,7 +55,7 @@ def _top(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((keys[rows], -scores[rows]))[:k]]
 
 
-def _best_rows(table, vector: str, key: str, query_ids: list, queries: np.ndarray, k: int) -> pa.Table:
+def _best_rows(table, vector: str, key: str, query_ids: pa.Array, queries: np.ndarray, k: int) -> pa.Table:
     """The ``k`` best rows of a batch for each query, ties by key."""
     rows = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
     vectors = _matrix(rows.column(vector))
@@ -65,13 +65,13 @@ def _best_rows(table, vector: str, key: str, query_ids: list, queries: np.ndarra
     picked = rows.take(pa.array(np.concatenate(take)))
     owner = np.repeat(np.arange(len(query_ids)), [len(t) for t in take])
     best = np.concatenate([scores[t, q] for q, t in enumerate(take)])
-    picked = picked.append_column("query_id", pa.array(query_ids).take(pa.array(owner)))
+    picked = picked.append_column("query_id", query_ids.take(pa.array(owner)))
     return picked.append_column("score", pa.array(best))
 
 
-def _sent_to_tasks(rows: DataFrame, queries: list, vector: str, key: str, k: int, schema) -> DataFrame:
-    ids = [q["query_id"] for q in queries]
-    matrix = np.array([q["query"] for q in queries], np.float64)
+def _sent_to_tasks(rows: DataFrame, queries: pa.Table, vector: str, key: str, k: int, schema) -> DataFrame:
+    ids = queries.column("query_id").combine_chunks()
+    matrix = _matrix(queries.column("query"))
 
     def search(batches):
         for batch in batches:
@@ -92,7 +92,7 @@ def _block_by_block(rows: DataFrame, queries: DataFrame, n: int, vector: str, ke
     fields = [f.name for f in schema]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = right.column("query_id").to_pylist()
+        ids = right.column("query_id").combine_chunks()
         found = _best_rows(left, vector, key, ids, _matrix(right.column("query")), k)
         return found.select(fields)
 
@@ -114,9 +114,9 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
         [*rows.schema.fields, queries.schema["query_id"], T.StructField("score", T.DoubleType())]
     )
     queries = queries.select("query_id", doubles(F.col("query")).alias("query"))
-    few = queries.limit(QUERIES_PER_BLOCK + 1).collect()
-    if len(few) <= QUERIES_PER_BLOCK:
-        found = _sent_to_tasks(rows, few, vector, key, k, schema) if few else rows.sparkSession.createDataFrame([], schema)
+    few = queries.limit(QUERIES_PER_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERIES_PER_BLOCK:
+        found = _sent_to_tasks(rows.limit(0) if few.num_rows == 0 else rows, few, vector, key, k, schema)
     else:
         found = _block_by_block(rows, queries, queries.count(), vector, key, k, schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
