@@ -44,7 +44,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
 def _top(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
@@ -87,20 +87,22 @@ def _block_by_block(rows: DataFrame, queries: DataFrame, n: int, vector: str, ke
     parts = -(-rows.count() // ROWS_PER_PART) or 1
     row_part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")
     query_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("_block")
-    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("_part")
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_block")
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("_part")
     fields = [f.name for f in schema]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            none = left.slice(0, 0).append_column("query_id", right.column("query_id").slice(0, 0))
+            return none.append_column("score", pa.array([], pa.float64())).select(fields)
         ids = right.column("query_id").combine_chunks()
-        found = _best_rows(left, vector, key, ids, _matrix(right.column("query")), k)
-        return found.select(fields)
+        return _best_rows(left, vector, key, ids, _matrix(right.column("query")), k).select(fields)
 
     left = rows.select("*", row_part).select("*", every_block)
     right = queries.select("query_id", "query", query_block).select("*", every_part)
     return (
         left.groupBy("_part", "_block")
-        .cogroup(right.join(left.select("_part", "_block").distinct(), ["_part", "_block"], "left_semi").groupBy("_part", "_block"))
+        .cogroup(right.groupBy("_part", "_block"))
         .applyInArrow(search, schema)
     )
 
@@ -116,7 +118,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
     queries = queries.select("query_id", doubles(F.col("query")).alias("query"))
     few = queries.limit(QUERIES_PER_BLOCK + 1).toArrow()
     if few.num_rows <= QUERIES_PER_BLOCK:
-        found = _sent_to_tasks(rows.limit(0) if few.num_rows == 0 else rows, few, vector, key, k, schema)
+        found = _sent_to_tasks(rows if few.num_rows else rows.limit(0), few, vector, key, k, schema)
     else:
         found = _block_by_block(rows, queries, queries.count(), vector, key, k, schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

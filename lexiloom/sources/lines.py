@@ -35,6 +35,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def with_fallback(lines: DataFrame, line: str = "line") -> DataFrame:
     """The lines, or the fallback corpus where there is none."""
     spark = lines.sparkSession
-    present = lines.limit(1).select(F.lit(1).alias("one"))
-    fallback = spark.createDataFrame([(1, x) for x in FALLBACK_LINES], f"one int, {line} string")
-    return lines.select(line).unionByName(fallback.join(present, "one", "left_anti").select(line))
+    present = lines.limit(1).agg(F.count("*").alias("n")).scalar()
+    fallback = spark.createDataFrame([(x,) for x in FALLBACK_LINES], f"{line} string")
+    return lines.select(line).unionByName(fallback.where(present == 0))

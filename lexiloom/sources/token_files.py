@@ -57,6 +57,7 @@ class _Range(InputPartition):
     skip: int
     first_idx: int
     n_tokens: int
+    dtype: str
 
 
 class TokenFile(DataSource):
@@ -82,26 +83,27 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         files, root = _open(self.path)
+        dtype = self.dtype
         if files.get_file_info(root).is_file:
-            size, width = files.get_file_info(root).size, np.dtype(DTYPES[self.dtype]).itemsize
+            size, width = files.get_file_info(root).size, np.dtype(DTYPES[dtype]).itemsize
             if size % width:
-                raise ValueError(f"{self.path} holds no whole number of {self.dtype} tokens")
+                raise ValueError(f"{self.path} holds no whole number of {dtype} tokens")
             parts = [("", 0, size // width)]
         else:
             with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
                 manifest = json.loads(stream.read())
-            self.dtype, parts = manifest["dtype"], manifest["parts"]
+            dtype, parts = manifest["dtype"], manifest["parts"]
         return [
-            _Range(name, skip, first + skip, min(TOKENS_PER_RANGE, n - skip))
+            _Range(name, skip, first + skip, min(TOKENS_PER_RANGE, n - skip), dtype)
             for name, first, n in parts
             for skip in range(0, n, TOKENS_PER_RANGE)
-        ] or [_Range("", 0, 0, 0)]
+        ] or [_Range("", 0, 0, 0, dtype)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if partition.n_tokens == 0:
             return
         files, root = _open(self.path)
-        dtype = np.dtype(DTYPES[self.dtype])
+        dtype = np.dtype(DTYPES[partition.dtype])
         with files.open_input_file(f"{root}/{partition.name}".rstrip("/")) as stream:
             stream.seek(partition.skip * dtype.itemsize)
             ids = np.frombuffer(stream.read(partition.n_tokens * dtype.itemsize), dtype)
@@ -221,7 +223,7 @@ def load_corpus(spark: SparkSession, train_path: str) -> tuple[DataFrame, dict]:
     more than one token.
     """
     eval_path, meta_path = sidecars(train_path)
-    text = spark.read.option("wholetext", True).text(meta_path)
+    text = spark.read.text(meta_path, wholetext=True)
     meta = text.select(meta_fields(F.col("value")).alias("m")).select("m.*").first().asDict()
     if meta["dtype"] != "u16":
         raise ValueError("only u16 token files are supported")
