@@ -86,15 +86,11 @@ def word_symbols(word: Column) -> Column:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """(pair, n): adjacent symbols, weighted by the count of their word."""
-    chars = F.split("word", "")
-    n = F.size("chars") - 1
-    pairs = F.zip_with(
-        F.slice("chars", F.lit(1), n), F.slice("chars", F.lit(2), n), lambda a, b: F.concat(a, b)
-    )
+    adjacent = "zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> concat(a, b))"
     return (
-        words.where(F.length("word") > 1)
-        .select(chars.alias("chars"), "n")
-        .select(F.explode(pairs).alias("pair"), "n")
+        words.where("length(word) > 1")
+        .selectExpr("split(word, '') AS c", "n")
+        .selectExpr(f"explode({adjacent}) AS pair", "n")
         .groupBy("pair")
         .agg(F.sum("n").alias("n"))
     )
@@ -105,11 +101,9 @@ def merge_words(words: DataFrame, merges: list[tuple[int, int, int, int]]) -> Da
     if not merges:
         return words
     # each step is the two symbols of the pair and the new one
-    steps = F.split(F.lit(" ".join(symbol(l) + symbol(r) + symbol(new) for l, r, new, _ in merges)), " ")
-    merged = F.aggregate(
-        steps, F.col("word"), lambda word, m: F.replace(word, F.left(m, F.lit(2)), F.right(m, F.lit(1)))
-    )
-    return words.withColumn("word", merged)
+    steps = " ".join(symbol(left) + symbol(right) + symbol(new) for left, right, new, _ in merges)
+    fold = f"aggregate(split('{steps}', ' '), word, (w, m) -> replace(w, left(m, 2), right(m, 1)))"
+    return words.selectExpr(f"{fold} AS word", "n")
 
 
 def _next_batch(
@@ -265,7 +259,7 @@ def learn(
     while len(vocab) < vocab_size:
         top = (
             pair_counts(merge_words(words, pending))
-            .where(F.col("n") >= min_frequency)
+            .where(f"n >= {min_frequency}")
             .orderBy(F.desc("n"), "pair")
             .limit(TOP_PAIRS)
             .collect()

@@ -47,6 +47,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), len(flat) // max(len(column), 1))
 
 
+def mean_vectors(rows: DataFrame, by: str, vector: str) -> DataFrame:
+    """Mean of the vectors of each value of ``by``: (``by``, ``vector``).
+
+    Each batch is reduced to one sum per value and dimension before anything is shuffled.
+    """
+
+    def sums(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            groups = batch.column(0).dictionary_encode()
+            owner = groups.indices.to_numpy()
+            vectors = _matrix(batch.column(1))
+            totals = np.zeros((len(groups.dictionary), vectors.shape[1]))
+            np.add.at(totals, owner, vectors)
+            cells, dims = totals.shape
+            group = np.repeat(np.arange(cells), dims)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    groups.dictionary.take(pa.array(group)),
+                    pa.array(np.tile(np.arange(dims, dtype=np.int32), cells)),
+                    pa.array(totals.ravel()),
+                    pa.array(np.bincount(owner, minlength=cells)[group]),
+                ],
+                ["grp", "dim", "total", "n"],
+            )
+
+    kind = rows.schema[by].dataType.simpleString()
+    cells = rows.select(by, vector).mapInArrow(sums, f"grp {kind}, dim int, total double, n bigint")
+    means = cells.groupBy("grp", "dim").agg((F.sum("total") / F.sum("n")).alias("x"))
+    # one entry per dimension
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
+    return means.groupBy("grp").agg(ordered.alias("_v")).select(
+        F.col("grp").alias(by), F.col("_v.x").alias(vector)
+    )
+
+
 def _top(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     """Indices of the ``k`` largest scores, ties by key."""
     rows = np.arange(len(scores))

@@ -34,6 +34,8 @@ WINDOW = 64
 MERGES = 300
 FEW_MERGES = 64
 EVAL_RATIO = 0.05
+# small parts, so that the test tables too are written by several tasks
+PART = 1 << 21
 
 
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -223,7 +225,7 @@ def token_file_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     """The stream of all documents, written, read back and summed up per 1,000 tokens."""
     stream = token_stream(_byte_tokens(_spread_documents(spark, directory)), "doc_id", F.size("tokens"))
     path = new_path(spark, "tokens")
-    write_tokens(stream, path)
+    write_tokens(stream, path, tokens_per_part=PART)
     tokens = explode_tokens(read_tokens(spark, path))
     return tokens.groupBy(F.floor(F.col("idx") / 1000).cast("bigint").alias("part")).agg(
         F.count("*").alias("n"),
@@ -235,7 +237,8 @@ def token_file_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
 def token_corpus_stats(spark: SparkSession, directory: str) -> DataFrame:
     """Both splits written with their metadata, found again by the name of the training file."""
     path = new_path(spark, "corpus")
-    write_corpus(_split_streams(spark, directory), _split_meta(spark, directory), path)
+    streams, meta = _split_streams(spark, directory), _split_meta(spark, directory)
+    write_corpus(streams, meta, path, tokens_per_part=PART)
     tokens, _ = load_corpus(spark, f"{path}/train.bin")
     return corpus_stats(tokens)
 

@@ -12,6 +12,7 @@ from lexiloom.operators.pooling import (
     explode_vector,
     label_votes,
     lookup_sum,
+    mean_vectors,
     nearest,
     softmax_weights,
 )
@@ -25,22 +26,10 @@ def _vectors(spark: SparkSession, directory: str) -> DataFrame:
     return spread(table(spark, directory, "embeddings"), "vec_id")
 
 
-def _mean_vectors(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Mean vector per value of ``by``, in (by, dimension) groups."""
-    means = (
-        rows.select(by, F.posexplode("embedding").alias("dim", "x"))
-        .groupBy(by, "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    # one entry per dimension
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(by).agg(ordered.alias("_v")).select(by, F.col("_v.x").alias(name))
-
-
 def vector_lookup_sum(spark: SparkSession, directory: str) -> DataFrame:
     """Document ids as tokens, their place in blocks of eight as positions."""
     vectors = _vectors(spark, directory).select("vec_id", "embedding")
-    positions = _mean_vectors(vectors.withColumn("pos", F.col("vec_id") % BLOCK), "pos", "embedding")
+    positions = mean_vectors(vectors.withColumn("pos", F.col("vec_id") % BLOCK), "pos", "embedding")
     sequence = table(spark, directory, "documents").select(
         F.col("doc_id").alias("vec_id"), (F.col("doc_id") % BLOCK).alias("pos")
     )
@@ -59,7 +48,8 @@ def _norm_query(norm):
 def _weighted(spark: SparkSession, directory: str) -> DataFrame:
     """The rows nearest to the mean vector of each label, with their softmax weights."""
     rows = _vectors(spark, directory).select("vec_id", "label", "embedding")
-    queries = _mean_vectors(rows, "label", "query").withColumnRenamed("label", "query_id")
+    means = mean_vectors(rows, "label", "embedding")
+    queries = means.select(F.col("label").alias("query_id"), F.col("embedding").alias("query"))
     return softmax_weights(nearest(rows, queries, "vec_id", "embedding", NEIGHBOURS))
 
 

@@ -168,12 +168,14 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenFile)
 
 
-def write_tokens(stream: DataFrame, path: str, dtype: str = "u16") -> None:
+def write_tokens(
+    stream: DataFrame, path: str, dtype: str = "u16", tokens_per_part: int = TOKENS_PER_PART
+) -> None:
     """Write ``stream(first_idx, tokens)``; parts hold equal ranges of the index."""
     if dtype not in DTYPES:
         raise ValueError(f"dtype must be one of {sorted(DTYPES)}")
     register(stream.sparkSession)
-    part = F.floor(F.col("first_idx") / TOKENS_PER_PART)
+    part = F.floor(F.col("first_idx") / tokens_per_part)
     (
         stream.where(F.size("tokens") > 0)
         .select("first_idx", "tokens", part.alias("part"))
@@ -205,10 +207,16 @@ def sidecars(train_path: str) -> tuple[str, str]:
     return f"{folder}/eval.bin", f"{folder}/meta.json"
 
 
-def write_corpus(streams: DataFrame, meta: DataFrame, directory: str, dtype: str = "u16") -> None:
+def write_corpus(
+    streams: DataFrame,
+    meta: DataFrame,
+    directory: str,
+    dtype: str = "u16",
+    tokens_per_part: int = TOKENS_PER_PART,
+) -> None:
     """Write ``streams(split, first_idx, tokens)`` of splits train and eval, and the metadata row."""
     for split in ("train", "eval"):
-        write_tokens(streams.where(F.col("split") == split), f"{directory}/{split}.bin", dtype)
+        write_tokens(streams.where(F.col("split") == split), f"{directory}/{split}.bin", dtype, tokens_per_part)
     meta.select("meta").coalesce(1).write.text(f"{directory}/meta.json")
 
 
@@ -235,18 +243,17 @@ def load_corpus(spark: SparkSession, train_path: str) -> tuple[DataFrame, dict]:
         .unionByName(read_tokens(spark, eval_path).withColumn("split", F.lit("eval")))
         .select("split", "first_idx", "tokens")
     )
-    sizes = {r["split"]: r["n"] for r in tokens.groupBy("split").agg(F.sum(F.size("tokens")).alias("n")).collect()}
     for split in ("train", "eval"):
-        if sizes.get(split, 0) <= 1:
+        if explode_tokens(tokens.where(F.col("split") == split)).limit(2).count() < 2:
             raise ValueError(f"split {split} holds less than two tokens")
     return tokens, meta
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """Number, range and sum of the tokens of each split."""
-    return tokens.groupBy("split").agg(
-        F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
-        F.min(F.array_min("tokens")).alias("min_token"),
-        F.max(F.array_max("tokens")).alias("max_token"),
-        F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t)).alias("token_sum"),
+    return tokens.select("split", F.explode("tokens").alias("token")).groupBy("split").agg(
+        F.count("*").alias("n_tokens"),
+        F.min("token").alias("min_token"),
+        F.max("token").alias("max_token"),
+        F.sum("token").alias("token_sum"),
     )

@@ -30,11 +30,10 @@ def flat(stream):
 
 @pytest.mark.parametrize("dtype", ["u16", "u32"])
 def test_tokens_survive_files(spark, tmp_path, dtype, monkeypatch):
-    monkeypatch.setattr(token_files, "TOKENS_PER_PART", 100)
     monkeypatch.setattr(token_files, "TOKENS_PER_RANGE", 64)
     stream = stream_of(spark, [5, 300, 1, 0, 77, 250, 3])
     path = str(tmp_path / "train.bin")
-    write_tokens(stream, path, dtype)
+    write_tokens(stream, path, dtype, tokens_per_part=100)
     want = flat(stream)
     manifest = json.loads((tmp_path / "train.bin" / "_parts.json").read_text())
     joined = b"".join((tmp_path / "train.bin" / name).read_bytes() for name, _, _ in manifest["parts"])

@@ -23,20 +23,15 @@ def plan_of(spark, name):
 LAZY = sorted(set(registry.queries()) - {"bpe_merges", "bpe_encode", "bpe_roundtrip"})
 
 
-@pytest.mark.parametrize("name", LAZY)
-def test_no_pair_products(spark, name):
-    physical = plan_of(spark, name).split("== Physical Plan ==")[1]
-    assert "CartesianProduct" not in physical
-    assert "BroadcastNestedLoopJoin" not in physical
-
-
 # Windows without a partition run over at most 256 bytes or one total per bucket.
 SMALL_ORDERS = {"b", "byte", "_bucket"}
 
 
 @pytest.mark.parametrize("name", LAZY)
-def test_no_unbounded_window_in_one_task(spark, name):
+def test_no_pair_products_and_no_large_window_in_one_task(spark, name):
     physical = plan_of(spark, name).split("== Physical Plan ==")[1]
+    assert "CartesianProduct" not in physical
+    assert "BroadcastNestedLoopJoin" not in physical
     assert "windowspecdefinition(specifiedwindowframe" not in physical
     unpartitioned = re.findall(r"windowspecdefinition\((\w+)#\d+L? (?:ASC|DESC)", physical)
     assert set(unpartitioned) <= SMALL_ORDERS

@@ -79,3 +79,9 @@ def test_lookup_sum(spark):
     sequence = spark.createDataFrame([(0, 3, 0), (1, 3, 1), (2, 5, 0), (3, 99, 0)], "at int, id int, pos int")
     got = {r["at"]: r["v"] for r in pooling.lookup_sum(sequence, df, positions, "id", "pos", "v").collect()}
     assert got == {0: pytest.approx(data[3] + 1), 1: pytest.approx(data[3] + 2), 2: pytest.approx(data[5] + 1)}
+
+
+def test_mean_vectors(spark):
+    data, df = vectors(spark, 11)
+    got = {r["label"]: r["v"] for r in pooling.mean_vectors(df.repartition(4), "label", "v").collect()}
+    assert got == {k: pytest.approx(data[k::3].mean(axis=0)) for k in range(3)}
