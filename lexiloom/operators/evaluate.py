@@ -55,8 +55,11 @@ def score_replies(replies: DataFrame, cases: DataFrame, case: str = "case_no", r
 
 def average_score(scored: DataFrame) -> DataFrame:
     """Mean score of each case and, under the name ``all``, of all replies."""
-    return scored.rollup("case_id").agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")).select(
-        F.coalesce("case_id", F.lit("all")).alias("case_id"), "n", "avg_score"
+    per_case = scored.groupBy("case_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    return (
+        per_case.rollup("case_id")
+        .agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avg_score"))
+        .select(F.coalesce("case_id", F.lit("all")).alias("case_id"), "n", "avg_score")
     )
 
 

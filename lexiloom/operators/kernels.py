@@ -32,20 +32,24 @@ def flat_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pad_rows(
-    values: np.ndarray, lengths: np.ndarray, left: int, pad: int, end: int | None
+    values: np.ndarray, lengths: np.ndarray, left: int, pad: int, end: int | None, given: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows laid end to end, each after ``left`` pads and before ``end``.
 
-    Returns the flat ids, the position of every target and the row that each target belongs to.
+    Returns the flat ids, the position of every target and the row that each target belongs to. The
+    first ``given`` ids of a row are no targets.
     """
     right = 0 if end is None else 1
     rows = len(lengths)
     starts = np.cumsum(lengths + left + right) - lengths - right
     flat = np.full(int(lengths.sum()) + rows * (left + right), pad, np.int64)
-    shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    at = np.arange(len(values)) + shift
+    before = np.cumsum(lengths) - lengths
+    at = np.arange(len(values)) + np.repeat(starts - before, lengths)
     flat[at] = values
     owner = np.repeat(np.arange(rows), lengths)
+    if given:
+        kept = np.arange(len(values)) - np.repeat(before, lengths) >= given
+        at, owner = at[kept], owner[kept]
     if end is not None:
         ends = starts + lengths
         flat[ends] = end
@@ -61,63 +65,65 @@ def packed(flat: np.ndarray, at: np.ndarray, order: int, base: int) -> np.ndarra
     return code
 
 
-def tally(codes: np.ndarray, size: int, weights: np.ndarray | None):
-    """Distinct codes and their (weighted) counts."""
+def tally(codes: np.ndarray, size: int, weights: np.ndarray):
+    """Distinct codes with their counts and summed weights."""
     if size <= DENSE_LIMIT:
-        sums = np.bincount(codes, weights, minlength=1)
-        seen = np.flatnonzero(np.bincount(codes)) if weights is not None else np.flatnonzero(sums)
-        return seen, sums[seen]
-    if weights is None:
-        return np.unique(codes, return_counts=True)
-    seen, inverse = np.unique(codes, return_inverse=True)
-    return seen, np.bincount(inverse, weights)
+        n, w = np.bincount(codes), np.bincount(codes, weights)
+        seen = np.flatnonzero(n)
+        return seen, n[seen], w[seen]
+    seen, inverse, n = np.unique(codes, return_inverse=True, return_counts=True)
+    return seen, n, np.bincount(inverse, weights)
 
 
-def ngram_batches(orders: list[int], base: int, pad: int, end: int | None, weighted: bool):
-    """(model_order, context, next, n): n-grams per batch, each target counted once per order.
+def ngram_batches(orders: list[int], base: int, pad: int, end: int | None, given: int):
+    """(model_order, context, next, n, w): n-grams per batch.
 
-    Weighted, a target counts one over the number of targets of its row.
+    A target adds 1 to ``n`` and one over the number of targets of its row to ``w``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, lengths = flat_values(batch.column(0))
-            flat, at, owner = pad_rows(values, lengths, max(orders) - 1, pad, end)
+            flat, at, owner = pad_rows(values, lengths, max(orders) - 1, pad, end, given)
             share = 1.0 / np.maximum(np.bincount(owner, minlength=len(lengths)), 1)
             for lo in range(0, len(at), PIECE):
-                piece, weights = at[lo : lo + PIECE], None
-                if weighted:
-                    weights = share[owner[lo : lo + PIECE]]
+                piece, weights = at[lo : lo + PIECE], share[owner[lo : lo + PIECE]]
                 for order in orders:
-                    codes, n = tally(packed(flat, piece, order, base), base**order, weights)
+                    codes, n, w = tally(packed(flat, piece, order, base), base**order, weights)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(codes), order, np.int32)),
                             pa.array(codes // base),
                             pa.array((codes % base).astype(np.int32)),
-                            pa.array(n.astype(np.float64 if weighted else np.int64)),
+                            pa.array(n.astype(np.int64)),
+                            pa.array(w),
                         ],
-                        ["model_order", "context", "next", "n"],
+                        ["model_order", "context", "next", "n", "w"],
                     )
 
     return run
 
 
-def example_ngram_batches(order: int, base: int, pad: int, end: int | None):
+def example_ngram_batches(order: int, base: int, pad: int, end: int | None, given: int):
     """(id, context, next, n): n-grams per example; the first column holds the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, lengths = flat_values(batch.column(1))
-            flat, at, owner = pad_rows(values, lengths, order - 1, pad, end)
+            flat, at, owner = pad_rows(values, lengths, order - 1, pad, end, given)
             for lo in range(0, len(at), PIECE):
-                piece = at[lo : lo + PIECE]
-                codes = packed(flat, piece, order, base)
-                keys, n = np.unique(owner[lo : lo + PIECE] * base**order + codes, return_counts=True)
-                codes = keys % base**order
+                codes = packed(flat, at[lo : lo + PIECE], order, base)
+                seen = None
+                size = base**order
+                if len(lengths) * size >= 1 << 62:
+                    # number the codes of the piece, so that row and code fit one key
+                    seen, codes = np.unique(codes, return_inverse=True)
+                    size = len(seen)
+                keys, n = np.unique(owner[lo : lo + PIECE] * size + codes, return_counts=True)
+                codes = keys % size if seen is None else seen[keys % size]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(keys // base**order)),
+                        batch.column(0).take(pa.array(keys // size)),
                         pa.array(codes // base),
                         pa.array((codes % base).astype(np.int32)),
                         pa.array(n.astype(np.int64)),
@@ -135,7 +141,7 @@ def byte_count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         values, lengths = flat_values(batch.column(1))
         owner = groups.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         codes = np.repeat(owner * 256, lengths) + values
-        seen, n = tally(codes, 256 * max(len(groups.dictionary), 1), None)
+        seen, n = np.unique(codes, return_counts=True)
         yield pa.RecordBatch.from_arrays(
             [
                 groups.dictionary.take(pa.array(seen // 256)),

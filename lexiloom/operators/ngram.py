@@ -25,47 +25,58 @@ MIN_PROBABILITY = 1e-12
 
 @dataclass(frozen=True)
 class Alphabet:
-    """Ids are below ``base``; ``pad`` fills contexts on the left, ``end`` (if any) ends a row."""
+    """Ids are below ``base``; ``pad`` fills contexts on the left, ``end`` (if any) ends a row.
+
+    The first ``given`` ids of a row are context only: windows of a stream have one.
+    """
 
     base: int
     pad: int
     end: int | None
+    given: int = 0
 
     def check(self, order: int) -> None:
-        if order < 1 or self.base**order >= 1 << 48:
+        if order < 1 or self.base**order >= 1 << 62:
             raise ValueError(f"order {order} is out of range for {self.base} ids")
 
 
 BYTES = Alphabet(base=257, pad=256, end=256)
+BYTE_WINDOWS = Alphabet(base=257, pad=256, end=None, given=1)
 
 
-def count_ngrams(
-    docs: DataFrame,
-    tokens: str,
-    orders: list[int],
-    alphabet: Alphabet = BYTES,
-    weighting: str = "token",
+def tally_ngrams(
+    docs: DataFrame, tokens: str, orders: list[int], alphabet: Alphabet = BYTES
 ) -> DataFrame:
-    """(model_order, context, next, n) over all targets of all rows.
+    """(model_order, context, next, n, w) over all targets of all rows.
 
-    ``tokens`` is a STRING column (its UTF-8 bytes) or an ARRAY<INT>. With weighting ``example``, a
-    target counts one over the number of targets of its row, so each row weighs 1.
+    ``tokens`` is a STRING column (its UTF-8 bytes) or an ARRAY<INT>. In ``n`` a target counts 1, in
+    ``w`` one over the number of targets of its row, so each row weighs 1.
     """
-    if weighting not in ("token", "example"):
-        raise ValueError("weighting must be 'token' or 'example'")
     for order in orders:
         alphabet.check(order)
-    weighted = weighting == "example"
-    kernel = ngram_batches(orders, alphabet.base, alphabet.pad, alphabet.end, weighted)
-    kind = "double" if weighted else "bigint"
+    kernel = ngram_batches(orders, alphabet.base, alphabet.pad, alphabet.end, alphabet.given)
     return (
         docs.select(tokens)
-        .mapInArrow(kernel, f"model_order int, context bigint, next int, n {kind}")
+        .mapInArrow(kernel, "model_order int, context bigint, next int, n bigint, w double")
         .groupBy("model_order", "context", "next")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     )
 
 
+def count_ngrams(
+    docs: DataFrame,
+    tokens: str,
+    orders: list[int],
+    alphabet: Alphabet = BYTES,
+    weighting: str = "token",
+) -> DataFrame:
+    """(model_order, context, next, n), where ``n`` weighs tokens or examples alike."""
+    if weighting not in ("token", "example"):
+        raise ValueError("weighting must be 'token' or 'example'")
+    value = F.col("n" if weighting == "token" else "w").alias("n")
+    return tally_ngrams(docs, tokens, orders, alphabet).select("model_order", "context", "next", value)
+
+
 def probabilities(counts: DataFrame) -> DataFrame:
     """Add the context's ``total`` and the relative count ``p``; a context has at most ``base`` rows."""
     total = F.sum("n").over(Window.partitionBy("model_order", "context"))
@@ -111,7 +122,7 @@ def example_loss(
     alphabet.check(order)
     kind = docs.schema[key].dataType.simpleString()
     grams = docs.select(key, tokens).mapInArrow(
-        example_ngram_batches(order, alphabet.base, alphabet.pad, alphabet.end),
+        example_ngram_batches(order, alphabet.base, alphabet.pad, alphabet.end, alphabet.given),
         f"id {kind}, context bigint, next int, n bigint",
     )
     model = probabilities(counts.where(F.col("model_order") == order))
@@ -134,15 +145,20 @@ def split_loss(
     The evaluated rows are reduced to weighted n-grams first, so both sides of the join have one
     row per n-gram and no key is hot.
     """
-    weights = count_ngrams(docs, tokens, orders, alphabet, "example").withColumnRenamed("n", "w")
+    weights = tally_ngrams(docs, tokens, orders, alphabet).drop("n")
     model = probabilities(counts).select("model_order", "context", "next", "p")
-    return (
-        weights.join(model, ["model_order", "context", "next"], "left")
-        .groupBy("model_order")
-        .agg(
-            F.round(F.sum("w")).cast("bigint").alias("n_examples"),
-            (F.sum(F.col("w") * surprise(F.col("p"))) / F.sum("w")).alias("loss"),
-        )
+    return _mean_loss(weights.join(model, ["model_order", "context", "next"], "left"))
+
+
+def own_loss(tallied: DataFrame) -> DataFrame:
+    """``split_loss`` of the very rows that were tallied: their counts are the model, no join."""
+    return _mean_loss(probabilities(tallied))
+
+
+def _mean_loss(weighted: DataFrame) -> DataFrame:
+    return weighted.groupBy("model_order").agg(
+        F.round(F.sum("w")).cast("bigint").alias("n_examples"),
+        (F.sum(F.col("w") * surprise(F.col("p"))) / F.sum("w")).alias("loss"),
     )
 
 

@@ -77,8 +77,11 @@ def reject_unsupported(prompts: DataFrame, vocab: DataFrame, key: str, text: str
 def corpus_stats(docs: DataFrame, split: str = "split", text: str = "text") -> DataFrame:
     """Documents and bytes per split and in total, with the vocabulary size."""
     size = byte_counts(docs, text).agg((F.count("*") + 1).alias("n")).scalar()
+    per_split = docs.groupBy(split).agg(
+        F.count("*").alias("n_docs"), F.sum(F.octet_length(text)).cast("bigint").alias("n_tokens")
+    )
     return (
-        docs.rollup(split)
-        .agg(F.count("*").alias("n_docs"), F.sum(F.octet_length(text)).cast("bigint").alias("n_tokens"))
+        per_split.rollup(split)
+        .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         .select(F.coalesce(split, F.lit("all")).alias("split"), "n_docs", "n_tokens", size.alias("vocab_size"))
     )

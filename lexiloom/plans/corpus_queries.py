@@ -175,13 +175,16 @@ def _stream_query(eos: bool):
     return run
 
 
-def sample_windows_query(spark: SparkSession, directory: str) -> DataFrame:
+def drawn_windows(docs: DataFrame, window: int, seed: str) -> DataFrame:
     """One window per document, from the stream of all documents."""
-    docs = _spread_documents(spark, directory)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).scalar()
     stream = token_stream(_byte_tokens(docs), "doc_id", F.size("tokens"))
-    draws = window_draws(docs.select(F.col("doc_id").alias("draw")), "draw", total, WINDOW, "window")
-    windows = sample_windows(stream_blocks(stream, "tokens", WINDOW), draws, "draw", WINDOW)
+    draws = window_draws(docs.select(F.col("doc_id").alias("draw")), "draw", total, window, seed)
+    return sample_windows(stream_blocks(stream, "tokens", window), draws, "draw", window)
+
+
+def sample_windows_query(spark: SparkSession, directory: str) -> DataFrame:
+    windows = drawn_windows(_spread_documents(spark, directory), WINDOW, "window")
     return windows.select("draw", "start_idx", "n", F.md5(join_ids(F.col("tokens"))).alias("ids_md5"))
 
 
@@ -355,6 +358,12 @@ _STREAM = """
     FROM (SELECT doc_id, {n} AS n_tokens FROM documents))"""
 _BYTE_STREAM = _STREAM.format(n="octet_length(encode(text))")
 
+
+def byte_stream_sql() -> str:
+    """(doc_id, first_idx, last_idx, n_tokens) of the byte stream."""
+    return _BYTE_STREAM
+
+
 _HEAD = f"""
   SELECT doc_id, source, text, CASE WHEN pos < greatest(1, floor(n_docs * {EVAL_RATIO}::DOUBLE)) THEN 'eval' ELSE 'train' END AS split
   FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos, count(*) OVER () AS n_docs FROM documents)"""

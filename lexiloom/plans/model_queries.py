@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators.generate import END_TAG_BYTES, byte_prompts, free_prompts, generate
 from lexiloom.operators.ngram import (
+    BYTE_WINDOWS,
     cdf_draw,
     count_ngrams,
     example_loss,
     model_size,
+    own_loss,
     split_loss,
+    tally_ngrams,
     with_temperature,
 )
 from lexiloom.operators.order import draw_rows, split_tail
 from lexiloom.operators.selection import batch_loss, best_model, eval_steps, improvements
 from lexiloom.operators.evaluate import sweep_summary
 from lexiloom.plans import sql
+from lexiloom.plans.corpus_queries import byte_stream_sql, drawn_windows
 from lexiloom.plans.train import best_order, eval_log
 from lexiloom.sources.tables import spread, table
 
@@ -29,6 +33,7 @@ BATCH = 8
 INTERVAL = 5
 FREE_BLOCK = 16
 PROMPT_BLOCK = 448
+PROBE_WINDOW = 64
 
 
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -62,12 +67,18 @@ def _example_loss_query(order: int):
 
 def split_loss_query(spark: SparkSession, directory: str) -> DataFrame:
     train, val = _splits(_documents(spark, directory))
-    counts = count_ngrams(train, "text", [ORDER])
-    parts = [
-        split_loss(docs, "text", counts, [ORDER]).withColumn("split", F.lit(name))
-        for name, docs in (("train", train), ("val", val))
-    ]
-    return parts[0].unionByName(parts[1]).select("split", "n_examples", F.round("loss", 6).alias("loss"))
+    counts = tally_ngrams(train, "text", [ORDER])
+    on_val = split_loss(val, "text", counts.drop("w"), [ORDER]).withColumn("split", F.lit("val"))
+    both = own_loss(counts).withColumn("split", F.lit("train")).unionByName(on_val)
+    return both.select("split", "n_examples", F.round("loss", 6).alias("loss"))
+
+
+def window_loss(spark: SparkSession, directory: str) -> DataFrame:
+    """Loss of windows drawn from the stream of all documents; the first token is given."""
+    docs = _documents(spark, directory)
+    windows = drawn_windows(docs, PROBE_WINDOW, "loss")
+    losses = example_loss(windows, "draw", "tokens", count_ngrams(docs, "text", [ORDER]), ORDER, BYTE_WINDOWS)
+    return losses.select("draw", F.round("loss", 6).alias("loss"))
 
 
 def _drawn_losses(spark: SparkSession, directory: str) -> DataFrame:
@@ -177,6 +188,7 @@ QUERIES = {
     "example_loss": _example_loss_query(2),
     "example_loss_order3": _example_loss_query(3),
     "split_loss": split_loss_query,
+    "window_loss": window_loss,
     "sampled_loss": sampled_loss,
     "batch_loss": batch_loss_query,
     "eval_steps": eval_steps_query,
@@ -281,6 +293,14 @@ ORACLE = {
     "split_loss": _setup([ORDER]) + f"""
       SELECT split, count(*) AS n_examples, round(avg(loss), 6) AS loss
       FROM ({_losses(ORDER)}) JOIN docs USING (doc_id) GROUP BY split""",
+    "window_loss": _setup([2], "true") + f""",
+      tokens AS (SELECT first_idx + pos AS idx, b FROM ({sql.byte_rows()}) JOIN ({byte_stream_sql()}) USING (doc_id)),
+      sized AS (SELECT count(*) AS total, least({PROBE_WINDOW}, count(*) - 1) AS n FROM tokens),
+      drawn AS (SELECT doc_id AS draw, {sql.draw('doc_id', '(total - n)', 'loss')} AS start_idx, n FROM documents, sized),
+      places AS (SELECT draw, start_idx + unnest(range(n + 1)) AS idx FROM drawn),
+      pairs AS (SELECT draw, lag(b) OVER (PARTITION BY draw ORDER BY idx) AS context, b AS next FROM places JOIN tokens USING (idx))
+      SELECT draw, round(avg({_LOSS}), 6) AS loss FROM pairs LEFT JOIN model2 USING (context, next)
+      WHERE context IS NOT NULL GROUP BY draw""",
     "sampled_loss": _DRAWN + " SELECT count(*) AS n_draws, round(avg(loss), 6) AS loss FROM drawn_losses",
     "batch_loss": _DRAWN + " SELECT step, loss FROM batches",
     "eval_steps": _DRAWN + f"""

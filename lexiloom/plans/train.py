@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.chat import is_chat
-from lexiloom.operators.ngram import BYTES, Alphabet, count_ngrams, split_loss
+from lexiloom.operators.ngram import BYTES, Alphabet, own_loss, split_loss, tally_ngrams
 from lexiloom.operators.order import first_in_order, split_tail
 from lexiloom.operators.selection import best_model
 
@@ -48,9 +48,9 @@ def eval_log(
     """(model_order, train_loss, val_loss): models of the training documents on both splits."""
     split = split_tail(docs.select(key, text), key, seed)
     train, val = split.where(F.col("split") == "train"), split.where(F.col("split") == "val")
-    counts = count_ngrams(train, text, orders, alphabet)
-    on_train = split_loss(train, text, counts, orders, alphabet)
-    on_val = split_loss(val, text, counts, orders, alphabet)
+    counts = tally_ngrams(train, text, orders, alphabet)
+    on_train = own_loss(counts)
+    on_val = split_loss(val, text, counts.drop("w"), orders, alphabet)
     return on_train.select("model_order", F.col("loss").alias("train_loss")).join(
         on_val.select("model_order", F.col("loss").alias("val_loss")), "model_order", "left"
     )

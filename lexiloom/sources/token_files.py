@@ -34,8 +34,9 @@ FORMAT = "token_file"
 MANIFEST = "_parts.json"
 DTYPES = {"u16": "<u2", "u32": "<u4"}
 TOKENS_PER_PART = 1 << 26
-TOKENS_PER_RANGE = 1 << 22
+TOKENS_PER_RANGE = 1 << 25
 TOKENS_PER_ROW = 1 << 16
+TOKENS_PER_BATCH = 1 << 20
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -106,11 +107,13 @@ class _Reader(DataSourceReader):
         dtype = np.dtype(DTYPES[partition.dtype])
         with files.open_input_file(f"{root}/{partition.name}".rstrip("/")) as stream:
             stream.seek(partition.skip * dtype.itemsize)
-            ids = np.frombuffer(stream.read(partition.n_tokens * dtype.itemsize), dtype)
-        bounds = np.append(np.arange(0, len(ids), TOKENS_PER_ROW), len(ids)).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
-        first = pa.array(bounds[:-1].astype(np.int64) + partition.first_idx)
-        yield pa.RecordBatch.from_arrays([first, tokens], ["first_idx", "tokens"])
+            for at in range(0, partition.n_tokens, TOKENS_PER_BATCH):
+                n = min(TOKENS_PER_BATCH, partition.n_tokens - at)
+                ids = np.frombuffer(stream.read(n * dtype.itemsize), dtype)
+                bounds = np.append(np.arange(0, n, TOKENS_PER_ROW), n).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
+                first = pa.array(bounds[:-1].astype(np.int64) + partition.first_idx + at)
+                yield pa.RecordBatch.from_arrays([first, tokens], ["first_idx", "tokens"])
 
 
 class _Writer(DataSourceArrowWriter):

@@ -13,6 +13,7 @@ from lexiloom.plans.prepare import framed, prepare
 from lexiloom.operators.bpe import Tokenizer
 from lexiloom.operators.evaluate import case_table
 from lexiloom.sources import token_files
+from lexiloom.sources.logs import EVALUATIONS, read_log, write_log
 from lexiloom.sources.metadata import int_field, meta_document, meta_fields, storage_type, string_field
 from lexiloom.sources.model_store import load_model, save_model
 from lexiloom.sources.token_files import explode_tokens, load_corpus, read_tokens, sidecars, write_tokens
@@ -164,3 +165,13 @@ def test_prepare_and_evaluate_end_to_end(spark, tmp_path):
     assert len(scored) == 16
     assert any("lamp" in r["reply"] for r in scored)
     assert all("<|" not in r["reply"] for r in scored)
+
+
+def test_logs_are_appended(spark, tmp_path):
+    log = spark.createDataFrame([(1, 2.5, None, 1e-3), (2, 2.0, float("nan"), 5e-4)], EVALUATIONS)
+    path = str(tmp_path / "eval.csv")
+    write_log(log.where("step = 1"), path)
+    write_log(log.where("step = 2"), path)
+    rows = read_log(spark, path, EVALUATIONS).orderBy("step").collect()
+    assert [(r["step"], r["train_loss"], r["lr"]) for r in rows] == [(1, 2.5, 1e-3), (2, 2.0, 5e-4)]
+    assert rows[0]["val_loss"] is None and rows[1]["val_loss"] != rows[1]["val_loss"]
