@@ -117,19 +117,14 @@ def _tokenizer(spark: SparkSession, directory: str, merges: int) -> bpe.Tokenize
 
 
 def bpe_merges(spark: SparkSession, directory: str) -> DataFrame:
-    tokenizer = _tokenizer(spark, directory, MERGES)
-    ids = tokenizer.vocab_table(spark).select("token_id", F.hex("bytes").alias("spelled"))
-    left = ids.select(F.col("token_id").alias("left_id"), F.col("spelled").alias("left_hex"))
-    right = ids.select(F.col("token_id").alias("right_id"), F.col("spelled").alias("right_hex"))
-    merges = tokenizer.merges_table(spark).join(left, "left_id").join(right, "right_id")
-    return merges.select("rank", "left_hex", "right_hex", "new_id", "n")
+    return _tokenizer(spark, directory, MERGES).merges_table(spark)
 
 
 def bpe_encode(spark: SparkSession, directory: str) -> DataFrame:
     tokenizer = _tokenizer(spark, directory, FEW_MERGES)
     encoded = tokenizer.encode(spread(_turns(spark, directory), "conv_id", "turn"))
     return encoded.select(
-        "conv_id", "turn", F.size("tokens").alias("n_tokens"), F.md5(join_ids(F.col("tokens"))).alias("ids_md5")
+        "conv_id", "turn", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(join_ids(F.col("tokens"))).alias("ids_md5")
     )
 
 
@@ -352,6 +347,31 @@ _WORDS = f"""
     FROM (SELECT unnest(string_split({_MARKED}, chr(31))) AS piece FROM documents))
   GROUP BY word"""
 
+_FIRST = len(bpe.SPECIAL_TOKENS)
+_IDS = ", ".join(f"('{b:02X}', {i})" for i, b in enumerate(bpe.byte_order(), _FIRST))
+
+
+def _learned(merges: int) -> str:
+    """CTEs: ``learning`` holds the words of the conversations after each merge, one at a time."""
+    at = f"{bpe.SYMBOL_BASE} + {_FIRST + 256}"
+    return f"""
+      WITH RECURSIVE bytes(h, id) AS (VALUES {_IDS}),
+      spelled AS MATERIALIZED (
+        SELECT word, n, string_agg(chr({bpe.SYMBOL_BASE} + id), '' ORDER BY pos) AS s
+        FROM (SELECT word, n, unnest(l) AS h, unnest(range(len(l))) AS pos
+              FROM (SELECT word, n, {sql.hexes('word')} AS l FROM ({_WORDS.replace("FROM documents", "FROM conversations")})))
+        JOIN bytes USING (h) GROUP BY word, n),
+      learning AS (
+        SELECT 0 AS step, word, s, n, '' AS pair, 0::BIGINT AS pair_n FROM spelled
+        UNION ALL
+        SELECT step + 1, word, replace(s, top.pair, chr({at} + step)), n, top.pair, top.pair_n
+        FROM learning, (
+          SELECT pair, sum(n)::BIGINT AS pair_n
+          FROM (SELECT unnest(list_transform(range(1, length(s)), lambda i: s[i:i + 1])) AS pair, n FROM learning WHERE length(s) > 1)
+          GROUP BY pair HAVING sum(n) >= 2 ORDER BY pair_n DESC, pair LIMIT 1) top
+        WHERE step < {merges})"""
+
+
 _STREAM = """
   SELECT doc_id, first_idx, first_idx + n_tokens - 1 AS last_idx, n_tokens FROM (
     SELECT doc_id, n_tokens, (sum(n_tokens) OVER (ORDER BY md5('42:' || doc_id), doc_id) - n_tokens)::BIGINT AS first_idx
@@ -417,6 +437,20 @@ ORACLE = {
       SELECT left_hex, right_hex, sum(n)::BIGINT AS n
       FROM (SELECT unnest(l[:-2]) AS left_hex, unnest(l[2:]) AS right_hex, n FROM words WHERE len(l) > 1)
       GROUP BY left_hex, right_hex""",
+    "bpe_merges": _learned(MERGES) + f"""
+      SELECT DISTINCT step - 1 AS rank, ord(left(pair, 1)) - {bpe.SYMBOL_BASE} AS left_id,
+        ord(right(pair, 1)) - {bpe.SYMBOL_BASE} AS right_id, {_FIRST + 255} + step AS new_id, pair_n AS n
+      FROM learning WHERE step > 0""",
+    "bpe_encode": _learned(FEW_MERGES) + f""",
+      pieces AS (SELECT conv_id, turn, unnest(l) AS piece, unnest(range(len(l))) AS piece_no
+                 FROM (SELECT conv_id, turn, string_split({_MARKED}, chr(31)) AS l FROM conversations)),
+      placed AS (SELECT conv_id, turn, piece_no, unnest(l) AS word, unnest(range(len(l))) AS word_no
+                 FROM (SELECT conv_id, turn, piece_no, regexp_extract_all(piece, {_PIECES}) AS l FROM pieces)),
+      symbols AS (SELECT conv_id, turn, piece_no, word_no, unnest(range(1, length(s) + 1)) AS char_no, s
+                  FROM placed JOIN learning USING (word) WHERE step = {FEW_MERGES})
+      SELECT conv_id, turn, count(*) AS n_tokens,
+        md5(string_agg((ord(s[char_no]) - {bpe.SYMBOL_BASE})::VARCHAR, ',' ORDER BY piece_no, word_no, char_no)) AS ids_md5
+      FROM symbols GROUP BY conv_id, turn""",
     "bpe_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "shuffle_order": "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos FROM documents",
     "split_tail": f"SELECT doc_id, split FROM ({sql.TAIL_SPLIT})",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.operators.bpe import learn
 from lexiloom.operators.generate import END_TAG_BYTES, byte_prompts, free_prompts, generate
 from lexiloom.operators.ngram import (
     BYTE_WINDOWS,
@@ -22,7 +23,11 @@ from lexiloom.operators.selection import batch_loss, best_model, eval_steps, imp
 from lexiloom.operators.evaluate import sweep_summary
 from lexiloom.plans import sql
 from lexiloom.plans.corpus_queries import byte_stream_sql, drawn_windows
-from lexiloom.plans.train import best_order, eval_log
+from lexiloom.plans.evaluate import answer, token_alphabet
+from lexiloom.plans.prepare import framed
+from lexiloom.plans.train import CHAT_BLOCK, best_order, eval_log
+from lexiloom.sources.metadata import SPECIAL_TOKENS
+from lexiloom.sources.pairs import chat_pairs
 from lexiloom.sources.tables import spread, table
 
 ORDERS = [1, 2, 3]
@@ -34,6 +39,7 @@ INTERVAL = 5
 FREE_BLOCK = 16
 PROMPT_BLOCK = 448
 PROBE_WINDOW = 64
+PROMPT_MERGES = 64
 
 
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -168,6 +174,17 @@ def generate_prompted(spark: SparkSession, directory: str) -> DataFrame:
     return _hex_output(out, "item_id")
 
 
+def answer_prompts(spark: SparkSession, directory: str) -> DataFrame:
+    """Replies to all user turns from a token model of the chat samples: frame, encode, continue, clean."""
+    turns = table(spark, directory, "conversations")
+    samples = framed(chat_pairs(turns)).select("sample")
+    tokenizer = learn(samples, "sample", len(SPECIAL_TOKENS) + 256 + PROMPT_MERGES)
+    encoded = tokenizer.encode(samples, "sample")
+    counts = count_ngrams(encoded, "tokens", [1, 2], token_alphabet(tokenizer))
+    prompts = turns.where(F.col("role") == "user").select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), "text")
+    return answer(prompts, "prompt_id", "text", tokenizer, counts, ORDER, block=2 * CHAT_BLOCK)
+
+
 def sweep_query(spark: SparkSession, directory: str) -> DataFrame:
     """Validation losses by order and by whether the text is lowered."""
     losses = []
@@ -201,6 +218,7 @@ QUERIES = {
     "cdf_draw": cdf_draw_query,
     "generate_free": generate_free,
     "generate_prompted": generate_prompted,
+    "answer_prompts": answer_prompts,
     "sweep_summary": sweep_query,
 }
 
