@@ -34,7 +34,7 @@ MIN_FREQUENCY = 2
 
 SYMBOL_BASE = 0x20000
 TOP_PAIRS = 64
-MERGES_PER_CUT = 16
+ROUNDS_PER_CUT = 16
 MEMO_WORDS = 1 << 20
 
 
@@ -98,8 +98,6 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 def merge_words(words: DataFrame, merges: list[tuple[int, int, int, int]]) -> DataFrame:
     """Apply merges in order. One fold over an array of them, so every round has the same plan."""
-    if not merges:
-        return words
     # each step is the two symbols of the pair and the new one
     steps = " ".join(symbol(left) + symbol(right) + symbol(new) for left, right, new, _ in merges)
     fold = f"aggregate(split('{steps}', ' '), word, (w, m) -> replace(w, left(m, 2), right(m, 1)))"
@@ -255,21 +253,30 @@ def learn(
     words = cut_lineage(words.where(F.length("word") > 1))
     if needs_spread(words):
         words = cut_lineage(spread(words, "word"))
-    pending: list[tuple[int, int, int, int]] = []
+    rounds, previous = 0, None
     while len(vocab) < vocab_size:
         top = (
-            pair_counts(merge_words(words, pending))
+            pair_counts(words)
             .where(f"n >= {min_frequency}")
             .orderBy(F.desc("n"), "pair")
             .limit(TOP_PAIRS)
             .collect()
         )
+        # counting has filled the cache of ``words``; the table before it is no longer needed
+        if previous is not None:
+            previous.unpersist()
         ranked = [(*(ord(c) - SYMBOL_BASE for c in r["pair"]), r["n"]) for r in top]
         batch = _next_batch(ranked, vocab, known, vocab_size - len(vocab))
         if not batch:
             break
         merges += batch
-        pending += batch
-        if len(pending) >= MERGES_PER_CUT:
-            words, pending = cut_lineage(merge_words(words, pending).where(F.length("word") > 1)), []
+        rounds += 1
+        previous, words = words, merge_words(words, batch).where("length(word) > 1")
+        if rounds % ROUNDS_PER_CUT == 0:
+            words = cut_lineage(words)
+        else:
+            words = words.persist()
+    for table in (previous, words):
+        if table is not None:
+            table.unpersist()
     return Tokenizer(merges, vocab)
