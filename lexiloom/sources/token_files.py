@@ -39,7 +39,7 @@ TOKENS_PER_ROW = 1 << 16
 TOKENS_PER_BATCH = 1 << 20
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
     return fs.FileSystem.from_uri(path)
@@ -83,7 +83,7 @@ class _Reader(DataSourceReader):
         self.path, self.dtype = path, dtype
 
     def partitions(self) -> list[_Range]:
-        files, root = _open(self.path)
+        files, root = file_system(self.path)
         dtype = self.dtype
         if files.get_file_info(root).is_file:
             size, width = files.get_file_info(root).size, np.dtype(DTYPES[dtype]).itemsize
@@ -103,7 +103,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if partition.n_tokens == 0:
             return
-        files, root = _open(self.path)
+        files, root = file_system(self.path)
         dtype = np.dtype(DTYPES[partition.dtype])
         with files.open_input_file(f"{root}/{partition.name}".rstrip("/")) as stream:
             stream.seek(partition.skip * dtype.itemsize)
@@ -122,7 +122,7 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         """Rows come in index order; every gap starts a new part, named so that no retry reuses it."""
-        files, root = _open(self.path)
+        files, root = file_system(self.path)
         files.create_dir(root, recursive=True)
         limit = np.iinfo(DTYPES[self.dtype]).max
         parts: list[tuple[str, int, int]] = []
@@ -154,14 +154,14 @@ class _Writer(DataSourceArrowWriter):
         return _Part(parts)
 
     def commit(self, messages: list[_Part | None]) -> None:
-        files, root = _open(self.path)
+        files, root = file_system(self.path)
         files.create_dir(root, recursive=True)
         parts = sorted((p for m in messages if m for p in m.parts), key=lambda p: p[1])
         with files.open_output_stream(f"{root}/{MANIFEST}") as stream:
             stream.write(json.dumps({"dtype": self.dtype, "parts": parts}).encode())
 
     def abort(self, messages: list[_Part | None]) -> None:
-        files, root = _open(self.path)
+        files, root = file_system(self.path)
         for message in messages:
             for name, _, _ in message.parts if message else []:
                 files.delete_file(f"{root}/{name}")

@@ -13,6 +13,8 @@ from lexiloom.plans.prepare import framed, prepare
 from lexiloom.operators.bpe import Tokenizer
 from lexiloom.operators.evaluate import case_table
 from lexiloom.sources import token_files
+from lexiloom.sources.corpus import read_corpus
+from lexiloom.sources.lines import FALLBACK_LINES
 from lexiloom.sources.logs import EVALUATIONS, read_log, write_log
 from lexiloom.sources.metadata import int_field, meta_document, meta_fields, storage_type, string_field
 from lexiloom.sources.model_store import load_model, save_model
@@ -175,3 +177,15 @@ def test_logs_are_appended(spark, tmp_path):
     rows = read_log(spark, path, EVALUATIONS).orderBy("step").collect()
     assert [(r["step"], r["train_loss"], r["lr"]) for r in rows] == [(1, 2.5, 1e-3), (2, 2.0, 5e-4)]
     assert rows[0]["val_loss"] is None and rows[1]["val_loss"] != rows[1]["val_loss"]
+
+
+def test_a_path_tells_its_kind(spark, tmp_path):
+    kind, tokens = read_corpus(spark, corpus_at(spark, tmp_path / "tokens", META))
+    assert kind == "tokens" and tokens.columns == ["split", "first_idx", "tokens"]
+    (tmp_path / "lines.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "empty.txt").write_text("\n\n")
+    got = {name: read_corpus(spark, str(tmp_path / name)) for name in ("lines.txt", "empty.txt", "absent.txt")}
+    assert {kind for kind, _ in got.values()} == {"lines"}
+    assert sorted(r["line"] for r in got["lines.txt"][1].collect()) == ["one", "two"]
+    for name in ("empty.txt", "absent.txt"):
+        assert sorted(r["line"] for r in got[name][1].collect()) == FALLBACK_LINES
