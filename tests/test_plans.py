@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as registry
+from lexiloom.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def plan_of(spark, name):
 
 
 # Learning merges runs its rounds when it is called; their plans are not those of the result.
-LAZY = sorted(set(registry.queries()) - {"bpe_merges", "bpe_encode", "bpe_roundtrip", "answer_prompts"})
+LAZY = sorted(set(QUERIES) - {"bpe_merges", "bpe_encode", "bpe_roundtrip", "answer_prompts"})
 
 
 # Windows without a partition run over at most 256 bytes or one total per bucket.
