@@ -30,7 +30,7 @@ ship(__name__)
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: Text bytes whose distinct pre-tokens are looked for together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
