@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, packing, quality, sharding, topk
+from lexiloom.llm import exact_dedup, packing, quality, sharding, topk, toxicity
 from lexiloom.sources.tables import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
 }
