@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, packing, quality, sharding, topk, toxicity
+from lexiloom.llm import exact_dedup, minhash, packing, quality, sharding, topk, toxicity
 from lexiloom.sources.tables import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.mark_near_copies(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
@@ -66,6 +71,42 @@ SELECT doc_id,
 FROM normal
 """
 
+_OP1 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+),
+sets AS (
+    SELECT doc_id,
+           CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+           END AS s
+    FROM words
+),
+shingles AS (SELECT doc_id, unnest(s) AS h FROM sets),
+common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+    FROM shingles x JOIN shingles y ON x.h = y.h AND x.doc_id < y.doc_id
+    GROUP BY ALL
+),
+near AS (
+    SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+    WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+),
+ties AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (
+    SELECT a AS doc_id, a AS other FROM ties
+    UNION
+    SELECT r.doc_id, t.b FROM reach r JOIN ties t ON t.a = r.other
+),
+least AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c, s.doc_id) AS component_id, coalesce(c, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN least l ON l.doc_id = s.doc_id
+"""
+
 _OP8 = """
 WITH finite AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -85,4 +126,4 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE = {"op2_exact_dedup": _OP2, "op8_topk": _OP8}
+ORACLE = {"op1_minhash": _OP1, "op2_exact_dedup": _OP2, "op8_topk": _OP8}
