@@ -53,7 +53,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path(BYTE_VOCABULARY), longest=1024)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,

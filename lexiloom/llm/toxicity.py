@@ -26,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -406,3 +407,29 @@ def score(
     return scored.select(
         F.col("doc_id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def drop_toxic(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    folds: int = 4,
+    held_out_fold: int = 2,
+    threshold: float = 0.3,
+    train_rows: int = TRAIN_ROWS,
+) -> DataFrame:
+    """The rows of ``df`` that score below ``threshold``, all columns as they are; nothing is shuffled."""
+    model = df.sparkSession.sparkContext.broadcast(
+        fitted(df, labels, id_col, text_col, label_col, folds, held_out_fold, train_rows)
+    )
+
+    @F.pandas_udf("double")
+    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string(), from_pandas=True)], ["text"])
+            parts = [model.value.scores(p.column("text")) for p in slices(iter([batch]), "text", BATCH_BYTES)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return df.where(scored(F.col(text_col).cast("string")) < threshold)
