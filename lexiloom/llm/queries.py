@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, minhash, packing, pii, quality, sharding, topk, toxicity
+from lexiloom.llm import exact_dedup, minhash, packing, pieces, pii, quality, sharding, topk, toxicity
 from lexiloom.sources.tables import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str) -> str:
@@ -53,6 +54,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path(BYTE_VOCABULARY), longest=1024)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and whether decoding them gives the text back."""
+    path = vocabulary_path(PIECE_MODEL)
+    decoded = pieces.decode(pieces.encode(documents(spark, sf_dir), path), path)
+    text = F.coalesce("text", F.lit(""))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_ids"),
+        "ids",
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        (F.col("decoded") == text).alias("round_trip"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,6 +84,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
     "op9_packing": op9_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _OP2 = r"""
