@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import exact_dedup, minhash, packing, pieces, pii, quality, sharding, topk, toxicity
+from lexiloom.llm import exact_dedup, minhash, packing, pieces, pii, quality, sharding, suffix_dedup, topk, toxicity
 from lexiloom.sources.tables import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
