@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import stored, text_or_empty
 
-#: A chunk ends after the first word end of this kind past 512 characters, or at 4,096 characters.
-CHUNK = r"(?s).{512,4096}?[aeinorst] |.{1,4096}"
+#: A chunk ends at the first place of this kind past 64 characters, about one word end in fifty, or at 4,096
+#: characters. Rare ends make the chunks of shifted texts fall into step again.
+CHUNK = r"(?s).{64,4096}?(?:[a-e0-2аеио][n-t3-5нст] (?=[a-e0-2а-л])|[。、，])|.{1,4096}"
 SPACES = r"[\x20\x09-\x0D]+"
 #: Most identifier words per chunk; every word adds 64 bits.
 MOST_WORDS = 8
