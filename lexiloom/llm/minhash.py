@@ -41,8 +41,9 @@ BANDS, WIDTH = 40, 5
 COORDINATES = BANDS * WIDTH
 #: A link: ``100 * intersection >= PERCENT * union``.
 PERCENT = 75
-#: Documents of a block, on average; two blocks meet in a task.
-BLOCK_ROWS = 128
+#: Shingles and documents of a block, on average; two blocks of a bucket meet in a task.
+BLOCK_SHINGLES = 1 << 18
+BLOCK_ROWS = 2048
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 SUMMARY = "doc_id bigint, n_shingles bigint, first_mark bigint, second_mark bigint, bands array<bigint>"
 
@@ -168,7 +169,7 @@ def linked_rows(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     _, at = np.unique(at, return_inverse=True)
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    width = 1 << 12
+    width = 1 << 11
     for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
         first, last = np.searchsorted(at, [low, low + width])
         held = np.zeros((rows, width), np.float32)
@@ -193,23 +194,24 @@ def compare_block(table: pa.Table) -> pa.Table:
 def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of class representatives: enough links to connect all that are similar.
 
-    ``texts`` are (doc_id, text), one per id, ``classes`` (doc_id, bands) of the representatives.
+    ``texts`` are (doc_id, text), one per id, ``classes`` (doc_id, bands, n_shingles) of the representatives.
     """
-    keys = classes.select(F.explode("bands").alias("key"), "doc_id")
+    keys = classes.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     buckets = (
         keys.groupBy("key")
         .agg(
             F.count("*").alias("n"),
+            F.sum("n_shingles").alias("held"),
             F.min("doc_id").alias("least"),
             F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"),
         )
         .where("n > 1")
-        .groupBy("n", "least", "sum")
+        .groupBy("n", "held", "least", "sum")
         .agg(F.min("key").alias("key"))
-        .select("key", "n")
+        .select("key", "n", "held")
     )
     buckets = stored(buckets, "buckets")
-    blocks = F.expr(f"cast((n + {BLOCK_ROWS - 1}) div {BLOCK_ROWS} as int)")
+    blocks = F.expr(f"cast(1 + greatest((held - 1) div {BLOCK_SHINGLES}, (n - 1) div {BLOCK_ROWS}) as int)")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     members = (
         keys.join(buckets, "key")
@@ -232,7 +234,7 @@ def mark_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = sets.where("n_shingles > 0 and doc_id is not null")
     least = stored(known.groupBy(*mark).agg(F.min("doc_id").alias("class")), "classes")
     classed = stored(known.select("doc_id", *mark).join(least, mark).select("doc_id", "class").distinct(), "classed")
-    chosen = known.join(least, mark).where("doc_id = class").select("doc_id", "bands").dropDuplicates(["doc_id", "bands"])
+    chosen = known.join(least, mark).where("doc_id = class").select("doc_id", "bands", "n_shingles").distinct()
     found = stored(links(texts.where("doc_id is not null"), chosen), "links")
     # an id with several texts is in several classes, which it links
     again = classed.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"))

@@ -22,7 +22,6 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -327,9 +326,10 @@ class Model:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         margin = np.full(len(column), self.bias)
-        if self.landmarks.words:
-            rows, found = sentence_features(column, self.landmarks, self.codes)
-            np.maximum.at(margin, rows, found @ self.weights + self.bias)
+        if not self.landmarks.words:
+            return np.zeros(len(column))
+        rows, found = sentence_features(column, self.landmarks, self.codes)
+        np.maximum.at(margin, rows, found @ self.weights + self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -700, 700)))
 
 
@@ -340,7 +340,7 @@ def train(rows: DataFrame) -> Model:
     landmarks = choose_landmarks(rows)
     size = len(landmarks.words)
     if not size:
-        return Model(landmarks, np.zeros(0), 0.0, 0.0, -math.inf)
+        return Model(landmarks, np.zeros(0), 0.0, 0.0, 0.0)
     kinds = "doc_id bigint, likeness array<double>"
     found = rows.select("doc_id", "text").mapInArrow(feature_batches(landmarks), kinds).distinct().collect()
     ids = list(known)
