@@ -26,6 +26,12 @@ def draw(key: Column, below: Column | int, seed: int | str = 42) -> Column:
     return F.when(below <= F.lit(1 << 24), F.pmod(short, below)).otherwise(F.pmod(long, below))
 
 
+def fraction(key: Column, seed: int | str = 42) -> Column:
+    """A DOUBLE in [0, 1) of 52 hash bits."""
+    bits = F.conv(F.substring(shuffle_key(key, seed), 1, 13), 16, 10).cast("bigint")
+    return bits / F.lit(float(1 << 52))
+
+
 def unit_draw(key: Column, seed: int | str = 42) -> Column:
     """A DOUBLE in [0, 1)."""
     return draw(key, 1 << 24, seed) / F.lit(float(1 << 24))

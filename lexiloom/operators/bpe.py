@@ -6,6 +6,7 @@ A word is held as a string with one supplementary code point per symbol, so a me
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -36,6 +37,8 @@ SYMBOL_BASE = 0x20000
 TOP_PAIRS = 64
 ROUNDS_PER_CUT = 16
 MEMO_WORDS = 1 << 20
+# Longer words are segmented with a heap and not remembered.
+LONG_WORD = 64
 
 
 def byte_order() -> list[int]:
@@ -191,8 +194,40 @@ class Tokenizer:
         )
 
 
+def segment_long(word: str, ranks: dict[str, tuple[int, str]]) -> str:
+    """``segment`` in n log n: neighbours in a linked list, candidate merges in a heap by rank and place."""
+    parts: list[str | None] = list(word)
+    after = list(range(1, len(parts) + 1))
+    before = list(range(-1, len(parts) - 1))
+    heap: list[tuple[int, int, str, str]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < len(parts) and (merge := ranks.get(parts[i] + parts[j])):
+            heapq.heappush(heap, (merge[0], i, parts[i] + parts[j], merge[1]))
+
+    for i in range(len(parts) - 1):
+        offer(i)
+    while heap:
+        _, i, pair, merged = heapq.heappop(heap)
+        j = after[i]
+        # a stale candidate: one of its two symbols was merged away meanwhile
+        if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != pair:
+            continue
+        parts[i], parts[j] = merged, None
+        after[i] = after[j]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return "".join(p for p in parts if p is not None)
+
+
 def segment(word: str, ranks: dict[str, tuple[int, str]]) -> str:
     """Apply the earliest learned merge that fits, everywhere in the word, until none fits."""
+    if len(word) > LONG_WORD:
+        return segment_long(word, ranks)
     while len(word) > 1:
         pairs = {a + b for a, b in zip(word, word[1:])}
         best = min((ranks[p] + (p,) for p in pairs if p in ranks), default=None)
@@ -215,7 +250,9 @@ def _encoder(ranks: dict[str, tuple[int, str]]):
             if len(memo) >= MEMO_WORDS:
                 memo.clear()
             start = "".join([symbols[b] for b in word.encode()])
-            ids = memo[word] = [ord(s) - SYMBOL_BASE for s in segment(start, ranks)]
+            ids = [ord(s) - SYMBOL_BASE for s in segment(start, ranks)]
+            if len(start) <= LONG_WORD:
+                memo[word] = ids
         return ids
 
     @F.arrow_udf("array<int>")

@@ -13,9 +13,10 @@ from lexiloom.functions.scoring import (
     repeated_share,
     style_ok,
 )
-from lexiloom.operators.order import running
+from lexiloom.operators.order import range_bucket, running
 
-HISTORY_BUCKET = 100_000
+# Rows that one report document can hold.
+REPORT_ROWS = 10_000
 
 CASES = [
     ("greeting", "hello there, keeper", ["hallo", "the", "is", "bon"]),
@@ -71,22 +72,23 @@ def latest_per_case(scored: DataFrame, order: list[str]) -> DataFrame:
 
 
 def report_document(per_case: DataFrame) -> DataFrame:
-    """One JSON text ``{avg_score, cases}`` for rows that hold one reply per case."""
+    """One JSON text ``{avg_score, cases}`` for rows that hold one reply per case, at most ``REPORT_ROWS``."""
     case = F.struct(
         F.col("case_id").alias("id"), "prompt", "reply", "score", "hits", "style_ok"
     )
-    return per_case.agg(
-        F.to_json(
+    too_many = F.raise_error(F.lit(f"a report holds at most {REPORT_ROWS} rows")).cast("string")
+    return per_case.limit(REPORT_ROWS + 1).agg(
+        F.when(F.count("*") > REPORT_ROWS, too_many).otherwise(F.to_json(
             F.struct(
                 F.round(F.avg("score"), 6).alias("avg_score"),
                 F.array_sort(F.collect_list(case)).alias("cases"),
             )
-        ).alias("report")
+        )).alias("report")
     )
 
 
 def report_lines(scored: DataFrame) -> Column:
-    """The text form of one scored reply."""
+    """The text form of one scored reply (a fixed format)."""
     shown = F.when(F.size("hits") == 0, "-").otherwise(F.array_join("hits", ", "))
     return F.concat_ws(
         "\n",
@@ -100,7 +102,7 @@ def report_lines(scored: DataFrame) -> Column:
 def score_history(scored: DataFrame, run: str, case: str = "case_id") -> DataFrame:
     """Mean score of each case in each run, with the run before it and the change."""
     per_run = scored.groupBy(case, run).agg(F.avg("score").alias("score"))
-    bucket = F.floor(F.col(run) / HISTORY_BUCKET)
+    bucket = range_bucket(scored, run)
     return running(per_run, "last", F.col("score"), bucket, [run], (case,), "prev_score").withColumn(
         "delta", F.col("score") - F.col("prev_score")
     )

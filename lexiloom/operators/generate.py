@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.chat import END_TAG, legacy_prompt
-from lexiloom.functions.draws import bind, draw
+from lexiloom.functions.draws import bind
 from lexiloom.functions.ids import tail_tokens
 from lexiloom.functions.text import byte_ids, byte_tail
-from lexiloom.operators.ngram import BROADCAST_ROWS, BYTES, Alphabet, cumulative
+from lexiloom.operators.ngram import BROADCAST_ROWS, BYTES, Alphabet, cumulative, place_in, whole_counts
 from lexiloom.session import cut_lineage
 
 ROUNDS_PER_CUT = 8
@@ -101,6 +101,7 @@ def _fold(
     stop: int | None,
     end_tag: list[int] | None,
     seed: int | str,
+    whole: bool,
 ) -> DataFrame:
     """Generation with a model of order 1 or 2 that is small by construction: one pass, no join."""
     by_context = (
@@ -120,7 +121,7 @@ def _fold(
         return bind(
             F.coalesce(F.get(F.col("_cdfs"), acc["context"]), F.col("_any")),
             lambda cdf: bind(
-                draw(at, cdf["total"], seed),
+                place_in(cdf["total"], at, whole, seed),
                 lambda u: F.get(F.filter(cdf["steps"], lambda s: s["hi"] > u), F.lit(0))["next"],
             ),
         )
@@ -181,16 +182,18 @@ def generate(
 
     Each round draws the next token of all unfinished rows; a context that was never seen falls
     back to a shorter one. A row ends at ``stop`` (not part of the output), when its output ends in
-    ``end_tag`` (cut off), or with its budget. ``rounds`` is at least the largest budget. A model
-    that is small by construction is handled row by row, unless ``by_rounds`` asks for the joins.
+    ``end_tag`` (cut off), or with its budget, or after ``rounds`` tokens. A model that is small by
+    construction is handled row by row, unless ``by_rounds`` asks for the joins.
     """
     alphabet.check(order)
+    prompts = prompts.withColumn("budget", F.least("budget", F.lit(rounds)))
+    whole = whole_counts(counts) and temperature == 1.0
     stop = alphabet.end if stop is None else stop
     wanted = counts.where(F.col("model_order") <= order)
     model = cut_lineage(_contexts(wanted, temperature))
     tables = {k: model.where(F.col("model_order") == k) for k in range(2, order + 1)}
     if order <= 2 and alphabet.base**order <= BROADCAST_ROWS and not by_rounds:
-        return _fold(prompts, key, model, order, alphabet, stop, end_tag, seed)
+        return _fold(prompts, key, model, order, alphabet, stop, end_tag, seed, whole)
     unconditional = _unconditional(model)
     state = prompts.select(
         key,
@@ -206,7 +209,7 @@ def generate(
             state = _lookup(state, tables[k], k, alphabet, key)
         known = [F.col(f"cdf_{k}") for k in range(order, 1, -1)]
         state = state.withColumn("_cdf", F.coalesce(*known, unconditional))
-        u = draw(F.concat(F.col(key).cast("string"), F.lit(f":{step}")), F.col("_cdf.total"), seed)
+        u = place_in(F.col("_cdf.total"), F.concat(F.col(key).cast("string"), F.lit(f":{step}")), whole, seed)
         above = F.filter(F.col("_cdf.steps"), lambda s: s["hi"] > F.col("_u"))
         state = state.withColumn("_u", u).withColumn("_t", F.get(above, F.lit(0))["next"])
         stops = F.lit(False) if stop is None else F.col("_t") == stop

@@ -57,6 +57,39 @@ def pad_rows(
     return flat, at, owner
 
 
+def bounded_rows(
+    values: np.ndarray, lengths: np.ndarray, left: int, pad: int, end: int | None, given: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``pad_rows`` in pieces of at most ``PIECE`` ids; a longer row is cut, each part after the ids before it."""
+    ends = np.cumsum(lengths)
+    row = 0
+    while row < len(lengths):
+        first = int(ends[row] - lengths[row])
+        last = int(np.searchsorted(ends, first + PIECE, side="right"))
+        if last > row:
+            flat, at, owner = pad_rows(values[first : ends[last - 1]], lengths[row:last], left, pad, end, given)
+            yield flat, at, owner + row
+            row = last
+            continue
+        size = int(lengths[row])
+        for low in range(0, size, PIECE):
+            high = min(size, low + PIECE)
+            before = values[first + max(0, low - left) : first + low]
+            parts = [np.full(left - len(before), pad, np.int64), before, values[first + low : first + high]]
+            if high == size and end is not None:
+                parts.append(np.array([end], np.int64))
+            flat = np.concatenate(parts).astype(np.int64)
+            at = np.arange(left, len(flat))
+            at = at[at - left + low >= given]
+            yield flat, at, np.full(len(at), row)
+        row += 1
+
+
+def target_shares(lengths: np.ndarray, end: int | None, given: int) -> np.ndarray:
+    """One over the number of targets of each row."""
+    return 1.0 / np.maximum(np.maximum(lengths - given, 0) + (end is not None), 1)
+
+
 def packed(flat: np.ndarray, at: np.ndarray, order: int, base: int) -> np.ndarray:
     """The ``order`` ids up to and including each position, as one number in base ``base``."""
     code = flat[at].copy()
@@ -84,12 +117,11 @@ def ngram_batches(orders: list[int], base: int, pad: int, end: int | None, given
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, lengths = flat_values(batch.column(0))
-            flat, at, owner = pad_rows(values, lengths, max(orders) - 1, pad, end, given)
-            share = 1.0 / np.maximum(np.bincount(owner, minlength=len(lengths)), 1)
-            for lo in range(0, len(at), PIECE):
-                piece, weights = at[lo : lo + PIECE], share[owner[lo : lo + PIECE]]
+            share = target_shares(lengths, end, given)
+            for flat, at, owner in bounded_rows(values, lengths, max(orders) - 1, pad, end, given):
+                weights = share[owner]
                 for order in orders:
-                    codes, n, w = tally(packed(flat, piece, order, base), base**order, weights)
+                    codes, n, w = tally(packed(flat, at, order, base), base**order, weights)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(codes), order, np.int32)),
@@ -110,16 +142,15 @@ def example_ngram_batches(order: int, base: int, pad: int, end: int | None, give
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, lengths = flat_values(batch.column(1))
-            flat, at, owner = pad_rows(values, lengths, order - 1, pad, end, given)
-            for lo in range(0, len(at), PIECE):
-                codes = packed(flat, at[lo : lo + PIECE], order, base)
+            for flat, at, owner in bounded_rows(values, lengths, order - 1, pad, end, given):
+                codes = packed(flat, at, order, base)
                 seen = None
                 size = base**order
                 if len(lengths) * size >= 1 << 62:
                     # number the codes of the piece, so that row and code fit one key
                     seen, codes = np.unique(codes, return_inverse=True)
                     size = len(seen)
-                keys, n = np.unique(owner[lo : lo + PIECE] * size + codes, return_counts=True)
+                keys, n = np.unique(owner * size + codes, return_counts=True)
                 codes = keys % size if seen is None else seen[keys % size]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -140,13 +171,18 @@ def byte_count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         groups = batch.column(0).dictionary_encode()
         values, lengths = flat_values(batch.column(1))
         owner = groups.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        codes = np.repeat(owner * 256, lengths) + values
-        seen, n = np.unique(codes, return_counts=True)
+        ends = np.cumsum(lengths)
+        counts = np.zeros(len(groups.dictionary) * 256, np.int64)
+        for low in range(0, len(values), PIECE):
+            piece = values[low : low + PIECE]
+            row = np.searchsorted(ends, np.arange(low, low + len(piece)), side="right")
+            counts += np.bincount(owner[row] * 256 + piece, minlength=len(counts))
+        seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [
                 groups.dictionary.take(pa.array(seen // 256)),
                 pa.array((seen % 256).astype(np.int32)),
-                pa.array(n.astype(np.int64)),
+                pa.array(counts[seen]),
             ],
             ["grp", "byte", "n"],
         )

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.draws import draw
+from lexiloom.functions.draws import draw, fraction
 from lexiloom.operators.kernels import example_ngram_batches, ngram_batches
 
 # A table of at most this many rows may be broadcast.
@@ -175,39 +175,47 @@ def with_temperature(counts: DataFrame, temperature: float) -> DataFrame:
     )
 
 
+def whole_counts(counts: DataFrame) -> bool:
+    """Whether ``n`` counts targets, rather than weighing examples."""
+    return counts.schema["n"].dataType.typeName() in ("long", "integer")
+
+
 def sampling_weights(counts: DataFrame, temperature: float = 1.0) -> DataFrame:
-    """Add the integer weight ``w`` that a draw uses: the count itself at temperature 1."""
+    """Add the weight ``w`` that a draw uses, in proportion to ``p ** (1 / temperature)``.
+
+    At temperature 1, counts are their own weights. Else the weight is a DOUBLE relative to the
+    likeliest token of the context, so no token of the context loses all its weight to rounding.
+    """
     if temperature == 1.0:
-        return counts.withColumn("w", F.col("n").cast("bigint"))
-    share = F.pow(F.col("p"), F.lit(1.0 / max(temperature, 1e-4)))
-    scaled = F.round(share * F.lit(1e6)).cast("bigint")
+        return counts.withColumn("w", F.col("n"))
     top = F.max("n").over(Window.partitionBy("model_order", "context"))
-    # the likeliest token can always be drawn
-    return (
-        probabilities(counts)
-        .withColumn("w", F.greatest(scaled, F.when(F.col("n") == top, 1).otherwise(0)).cast("bigint"))
-        .drop("total", "p")
-    )
+    return counts.withColumn("w", F.exp(F.ln(F.col("n") / top) / F.lit(max(temperature, 1e-4))))
 
 
 def cumulative(counts: DataFrame, temperature: float = 1.0) -> DataFrame:
     """Add the interval [lo, hi) of each token in its context, tokens in id order."""
-    upto = Window.partitionBy("model_order", "context").orderBy("next").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    context = Window.partitionBy("model_order", "context").orderBy("next")
+    zero = F.lit(0).cast("bigint") if whole_counts(counts) and temperature == 1.0 else F.lit(0.0)
     return (
         sampling_weights(counts, temperature)
-        .withColumn("hi", F.sum("w").over(upto))
-        .withColumn("lo", F.col("hi") - F.col("w"))
+        .withColumn("hi", F.sum("w").over(context.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("lo", F.lag("hi", 1).over(context))
+        .withColumn("lo", F.coalesce("lo", zero))
     )
 
 
+def place_in(total: Column, key: Column, whole: bool, seed: int | str) -> Column:
+    """Where on the line of a context's intervals the draw of ``key`` falls."""
+    return draw(key, total, seed) if whole else fraction(key, seed) * total
+
+
 def cdf_draw(counts: DataFrame, temperature: float = 1.0, seed: int | str = 42) -> DataFrame:
     """One drawn token per context: the interval that holds the context's own draw."""
-    whole = F.sum("w").over(Window.partitionBy("model_order", "context"))
+    total = F.max("hi").over(Window.partitionBy("model_order", "context"))
+    whole = whole_counts(counts) and temperature == 1.0
     return (
         cumulative(counts, temperature)
-        .withColumn("u", draw(F.col("context"), whole, seed))
+        .withColumn("u", place_in(total, F.col("context"), whole, seed))
         .where((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi")))
         .select("model_order", "context", "next")
     )

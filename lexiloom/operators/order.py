@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.draws import draw, shuffle_key
 
 DIGITS = 4
+RANGES = 4096
 
 _TOTALS = {
     "sum": lambda value, order: F.sum(value),
@@ -70,6 +71,14 @@ def running(
     )
 
 
+def range_bucket(df: DataFrame, column: str) -> Column:
+    """Number of the equal part of the column's own range that a row is in, so that any spread of keys is cut."""
+    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    low = ends.select("low").scalar()
+    width = ends.select(F.greatest((F.col("high") - F.col("low") + 1) / RANGES, F.lit(1e-9))).scalar()
+    return F.floor((F.col(column) - low) / width)
+
+
 def with_offsets(
     df: DataFrame,
     key: str,

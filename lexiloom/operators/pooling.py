@@ -22,11 +22,14 @@ ROWS_PER_PART = 20_000
 def lookup_sum(
     sequence: DataFrame, tokens: DataFrame, positions: DataFrame, token: str, position: str, vector: str
 ) -> DataFrame:
-    """Replace the ids of a sequence by the sum of its token vector and its position vector."""
+    """Replace the ids of a sequence by the sum of its token vector and its position vector.
+
+    Every row of the sequence stays; its vector is NULL if its token or its position has none.
+    """
     right = positions.withColumnRenamed(vector, "_position")
     return (
-        sequence.join(tokens, token)
-        .join(right, position)
+        sequence.join(tokens, token, "left")
+        .join(right, position, "left")
         .withColumn(vector, add(F.col(vector), F.col("_position")))
         .drop("_position")
     )
@@ -35,7 +38,7 @@ def lookup_sum(
 def explode_vector(df: DataFrame, vector: str, digits: int = 6) -> DataFrame:
     """One row per dimension, rounded."""
     keep = [c for c in df.columns if c != vector]
-    return df.select(*keep, F.posexplode(vector).alias("dim", "_v")).select(
+    return df.select(*keep, F.posexplode_outer(vector).alias("dim", "_v")).select(
         *keep, "dim", F.round("_v", digits).alias("value")
     )
 

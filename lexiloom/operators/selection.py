@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.order import running
-
-LOG_BUCKET = 100_000
+from lexiloom.operators.order import range_bucket, running
 
 
 def batch_loss(losses: DataFrame, draw_no: str, batch_size: int) -> DataFrame:
@@ -34,7 +32,7 @@ def selection_metric(train_loss: Column, val_loss: Column) -> Column:
 
 def improvements(log: DataFrame, metric: str, step: str = "step") -> DataFrame:
     """Add ``best_before`` and ``improved``: strictly below everything earlier, so ties keep the first."""
-    bucket = F.floor(F.col(step) / LOG_BUCKET)
+    bucket = range_bucket(log, step)
     value = F.when(~F.isnan(metric), F.col(metric))
     return running(log, "min", value, bucket, [step], name="best_before").withColumn(
         "improved",

@@ -8,33 +8,31 @@ from pyspark.sql import functions as F
 from lexiloom.functions.chat import legacy_sample
 from lexiloom.functions.draws import draw
 
-# 22 topics of equal weight. Topic 11 has three parts that hold one half, a quarter and a quarter.
+# Subjects of a small printing works and the weight of each of their parts. One subject has several parts.
 TOPICS = [
-    ["the morning watch"], ["supper"], ["the gulls"], ["the lamp"], ["the bunk room"], ["the ferry"],
-    ["fog"], ["riddles"], ["old friends"], ["the long winter"], ["the mirror"],
-    ["the accordion", "quiet evenings", "the barometer"],
-    ["sweeping"], ["limpets"], ["sea grass"], ["last night"], ["staying calm"], ["the mainland"],
-    ["the first day"], ["your work"], ["thunder"], ["the weather"],
+    ["letterpress"], ["misprints"], ["paper grain", "blotting paper", "handmade paper", "card stock"], ["the type case"],
+    ["proofreading"], ["the delivery round"], ["bookbinding"], ["woodcuts"], ["the order book"], ["drying racks"],
+    ["calendars"], ["the foot treadle"], ["margins"], ["ink"], ["the apprentice"],
 ]
-WEIGHT = 4
-PART_WEIGHTS = {1: [4], 3: [2, 1, 1]}
+PART_WEIGHTS = {1: [6], 4: [3, 1, 1, 1]}
 
 PROMPTS = [
-    "tell me about {topic}",
-    "what do you think of {topic}",
-    "do you like {topic}",
-    "anything new about {topic}",
+    "how does {topic} work here",
+    "is {topic} difficult to learn",
+    "show me something on {topic}",
+    "why does {topic} matter so much",
+    "who looks after {topic}",
 ]
 REPLIES = [
-    "{topic}. i could talk about that until the lamp goes out.",
-    "i wrote two lines on {topic} in the log today.",
-    "ask me about {topic} again when the wind drops.",
+    "most mornings begin with {topic}, and most evenings end with it too.",
+    "we keep a whole shelf of notes on {topic}; take the blue folder.",
+    "nobody agrees on {topic}, least of all the two of us.",
+    "{topic} wants patience first and clean hands second.",
 ]
 # Topics whose one reply has a slot, and the slot's values.
 SLOTTED = {
-    "supper": ("yes, please. today i hope for {slot}.", ["fish soup", "brown bread", "plum cake", "beans"]),
-    "the lamp": ("the {slot} needs care, but i like its colour.", ["wick", "lens", "oil tank", "glass"]),
-    "the bunk room": ("i sleep best by the {slot} and hardly move.", ["stove", "east wall", "ladder"]),
+    "calendars": ("the {slot} sheet is printed already, the others are waiting.", ["march", "june", "october"]),
+    "ink": ("a spoon of {slot} goes a long way on this press.", ["umber", "prussian blue", "vermilion", "lamp black", "ochre"]),
 }
 
 

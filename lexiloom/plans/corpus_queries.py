@@ -11,7 +11,7 @@ from lexiloom.functions.text import byte_ids, utf8
 from lexiloom.operators import bpe, vocab
 from lexiloom.operators.examples import doc_examples, explode_examples
 from lexiloom.operators.order import draw_rows, shuffled, split_head, split_tail
-from lexiloom.operators.synth import PROMPTS, TOPICS, part_rows, prompt_rows, reply_rows, synth_chat
+from lexiloom.operators.synth import PROMPTS, part_rows, prompt_rows, reply_rows, synth_chat
 from lexiloom.operators.token_stream import sample_windows, stream_blocks, token_stream, window_draws
 from lexiloom.plans import sql
 from lexiloom.plans.prepare import framed
@@ -505,5 +505,3 @@ ORACLE = {
     "synth_chat": f"SELECT event_id, topic, sample_md5 FROM ({_SYNTH})",
     "synth_topic_share": f"SELECT topic, part, count(*) AS n FROM ({_SYNTH}) GROUP BY topic, part",
 }
-
-assert len(TOPICS) == 22

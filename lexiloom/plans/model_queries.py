@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import byte_ids, byte_tail
 from lexiloom.operators.bpe import learn
 from lexiloom.operators.generate import END_TAG_BYTES, byte_prompts, free_prompts, generate
 from lexiloom.operators.ngram import (
@@ -40,6 +41,8 @@ FREE_BLOCK = 16
 PROMPT_BLOCK = 448
 PROBE_WINDOW = 64
 PROMPT_MERGES = 64
+PROMPT_TAIL = 63
+FEW_TOKENS = 12
 
 
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -149,6 +152,17 @@ def cdf_draw_query(spark: SparkSession, directory: str) -> DataFrame:
     return cdf_draw(counts).select("model_order", "context", "next")
 
 
+def cdf_draw_tempered(spark: SparkSession, directory: str) -> DataFrame:
+    counts = count_ngrams(_documents(spark, directory), "text", ORDERS)
+    return cdf_draw(counts, TEMPERATURE).select("model_order", "context", "next")
+
+
+def cdf_draw_weighted(spark: SparkSession, directory: str) -> DataFrame:
+    """Draws from a model in which every document weighs 1."""
+    counts = count_ngrams(_documents(spark, directory), "text", [ORDER], weighting="example")
+    return cdf_draw(counts).select("context").agg(F.count("*").alias("n_contexts"))
+
+
 def _hex_output(generated: DataFrame, key: str) -> DataFrame:
     byte_hex = F.transform("out", lambda t: F.lpad(F.hex(t), 2, "0"))
     return generated.select(
@@ -174,6 +188,17 @@ def generate_prompted(spark: SparkSession, directory: str) -> DataFrame:
     return _hex_output(out, "item_id")
 
 
+def generate_order3(spark: SparkSession, directory: str) -> DataFrame:
+    """The first tokens after all benchmark texts, from their last two bytes: a join per round."""
+    counts = count_ngrams(_documents(spark, directory), "text", ORDERS)
+    last = byte_ids(byte_tail(F.col("text"), PROMPT_TAIL))
+    prompts = table(spark, directory, "benchmark").select(
+        "item_id", last.alias("prompt"), F.lit(FEW_TOKENS).alias("budget")
+    )
+    out = generate(prompts, "item_id", counts, 3, FEW_TOKENS, temperature=TEMPERATURE)
+    return _hex_output(out, "item_id")
+
+
 def answer_prompts(spark: SparkSession, directory: str) -> DataFrame:
     """Replies to all user turns from a token model of the chat samples: frame, encode, continue, clean."""
     turns = table(spark, directory, "conversations")
@@ -218,6 +243,9 @@ QUERIES = {
     "cdf_draw": cdf_draw_query,
     "generate_free": generate_free,
     "generate_prompted": generate_prompted,
+    "generate_order3": generate_order3,
+    "cdf_draw_tempered": cdf_draw_tempered,
+    "cdf_draw_weighted": cdf_draw_weighted,
     "answer_prompts": answer_prompts,
     "sweep_summary": sweep_query,
 }
@@ -272,16 +300,23 @@ def _sweep() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _walk(key: str, prompts: str, weight: str, tag: str | None) -> str:
+def _tempered(n: str = "n") -> str:
+    """Softmax of the logarithms of the counts over the temperature, not yet divided by its sum."""
+    return f"exp((ln({n}::DOUBLE) - max(ln({n}::DOUBLE)) OVER (PARTITION BY context)) / {TEMPERATURE}::DOUBLE)"
+
+
+def _walk(key: str, prompts: str, weight: str, tag: str | None, kind: str = "BIGINT") -> str:
     """Continue ``prompts(key, last, budget)`` at order 2, one byte per recursion."""
+    at = f"{key} || ':' || step"
+    u = sql.draw(at, "whole") if kind == "BIGINT" else f"{sql.fraction(at)} * whole"
     ended = f"right(out_hex || upper(lpad(hex(next), 2, '0')), {len(tag or '')}) = '{tag}'" if tag else "false"
     return f"""
       weighted AS (SELECT context, next, {weight} AS w FROM (
         SELECT context, next, n, total FROM model2 UNION ALL SELECT -1, next, n, total FROM model1)),
       cdf AS MATERIALIZED (
-        SELECT context, next, sum(w) OVER c::BIGINT AS hi, (sum(w) OVER c - w)::BIGINT AS lo,
-               sum(w) OVER (PARTITION BY context)::BIGINT AS whole
-        FROM weighted WINDOW c AS (PARTITION BY context ORDER BY next)),
+        SELECT context, next, hi, coalesce(lag(hi) OVER c, 0)::{kind} AS lo, max(hi) OVER (PARTITION BY context) AS whole
+        FROM (SELECT context, next, sum(w) OVER c::{kind} AS hi FROM weighted WINDOW c AS (PARTITION BY context ORDER BY next))
+        WINDOW c AS (PARTITION BY context ORDER BY next)),
       totals AS MATERIALIZED (SELECT DISTINCT context, whole FROM cdf),
       walk AS (
         SELECT {key}, 0 AS step, CASE WHEN last IN (SELECT context FROM totals) THEN last ELSE -1 END AS context, '' AS out_hex, budget, budget <= 0 AS done FROM ({prompts})
@@ -290,11 +325,40 @@ def _walk(key: str, prompts: str, weight: str, tag: str | None) -> str:
           CASE WHEN next = 256 THEN out_hex WHEN {ended} THEN left(out_hex, length(out_hex) + 2 - {len(tag or '')})
                ELSE out_hex || upper(lpad(hex(next), 2, '0')) END,
           budget, next = 256 OR {ended} OR step + 1 >= budget
-        FROM (SELECT *, {sql.draw(f"{key} || ':' || step", 'whole')} AS u FROM walk JOIN totals USING (context) WHERE NOT done) w
+        FROM (SELECT *, {u} AS u FROM walk JOIN totals USING (context) WHERE NOT done) w
         JOIN cdf ON cdf.context = w.context AND lo <= u AND u < hi)
       SELECT {key}, length(out_hex) // 2 AS n_generated, out_hex FROM walk WHERE done"""
 
 
+def _walk3() -> str:
+    """Continue the benchmark texts at order 3, falling back to shorter contexts, one byte per recursion."""
+    return f"""
+      weighted AS (
+        SELECT k, context, next, exp((ln(n::DOUBLE) - max(ln(n::DOUBLE)) OVER (PARTITION BY k, context)) / {TEMPERATURE}::DOUBLE) AS w
+        FROM (SELECT 3 AS k, context, next, n FROM model3 UNION ALL SELECT 2, context, next, n FROM model2
+              UNION ALL SELECT 1, context, next, n FROM model1)),
+      sums AS (SELECT k, context, next, sum(w) OVER (PARTITION BY k, context ORDER BY next) AS hi FROM weighted),
+      cdf AS MATERIALIZED (
+        SELECT k, context, next, hi, coalesce(lag(hi) OVER (PARTITION BY k, context ORDER BY next), 0) AS lo FROM sums),
+      totals AS MATERIALIZED (SELECT k, context, max(hi) AS whole FROM cdf GROUP BY k, context),
+      walk AS (
+        SELECT item_id, 0 AS step, ('0x' || substr(f, 1, 2))::BIGINT AS a, ('0x' || substr(f, 3, 2))::BIGINT AS b,
+               '' AS out_hex, false AS done
+        FROM (SELECT item_id, right(hex(encode(text)), 4) AS f FROM benchmark)
+        UNION ALL
+        SELECT item_id, step + 1, b, next, CASE WHEN next = 256 THEN out_hex ELSE out_hex || upper(lpad(hex(next), 2, '0')) END,
+               next = 256 OR step + 1 >= {FEW_TOKENS}
+        FROM (
+          SELECT walk.*, coalesce(t3.whole, t2.whole, t1.whole) * {sql.fraction("item_id || ':' || step")} AS u,
+                 CASE WHEN t3.whole IS NOT NULL THEN 3 WHEN t2.whole IS NOT NULL THEN 2 ELSE 1 END AS k,
+                 CASE WHEN t3.whole IS NOT NULL THEN a * 257 + b WHEN t2.whole IS NOT NULL THEN b ELSE 0 END AS context
+          FROM walk LEFT JOIN totals t3 ON t3.k = 3 AND t3.context = a * 257 + b
+          LEFT JOIN totals t2 ON t2.k = 2 AND t2.context = b LEFT JOIN totals t1 ON t1.k = 1
+          WHERE NOT done) w
+        JOIN cdf ON cdf.k = w.k AND cdf.context = w.context AND lo <= u AND u < hi)
+      SELECT item_id, length(out_hex) // 2 AS n_generated, out_hex FROM walk WHERE done"""
+
+
 _FRAMED = f"hex(encode('<|user|> ' || {sql.sanitize_ascii('text')} || ' <|assistant|>'))"
 
 ORACLE = {
@@ -350,10 +414,20 @@ ORACLE = {
         "item_id",
         f"""SELECT item_id, ('0x' || right(f, 2))::BIGINT AS last, {PROMPT_BLOCK - 1} - length(f) // 2 AS budget
             FROM (SELECT item_id, right({_FRAMED}, {2 * (PROMPT_BLOCK - 1)}) AS f FROM benchmark)""",
-        f"""greatest(round(pow(n::DOUBLE / total::DOUBLE, {1 / TEMPERATURE!r}::DOUBLE) * 1e6::DOUBLE)::BIGINT,
-            CASE WHEN n = max(n) OVER (PARTITION BY context) THEN 1 ELSE 0 END)""",
+        _tempered(),
         bytes(END_TAG_BYTES).hex().upper(),
+        "DOUBLE",
+    ),
+    "generate_order3": _setup(ORDERS, "true") + "," + _walk3(),
+    "cdf_draw_tempered": _setup(ORDERS, "true") + " " + " UNION ALL ".join(
+        f"""SELECT {k} AS model_order, context, next FROM (
+              SELECT context, next, hi, coalesce(lag(hi) OVER (PARTITION BY context ORDER BY next), 0) AS lo,
+                {sql.fraction("context")} * max(hi) OVER (PARTITION BY context) AS u
+              FROM (SELECT context, next, sum(w) OVER (PARTITION BY context ORDER BY next) AS hi
+                    FROM (SELECT context, next, {_tempered()} AS w FROM model{k})))
+            WHERE lo <= u AND u < hi""" for k in ORDERS
     ),
+    "cdf_draw_weighted": _setup([ORDER], "true") + f" SELECT count(DISTINCT context) AS n_contexts FROM grams{ORDER}",
     "sweep_summary": f"""
       SELECT model_order, lowered, count(*) AS n, round(avg(loss), 6) AS loss FROM ({_sweep()})
       GROUP BY GROUPING SETS ((model_order, lowered), (model_order), (lowered), ())""",

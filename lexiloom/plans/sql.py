@@ -44,6 +44,11 @@ def draw(key: str, below: str, seed: int | str = 42) -> str:
     )
 
 
+def fraction(key: str, seed: int | str = 42) -> str:
+    """A DOUBLE in [0, 1) from 52 bits of the hash of the seed and the key."""
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE)"
+
+
 def hexes(x: str) -> str:
     return f"regexp_extract_all(hex(encode({x})), '..')"
 

@@ -93,8 +93,9 @@ ORACLE = {
     "vector_lookup_sum": f"""
       WITH cells AS ({_CELLS}),
       positions AS (SELECT vec_id % {BLOCK} AS pos, dim, avg(x) AS m FROM cells GROUP BY 1, 2)
-      SELECT vec_id, dim, round(x + m, 6) AS value
-      FROM (SELECT doc_id AS vec_id, doc_id % {BLOCK} AS pos FROM documents) JOIN cells USING (vec_id) JOIN positions USING (pos, dim)""",
+      SELECT vec_id, CASE WHEN m IS NOT NULL THEN dim END AS dim, round(x + m, 6) AS value
+      FROM (SELECT doc_id AS vec_id, doc_id % {BLOCK} AS pos FROM documents)
+      LEFT JOIN cells USING (vec_id) LEFT JOIN positions USING (pos, dim)""",
     "rms_norm": f"""
       SELECT vec_id, dim, round(x / sqrt(avg(x * x) OVER (PARTITION BY vec_id) + 1e-5::DOUBLE), 6) AS value FROM ({_CELLS})""",
     "layer_norm": f"""

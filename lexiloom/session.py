@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if named is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
             named = tempfile.mkdtemp(prefix="lexiloom-")
         sc.setCheckpointDir(named)

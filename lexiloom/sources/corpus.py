@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.sources.lines import read_lines, with_fallback
-from lexiloom.sources.token_files import file_system, is_token_corpus, load_corpus
+from lexiloom.sources.token_files import is_token_corpus, load_corpus
 
 
 def read_corpus(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
@@ -16,9 +16,11 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     """
     if is_token_corpus(path):
         return "tokens", load_corpus(spark, path)[0]
-    files, root = file_system(path)
-    if files.get_file_info(root).type == fs.FileType.NotFound:
-        lines = spark.createDataFrame([], "line string")
-    else:
+    try:
         lines = read_lines(spark, path).select("line")
+    except AnalysisException as error:
+        # Spark resolves globs and every scheme that it can read
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "line string")
     return "lines", with_fallback(lines)

@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Turn numbers of a conversation that one window holds.
+RANGE = 4096
+
 
 def chat_pairs(turns: DataFrame) -> DataFrame:
-    """Each user turn with the assistant turn right after it.
+    """Each user turn whose next turn, in the order of the turn numbers, is the assistant's.
 
-    Both turns of a pair share the key (conversation, number of the user turn), so one aggregation
-    over evenly spread keys pairs them, however long a conversation is.
+    Numbers may have gaps; turns of one number are in the order of their roles and texts. A conversation
+    is cut into ranges of ``RANGE`` turn numbers, each a window of its own, and only the first turn of
+    each range is carried to the range before, so no task holds a long conversation.
     """
-    is_user = F.col("role") == "user"
-    is_reply = F.col("role") == "assistant"
+    order = F.struct("turn", "role", "text")
+    ranged = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / RANGE).alias("_range"))
+    within = Window.partitionBy("conv_id", "_range").orderBy("turn", "role", "text")
+    firsts = ranged.groupBy("conv_id", "_range").agg(F.min(order).alias("_first"))
+    after = firsts.select(
+        F.col("conv_id").alias("_conv"),
+        F.col("_range").alias("_at"),
+        F.lead("_first").over(Window.partitionBy("conv_id").orderBy("_range")).alias("_carried"),
+    )
+    follows = F.coalesce(F.lead(order).over(within), F.col("_carried"))
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_range").eqNullSafe(F.col("_at"))
     return (
-        turns.where(is_user | is_reply)
-        .groupBy("conv_id", F.when(is_user, F.col("turn")).otherwise(F.col("turn") - 1).alias("turn"))
-        .agg(
-            F.max(F.when(is_user, F.col("text"))).alias("input"),
-            F.max(F.when(is_reply, F.col("text"))).alias("output"),
-        )
-        .where(F.col("input").isNotNull() & F.col("output").isNotNull())
+        ranged.join(after, same)
+        .withColumn("_next", follows)
+        .where((F.col("role") == "user") & (F.col("_next.role") == "assistant"))
+        .where(F.col("text").isNotNull() & F.col("_next.text").isNotNull())
+        .select("conv_id", "turn", F.col("text").alias("input"), F.col("_next.text").alias("output"))
     )
 
 

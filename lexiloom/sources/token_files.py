@@ -171,13 +171,23 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenFile)
 
 
+def refuse_written(path: str) -> None:
+    files, root = file_system(path)
+    if files.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{path} holds a token file")
+
+
 def write_tokens(
     stream: DataFrame, path: str, dtype: str = "u16", tokens_per_part: int = TOKENS_PER_PART
 ) -> None:
-    """Write ``stream(first_idx, tokens)``; parts hold equal ranges of the index."""
+    """Write ``stream(first_idx, tokens)``; parts hold equal ranges of the index.
+
+    A path that holds a token file already is refused, for its manifest would be lost.
+    """
     if dtype not in DTYPES:
         raise ValueError(f"dtype must be one of {sorted(DTYPES)}")
     register(stream.sparkSession)
+    refuse_written(path)
     part = F.floor(F.col("first_idx") / tokens_per_part)
     (
         stream.where(F.size("tokens") > 0)
@@ -223,6 +233,8 @@ def write_corpus(
     tokens_per_part: int = TOKENS_PER_PART,
 ) -> None:
     """Write ``streams(split, first_idx, tokens)`` of splits train and eval, and the metadata row."""
+    for split in ("train", "eval"):
+        refuse_written(f"{directory}/{split}.bin")
     for split in ("train", "eval"):
         write_tokens(streams.where(F.col("split") == split), f"{directory}/{split}.bin", dtype, tokens_per_part)
     meta.select("meta").coalesce(1).write.text(f"{directory}/meta.json")

@@ -139,3 +139,28 @@ def test_broken_utf8_becomes_replacement_characters(spark):
     learned = bpe.learn(docs_of(spark, ["é"]), "text", 259)
     half = learned.encode(docs_of(spark, ["é"])).select(F.slice("tokens", 1, 1).alias("tokens"))
     assert learned.decode(half).first()["text"] == "�"
+
+
+def test_long_words_are_segmented_like_short_ones():
+    import random
+
+    rng = random.Random(4)
+    ranks = {}
+    symbols = list("abcd")
+    for rank in range(40):
+        pair = rng.choice(symbols) + rng.choice(symbols)
+        if pair not in ranks:
+            merged = chr(0x4000 + rank)
+            ranks[pair] = (rank, merged)
+            symbols.append(merged)
+    for n in (2, 5, 40, 64, 65, 300):
+        for _ in range(20):
+            word = "".join(rng.choices("abcd", k=n))
+            slow = word
+            while True:
+                fits = [ranks[a + b] + (a + b,) for a, b in zip(slow, slow[1:]) if a + b in ranks]
+                if not fits:
+                    break
+                slow = slow.replace(min(fits)[2], min(fits)[1])
+            assert bpe.segment_long(word, ranks) == slow == bpe.segment(word, ranks)
+    assert len(bpe.segment("".join(rng.choices("abcd", k=1_000_000)), ranks)) < 1_000_000

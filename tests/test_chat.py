@@ -93,3 +93,28 @@ def test_options():
     for bad in ({"block": 0}, {"rate": 0.0}, {"batch": -1}):
         with pytest.raises(ValueError):
             Options(**bad)
+
+
+def test_pairs_follow_the_order_of_turns_not_their_numbers(spark, monkeypatch):
+    from lexiloom.sources import pairs
+
+    rows = [
+        (1, 1, "user", "a"), (1, 3, "assistant", "b"), (1, 7, "user", "c"), (1, 8, "user", "d"), (1, 20, "assistant", "e"),
+        (2, 0, "system", "s"), (2, 1, "user", "f"), (2, 2, "system", "t"), (2, 3, "assistant", "g"), (3, 5, "user", "h"),
+        (4, 1, "assistant", "i"), (4, 1, "user", "j"), (4, 2, "assistant", "k"), (4, 2, "assistant", "l"), (5, 1, "user", None), (5, 2, "assistant", "m"),
+    ]
+    want = {(1, 1, "a", "b"), (1, 8, "d", "e"), (4, 1, "j", "k")}
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    for width in (4096, 2, 1):
+        monkeypatch.setattr(pairs, "RANGE", width)
+        assert {tuple(r) for r in pairs.chat_pairs(turns).collect()} == want
+
+
+def test_samples_that_hold_the_separator(spark, tmp_path):
+    df = spark.createDataFrame([("k", "train", "a\x1eb"), ("l", "eval", "c")], "key string, split string, sample string")
+    write_samples(df, str(tmp_path / "p"), form="parquet")
+    assert sorted(map(tuple, read_samples(spark, str(tmp_path / "p"), form="parquet").collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(Exception, match="separator"):
+        write_samples(df, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        write_samples(df, str(tmp_path / "x"), form="csv")

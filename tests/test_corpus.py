@@ -7,7 +7,7 @@ from lexiloom.functions.text import byte_ids, utf8
 from lexiloom.operators import vocab
 from lexiloom.operators.examples import doc_examples, explode_examples
 from lexiloom.operators.order import shuffled
-from lexiloom.operators.synth import TOPICS, part_rows, prompt_rows, reply_rows, synth_chat
+from lexiloom.operators.synth import PART_WEIGHTS, TOPICS, part_rows, prompt_rows, reply_rows, synth_chat
 from lexiloom.operators.token_stream import sample_windows, stream_blocks, token_stream, window_draws
 
 TEXTS = ["abc", "", "é€", "a\x00\U0001f600b", "zzz"]
@@ -133,11 +133,12 @@ def test_generated_samples(spark):
     assert {r["assistant"] for r in seen} == set.union(*replies.values())
     assert "{" not in "".join(t for s in replies.values() for t in s)
     by_topic = {r["topic"]: r["count"] for r in rows.groupBy("topic").count().collect()}
-    assert len(by_topic) == 22 and all(850 < c < 1150 for c in by_topic.values())
-    parts = {r["part"]: r["count"] for r in rows.where("topic = 11").groupBy("part").count().collect()}
-    first, second, third = (parts[p] / by_topic[11] for p in TOPICS[11])
-    assert abs(first - 0.5) < 0.06 and abs(second - 0.25) < 0.06 and abs(third - 0.25) < 0.06
-    assert part_rows()[-1][1] == 22 * 4
+    assert len(by_topic) == len(TOPICS) and all(abs(c - n / len(TOPICS)) < 200 for c in by_topic.values())
+    nested = next(i for i, parts in enumerate(TOPICS) if len(parts) > 1)
+    parts = {r["part"]: r["count"] for r in rows.where(F.col("topic") == nested).groupBy("part").count().collect()}
+    for part, weight in zip(TOPICS[nested], PART_WEIGHTS[len(TOPICS[nested])]):
+        assert abs(parts[part] / by_topic[nested] - weight / sum(PART_WEIGHTS[len(TOPICS[nested])])) < 0.06
+    assert part_rows()[-1][1] == sum(sum(PART_WEIGHTS[len(parts)]) for parts in TOPICS)
 
 
 def test_long_texts_are_encoded_whole(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.scoring import garbled_share, repeated_share
-from lexiloom.operators import evaluate
+from lexiloom.operators import evaluate, order
 
 
 @pytest.fixture
@@ -60,7 +60,7 @@ def test_reports(scored):
 
 
 def test_history(scored, monkeypatch):
-    monkeypatch.setattr(evaluate, "HISTORY_BUCKET", 3)
+    monkeypatch.setattr(order, "RANGES", 3)
     replies = {0: "", 1: "ok", 4: "sea", 9: "ok sea", 30: ""}
     rows = [(0, run, text) for run, text in replies.items()] + [(1, 2, "x"), (0, 1, "sea")]
     history = evaluate.score_history(scored(rows), "run")

@@ -189,3 +189,21 @@ def test_a_path_tells_its_kind(spark, tmp_path):
     assert sorted(r["line"] for r in got["lines.txt"][1].collect()) == ["one", "two"]
     for name in ("empty.txt", "absent.txt"):
         assert sorted(r["line"] for r in got[name][1].collect()) == FALLBACK_LINES
+
+
+def test_a_second_write_is_refused_and_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "t.bin")
+    first = spark.createDataFrame([(0, [1, 2, 3])], "first_idx bigint, tokens array<int>")
+    write_tokens(first, path)
+    with pytest.raises(FileExistsError):
+        write_tokens(spark.createDataFrame([(3, [4, 5])], "first_idx bigint, tokens array<int>"), path)
+    assert [r["token"] for r in explode_tokens(read_tokens(spark, path)).orderBy("idx").collect()] == [1, 2, 3]
+
+
+def test_a_corpus_by_glob_is_read_and_only_an_absent_one_falls_back(spark, tmp_path):
+    from lexiloom.sources.corpus import read_corpus
+
+    (tmp_path / "a.txt").write_text("one\n\ntwo\n")
+    kind, lines = read_corpus(spark, str(tmp_path / "*.txt"))
+    assert kind == "lines" and sorted(r["line"] for r in lines.collect()) == ["one", "two"]
+    assert "anna" in {r["line"] for r in read_corpus(spark, str(tmp_path / "absent" / "*.txt"))[1].collect()}

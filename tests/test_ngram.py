@@ -140,6 +140,62 @@ def test_draws_follow_the_counts(spark):
     assert [(r["lo"], r["hi"]) for r in intervals] == [(0, 1), (1, 3), (3, 8)]
 
 
+def drawn_shares(spark, counts, temperature, contexts=4000):
+    """Tokens drawn in many contexts of the same counts."""
+    kind = "double" if isinstance(counts[0], float) else "bigint"
+    rows = spark.range(contexts).select(F.lit(2).alias("model_order"), F.col("id").alias("context"))
+    tokens = spark.createDataFrame(list(enumerate(counts)), f"next int, n {kind}")
+    drawn = ngram.cdf_draw(rows.crossJoin(F.broadcast(tokens)), temperature).groupBy("next").count().collect()
+    assert sum(r["count"] for r in drawn) == contexts
+    return {r["next"]: r["count"] / contexts for r in drawn}
+
+
+@pytest.mark.parametrize("temperature", [0.2, 0.7, 5.0])
+def test_draws_at_a_temperature_follow_the_softmax(spark, temperature):
+    counts = [60 - i for i in range(20)]
+    powers = [c ** (1 / temperature) for c in counts]
+    shares = drawn_shares(spark, counts, temperature)
+    for token, power in enumerate(powers):
+        assert abs(shares.get(token, 0) - power / sum(powers)) < 0.03
+
+
+def test_no_token_of_a_flat_context_loses_its_weight(spark):
+    rows = spark.range(50_000).select(
+        F.lit(2).alias("model_order"), F.lit(0).cast("bigint").alias("context"), F.col("id").cast("int").alias("next"),
+        F.when(F.col("id") == 7, 21).otherwise(20).cast("bigint").alias("n"),
+    )
+    for temperature in (0.2, 0.7, 3.0):
+        weights = ngram.cumulative(rows, temperature).agg(F.min(F.col("hi") - F.col("lo")), F.min("w")).first()
+        assert min(weights) > 0
+        assert ngram.cdf_draw(rows, temperature).count() == 1
+
+
+def test_draws_from_example_weights(spark):
+    shares = drawn_shares(spark, [0.125, 0.25, 0.625], 1.0)
+    assert all(abs(shares[i] - w) < 0.03 for i, w in enumerate([0.125, 0.25, 0.625]))
+    model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2], weighting="example")
+    n = model.select("model_order", "context").distinct().count()
+    assert ngram.cdf_draw(model).count() == n
+
+
+def test_rounds_end_both_ways_to_generate(spark):
+    model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2])
+    prompts = byte_prompts(docs_of(spark, ["ab", "zz", "x" * 30, ""]), "doc_id", "text", 48)
+    a, b = (generated(generate(prompts, "doc_id", model, 2, 4, by_rounds=way)) for way in (False, True))
+    assert a == b and max(map(len, a.values())) == 4
+
+
+def test_kernels_in_small_pieces_count_the_same(spark, monkeypatch):
+    docs = docs_of(spark, ["abcabcabdabcab" * 9, "", "a", "bcd" * 20, "\u00e9" * 30])
+    want = {tuple(r) for r in ngram.tally_ngrams(docs, "text", [1, 2, 3]).select("model_order", "context", "next", "n").collect()}
+    counts = ngram.count_ngrams(docs, "text", [2])
+    losses = {tuple(r) for r in ngram.example_loss(docs, "doc_id", "text", counts, 2).select("doc_id", F.round("loss", 9)).collect()}
+    monkeypatch.setattr(kernels, "PIECE", 16)
+    assert want == {tuple(r) for r in ngram.tally_ngrams(docs, "text", [1, 2, 3]).select("model_order", "context", "next", "n").collect()}
+    again = ngram.example_loss(docs, "doc_id", "text", counts, 2).select("doc_id", F.round("loss", 9)).collect()
+    assert losses == {tuple(r) for r in again}
+
+
 def test_model_size(spark):
     model = ngram.count_ngrams(docs_of(spark, ["aab"]), "text", [1, 2])
     got = {r["model_order"]: tuple(r)[1:] for r in ngram.model_size(model).collect()}
