@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 # The characters that count as whitespace when text is split or stripped,
 # and those that end a line of program output.
@@ -58,11 +61,18 @@ def byte_tail(text: Column, size: int) -> Column:
 
 
 def byte_ids(data: Column) -> Column:
-    """BINARY to ARRAY<INT> of byte values."""
-    chars = F.split(F.decode(data, "ISO-8859-1"), "")
-    return F.when(F.octet_length(data) == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(chars, lambda c: F.ascii(c))
-    )
+    """BINARY to ARRAY<INT> of byte values, whole Arrow batches at once."""
+
+    def values(batch: pa.Array) -> pa.Array:
+        column = batch.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2]
+        ids = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        bounds = pa.array((offsets - offsets[0]).astype(np.int32))
+        missing = column.is_null() if column.null_count else None
+        return pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)), mask=missing)
+
+    return F.arrow_udf(values, ArrayType(IntegerType()))(data)
 
 
 def word_count(text: Column) -> Column:

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.draws import draw
+from lexiloom.functions.text import byte_ids, utf8
 from lexiloom.operators.order import with_offsets
 
+# Positions of the stream in one range that windows and documents are matched by.
+STREAM_RANGE = 1 << 16
+
 
 def token_stream(
     docs: DataFrame,
@@ -28,6 +32,11 @@ def token_stream(
     )
 
 
+def with_end_token(docs: DataFrame, tokens: str, end_id: int) -> DataFrame:
+    """The end token after each document's own, which ``token_stream(eos=True)`` leaves room for."""
+    return docs.withColumn(tokens, F.array_append(tokens, F.lit(end_id)))
+
+
 def stream_blocks(stream: DataFrame, tokens: str, block: int) -> DataFrame:
     """The stream cut at multiples of ``block``: (block_no, idx, tokens), pieces of a block in order.
 
@@ -62,6 +71,39 @@ def window_draws(draws: DataFrame, key: str, total: Column, block: int, seed: in
     )
 
 
+def sample_byte_windows(stream: DataFrame, docs: DataFrame, key: str, text: str, draws: DataFrame, draw_key: str) -> DataFrame:
+    """The ``n + 1`` bytes of each drawn window of the byte stream, as ``tokens``.
+
+    ``stream(key, first_idx, last_idx)`` holds no text: ranges of the stream tell which documents a window
+    touches, and only what the windows need is cut from those texts.
+    """
+    first, last, stop = F.col("first_idx"), F.col("last_idx"), F.col("start_idx") + F.col("n")
+
+    def ranges(low: Column, high: Column) -> Column:
+        numbers = F.sequence(F.floor(low / STREAM_RANGE).cast("bigint"), F.floor(high / STREAM_RANGE).cast("bigint"))
+        return F.explode(numbers)
+
+    held = stream.where(first <= last).select(key, "first_idx", "last_idx", ranges(first, last).alias("_range"))
+    wanted = draws.select(draw_key, "start_idx", "n", ranges(F.col("start_idx"), stop).alias("_range"))
+    touched = (
+        held.join(wanted, "_range")
+        .where((first <= stop) & (last >= F.col("start_idx")))
+        .select(draw_key, "start_idx", "n", key, "first_idx", "last_idx")
+        .distinct()
+    )
+    low, high = F.greatest(first, F.col("start_idx")), F.least(last, stop)
+    part = F.substring(utf8(F.col(text)), (low - first + 1).cast("int"), (high - low + 1).cast("int"))
+    return (
+        touched.join(docs.select(key, text), key)
+        .select(draw_key, "start_idx", "n", F.struct(low.alias("idx"), part.alias("data")).alias("part"))
+        .groupBy(draw_key, "start_idx", "n")
+        # at most n + 1 bytes per window
+        .agg(F.array_sort(F.collect_list("part")).alias("parts"))
+        .select(draw_key, "start_idx", "n", F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["data"])).alias("data"))
+        .select(draw_key, "start_idx", "n", byte_ids(F.col("data")).alias("tokens"))
+    )
+
+
 def sample_windows(blocks: DataFrame, draws: DataFrame, key: str, block: int) -> DataFrame:
     """The ``n + 1`` tokens of each drawn window: an equi-join on block numbers, not a range join."""
     start, stop = F.col("start_idx"), F.col("start_idx") + F.col("n") + 1

@@ -12,7 +12,7 @@ from lexiloom.operators import bpe, vocab
 from lexiloom.operators.examples import doc_examples, explode_examples
 from lexiloom.operators.order import draw_rows, shuffled, split_head, split_tail
 from lexiloom.operators.synth import PROMPTS, part_rows, prompt_rows, reply_rows, synth_chat
-from lexiloom.operators.token_stream import sample_windows, stream_blocks, token_stream, window_draws
+from lexiloom.operators.token_stream import sample_byte_windows, token_stream, window_draws, with_end_token
 from lexiloom.plans import sql
 from lexiloom.plans.prepare import framed
 from lexiloom.session import new_path
@@ -173,9 +173,10 @@ def _stream_query(eos: bool):
 def drawn_windows(docs: DataFrame, window: int, seed: str) -> DataFrame:
     """One window per document, from the stream of all documents."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).scalar()
-    stream = token_stream(_byte_tokens(docs), "doc_id", F.size("tokens"))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size"))
+    stream = token_stream(sizes, "doc_id", F.col("size")).select("doc_id", "first_idx", "last_idx")
     draws = window_draws(docs.select(F.col("doc_id").alias("draw")), "draw", total, window, seed)
-    return sample_windows(stream_blocks(stream, "tokens", window), draws, "draw", window)
+    return sample_byte_windows(stream, docs, "doc_id", "text", draws, "draw")
 
 
 def sample_windows_query(spark: SparkSession, directory: str) -> DataFrame:
@@ -206,7 +207,7 @@ def next_token(spark: SparkSession, directory: str) -> DataFrame:
 
 def _split_streams(spark: SparkSession, directory: str) -> DataFrame:
     docs = split_head(_spread_documents(spark, directory), "doc_id", EVAL_RATIO)
-    return token_stream(_byte_tokens(docs), "doc_id", F.size("tokens"), by=("split",))
+    return _byte_tokens(token_stream(docs, "doc_id", F.octet_length("text"), by=("split",)))
 
 
 def _split_meta(spark: SparkSession, directory: str) -> DataFrame:
@@ -220,8 +221,21 @@ def _split_meta(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def token_file_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
-    """The stream of all documents, written, read back and summed up per 1,000 tokens."""
-    stream = token_stream(_byte_tokens(_spread_documents(spark, directory)), "doc_id", F.size("tokens"))
+    """The stream of all documents, written, read back and summed up per 1,000 tokens.
+
+    Offsets come from the byte lengths, so texts and not token arrays move; ids are made where they are written.
+    """
+    stream = token_stream(_spread_documents(spark, directory), "doc_id", F.octet_length("text"))
+    return _written_sums(spark, _byte_tokens(stream))
+
+
+def token_file_eos(spark: SparkSession, directory: str) -> DataFrame:
+    """As before, with an end token after each document, so that the stream has no gap."""
+    stream = token_stream(_spread_documents(spark, directory), "doc_id", F.octet_length("text"), eos=True)
+    return _written_sums(spark, with_end_token(_byte_tokens(stream), "tokens", 256))
+
+
+def _written_sums(spark: SparkSession, stream: DataFrame) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(stream, path, tokens_per_part=PART)
     tokens = explode_tokens(read_tokens(spark, path))
@@ -323,6 +337,7 @@ QUERIES = {
     "doc_examples": doc_examples_query,
     "next_token": next_token,
     "token_file_roundtrip": token_file_roundtrip,
+    "token_file_eos": token_file_eos,
     "token_corpus_stats": token_corpus_stats,
     "samples_roundtrip": samples_roundtrip,
     "meta_document": meta_document_query,
@@ -485,6 +500,13 @@ ORACLE = {
       WITH tokens AS (SELECT first_idx + pos AS idx, b FROM ({_BYTES}) JOIN ({_BYTE_STREAM}) USING (doc_id))
       SELECT idx // 1000 AS part, count(*) AS n, sum(b)::BIGINT AS token_sum, sum(b * (idx % 1000))::BIGINT AS weighted_sum
       FROM tokens GROUP BY idx // 1000""",
+    "token_file_eos": f"""
+      WITH sized AS (
+        SELECT doc_id, sum(octet_length(encode(text)) + 1) OVER (ORDER BY md5('42:' || doc_id), doc_id) - octet_length(encode(text)) - 1 AS first_idx
+        FROM documents),
+      tokens AS (SELECT first_idx + pos AS idx, b FROM ({sql.byte_rows(end=True)}) JOIN sized USING (doc_id))
+      SELECT (idx // 1000)::BIGINT AS part, count(*) AS n, sum(b)::BIGINT AS token_sum, sum(b * (idx % 1000))::BIGINT AS weighted_sum
+      FROM tokens GROUP BY 1""",
     "token_corpus_stats": f"""
       SELECT split, count(*) AS n_tokens, min(b) AS min_token, max(b) AS max_token, sum(b)::BIGINT AS token_sum
       FROM ({_BYTES}) JOIN ({_HEAD}) USING (doc_id) GROUP BY split""",

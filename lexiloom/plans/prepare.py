@@ -9,8 +9,10 @@ from lexiloom.functions.chat import im_sample
 from lexiloom.functions.text import normalize
 from lexiloom.operators.bpe import Tokenizer, learn
 from lexiloom.operators.order import split_head
-from lexiloom.operators.token_stream import token_stream
+from lexiloom.operators.token_stream import token_stream, with_end_token
+from lexiloom.session import new_path
 from lexiloom.sources.metadata import U16_LIMIT, meta_document
+from lexiloom.sources.samples import read_samples, write_samples
 from lexiloom.sources.token_files import write_corpus
 
 
@@ -20,9 +22,20 @@ def framed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("sample", sample).drop("input", "output")
 
 
-def encoded_streams(samples: DataFrame, key: str, tokenizer: Tokenizer, seed: int = 42) -> DataFrame:
-    """(split, key, first_idx, last_idx, n_tokens, tokens), one stream per split."""
+def encoded_streams(
+    samples: DataFrame, key: str, tokenizer: Tokenizer, seed: int = 42, eos: int | None = None
+) -> DataFrame:
+    """(split, key, first_idx, last_idx, n_tokens, tokens), one stream per split.
+
+    With ``eos``, that id ends each sample. Encoded samples are written once to the shared folder, since
+    their lengths are needed before their places.
+    """
     tokens = tokenizer.encode(samples, "sample")
+    if eos is not None:
+        tokens = with_end_token(tokens, "tokens", eos)
+    path = new_path(samples.sparkSession, "encoded")
+    tokens.select(key, "split", "tokens").write.parquet(path)
+    tokens = samples.sparkSession.read.parquet(path)
     return token_stream(tokens, key, F.size("tokens"), seed=seed, by=("split",))
 
 
@@ -34,16 +47,20 @@ def prepare(
     vocab_size: int,
     eval_ratio: float = 0.05,
     seed: int = 42,
+    eos: int | None = None,
 ) -> Tokenizer:
-    """Learn a tokenizer on all samples and write both token files, the tokenizer and the metadata.
+    """Learn a tokenizer on all samples; write the samples, both token files, the tokenizer and the metadata.
 
-    ``samples(key, sample)`` is split by ``eval_ratio`` unless it has a ``split`` column already.
+    ``samples(key, sample)`` is split by ``eval_ratio`` unless it has a ``split`` column already. The framed
+    samples are kept as parquet with key and split, and all that follows reads them there.
     """
     spark = samples.sparkSession
     if "split" not in samples.columns:
         samples = split_head(samples, key, eval_ratio, seed)
+    write_samples(samples.select(key, "split", "sample"), f"{directory}/samples", form="parquet")
+    samples = read_samples(spark, f"{directory}/samples", form="parquet")
     tokenizer = learn(samples, "sample", vocab_size)
-    streams = encoded_streams(samples, key, tokenizer, seed)
+    streams = encoded_streams(samples, key, tokenizer, seed, eos)
     stats = samples.agg(
         F.count_if(F.col("split") == "train").alias("train_samples"),
         F.count_if(F.col("split") == "eval").alias("eval_samples"),

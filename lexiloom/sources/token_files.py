@@ -271,9 +271,10 @@ def load_corpus(spark: SparkSession, train_path: str) -> tuple[DataFrame, dict]:
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """Number, range and sum of the tokens of each split."""
-    return tokens.select("split", F.explode("tokens").alias("token")).groupBy("split").agg(
-        F.count("*").alias("n_tokens"),
-        F.min("token").alias("min_token"),
-        F.max("token").alias("max_token"),
-        F.sum("token").alias("token_sum"),
+    total = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc + t)
+    return tokens.where(F.size("tokens") > 0).groupBy("split").agg(
+        F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
+        F.min(F.array_min("tokens")).alias("min_token"),
+        F.max(F.array_max("tokens")).alias("max_token"),
+        F.sum(total).alias("token_sum"),
     )

@@ -18,6 +18,7 @@ from lexiloom.sources.lines import FALLBACK_LINES
 from lexiloom.sources.logs import EVALUATIONS, read_log, write_log
 from lexiloom.sources.metadata import int_field, meta_document, meta_fields, storage_type, string_field
 from lexiloom.sources.model_store import load_model, save_model
+from lexiloom.sources.samples import read_samples
 from lexiloom.sources.token_files import explode_tokens, load_corpus, read_tokens, sidecars, write_tokens
 
 
@@ -169,6 +170,21 @@ def test_prepare_and_evaluate_end_to_end(spark, tmp_path):
     assert all("<|" not in r["reply"] for r in scored)
 
 
+def test_prepare_with_end_tokens_keeps_samples_and_has_no_gap(spark, tmp_path):
+    pairs = spark.createDataFrame([(i, f"hi {i}", "yes") for i in range(40)], "pair_id int, input string, output string")
+    directory = str(tmp_path / "corpus")
+    samples = framed(pairs)
+    tokenizer = prepare(samples, "pair_id", directory, "toy", 280, eos=0)
+    kept = read_samples(spark, f"{directory}/samples", form="parquet")
+    assert kept.columns == ["pair_id", "split", "sample"]
+    assert {r["sample"] for r in kept.collect()} == {r["sample"] for r in samples.collect()}
+    tokens = explode_tokens(load_corpus(spark, f"{directory}/train.bin")[0].where("split = 'train'"))
+    rows = tokens.orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == list(range(len(rows)))
+    assert sum(r["token"] == 0 for r in rows) == kept.where("split = 'train'").count() and rows[-1]["token"] == 0
+    assert tokenizer.vocab_size > 259
+
+
 def test_logs_are_appended(spark, tmp_path):
     log = spark.createDataFrame([(1, 2.5, None, 1e-3), (2, 2.0, float("nan"), 5e-4)], EVALUATIONS)
     path = str(tmp_path / "eval.csv")
