@@ -41,7 +41,8 @@ BANDS, WIDTH = 40, 5
 COORDINATES = BANDS * WIDTH
 #: A link: ``100 * intersection >= PERCENT * union``.
 PERCENT = 75
-#: Shingles and documents of a block, on average; two blocks of a bucket meet in a task.
+#: Shingles and documents of a block, on average; two blocks of a bucket meet in a task. Few large blocks
+#: repeat their members less often than many small ones; this size needs some 50 MB.
 BLOCK_SHINGLES = 1 << 18
 BLOCK_ROWS = 2048
 GOLD = np.uint64(0x9E3779B97F4A7C15)
