@@ -366,7 +366,7 @@ _FIRST = len(bpe.SPECIAL_TOKENS)
 _IDS = ", ".join(f"('{b:02X}', {i})" for i, b in enumerate(bpe.byte_order(), _FIRST))
 
 
-def _learned(merges: int) -> str:
+def learned_sql(merges: int) -> str:
     """CTEs: ``learning`` holds the words of the conversations after each merge, one at a time."""
     at = f"{bpe.SYMBOL_BASE} + {_FIRST + 256}"
     return f"""
@@ -452,11 +452,11 @@ ORACLE = {
       SELECT left_hex, right_hex, sum(n)::BIGINT AS n
       FROM (SELECT unnest(l[:-2]) AS left_hex, unnest(l[2:]) AS right_hex, n FROM words WHERE len(l) > 1)
       GROUP BY left_hex, right_hex""",
-    "bpe_merges": _learned(MERGES) + f"""
+    "bpe_merges": learned_sql(MERGES) + f"""
       SELECT DISTINCT step - 1 AS rank, ord(left(pair, 1)) - {bpe.SYMBOL_BASE} AS left_id,
         ord(right(pair, 1)) - {bpe.SYMBOL_BASE} AS right_id, {_FIRST + 255} + step AS new_id, pair_n AS n
       FROM learning WHERE step > 0""",
-    "bpe_encode": _learned(FEW_MERGES) + f""",
+    "bpe_encode": learned_sql(FEW_MERGES) + f""",
       pieces AS (SELECT conv_id, turn, unnest(l) AS piece, unnest(range(len(l))) AS piece_no
                  FROM (SELECT conv_id, turn, string_split({_MARKED}, chr(31)) AS l FROM conversations)),
       placed AS (SELECT conv_id, turn, piece_no, unnest(l) AS word, unnest(range(len(l))) AS word_no

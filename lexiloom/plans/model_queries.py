@@ -253,7 +253,7 @@ QUERIES = {
 _LOSS = "-ln(greatest(coalesce(n::DOUBLE / total::DOUBLE, 0), 1e-12::DOUBLE))"
 
 
-def _setup(orders: list[int], train: str = "split = 'train'", docs: str = sql.TAIL_SPLIT) -> str:
+def model_setup(orders: list[int], train: str = "split = 'train'", docs: str = sql.TAIL_SPLIT) -> str:
     """CTEs: the documents, their bytes with end marker, and per order the n-grams and the model."""
     parts = [
         f"docs AS MATERIALIZED (SELECT * FROM ({docs}))",
@@ -275,13 +275,13 @@ def _losses(order: int) -> str:
 
 
 _DRAWN = f"""
-  {_setup([ORDER])},
+  {model_setup([ORDER])},
   losses AS ({_losses(ORDER)}),
   drawn AS (SELECT doc_id AS draw, {sql.draw('doc_id', '(SELECT count(*) FROM documents)', 'batch')} AS pos FROM documents),
   drawn_losses AS (SELECT draw, loss FROM drawn JOIN docs USING (pos) JOIN losses USING (doc_id)),
   batches AS (SELECT draw // {BATCH} + 1 AS step, round(avg(loss), 6) AS loss FROM drawn_losses GROUP BY 1)"""
 
-_LOG = _setup(LOG_ORDERS) + " " + " UNION ALL ".join(
+LOG_SQL = model_setup(LOG_ORDERS) + " " + " UNION ALL ".join(
     f"""SELECT {k} AS model_order, round(avg(loss) FILTER (split = 'train'), 6) AS train_loss,
         round(avg(loss) FILTER (split = 'val'), 6) AS val_loss FROM ({_losses(k)}) JOIN docs USING (doc_id)"""
     for k in LOG_ORDERS
@@ -295,7 +295,7 @@ def _sweep() -> str:
         for k in ORDERS:
             parts.append(
                 f"SELECT {k} AS model_order, {lowered} AS lowered, (SELECT avg(loss) FROM "
-                f"({_setup([k], docs=docs)} SELECT loss FROM ({_losses(k)}) JOIN docs USING (doc_id) WHERE split = 'val')) AS loss"
+                f"({model_setup([k], docs=docs)} SELECT loss FROM ({_losses(k)}) JOIN docs USING (doc_id) WHERE split = 'val')) AS loss"
             )
     return " UNION ALL ".join(parts)
 
@@ -362,20 +362,20 @@ def _walk3() -> str:
 _FRAMED = f"hex(encode('<|user|> ' || {sql.sanitize_ascii('text')} || ' <|assistant|>'))"
 
 ORACLE = {
-    "ngram_counts": _setup(ORDERS, "true") + " " + " UNION ALL ".join(
+    "ngram_counts": model_setup(ORDERS, "true") + " " + " UNION ALL ".join(
         f"SELECT {k} AS model_order, context, next, n FROM model{k}" for k in ORDERS
     ),
-    "ngram_weights": _setup([ORDER], "true") + f"""
+    "ngram_weights": model_setup([ORDER], "true") + f"""
       SELECT {ORDER} AS model_order, context, next, round(sum(1.0::DOUBLE / (octet_length(encode(text)) + 1)), 6) AS n
       FROM grams{ORDER} JOIN documents USING (doc_id) GROUP BY context, next""",
-    "example_loss": _setup([2]) + f"""
+    "example_loss": model_setup([2]) + f"""
       SELECT doc_id, round(loss, 6) AS loss FROM ({_losses(2)}) JOIN docs USING (doc_id) WHERE split = 'val'""",
-    "example_loss_order3": _setup([3]) + f"""
+    "example_loss_order3": model_setup([3]) + f"""
       SELECT doc_id, round(loss, 6) AS loss FROM ({_losses(3)}) JOIN docs USING (doc_id) WHERE split = 'val'""",
-    "split_loss": _setup([ORDER]) + f"""
+    "split_loss": model_setup([ORDER]) + f"""
       SELECT split, count(*) AS n_examples, round(avg(loss), 6) AS loss
       FROM ({_losses(ORDER)}) JOIN docs USING (doc_id) GROUP BY split""",
-    "window_loss": _setup([2], "true") + f""",
+    "window_loss": model_setup([2], "true") + f""",
       tokens AS (SELECT first_idx + pos AS idx, b FROM ({sql.byte_rows()}) JOIN ({byte_stream_sql()}) USING (doc_id)),
       sized AS (SELECT count(*) AS total, least({PROBE_WINDOW}, count(*) - 1) AS n FROM tokens),
       drawn AS (SELECT doc_id AS draw, {sql.draw('doc_id', '(total - n)', 'loss')} AS start_idx, n FROM documents, sized),
@@ -391,26 +391,26 @@ ORACLE = {
       SELECT step, loss FROM (SELECT *, min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
         FROM batches) WHERE before IS NULL OR loss < before""",
     "best_step": _DRAWN + " SELECT step, loss FROM batches ORDER BY loss, step LIMIT 1",
-    "eval_log": _LOG,
-    "best_model": f"SELECT model_order, val_loss FROM ({_LOG}) ORDER BY val_loss, model_order LIMIT 1",
-    "model_size": _setup(ORDERS, "true") + " " + " UNION ALL ".join(
+    "eval_log": LOG_SQL,
+    "best_model": f"SELECT model_order, val_loss FROM ({LOG_SQL}) ORDER BY val_loss, model_order LIMIT 1",
+    "model_size": model_setup(ORDERS, "true") + " " + " UNION ALL ".join(
         f"""SELECT {k} AS model_order, count(*) AS n_entries, count(DISTINCT context) AS n_contexts,
             sum(n)::BIGINT AS n_targets FROM model{k}""" for k in ORDERS
     ),
-    "softmax_temperature": _setup([ORDER], "true") + f""",
+    "softmax_temperature": model_setup([ORDER], "true") + f""",
       logits AS (SELECT context, next, ln(n::DOUBLE / total::DOUBLE) / {TEMPERATURE}::DOUBLE AS l FROM model{ORDER}),
       exps AS (SELECT context, next, exp(l - max(l) OVER (PARTITION BY context)) AS e FROM logits)
       SELECT context, next, round(e / sum(e) OVER (PARTITION BY context), 6) AS p FROM exps""",
-    "cdf_draw": _setup(ORDERS, "true") + " " + " UNION ALL ".join(
+    "cdf_draw": model_setup(ORDERS, "true") + " " + " UNION ALL ".join(
         f"""SELECT {k} AS model_order, context, next FROM (
               SELECT *, sum(n) OVER (PARTITION BY context ORDER BY next) AS hi,
                 {sql.draw("context", 'total')} AS u FROM model{k})
             WHERE hi - n <= u AND u < hi""" for k in ORDERS
     ),
-    "generate_free": _setup([1, 2], "true") + "," + _walk(
+    "generate_free": model_setup([1, 2], "true") + "," + _walk(
         "doc_id", f"SELECT doc_id, 256::BIGINT AS last, {FREE_BLOCK} AS budget FROM documents", "n", None
     ),
-    "generate_prompted": _setup([1, 2], "true") + "," + _walk(
+    "generate_prompted": model_setup([1, 2], "true") + "," + _walk(
         "item_id",
         f"""SELECT item_id, ('0x' || right(f, 2))::BIGINT AS last, {PROMPT_BLOCK - 1} - length(f) // 2 AS budget
             FROM (SELECT item_id, right({_FRAMED}, {2 * (PROMPT_BLOCK - 1)}) AS f FROM benchmark)""",
@@ -418,8 +418,8 @@ ORACLE = {
         bytes(END_TAG_BYTES).hex().upper(),
         "DOUBLE",
     ),
-    "generate_order3": _setup(ORDERS, "true") + "," + _walk3(),
-    "cdf_draw_tempered": _setup(ORDERS, "true") + " " + " UNION ALL ".join(
+    "generate_order3": model_setup(ORDERS, "true") + "," + _walk3(),
+    "cdf_draw_tempered": model_setup(ORDERS, "true") + " " + " UNION ALL ".join(
         f"""SELECT {k} AS model_order, context, next FROM (
               SELECT context, next, hi, coalesce(lag(hi) OVER (PARTITION BY context ORDER BY next), 0) AS lo,
                 {sql.fraction("context")} * max(hi) OVER (PARTITION BY context) AS u
@@ -427,7 +427,7 @@ ORACLE = {
                     FROM (SELECT context, next, {_tempered()} AS w FROM model{k})))
             WHERE lo <= u AND u < hi""" for k in ORDERS
     ),
-    "cdf_draw_weighted": _setup([ORDER], "true") + f" SELECT count(DISTINCT context) AS n_contexts FROM grams{ORDER}",
+    "cdf_draw_weighted": model_setup([ORDER], "true") + f" SELECT count(DISTINCT context) AS n_contexts FROM grams{ORDER}",
     "sweep_summary": f"""
       SELECT model_order, lowered, count(*) AS n, round(avg(loss), 6) AS loss FROM ({_sweep()})
       GROUP BY GROUPING SETS ((model_order, lowered), (model_order), (lowered), ())""",
