@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +63,7 @@ OVERLAP = 9
 EDGE = 63
 ROUNDS = 3
 SENTENCE_ENDS = np.array([10, 13, 33, 46, 63], np.uint8)
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 
 
 def alphabet() -> np.ndarray:
@@ -376,6 +375,14 @@ def score_batches(model):
     return run
 
 
+def clean_batches(model, text_col: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col, BATCH_BYTES):
+            yield batch.filter(pa.array(model.value.scores(batch.column(text_col)) < threshold))
+
+    return run
+
+
 def fitted(
     df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held_out_fold: int, train_rows: int
 ) -> Model:
@@ -425,11 +432,4 @@ def drop_toxic(
         fitted(df, labels, id_col, text_col, label_col, folds, held_out_fold, train_rows)
     )
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string(), from_pandas=True)], ["text"])
-            parts = [model.value.scores(p.column("text")) for p in slices(iter([batch]), "text", BATCH_BYTES)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
-
-    return df.where(scored(F.col(text_col).cast("string")) < threshold)
+    return df.mapInArrow(clean_batches(model, text_col, threshold), df.schema)
