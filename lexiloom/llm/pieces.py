@@ -40,7 +40,7 @@ SPACE = "▁"
 #: Kinds of pieces and of models in model files.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 #: Words of one length that advance together.
 ROWS = 1 << 14
 LOW = -1e18
@@ -48,7 +48,7 @@ LOW = -1e18
 SLOT_BITS = 20
 SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 #: Words whose ids a task remembers between batches; a cache only.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 #: Slots of the cache of tested pairs of pieces.
 PAIR_BITS = 20
 
@@ -137,7 +137,7 @@ class PieceEncoder:
         self.first_key = np.full(1 << SLOT_BITS, -1, np.int32)
         self.first_key[slots.astype(np.int64)] = first
         self.most_in_slot = int(n.max())
-        self.memo: dict[int, list[int]] = {}
+        self.memo: dict[int, bytes] = {}
         self.pair_at = np.full(1 << PAIR_BITS, -1)
         self.pair_apart = np.zeros(1 << PAIR_BITS, bool)
         self.score = model.scores.copy()
@@ -297,9 +297,9 @@ class PieceEncoder:
                 best[end, live], piece[end, live], back[end, live] = total[better], found, start
         return piece, back
 
-    def word_ids(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
-        """Ids of each word."""
-        out: list[list[int]] = [[] for _ in range(len(starts))]
+    def word_ids(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Ids of each word, as 32-bit integers end to end."""
+        out = [b""] * len(starts)
         if not out:
             return out
         sizes = ends - starts
@@ -315,7 +315,7 @@ class PieceEncoder:
                     out[word] = ids
         return out
 
-    def followed(self, words: np.ndarray, piece: np.ndarray, back: np.ndarray) -> list[list[int]]:
+    def followed(self, words: np.ndarray, piece: np.ndarray, back: np.ndarray) -> list[bytes]:
         """Ids along the backpointers of every word, all words one step at a time."""
         rows, width = words.shape
         at = np.full(rows, width)
@@ -332,13 +332,18 @@ class PieceEncoder:
             n[live] += 1
             at[live] = back[end, live]
             live = live[at[live] > 0]
-        out = [ids[:size][::-1] for ids, size in zip(taken.tolist(), n.tolist())]
-        for row in np.flatnonzero(~plain).tolist():
-            signs = words[row].tolist()
-            out[row] = [i for k in out[row] for i in ([k] if k >= 0 else self.sign_ids(chr(signs[-k - 1])))]
+        upto = np.cumsum(n)
+        row = np.repeat(np.arange(rows), n)
+        flat = taken[row, np.repeat(upto, n) - 1 - np.arange(int(upto[-1]))].astype(np.int32)
+        data, cuts = flat.tobytes(), (upto * 4).tolist()
+        out = [data[low:high] for low, high in zip([0, *cuts], cuts)]
+        for i in np.flatnonzero(~plain).tolist():
+            ids = np.frombuffer(out[i], np.int32).tolist()
+            spelled = [j for k in ids for j in ([k] if k >= 0 else self.sign_ids(chr(int(words[i, -k - 1]))))]
+            out[i] = np.array(spelled, np.int32).tobytes()
         return out
 
-    def remembered(self, hashes: list[int], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    def remembered(self, hashes: list[int], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Ids of each distinct word, from earlier batches where they are known."""
         found = [self.memo.get(h) for h in hashes]
         new = [i for i, ids in enumerate(found) if ids is None]
@@ -370,8 +375,8 @@ class PieceEncoder:
         owner = np.repeat(np.arange(len(texts)), lengths)[starts]
         distinct, first, number = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
         found = self.remembered(distinct.tolist(), codes, starts[first], ends[first])
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         begin = np.cumsum(sizes) - sizes
         n = sizes[number]
         at = np.arange(int(n.sum())) + np.repeat(begin[number] - (np.cumsum(n) - n), n)
@@ -394,15 +399,27 @@ class PieceEncoder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
-def encode_batches(data):
+def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> pa.Array:
+    ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+    offsets = np.zeros(len(n) + 1, np.int32)
+    offsets[1:] = np.cumsum(n)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+
+
+def decoded(encoder: PieceEncoder, column: pa.Array) -> pa.Array:
+    return pa.array([encoder.decode(ids or []) for ids in column.to_pylist()], pa.string())
+
+
+def encode_batches(data, back: bool):
+    """Adds ``ids``, and with ``back`` also ``decoded``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in slices(batches, "text", BATCH_BYTES):
             encoder = encoder or PieceEncoder(data.value)
-            ids, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            offsets = np.zeros(len(n) + 1, np.int32)
-            offsets[1:] = np.cumsum(n)
-            yield batch.append_column("ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
+            ids = encoded(encoder, batch)
+            batch = batch.append_column("ids", ids)
+            yield batch.append_column("decoded", decoded(encoder, ids)) if back else batch
 
     return run
 
@@ -410,11 +427,9 @@ def encode_batches(data):
 def decode_batches(data):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
+        for batch in slices(batches, "text", BATCH_BYTES):
             encoder = encoder or PieceEncoder(data.value)
-            column = batch.column("ids")
-            texts = [encoder.decode(column[i].as_py() or []) for i in range(batch.num_rows)]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            yield batch.append_column("decoded", decoded(encoder, batch.column("ids")))
 
     return run
 
@@ -427,7 +442,14 @@ def _model(df: DataFrame, path: str):
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, ids) for each row; the driver reads the model file."""
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(encode_batches(_model(df, model_path)), "doc_id bigint, text string, ids array<int>")
+    return texts.mapInArrow(encode_batches(_model(df, model_path), False), "doc_id bigint, text string, ids array<int>")
+
+
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, ids, decoded) for each row: ``encode`` and ``decode`` in one pass."""
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kinds = "doc_id bigint, text string, ids array<int>, decoded string"
+    return texts.mapInArrow(encode_batches(_model(df, model_path), True), kinds)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

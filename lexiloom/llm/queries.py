@@ -60,8 +60,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether decoding them gives the text back."""
-    path = vocabulary_path(PIECE_MODEL)
-    decoded = pieces.decode(pieces.encode(documents(spark, sf_dir), path), path)
+    decoded = pieces.round_trip(documents(spark, sf_dir), vocabulary_path(PIECE_MODEL))
     text = F.coalesce("text", F.lit(""))
     return decoded.select(
         "doc_id",

@@ -8,7 +8,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 import sentencepiece  # noqa: E402
 
 from lexiloom.llm import pieces  # noqa: E402
-from lexiloom.llm.pieces import PieceEncoder, decode, encode  # noqa: E402
+from lexiloom.llm.pieces import PieceEncoder, decode, encode, round_trip  # noqa: E402
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -112,6 +112,7 @@ def test_rows(docs, library):
     for r in got:
         text = "" if r.doc_id is None else TEXTS[r.doc_id]
         assert list(r.ids) == library.encode(text) and r.decoded == text
+    assert sorted(map(str, round_trip(docs(rows), PATH).collect())) == sorted(map(str, got))
 
 
 def test_empty_table_and_other_models(docs):
