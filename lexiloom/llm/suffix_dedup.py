@@ -418,7 +418,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"), text.alias("text")
     )
     unique = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    anchors = unique.select("k1", "k2", "text").mapInArrow(anchor_batches, ANCHORS)
+    # all readers take the same columns, else the shuffle of the texts could not be shared
+    anchors = unique.mapInArrow(anchor_batches, ANCHORS)
     salted = anchors.withColumn("salt", F.pmod(F.xxhash64("k1", "first"), F.lit(SALTS)).cast("int"))
     held = F.filter(
         F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1), s)) != 0
@@ -434,7 +435,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("h", "hot", "first", "n", "place")).alias("records"))
     )
-    met = unique.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "records")
+    met = unique.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "copies", "records")
     records = met.mapInArrow(record_batches, RECORDS)
     cold = records.where(~F.col("hot")).repartition("h").sortWithinPartitions("h").mapInArrow(shard_batches, SPANS)
     packed = f"part int, entries binary, spans array<struct<{SPANS.replace(' ', ':').replace(',:', ',')}>>"
