@@ -1,9 +1,13 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel of two words sums, over the subsequences of three letters that both hold, the products of their
-weights; an occurrence weighs ``DECAY`` to the power of the letters that it spans, up to ``SPAN``. So a word
-that is gapped or has letters inserted stays close to itself. Signs between letters are left out before, and
-runs of single letters are joined into one word.
+weights; an occurrence weighs ``DECAY`` to the power of the letters that it spans, up to ``SPAN``. Signs between
+letters are left out before, and runs of single letters are joined into one word; two to ``FRAGMENTS``
+neighbouring words of at most ``FRAGMENT`` letters also count as one word, besides each alone.
+
+That kernel falls with every inserted letter, so a second view, the share of a landmark's close triples that a
+word holds at any gaps within ``SPAN``, stands beside it: a letter between any or all letters of a landmark leaves
+that share at 1. The larger of both, the share taken ``INSERTED`` times, is the likeness.
 
 Landmarks are the word beginnings that are most unevenly divided between toxic and clean training texts,
 without those that are much like a better one; both ends of a word count as letters. A sentence is described by its largest kernel value with
@@ -13,7 +17,8 @@ most toxic one, chosen anew in each round. A text's score is the probability fit
 its sentences.
 
 Words are scored once per distinct word of a batch. The largest weight that any landmark gives a triple bounds
-them all, so only words above ``FLOOR`` are looked at in detail; words below count as unlike every landmark, in training too.
+them all, so only words above ``FLOOR`` are looked at in detail, and the same holds for shares and ``SHARE_FLOOR``;
+words below both count as unlike every landmark, in training too.
 
 Defined results: null and empty texts score like texts without any likeness; without usable labels of both
 kinds every score is 0; several labels of one id count as their smallest; equal rows get equal scores; an
@@ -40,6 +45,14 @@ ship(__name__)
 DECAY = 0.6
 SPAN = 7
 FLOOR = 0.5
+#: Letters of the triples of a landmark that make up its share: with a letter in every gap they span up to ``SPAN``.
+CLOSE = (SPAN + 1) // 2
+#: Least share of a landmark's close triples that counts, and what a full share is worth beside the word itself.
+SHARE_FLOOR = 0.6
+INSERTED = 0.95
+#: Letters of a fragment, and most neighbouring fragments that are joined.
+FRAGMENT = 4
+FRAGMENTS = 4
 #: Most landmarks, and the candidates that they are chosen from.
 LANDMARKS = 128
 CANDIDATES = 2048
@@ -59,6 +72,8 @@ TRAIN_ROWS = 4096
 #: Letters of a word that the kernel looks at once; longer words are cut with overlap.
 LONGEST = 18
 OVERLAP = 9
+#: The same for shares, so that the longest landmark with a letter in every gap is looked at whole.
+LONGEST_SPREAD = 2 * LONGEST
 #: The letter that marks both ends of a word.
 EDGE = 63
 ROUNDS = 3
@@ -106,12 +121,19 @@ class Landmarks:
         codes, at = np.unique(code, return_inverse=True)
         self.index = np.full(1 << 18, -1, np.int32)
         self.index[codes] = np.arange(len(codes))
+        self.known = self.index >= 0
         table = np.zeros((len(codes), len(words)))
         np.add.at(table, (at, who), weight)
         self.gram = table.T @ table
         self.table = table / np.maximum(self.gram.diagonal(), 1e-300)
         self.bound = np.zeros(1 << 18)
         self.bound[codes] = self.table.max(1, initial=0)
+        close = np.zeros_like(table)
+        near = weight > DECAY ** (CLOSE + 0.5)
+        np.maximum.at(close, (at[near], who[near]), weight[near])
+        self.close = close / np.maximum(close.sum(0), 1e-300)
+        self.share_bound = np.zeros(1 << 18)
+        self.share_bound[codes] = self.close.max(1, initial=0)
 
     def likeness(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The kernel of each span with each landmark, relative to the landmark's kernel with itself."""
@@ -123,6 +145,18 @@ class Landmarks:
             np.add.at(out, owner[at[some]], weight * self.table[row[some]])
         return out
 
+    def share(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The share of each landmark's close triples that each span holds, at any gaps; 0 below ``SHARE_FLOOR``."""
+        owner = np.repeat(np.arange(len(starts)), ends - starts)
+        held = [np.empty(0, np.int64)]
+        for at, code, _ in triples(letters, starts, ends):
+            some = self.share_bound[code] > 0
+            held.append(owner[at[some]] << 18 | code[some])
+        distinct = np.unique(np.concatenate(held))
+        out = np.zeros((len(starts), len(self.words)))
+        np.add.at(out, distinct >> 18, self.close[self.index[distinct & (1 << 18) - 1]])
+        return np.where(out >= SHARE_FLOOR, out, 0)
+
 
 def letter_words(column: pa.Array, codes: np.ndarray):
     """Letters of all words end to end, and start, end, row and sentence of each word.
@@ -154,13 +188,25 @@ def letter_words(column: pa.Array, codes: np.ndarray):
     return letters, starts[first], ends[last], owner[first], sentence[first]
 
 
-def pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fragments(starts: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(first words, number of words) of the runs of short neighbouring words of a sentence, a number at a time."""
+    short = ends - starts <= FRAGMENT
+    first = np.flatnonzero(short)
+    for more in range(1, FRAGMENTS):
+        first = first[first + more < len(starts)]
+        first = first[short[first + more] & (sentence[first + more] == sentence[first])]
+        yield first, more + 1
+
+
+def pieces(
+    starts: np.ndarray, ends: np.ndarray, longest: int = LONGEST, overlap: int = OVERLAP
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number, start and end of the words, the long ones cut into overlapping pieces."""
-    step = LONGEST - OVERLAP
-    n = np.maximum(1, -(-(ends - starts - OVERLAP) // step))
+    step = longest - overlap
+    n = np.maximum(1, -(-(ends - starts - overlap) // step))
     word = np.repeat(np.arange(len(starts)), n)
     first = starts[word] + step * (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n))
-    return word, first, np.minimum(first + LONGEST, ends[word])
+    return word, first, np.minimum(first + longest, ends[word])
 
 
 def spread_out(
@@ -182,17 +228,33 @@ def sentence_features(column: pa.Array, landmarks: Landmarks, codes: np.ndarray)
     letters, starts, ends, owner, sentence = letter_words(column, codes)
     if not len(starts):
         return nothing
-    _, first, number = np.unique(span_hashes(letters, starts, ends), return_index=True, return_inverse=True)
+    # the letters of neighbouring words are end to end, so joined words are spans too
+    spans = [(starts, ends, owner, sentence)]
+    spans += [
+        (starts[i], ends[i + n - 1], owner[i], sentence[i]) for i, n in fragments(starts, ends, sentence) if len(i)
+    ]
+    hashes = np.concatenate([span_hashes(letters, low, high) for low, high, _, _ in spans])
+    starts, ends, owner, sentence = (np.concatenate(c) for c in zip(*spans))
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
     flat, begin, upto = spread_out(letters, starts[first], ends[first], 1)
-    held = np.zeros(len(flat))
+    held, shared = np.zeros(len(flat)), np.zeros(len(flat))
     for at, code, weight in triples(flat, begin, upto):
+        some = landmarks.known[code]
+        at, code = at[some], code[some]
         held[at] += landmarks.bound[code] * weight
-    likely = np.flatnonzero(np.add.reduceat(held, begin) >= FLOOR)
+        shared[at] += landmarks.share_bound[code]
+    close = np.add.reduceat(held, begin) >= FLOOR
+    spread = np.add.reduceat(shared, begin) >= SHARE_FLOOR
+    likely = np.flatnonzero(close | spread)
     if not len(likely):
         return nothing
-    word, low, high = pieces(begin[likely], upto[likely])
     by_word = np.zeros((len(likely), len(landmarks.words)))
-    np.maximum.at(by_word, word, landmarks.likeness(*spread_out(flat, low, high)))
+    for some, view, worth, size in (
+        (close[likely], landmarks.likeness, 1, (LONGEST, OVERLAP)),
+        (spread[likely], landmarks.share, INSERTED, (LONGEST_SPREAD, LONGEST)),
+    ):
+        word, low, high = pieces(begin[likely[some]], upto[likely[some]], *size)
+        np.maximum.at(by_word, np.flatnonzero(some)[word], worth * view(*spread_out(flat, low, high)))
     slot = np.full(len(first), -1)
     slot[likely] = np.arange(len(likely))
     there = np.flatnonzero(slot[number] >= 0)

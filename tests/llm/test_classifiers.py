@@ -107,6 +107,52 @@ def test_inserted_letters_and_gaps_stay_close():
     assert 0.02 < out[4] < 0.99 and out[5] == 0
 
 
+def test_letters_in_all_gaps_and_split_words_stay_close():
+    texts = ["gxrxoxnxkxexl", "you mxorxon!", "mxoxrxoxn", "mo ron.", "a m o ro n", "mor\non", "stone mirror walls on"]
+    out = features(texts, ["gronkel", "moron"])
+    assert out[0, 0] > 0.75 and (out[1:4, 1] > 0.75).all() and out[4, 1] > 0.25
+    assert not out[5:].any() and out[0, 1] < 0.01 and out[1:, 0].max() < 0.01
+
+
+def test_share_equals_its_definition():
+    word = np.array([toxicity.EDGE, 7, 18, 15, 14, toxicity.EDGE], np.uint8)
+    wide = np.array([toxicity.EDGE, 7, 1, 18, 2, 15, 3, 14, toxicity.EDGE], np.uint8)
+
+    def held(w, most):
+        spans = [(i, j, k) for i in range(len(w)) for j in range(i) for k in range(j) if i - k < most]
+        return {(w[k], w[j], w[i]): toxicity.DECAY ** (i - k + 1) for i, j, k in sorted(spans, key=lambda s: s[2] - s[0])}
+
+    marks = Landmarks([word.tobytes()])
+    for other in (word, wide, wide[:-2], word[2:]):
+        close, there = held(word.tolist(), toxicity.CLOSE), held(other.tolist(), toxicity.SPAN)
+        share = sum(w for t, w in close.items() if t in there) / sum(close.values())
+        got = marks.share(other, np.array([0]), np.array([len(other)]))[0, 0]
+        assert np.isclose(got, share if share >= toxicity.SHARE_FLOOR else 0)
+    assert np.isclose(marks.share(wide, np.array([0]), np.array([len(wide)])), 1)
+
+
+def test_held_out_insults_with_filled_gaps_are_found(docs, labels):
+    rows, marks = corpus(800)
+    rude = {i for i, _, toxic in marks if toxic}
+    rng = random.Random(3)
+
+    def filled(word, gaps):
+        chosen = set(rng.sample(range(1, len(word)), min(gaps, len(word) - 1)))
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * (i in chosen) + c for i, c in enumerate(word))
+
+    def disguise(text, gaps):
+        return " ".join(filled(w, gaps) if w in ("gronkel", "brizzard", "flumpet") else w for w in text.split(" "))
+
+    table = list(rows)
+    for at, gaps in enumerate((1, 2, 99), 1):
+        table += [(i + 10000 * at, disguise(text, gaps)) for i, text in rows if i in rude]
+    got = toxicity.score(docs(table), labels(marks)).collect()
+    for at in (1, 2, 3):
+        found = [r.predicted for r in got if r.doc_id // 10000 == at]
+        assert len(found) > 150 and np.mean(found) > 0.95
+    assert np.mean([r.predicted for r in got if r.doc_id < 10000 and r.doc_id not in rude]) < 0.03
+
+
 def test_kernel_equals_its_definition():
     word = np.array([toxicity.EDGE, 7, 18, 15, 14, toxicity.EDGE], np.uint8)
 
