@@ -158,9 +158,12 @@ def cdf_draw_tempered(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def cdf_draw_weighted(spark: SparkSession, directory: str) -> DataFrame:
-    """Draws from a model in which every document weighs 1."""
-    counts = count_ngrams(_documents(spark, directory), "text", [ORDER], weighting="example")
-    return cdf_draw(counts).select("context").agg(F.count("*").alias("n_contexts"))
+    """Contexts whose draw, from a model in which every document weighs 1, is a token that follows them in the texts."""
+    docs = _documents(spark, directory)
+    drawn = cdf_draw(count_ngrams(docs, "text", [ORDER], weighting="example"))
+    seen = count_ngrams(docs, "text", [ORDER])
+    right = drawn.join(seen, ["model_order", "context", "next"], "left_semi")
+    return right.agg(F.count("*").alias("n_contexts"))
 
 
 def _hex_output(generated: DataFrame, key: str) -> DataFrame:

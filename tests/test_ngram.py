@@ -13,6 +13,7 @@ from lexiloom.operators.evaluate import sweep_summary
 from lexiloom.operators.generate import byte_prompts, free_prompts, generate, token_prompts
 from lexiloom.operators.ngram import Alphabet
 from lexiloom.operators.selection import batch_loss, best_model, eval_steps, improvements, selection_metric
+from lexiloom.plans import model_queries
 from lexiloom.plans.train import best_order, eval_log
 
 TEXTS = ["abab", "ba", "", "aé", "abcabc" * 20]
@@ -178,6 +179,14 @@ def test_draws_from_example_weights(spark):
     assert ngram.cdf_draw(model).count() == n
 
 
+@pytest.mark.parametrize("shift, wanted", [(0, 4), (1, 0)])
+def test_the_weighted_query_counts_only_draws_that_occur(spark, tmp_path, monkeypatch, shift, wanted):
+    spark.createDataFrame([(1, "adg"), (2, "adg")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    draw = lambda counts: ngram.cdf_draw(counts).withColumn("next", F.col("next") + shift)
+    monkeypatch.setattr(model_queries, "cdf_draw", draw)
+    assert model_queries.cdf_draw_weighted(spark, str(tmp_path)).first()["n_contexts"] == wanted
+
+
 def test_rounds_end_both_ways_to_generate(spark):
     model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2])
     prompts = byte_prompts(docs_of(spark, ["ab", "zz", "x" * 30, ""]), "doc_id", "text", 48)
