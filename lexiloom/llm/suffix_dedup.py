@@ -3,7 +3,9 @@
 Every position of a text at which ``LENGTH`` bytes fit is a suffix of that length. The least hash of the
 ``GRAM``-byte strings in it is its anchor; equal suffixes have equal anchors at equal places, so anchors cut
 the suffixes of the corpus into shards, and an anchor that occurs once proves that none of its suffixes
-repeats. Neighbouring suffixes of one anchor form a record, about 69 suffixes in 270 bytes.
+repeats. Neighbouring suffixes of one anchor form a record, about 69 suffixes in 270 bytes. Periodic text, where
+anchors recur at equal distances, is found as it is: each of its suffixes equals the one a period further, and
+only those of its first period become records, for others to be compared with.
 
 A shard's records are sorted by Spark, which spills to disk, and streamed through induction: the suffixes at
 the anchors are sorted first, with the common prefix of each pair of neighbours; then the order of the
@@ -42,13 +44,16 @@ HOT = 4096
 #: Keys that the records of one anchor are spread over while its repetitions are looked up.
 SALTS = 16
 PARTS = 512
-#: Text bytes that anchors are found in at once.
-SECTION = 1 << 20
-PLACE_BITS = 21
+#: Text bytes that anchors are found in at once, and those that a kernel takes from a batch.
+SECTION = 1 << 17
+SLICE = 1 << 20
+PLACE_BITS = 18
 #: Records whose suffixes are sorted together; a shard is never split.
 CHUNK = 1 << 14
+#: Records whose bytes are cut from their texts together.
+CUT = 1 << 12
 
-ANCHORS = "h bigint, k1 bigint, k2 bigint, first int, n int, place int"
+ANCHORS = "h bigint, k1 bigint, k2 bigint, first int, n int, place int, end int"
 SPANS = "k1 bigint, k2 bigint, start int, end int"
 RECORDS = "h bigint, hot boolean, k1 bigint, k2 bigint, first int, n int, place int, bytes binary"
 RESULTS = "k1 bigint, k2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -85,17 +90,52 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def periodic_zones(piece: np.ndarray, starts: np.ndarray, n: np.ndarray, at: np.ndarray, grams: np.ndarray, row: np.ndarray):
+    """Zones of periodic text among the records of a piece: (row, start, end) of each, and the records to keep.
+
+    Anchors of one hash at equal distances hint at a period, which is then verified on the bytes. A suffix of
+    a zone equals the one a period further or before, so the zone is covered as a whole, and the suffixes of its
+    first period are enough for others to be compared with.
+    """
+    step = np.diff(at)
+    alike = (row[1:] == row[:-1]) & (grams[at[1:]] == grams[at[:-1]]) & (starts[1:] == starts[:-1] + n[:-1])
+    goes_on = np.zeros(len(alike) + 1, bool)
+    goes_on[1:-1] = alike[1:] & alike[:-1] & (step[1:] == step[:-1])
+    # chains of equal steps, from the record where one opens to the one where the next step differs
+    opens = np.flatnonzero(alike & ~goes_on[:-1])
+    breaks = np.flatnonzero(~goes_on)
+    closes = breaks[np.searchsorted(breaks, opens, side="right")]
+    long = (step[opens] > 0) & (at[closes] + GRAM - at[opens] >= LENGTH + 2 * step[opens])
+    keep = np.ones(len(at), bool)
+    zones = []
+    for o, e in zip(opens[long], closes[long]):
+        low, high, period = int(at[o]), int(at[e]) + GRAM, int(step[o])
+        if (piece[low + period : high] != piece[low : high - period]).any():
+            continue
+        # as far as the bytes of these records go on alike to both sides
+        first, last = int(starts[o]), int(starts[e] + n[e]) - 1 + LENGTH
+        before = np.flatnonzero(piece[first:low] != piece[first + period : low + period])
+        low = first + int(before[-1]) + 1 if len(before) else first
+        after = np.flatnonzero(piece[high:last] != piece[high - period : last - period])
+        high = high + int(after[0]) if len(after) else last
+        zones.append((int(row[o]), low, high))
+        inside = slice(o, e + 1)
+        keep[inside] &= ~((starts[inside] >= low + period) & (starts[inside] + n[inside] - 1 <= high - LENGTH))
+    return zones, keep
+
+
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, hasher: Hasher):
-    """(anchor hash, row, first, n, place) of the records of all rows.
+    """(anchor hash, row, first, n, place, end) of the records of all rows, and of zones of periodic text.
 
-    ``first`` is the first of ``n`` suffixes in the row, ``place`` the anchor's distance from it.
+    ``first`` is the first of ``n`` suffixes in the row, ``place`` the anchor's distance from it, ``end`` 0. A
+    zone has its bounds as ``first`` and ``end``.
     """
     found = []
     fits = np.maximum(offsets[1:] - LENGTH + 1, offsets[:-1])
-    marks = np.zeros(len(data) + 1, np.int8)
+    marks = np.zeros(len(data) + 1, np.int32)
     np.add.at(marks, offsets[:-1], 1)
     np.add.at(marks, fits, -1)
-    valid = np.cumsum(marks[:-1]) > 0
+    valid = np.cumsum(marks[:-1], dtype=np.int32) > 0
     mask = np.uint64((1 << PLACE_BITS) - 1)
     for low in range(0, max(len(data) - LENGTH + 1, 0), SECTION):
         piece = data[low : low + SECTION + LENGTH - 1]
@@ -110,26 +150,35 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, hasher: Hasher):
             continue
         n = np.add.reduceat(inside.astype(np.int64), starts)
         row = np.searchsorted(offsets, starts + low, side="right") - 1
-        found.append((grams[anchor[starts]].astype(np.int64), row, starts + low - offsets[row], n, anchor[starts] - starts))
+        zones, keep = periodic_zones(piece, starts, n, anchor[starts], grams, row)
+        starts, n, row = starts[keep], n[keep], row[keep]
+        none = np.zeros(len(starts), np.int64)
+        found.append(
+            (grams[anchor[starts]].astype(np.int64), row, starts + low - offsets[row], n, anchor[starts] - starts, none)
+        )
+        if zones:
+            row, start, end = np.array(zones).T
+            none = np.zeros(len(zones), np.int64)
+            found.append((none, row, start + low - offsets[row], none, none, end + low - offsets[row]))
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none, none, none, none, none)
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (none,) * 6
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records of unique texts, without their bytes."""
+    """The records of unique texts, without their bytes, and their zones."""
     hasher = Hasher()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         data, offsets = text_bytes(batch.column("text"))
-        h, row, first, n, place = anchor_runs(data, offsets, hasher)
+        h, row, first, n, place, end = anchor_runs(data, offsets, hasher)
         rows = pa.array(row)
         columns = [pa.array(h), batch.column("k1").take(rows), batch.column("k2").take(rows)]
-        columns += [pa.array(c.astype(np.int32)) for c in (first, n, place)]
-        yield pa.RecordBatch.from_arrays(columns, ["h", "k1", "k2", "first", "n", "place"])
+        columns += [pa.array(c.astype(np.int32)) for c in (first, n, place, end)]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "k1", "k2", "first", "n", "place", "end"])
 
 
 def record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records with their bytes, from texts with their lists of repeated anchors."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         data, offsets = text_bytes(batch.column("text"))
         lists = batch.column("records")
         sizes = np.diff(lists.offsets.to_numpy())
@@ -137,8 +186,8 @@ def record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         row = np.repeat(np.arange(batch.num_rows), sizes)
         first, n = (entries.field(c).to_numpy().astype(np.int64) for c in ("first", "n"))
         lengths = n + LENGTH - 1
-        for low in range(0, len(row), CHUNK):
-            part = slice(low, low + CHUNK)
+        for low in range(0, len(row), CUT):
+            part = slice(low, low + CUT)
             size = lengths[part]
             upto = np.cumsum(size)
             at = np.arange(int(upto[-1])) + np.repeat(offsets[row[part]] + first[part] - (upto - size), size)
@@ -146,7 +195,7 @@ def record_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cut[1:] = upto
             held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cut), pa.py_buffer(data[at])])
             rows = pa.array(row[part])
-            chosen = entries.slice(low, CHUNK)
+            chosen = entries.slice(low, CUT)
             yield pa.RecordBatch.from_arrays(
                 [
                     chosen.field("h"),
@@ -419,8 +468,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     unique = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # all readers take the same columns, else the shuffle of the texts could not be shared
-    anchors = unique.mapInArrow(anchor_batches, ANCHORS)
-    salted = anchors.withColumn("salt", F.pmod(F.xxhash64("k1", "first"), F.lit(SALTS)).cast("int"))
+    anchors = stored(unique.mapInArrow(anchor_batches, ANCHORS), "anchors")
+    zones = anchors.where("end > 0").select("k1", "k2", F.col("first").alias("start"), "end")
+    salted = anchors.where("end = 0").drop("end").withColumn("salt", F.pmod(F.xxhash64("k1", "first"), F.lit(SALTS)).cast("int"))
     held = F.filter(
         F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.col("salts").bitwiseAND(F.call_function("shiftleft", F.lit(1), s)) != 0
     )
@@ -446,7 +496,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .sortWithinPartitions("part")
         .mapInArrow(part_batches, SPANS)
     )
-    cuts = cold.unionByName(hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cuts = cold.unionByName(hot).unionByName(zones).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     results = unique.join(cuts, ["k1", "k2"], "left").mapInArrow(result_batches, RESULTS)
     results = stored(results, "kept-texts")
     return texts.select("doc_id", "k1", "k2").join(results, ["k1", "k2"]).select(
