@@ -24,6 +24,19 @@ def legacy_sample(user: Column, assistant: Column) -> Column:
     return F.concat_ws(" ", F.lit(USER_TAG), user, F.lit(ASSISTANT_TAG), assistant, F.lit(END_TAG))
 
 
+# Stands for all that is between a prompt and its reply.
+TURN = "\x1f"
+
+
+def close_turn(text: Column) -> Column:
+    """A framed text whose tags between prompt and reply are one sign: ``TURN``, or ``IM_START`` in ``im`` frames.
+
+    A model of few tokens of context then sees the prompt's last words when it starts its reply.
+    """
+    legacy = F.regexp_replace(text, rf" ?\Q{ASSISTANT_TAG}\E ?", TURN)
+    return F.replace(legacy, F.lit(f"{IM_END}\n{IM_START}assistant\n"), F.lit(IM_START))
+
+
 def im_prompt(text: Column) -> Column:
     return F.concat(
         F.lit(f"{IM_START}user\n"), sanitize_unicode(text), F.lit(f"{IM_END}\n{IM_START}assistant\n")

@@ -1,20 +1,30 @@
-"""Batch generation: one token per round for every unfinished row of a prompt table."""
+"""Batch generation: one token per round for every unfinished row of a prompt table.
+
+A row's next token is drawn in the context of the longest suffix of its tokens that the model has seen. Models
+of up to ``KERNEL_ENTRIES`` entries travel to the tasks, which continue whole batches of rows. Larger ones stay
+tables, two levels deep: the suffixes of all lengths, each with the bounds of its blocks, and the blocks of at
+most ``BLOCK_ENTRIES`` tokens. A round probes the first table with all suffixes of the rows at once, keeps the
+longest that is there, and fetches the one block that the row's draw falls into.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.chat import END_TAG, legacy_prompt
-from lexiloom.functions.draws import bind
+from lexiloom.functions.chat import END_TAG, close_turn, legacy_prompt
 from lexiloom.functions.ids import tail_tokens
 from lexiloom.functions.text import byte_ids, byte_tail
-from lexiloom.operators.ngram import BROADCAST_ROWS, BYTES, Alphabet, cumulative, place_in, whole_counts
+from lexiloom.operators.kernels import continue_batches
+from lexiloom.operators.ngram import BYTES, Alphabet, cumulative, place_in, whole_counts
 from lexiloom.session import cut_lineage
 
-ROUNDS_PER_CUT = 8
+ROUNDS_PER_CUT = 2
+KERNEL_ENTRIES = 1 << 20
+BLOCK_ENTRIES = 256
+# Entries of the contexts of one length that are broadcast.
 HOT_ENTRIES = 1 << 18
 
 
@@ -23,9 +33,13 @@ def free_prompts(seeds: DataFrame, key: str, block: int) -> DataFrame:
     return seeds.select(key, F.array().cast("array<int>").alias("prompt"), F.lit(block).alias("budget"))
 
 
-def byte_prompts(prompts: DataFrame, key: str, text: str, block: int) -> DataFrame:
-    """Legacy-framed prompts, cut to their last ``block - 1`` bytes; the rest of a block is the budget."""
-    tail = byte_ids(byte_tail(legacy_prompt(F.col(text)), block - 1))
+def byte_prompts(prompts: DataFrame, key: str, text: str, block: int, closed: bool = False) -> DataFrame:
+    """Legacy-framed prompts, cut to their last ``block - 1`` bytes; the rest of a block is the budget.
+
+    With ``closed``, the tag between prompt and reply is one byte (see :func:`close_turn`).
+    """
+    frame = legacy_prompt(F.col(text))
+    tail = byte_ids(byte_tail(close_turn(frame) if closed else frame, block - 1))
     return prompts.select(key, tail.alias("prompt")).withColumn(
         "budget", F.lit(block - 1) - F.size("prompt")
     )
@@ -42,46 +56,6 @@ def token_prompts(prompts: DataFrame, key: str, tokens: str, block: int, max_new
     )
 
 
-def _contexts(counts: DataFrame, temperature: float) -> DataFrame:
-    """One row per context: its total weight and its tokens with their upper bounds, ascending."""
-    return (
-        cumulative(counts, temperature)
-        .groupBy("model_order", "context")
-        # at most one entry per id of the alphabet
-        .agg(
-            F.array_sort(F.collect_list(F.struct("hi", "next"))).alias("steps"),
-            F.max("hi").alias("total"),
-        )
-        .withColumn("cdf", F.struct("total", "steps"))
-        .drop("steps")
-    )
-
-
-def _lookup(state: DataFrame, table: DataFrame, order: int, alphabet: Alphabet, key: str) -> DataFrame:
-    """Add ``cdf_<order>``, the row's context in the model of that order, NULL if never seen."""
-    name = f"cdf_{order}"
-    context = F.col("context") % F.lit(alphabet.base ** (order - 1))
-    state = state.withColumn("_context", context)
-    if alphabet.base**order <= BROADCAST_ROWS:
-        small = table.select(F.col("context").alias("_context"), F.col("cdf").alias(name))
-        return state.join(F.broadcast(small), "_context", "left").drop("_context")
-    # contexts that hold a large share of the model are broadcast (at most HOT_ENTRIES entries in
-    # all); the others are joined by shuffle
-    share = max(1, HOT_ENTRIES // alphabet.base)
-    grand = table.agg(F.sum("total").alias("n")).scalar()
-    is_hot = F.col("total") * share >= grand
-    hot = table.where(is_hot).select(F.col("context").alias("_context"), F.col("cdf").alias("_hot"))
-    cold = table.where(~is_hot).select(F.col("context").alias("_cold_key"), F.col("cdf").alias("_cold"))
-    salt = -1 - F.pmod(F.xxhash64(key), F.lit(4096))
-    return (
-        state.join(F.broadcast(hot), "_context", "left")
-        .withColumn("_key", F.when(F.col("_hot").isNull(), F.col("_context")).otherwise(salt))
-        .join(cold, F.col("_key") == F.col("_cold_key"), "left")
-        .withColumn(name, F.coalesce("_hot", "_cold"))
-        .drop("_context", "_hot", "_cold", "_key", "_cold_key")
-    )
-
-
 def _pack(prompt: Column, order: int, alphabet: Alphabet) -> Column:
     """The last ``order - 1`` ids as one number, pads where the prompt is shorter."""
     padded = F.concat(F.array_repeat(F.lit(alphabet.pad), order - 1), prompt)
@@ -92,112 +66,80 @@ def _pack(prompt: Column, order: int, alphabet: Alphabet) -> Column:
     return F.aggregate(last, start, lambda acc, t: acc * alphabet.base + t)
 
 
-def _fold(
-    prompts: DataFrame,
-    key: str,
-    model: DataFrame,
-    order: int,
-    alphabet: Alphabet,
-    stop: int | None,
-    end_tag: list[int] | None,
-    seed: int | str,
-    whole: bool,
-) -> DataFrame:
-    """Generation with a model of order 1 or 2 that is small by construction: one pass, no join."""
-    by_context = (
-        model.where(F.col("model_order") == order)
-        .agg(F.map_from_entries(F.collect_list(F.struct("context", "cdf"))).alias("m"))
-        .select(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(alphabet.base - 1)),
-                lambda c: F.try_element_at("m", c.cast("bigint")),
-            ).alias("cdfs")
-        )
-        .scalar()
-    )
+def back_off_table(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two levels over cumulative entries: (model_order, context, n, bounds) and (model_order, context, block, steps).
 
-    def next_token(acc: Column, step: Column) -> Column:
-        at = F.concat(F.col(key).cast("string"), F.lit(":"), step.cast("string"))
-        return bind(
-            F.coalesce(F.get(F.col("_cdfs"), acc["context"]), F.col("_any")),
-            lambda cdf: bind(
-                place_in(cdf["total"], at, whole, seed),
-                lambda u: F.get(F.filter(cdf["steps"], lambda s: s["hi"] > u), F.lit(0))["next"],
-            ),
+    ``bounds`` are the upper ends of a context's blocks, ``steps`` the upper ends and tokens in one of them.
+    """
+    place = F.row_number().over(Window.partitionBy("model_order", "context").orderBy("next"))
+    placed = entries.withColumn("block", F.floor((place - 1) / BLOCK_ENTRIES).cast("int"))
+    blocks = cut_lineage(
+        placed.groupBy("model_order", "context", "block").agg(
+            # at most BLOCK_ENTRIES entries
+            F.array_sort(F.collect_list(F.struct("hi", "next"))).alias("steps"),
+            F.max("hi").alias("hi"),
+            F.sum("n").alias("n"),
         )
-
-    def advance(acc: Column, t: Column) -> Column:
-        longer = F.array_append(acc["out"], t)
-        stops = F.lit(False) if stop is None else t == stop
-        out = F.when(stops, acc["out"]).otherwise(longer)
-        done = stops
-        if end_tag is not None:
-            size = F.size(longer) - len(end_tag)
-            tagged = (size >= 0) & (tail_tokens(longer, len(end_tag)) == F.array(*map(F.lit, end_tag)))
-            out = F.when(tagged, F.slice(longer, F.lit(1), F.greatest(size, F.lit(0)))).otherwise(out)
-            done = stops | tagged
-        context = t if order == 2 else F.lit(0)
-        return F.struct(context.alias("context"), out.alias("out"), done.alias("done"))
-
-    start = F.struct(
-        _pack(F.col("prompt"), order, alphabet).cast("int").alias("context"),
-        F.array().cast("array<int>").alias("out"),
-        F.lit(False).alias("done"),
-    )
-    steps = F.when(F.col("budget") > 0, F.sequence(F.lit(0), F.col("budget") - 1)).otherwise(
-        F.array().cast("array<int>")
     )
-    written = F.aggregate(
-        steps,
-        start,
-        lambda acc, i: F.when(acc["done"], acc).otherwise(
-            bind(next_token(acc, i), lambda t: advance(acc, t))
-        ),
-        lambda acc: acc["out"],
-    )
-    return (
-        prompts.withColumns({"_cdfs": by_context, "_any": _unconditional(model)})
-        .select(key, written.alias("out"))
+    heads = blocks.groupBy("model_order", "context").agg(
+        # at most one bound per BLOCK_ENTRIES ids of the alphabet
+        F.array_sort(F.collect_list("hi")).alias("bounds"),
+        F.sum("n").alias("n"),
     )
+    return cut_lineage(heads), blocks.drop("hi", "n")
 
 
-def _unconditional(model: DataFrame) -> Column:
-    return model.where(F.col("model_order") == 1).agg(F.first("cdf").alias("cdf")).scalar()
+class _Table:
+    """A table of the model split once: the contexts that hold a large share of it, broadcast, and the others."""
 
+    def __init__(self, table: DataFrame, hot: DataFrame, keys: list[str], value: str):
+        names = ["model_order", "context"]
+        self.keys, self.value = keys, value
+        self.hot = cut_lineage(table.join(F.broadcast(hot), names, "left_semi").select(*keys, F.col(value).alias("_hot")))
+        cold = table.join(F.broadcast(hot), names, "left_anti")
+        self.cold = cut_lineage(cold.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.col(value).alias("_cold")))
 
-def generate(
+    def attach(self, rows: DataFrame, salt: str) -> DataFrame:
+        """Add ``value``, NULL where the keys are in neither part. Rows found in the hot part match nothing cold."""
+        apart = -1 - F.pmod(F.xxhash64(salt), F.lit(4096)).cast("int")
+        keyed = rows.join(F.broadcast(self.hot), self.keys, "left").withColumn(
+            "_order", F.when(F.col("_hot").isNull(), F.col("model_order")).otherwise(apart)
+        )
+        same = F.col("_order") == F.col("_cold_model_order")
+        for k in self.keys[1:]:
+            same = same & (F.col(k) == F.col(f"_cold_{k}"))
+        joined = keyed.join(self.cold, same, "left").withColumn(self.value, F.coalesce("_hot", "_cold"))
+        return joined.drop("_hot", "_cold", "_order", *[f"_cold_{k}" for k in self.keys])
+
+
+def _by_rounds(
     prompts: DataFrame,
     key: str,
-    counts: DataFrame,
+    entries: DataFrame,
     order: int,
     rounds: int,
-    alphabet: Alphabet = BYTES,
-    temperature: float = 1.0,
-    stop: int | None = None,
-    end_tag: list[int] | None = None,
-    seed: int | str = 42,
-    by_rounds: bool = False,
+    alphabet: Alphabet,
+    stop: int | None,
+    end_tag: list[int] | None,
+    seed: int | str,
+    whole: bool,
 ) -> DataFrame:
-    """Continue ``prompts(key, prompt, budget)``: (``key``, ``out`` ARRAY<INT>).
-
-    Each round draws the next token of all unfinished rows; a context that was never seen falls
-    back to a shorter one. A row ends at ``stop`` (not part of the output), when its output ends in
-    ``end_tag`` (cut off), or with its budget, or after ``rounds`` tokens. A model that is small by
-    construction is handled row by row, unless ``by_rounds`` asks for the joins.
-    """
-    alphabet.check(order)
-    prompts = prompts.withColumn("budget", F.least("budget", F.lit(rounds)))
-    whole = whole_counts(counts) and temperature == 1.0
-    stop = alphabet.end if stop is None else stop
-    wanted = counts.where(F.col("model_order") <= order)
-    model = cut_lineage(_contexts(wanted, temperature))
-    tables = {k: model.where(F.col("model_order") == k) for k in range(2, order + 1)}
-    if order <= 2 and alphabet.base**order <= BROADCAST_ROWS and not by_rounds:
-        return _fold(prompts, key, model, order, alphabet, stop, end_tag, seed, whole)
-    unconditional = _unconditional(model)
+    heads, blocks = back_off_table(entries)
+    share = max(1, HOT_ENTRIES // alphabet.base)
+    per_order = heads.groupBy("model_order").agg(F.sum("n").alias("grand"))
+    hot = heads.join(F.broadcast(per_order), "model_order").where(F.col("n") * share >= F.col("grand"))
+    hot = cut_lineage(hot.where("model_order > 1").select("model_order", "context"))
+    longer = F.col("model_order") > 1
+    head_table = _Table(heads.where(longer), hot, ["model_order", "context"], "bounds")
+    # the shortest context is every row's last resort: its bounds are one value, its blocks count as hot
+    any_bounds = heads.where(~longer).agg(F.first("bounds").alias("bounds")).scalar()
+    shortest = heads.where(~longer).select("model_order", "context")
+    block_table = _Table(blocks, hot.unionByName(shortest), ["model_order", "context", "block"], "steps")
+    bases = F.array(*[F.lit(alphabet.base ** (k - 1)).cast("bigint") for k in range(1, order + 1)])
+    lengths = F.sequence(F.lit(2), F.lit(order)) if order > 1 else F.array().cast("array<int>")
     state = prompts.select(
         key,
-        _pack(F.col("prompt"), order, alphabet).alias("context"),
+        _pack(F.col("prompt"), order, alphabet).alias("full"),
         F.array().cast("array<int>").alias("out"),
         "budget",
         (F.col("budget") <= 0).alias("done"),
@@ -205,25 +147,36 @@ def generate(
     tag = None if end_tag is None else F.array(*[F.lit(t) for t in end_tag])
     finished = []
     for step in range(rounds):
-        for k in range(order, 1, -1):
-            state = _lookup(state, tables[k], k, alphabet, key)
-        known = [F.col(f"cdf_{k}") for k in range(order, 1, -1)]
-        state = state.withColumn("_cdf", F.coalesce(*known, unconditional))
-        u = place_in(F.col("_cdf.total"), F.concat(F.col(key).cast("string"), F.lit(f":{step}")), whole, seed)
-        above = F.filter(F.col("_cdf.steps"), lambda s: s["hi"] > F.col("_u"))
-        state = state.withColumn("_u", u).withColumn("_t", F.get(above, F.lit(0))["next"])
+        # the suffixes of all lengths, and the longest that the model has seen
+        probes = state.withColumn("model_order", F.explode_outer(F.when(~F.col("done"), lengths)))
+        probes = probes.withColumn("context", F.col("full") % F.element_at(bases, F.coalesce("model_order", F.lit(1))))
+        found = head_table.attach(probes, key)
+        hit = F.struct("model_order", "context", "bounds")
+        longest = F.max_by(hit, F.when(F.col("bounds").isNotNull(), F.col("model_order"))).alias("hit")
+        state = found.groupBy(key, "full", "out", "budget", "done").agg(longest)
+        bounds = F.coalesce("hit.bounds", any_bounds)
+        at = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{step}"))
+        state = state.withColumn("_bounds", bounds).withColumns(
+            {
+                "model_order": F.coalesce("hit.model_order", F.lit(1)),
+                "context": F.coalesce("hit.context", F.lit(0).cast("bigint")),
+                "_u": place_in(F.element_at("_bounds", -1), at, whole, seed),
+            }
+        )
+        below = F.filter("_bounds", lambda hi: hi <= F.col("_u"))
+        state = block_table.attach(state.withColumn("block", F.size(below)), key)
+        above = F.filter("steps", lambda s: s["hi"] > F.col("_u"))
+        state = state.withColumn("_t", F.get(above, F.lit(0))["next"])
         stops = F.lit(False) if stop is None else F.col("_t") == stop
-        longer = F.array_append("out", F.col("_t"))
-        state = state.withColumn("_out", F.when(F.col("done") | stops, F.col("out")).otherwise(longer))
+        longer_out = F.array_append("out", F.col("_t"))
+        state = state.withColumn("_out", F.when(F.col("done") | stops, F.col("out")).otherwise(longer_out))
         tagged = F.lit(False)
         if tag is not None:
             size = len(end_tag)
             tagged = ~F.col("done") & (F.slice(tail_tokens(F.col("_out"), size), 1, size) == tag)
         state = state.select(
             key,
-            ((F.col("context") * alphabet.base + F.col("_t")) % F.lit(alphabet.base ** (order - 1))).alias(
-                "context"
-            ),
+            ((F.col("full") * alphabet.base + F.col("_t")) % F.lit(alphabet.base ** (order - 1))).alias("full"),
             F.when(tagged, F.slice("_out", F.lit(1), F.size("_out") - len(end_tag or [])))
             .otherwise(F.col("_out"))
             .alias("out"),
@@ -239,4 +192,42 @@ def generate(
     return reduce(DataFrame.unionByName, [*finished, state.select(key, "out")])
 
 
+def generate(
+    prompts: DataFrame,
+    key: str,
+    counts: DataFrame,
+    order: int,
+    rounds: int,
+    alphabet: Alphabet = BYTES,
+    temperature: float = 1.0,
+    stop: int | None = None,
+    end_tag: list[int] | None = None,
+    seed: int | str = 42,
+    by_rounds: bool = False,
+) -> DataFrame:
+    """Continue ``prompts(key, prompt, budget)``: (``key``, ``out`` ARRAY<INT>). Keys are unique.
+
+    A context that was never seen falls back to a shorter one. A row ends at ``stop`` (not part of the
+    output), when its output ends in ``end_tag`` (cut off), or with its budget, or after ``rounds`` tokens.
+    The size of the model decides how, unless ``by_rounds`` asks for the joins; the draws are the same.
+    """
+    alphabet.check(order)
+    prompts = prompts.withColumn("budget", F.least("budget", F.lit(rounds)))
+    whole = whole_counts(counts) and temperature == 1.0
+    stop = alphabet.end if stop is None else stop
+    wanted = counts.where(F.col("model_order") <= order)
+    entries = cut_lineage(cumulative(wanted, temperature).select("model_order", "context", "next", "n", "hi"))
+    size = entries.count()
+    if size == 0:
+        return prompts.select(key, F.array().cast("array<int>").alias("out"))
+    if by_rounds or size > KERNEL_ENTRIES:
+        return _by_rounds(prompts, key, entries, order, rounds, alphabet, stop, end_tag, seed, whole)
+    model = entries.drop("n").orderBy("model_order", "context", "next").toArrow()
+    kind = prompts.schema[key].dataType.simpleString()
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = prompts.select(F.col(key).alias("key"), name.alias("name"), _pack(F.col("prompt"), order, alphabet).alias("full"), "budget")
+    kernel = continue_batches(model, order, alphabet.base, stop, end_tag, seed, whole)
+    return rows.mapInArrow(kernel, f"key {kind}, out array<int>").withColumnRenamed("key", key)
+
+
 END_TAG_BYTES = list(END_TAG.encode())

@@ -5,7 +5,8 @@ Each kernel reduces its batch to distinct keys, so that only pre-aggregated rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -186,3 +187,93 @@ def byte_count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             ],
             ["grp", "byte", "n"],
         )
+
+
+class ContextModel:
+    """Cumulative entries of all orders: per order the sorted contexts, and where each one's entries begin."""
+
+    def __init__(self, entries: pa.Table):
+        orders, contexts = (entries.column(c).to_numpy() for c in ("model_order", "context"))
+        self.hi, self.next = entries.column("hi").to_numpy(), entries.column("next").to_numpy()
+        self.by_order = {}
+        new = np.ones(len(orders), bool)
+        new[1:] = (orders[1:] != orders[:-1]) | (contexts[1:] != contexts[:-1])
+        begins = np.flatnonzero(new)
+        ends = np.append(begins[1:], len(orders))
+        for k in np.unique(orders).tolist():
+            own = orders[begins] == k
+            self.by_order[k] = (contexts[begins[own]], begins[own], ends[own])
+
+    def longest(self, full: np.ndarray, order: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the entries of each row's longest suffix that is there."""
+        begin, end = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
+        for k in range(order, 0, -1):
+            contexts, begins, ends = self.by_order.get(k, (np.empty(0, np.int64),) * 3)
+            rows = np.flatnonzero(end == begin)
+            if not len(contexts) or not len(rows):
+                continue
+            sought = full[rows] % base ** (k - 1)
+            at = np.minimum(np.searchsorted(contexts, sought), len(contexts) - 1)
+            rows, at = rows[contexts[at] == sought], at[contexts[at] == sought]
+            begin[rows], end[rows] = begins[at], ends[at]
+        return begin, end
+
+    def pick(self, begin: np.ndarray, end: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The token of the first entry above each row's place, by halving all ranges at once."""
+        low, high = begin.copy(), end - 1
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            above = self.hi[middle] > places
+            high = np.where(open_ & above, middle, high)
+            low = np.where(open_ & ~above, middle + 1, low)
+        return self.next[low]
+
+
+def drawn_places(names: list[str], step: int, totals: list, whole: bool, seed: int | str) -> list:
+    """Where each row's draw falls, as ``place_in`` says."""
+    places = []
+    for name, total in zip(names, totals):
+        digest = hashlib.md5(f"{seed}:{name}:{step}".encode()).hexdigest()
+        if whole:
+            places.append(int(digest[: 8 if total <= 1 << 24 else 15], 16) % total)
+        else:
+            places.append(int(digest[:13], 16) / float(1 << 52) * total)
+    return places
+
+
+def continue_batches(
+    entries: pa.Table, order: int, base: int, stop: int | None, end_tag: list[int] | None, seed: int | str, whole: bool
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, out): rows of (key, name, full, budget) continued token by token, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ContextModel(entries)
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            full = batch.column("full").to_numpy().copy()
+            budget = batch.column("budget").to_numpy(zero_copy_only=False)
+            out: list[list[int]] = [[] for _ in names]
+            active = np.flatnonzero(budget > 0)
+            step = 0
+            while len(active):
+                begin, end = model.longest(full[active], order, base)
+                totals = model.hi[end - 1].tolist()
+                places = drawn_places([names[i] for i in active], step, totals, whole, seed)
+                tokens = model.pick(begin, end, np.array(places, model.hi.dtype))
+                full[active] = (full[active] * base + tokens) % base ** (order - 1)
+                step += 1
+                goes_on = np.ones(len(active), bool)
+                for j, (i, token) in enumerate(zip(active.tolist(), tokens.tolist())):
+                    if token == stop:
+                        goes_on[j] = False
+                        continue
+                    out[i].append(token)
+                    if end_tag and out[i][-len(end_tag) :] == end_tag:
+                        del out[i][-len(end_tag) :]
+                        goes_on[j] = False
+                    elif step >= budget[i]:
+                        goes_on[j] = False
+                active = active[goes_on]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "out"])
+
+    return run

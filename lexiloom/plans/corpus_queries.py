@@ -354,27 +354,28 @@ _VOCAB = "SELECT b, (row_number() OVER (ORDER BY b) - 1)::INT AS id FROM (SELECT
 # Look-ahead-free form of the split pattern: a mark before the last blank of each run that a
 # non-blank follows stands in for the look-ahead.
 _S = r"\t-\r\x{85}\p{Z}"
-_MARKED = f"regexp_replace(text, '([{_S}][^{_S}])', chr(31) || '\\1', 'g')"
-_PIECES = rf"'''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+'"
+MARKED = f"regexp_replace(text, '([{_S}][^{_S}])', chr(31) || '\\1', 'g')"
+PIECES = rf"'''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+'"
 _WORDS = f"""
   SELECT word, count(*) AS n FROM (
-    SELECT unnest(regexp_extract_all(piece, {_PIECES})) AS word
-    FROM (SELECT unnest(string_split({_MARKED}, chr(31))) AS piece FROM documents))
+    SELECT unnest(regexp_extract_all(piece, {PIECES})) AS word
+    FROM (SELECT unnest(string_split({MARKED}, chr(31))) AS piece FROM documents))
   GROUP BY word"""
 
 _FIRST = len(bpe.SPECIAL_TOKENS)
 _IDS = ", ".join(f"('{b:02X}', {i})" for i, b in enumerate(bpe.byte_order(), _FIRST))
 
 
-def learned_sql(merges: int) -> str:
-    """CTEs: ``learning`` holds the words of the conversations after each merge, one at a time."""
+def learned_sql(merges: int, words: str = "", before: str = "") -> str:
+    """CTEs: ``learning`` holds the words after each merge, one at a time; by default those of the conversations."""
+    words = words or _WORDS.replace("FROM documents", "FROM conversations")
     at = f"{bpe.SYMBOL_BASE} + {_FIRST + 256}"
     return f"""
-      WITH RECURSIVE bytes(h, id) AS (VALUES {_IDS}),
+      WITH RECURSIVE {before} bytes(h, id) AS (VALUES {_IDS}),
       spelled AS MATERIALIZED (
         SELECT word, n, string_agg(chr({bpe.SYMBOL_BASE} + id), '' ORDER BY pos) AS s
         FROM (SELECT word, n, unnest(l) AS h, unnest(range(len(l))) AS pos
-              FROM (SELECT word, n, {sql.hexes('word')} AS l FROM ({_WORDS.replace("FROM documents", "FROM conversations")})))
+              FROM (SELECT word, n, {sql.hexes('word')} AS l FROM ({words})))
         JOIN bytes USING (h) GROUP BY word, n),
       learning AS (
         SELECT 0 AS step, word, s, n, '' AS pair, 0::BIGINT AS pair_n FROM spelled
@@ -458,9 +459,9 @@ ORACLE = {
       FROM learning WHERE step > 0""",
     "bpe_encode": learned_sql(FEW_MERGES) + f""",
       pieces AS (SELECT conv_id, turn, unnest(l) AS piece, unnest(range(len(l))) AS piece_no
-                 FROM (SELECT conv_id, turn, string_split({_MARKED}, chr(31)) AS l FROM conversations)),
+                 FROM (SELECT conv_id, turn, string_split({MARKED}, chr(31)) AS l FROM conversations)),
       placed AS (SELECT conv_id, turn, piece_no, unnest(l) AS word, unnest(range(len(l))) AS word_no
-                 FROM (SELECT conv_id, turn, piece_no, regexp_extract_all(piece, {_PIECES}) AS l FROM pieces)),
+                 FROM (SELECT conv_id, turn, piece_no, regexp_extract_all(piece, {PIECES}) AS l FROM pieces)),
       symbols AS (SELECT conv_id, turn, piece_no, word_no, unnest(range(1, length(s) + 1)) AS char_no, s
                   FROM placed JOIN learning USING (word) WHERE step = {FEW_MERGES})
       SELECT conv_id, turn, count(*) AS n_tokens,

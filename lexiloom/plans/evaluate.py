@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.chat import IM_END, clean_reply, im_prompt
+from lexiloom.functions.chat import IM_END, clean_reply, close_turn, im_prompt
 from lexiloom.operators.bpe import Tokenizer
 from lexiloom.operators.evaluate import score_replies
 from lexiloom.operators.generate import generate, token_prompts
@@ -30,8 +30,11 @@ def answer(
     temperature: float = 0.7,
     seed: int = 42,
 ) -> DataFrame:
-    """Frame, encode, continue, decode and clean: (``key``, reply)."""
-    framed = prompts.select(key, im_prompt(F.col(text)).alias("framed"))
+    """Frame, encode, continue, decode and clean: (``key``, reply).
+
+    ``counts`` are of samples whose turns are closed (:func:`close_turn`), as the prompts' are here.
+    """
+    framed = prompts.select(key, close_turn(im_prompt(F.col(text))).alias("framed"))
     tokens = tokenizer.encode(framed, "framed")
     out = generate(
         token_prompts(tokens, key, "tokens", block, max_new),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.functions.chat import close_turn, legacy_sample
 from lexiloom.functions.text import byte_ids, byte_tail
+from lexiloom.operators import bpe
 from lexiloom.operators.bpe import learn
 from lexiloom.operators.generate import END_TAG_BYTES, byte_prompts, free_prompts, generate
 from lexiloom.operators.ngram import (
@@ -23,7 +25,7 @@ from lexiloom.operators.order import draw_rows, split_tail
 from lexiloom.operators.selection import batch_loss, best_model, eval_steps, improvements
 from lexiloom.operators.evaluate import sweep_summary
 from lexiloom.plans import sql
-from lexiloom.plans.corpus_queries import byte_stream_sql, drawn_windows
+from lexiloom.plans.corpus_queries import MARKED, PIECES, byte_stream_sql, drawn_windows, learned_sql
 from lexiloom.plans.evaluate import answer, token_alphabet
 from lexiloom.plans.prepare import framed
 from lexiloom.plans.train import CHAT_BLOCK, best_order, eval_log
@@ -42,6 +44,9 @@ PROMPT_BLOCK = 448
 PROBE_WINDOW = 64
 PROMPT_MERGES = 64
 PROMPT_TAIL = 63
+# Orders whose contexts hold the sign between prompt and reply and the prompt's last bytes or tokens.
+CHAT_ORDERS = [1, 2, 3, 4, 5]
+TOKEN_ORDERS = [1, 2, 3, 4]
 FEW_TOKENS = 12
 
 
@@ -158,12 +163,12 @@ def cdf_draw_tempered(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def cdf_draw_weighted(spark: SparkSession, directory: str) -> DataFrame:
-    """Contexts whose draw, from a model in which every document weighs 1, is a token that follows them in the texts."""
-    docs = _documents(spark, directory)
-    drawn = cdf_draw(count_ngrams(docs, "text", [ORDER], weighting="example"))
-    seen = count_ngrams(docs, "text", [ORDER])
-    right = drawn.join(seen, ["model_order", "context", "next"], "left_semi")
-    return right.agg(F.count("*").alias("n_contexts"))
+    """One draw per context, from a model in which every document weighs 1.
+
+    Weights are rounded to 9 digits, so that the order in which a sum was formed moves no draw.
+    """
+    weights = count_ngrams(_documents(spark, directory), "text", [ORDER], weighting="example")
+    return cdf_draw(weights.withColumn("n", F.round("n", 9))).select("model_order", "context", "next")
 
 
 def _hex_output(generated: DataFrame, key: str) -> DataFrame:
@@ -182,11 +187,16 @@ def generate_free(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def generate_prompted(spark: SparkSession, directory: str) -> DataFrame:
-    """Continuations of all benchmark texts as chat prompts."""
-    counts = count_ngrams(_documents(spark, directory), "text", [1, 2])
-    prompts = byte_prompts(table(spark, directory, "benchmark"), "item_id", "text", PROMPT_BLOCK)
+    """Replies to all benchmark texts as chat prompts, from a model of the framed turns.
+
+    The tags between prompt and reply are one byte, so the prompt's last bytes are in the reply's context.
+    """
+    pairs = chat_pairs(table(spark, directory, "conversations"))
+    samples = pairs.select(close_turn(legacy_sample(F.col("input"), F.col("output"))).alias("text"))
+    counts = count_ngrams(samples, "text", CHAT_ORDERS)
+    prompts = byte_prompts(table(spark, directory, "benchmark"), "item_id", "text", PROMPT_BLOCK, closed=True)
     out = generate(
-        prompts, "item_id", counts, ORDER, PROMPT_BLOCK, temperature=TEMPERATURE, end_tag=END_TAG_BYTES
+        prompts, "item_id", counts, CHAT_ORDERS[-1], PROMPT_BLOCK, temperature=TEMPERATURE, end_tag=END_TAG_BYTES
     )
     return _hex_output(out, "item_id")
 
@@ -205,12 +215,13 @@ def generate_order3(spark: SparkSession, directory: str) -> DataFrame:
 def answer_prompts(spark: SparkSession, directory: str) -> DataFrame:
     """Replies to all user turns from a token model of the chat samples: frame, encode, continue, clean."""
     turns = table(spark, directory, "conversations")
-    samples = framed(chat_pairs(turns)).select("sample")
+    samples = framed(chat_pairs(turns)).select(close_turn(F.col("sample")).alias("sample"))
     tokenizer = learn(samples, "sample", len(SPECIAL_TOKENS) + 256 + PROMPT_MERGES)
     encoded = tokenizer.encode(samples, "sample")
-    counts = count_ngrams(encoded, "tokens", [1, 2], token_alphabet(tokenizer))
-    prompts = turns.where(F.col("role") == "user").select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), "text")
-    return answer(prompts, "prompt_id", "text", tokenizer, counts, ORDER, block=2 * CHAT_BLOCK)
+    counts = count_ngrams(encoded, "tokens", TOKEN_ORDERS, token_alphabet(tokenizer))
+    prompts = turns.where((F.col("role") == "user") & F.col("text").isNotNull())
+    prompts = prompts.select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), "text")
+    return answer(prompts, "prompt_id", "text", tokenizer, counts, TOKEN_ORDERS[-1], block=2 * CHAT_BLOCK)
 
 
 def sweep_query(spark: SparkSession, directory: str) -> DataFrame:
@@ -308,61 +319,141 @@ def _tempered(n: str = "n") -> str:
     return f"exp((ln({n}::DOUBLE) - max(ln({n}::DOUBLE)) OVER (PARTITION BY context)) / {TEMPERATURE}::DOUBLE)"
 
 
-def _walk(key: str, prompts: str, weight: str, tag: str | None, kind: str = "BIGINT") -> str:
-    """Continue ``prompts(key, last, budget)`` at order 2, one byte per recursion."""
+def _walk(
+    key: str,
+    prompts: str,
+    orders: list[int],
+    kind: str = "DOUBLE",
+    base: int = 257,
+    stop: int = 256,
+    piece: str = "upper(lpad(hex(next), 2, '0'))",
+    tag: str | None = None,
+    seed: str = "42",
+) -> str:
+    """Continue ``prompts(key, ids, budget)`` in the longest contexts seen, one token per recursion.
+
+    ``ids`` packs the last ids, ``piece`` is what a token adds to the output ``done_out``.
+    """
+    last = orders[-1]
     at = f"{key} || ':' || step"
-    u = sql.draw(at, "whole") if kind == "BIGINT" else f"{sql.fraction(at)} * whole"
-    ended = f"right(out_hex || upper(lpad(hex(next), 2, '0')), {len(tag or '')}) = '{tag}'" if tag else "false"
+    place = sql.draw(at, "whole", seed) if kind == "BIGINT" else f"{sql.fraction(at, seed)} * whole"
+    ended = f"right(o || {piece}, {len(tag)}) = '{tag}'" if tag else "false"
+    models = " UNION ALL ".join(f"SELECT {k} AS k, context, next, n FROM model{k}" for k in orders)
+    peak = "max(ln(n::DOUBLE)) OVER (PARTITION BY k, context)"
+    weight = "n" if kind == "BIGINT" else f"exp((ln(n::DOUBLE) - {peak}) / {TEMPERATURE}::DOUBLE)"
+    whole = ", ".join(f"t{k}.whole" for k in reversed(orders))
+    found = " ".join(f"WHEN t{k}.whole IS NOT NULL THEN {k}" for k in reversed(orders))
+    cut = " ".join(f"WHEN t{k}.whole IS NOT NULL THEN w.f % {base ** (k - 1)}" for k in reversed(orders))
+    joins = " ".join(f"LEFT JOIN totals t{k} ON t{k}.k = {k} AND t{k}.context = w.f % {base ** (k - 1)}" for k in orders)
     return f"""
-      weighted AS (SELECT context, next, {weight} AS w FROM (
-        SELECT context, next, n, total FROM model2 UNION ALL SELECT -1, next, n, total FROM model1)),
+      weighted AS (SELECT k, context, next, {weight} AS w FROM ({models})),
+      sums AS (SELECT k, context, next, sum(w) OVER (PARTITION BY k, context ORDER BY next)::{kind} AS hi FROM weighted),
       cdf AS MATERIALIZED (
-        SELECT context, next, hi, coalesce(lag(hi) OVER c, 0)::{kind} AS lo, max(hi) OVER (PARTITION BY context) AS whole
-        FROM (SELECT context, next, sum(w) OVER c::{kind} AS hi FROM weighted WINDOW c AS (PARTITION BY context ORDER BY next))
-        WINDOW c AS (PARTITION BY context ORDER BY next)),
-      totals AS MATERIALIZED (SELECT DISTINCT context, whole FROM cdf),
+        SELECT k, context, next, hi, coalesce(lag(hi) OVER (PARTITION BY k, context ORDER BY next), 0)::{kind} AS lo FROM sums),
+      totals AS MATERIALIZED (SELECT k, context, max(hi) AS whole FROM cdf GROUP BY k, context),
       walk AS (
-        SELECT {key}, 0 AS step, CASE WHEN last IN (SELECT context FROM totals) THEN last ELSE -1 END AS context, '' AS out_hex, budget, budget <= 0 AS done FROM ({prompts})
+        SELECT {key}, 0 AS step, ids AS f, '' AS o, budget, budget <= 0 AS done FROM ({prompts}) p("{key}", ids, budget)
         UNION ALL
-        SELECT {key}, step + 1, next,
-          CASE WHEN next = 256 THEN out_hex WHEN {ended} THEN left(out_hex, length(out_hex) + 2 - {len(tag or '')})
-               ELSE out_hex || upper(lpad(hex(next), 2, '0')) END,
-          budget, next = 256 OR {ended} OR step + 1 >= budget
-        FROM (SELECT *, {u} AS u FROM walk JOIN totals USING (context) WHERE NOT done) w
-        JOIN cdf ON cdf.context = w.context AND lo <= u AND u < hi)
-      SELECT {key}, length(out_hex) // 2 AS n_generated, out_hex FROM walk WHERE done"""
+        SELECT {key}, step + 1, (f * {base} + next) % {base ** (last - 1)},
+          CASE WHEN next = {stop} THEN o WHEN {ended} THEN left(o || {piece}, length(o || {piece}) - {len(tag or '')}) ELSE o || {piece} END,
+          budget, next = {stop} OR {ended} OR step + 1 >= budget
+        FROM (
+          SELECT x.*, {place} AS u FROM (
+            SELECT w.*, coalesce({whole}) AS whole, CASE {found} END AS k, CASE {cut} END AS context
+            FROM walk w {joins} WHERE NOT done) x) y
+        JOIN cdf ON cdf.k = y.k AND cdf.context = y.context AND lo <= u AND u < hi),
+      walked AS (SELECT {key}, o AS done_out FROM walk WHERE done)"""
 
 
-def _walk3() -> str:
-    """Continue the benchmark texts at order 3, falling back to shorter contexts, one byte per recursion."""
-    return f"""
-      weighted AS (
-        SELECT k, context, next, exp((ln(n::DOUBLE) - max(ln(n::DOUBLE)) OVER (PARTITION BY k, context)) / {TEMPERATURE}::DOUBLE) AS w
-        FROM (SELECT 3 AS k, context, next, n FROM model3 UNION ALL SELECT 2, context, next, n FROM model2
-              UNION ALL SELECT 1, context, next, n FROM model1)),
-      sums AS (SELECT k, context, next, sum(w) OVER (PARTITION BY k, context ORDER BY next) AS hi FROM weighted),
-      cdf AS MATERIALIZED (
-        SELECT k, context, next, hi, coalesce(lag(hi) OVER (PARTITION BY k, context ORDER BY next), 0) AS lo FROM sums),
-      totals AS MATERIALIZED (SELECT k, context, max(hi) AS whole FROM cdf GROUP BY k, context),
-      walk AS (
-        SELECT item_id, 0 AS step, ('0x' || substr(f, 1, 2))::BIGINT AS a, ('0x' || substr(f, 3, 2))::BIGINT AS b,
-               '' AS out_hex, false AS done
-        FROM (SELECT item_id, right(hex(encode(text)), 4) AS f FROM benchmark)
-        UNION ALL
-        SELECT item_id, step + 1, b, next, CASE WHEN next = 256 THEN out_hex ELSE out_hex || upper(lpad(hex(next), 2, '0')) END,
-               next = 256 OR step + 1 >= {FEW_TOKENS}
+def _packed(hexes: str, order: int) -> str:
+    """The last bytes of a hex text in base 257; 256 where there are none."""
+    digit = lambda j: f"coalesce(try_cast('0x' || nullif(substr({hexes}, -{2 * j}, 2), '') AS BIGINT), 256)"
+    known = lambda j: f"CASE WHEN length({hexes}) >= {2 * j} THEN {digit(j)} ELSE 256 END"
+    return " + ".join(f"{known(j)} * {257 ** (j - 1)}" for j in range(1, order)) or "0"
+
+
+_HEX_WALK = "SELECT {key}, length(done_out) // 2 AS n_generated, done_out AS out_hex FROM walked"
+
+
+def _close(text: str) -> str:
+    return f"regexp_replace({text}, ' ?<\\|assistant\\|> ?', chr(31), 'g')"
+
+
+def _answers() -> str:
+    """Replies to the user turns: merges learned on the samples, all texts encoded, the model walked, its output decoded."""
+    specials = {t: i for i, t in enumerate(SPECIAL_TOKENS)}
+    base, block = len(specials) + 256 + PROMPT_MERGES, 2 * CHAT_BLOCK
+    closed = lambda x: f"replace({x}, '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10), '<|im_start|>')"
+    prompt = (
+        f"'<|im_start|>user' || chr(10) || {sql.strip('lower(' + sql.spaced('text') + ')')} || "
+        "'<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+    )
+    parts = "flatten(list_transform(string_split({marked}, chr(31)), lambda x: regexp_extract_all(x, {pieces})))"
+    learn = parts.format(marked=MARKED, pieces=PIECES)
+    encode = parts.format(marked=MARKED.replace("(text,", "(piece,"), pieces=PIECES)
+    tags = "|".join(t.replace("|", "\\|") for t in specials)
+    kinds = " ".join(f"WHEN '{t}' THEN {i}" for t, i in specials.items())
+    before = f"""
+      texts AS MATERIALIZED (
+        SELECT 's' AS kind, conv_id || '-' || turn AS id, {closed(sql.im(sql.normalize('input'), sql.normalize('output')))} AS text FROM ({sql.PAIRS})
+        UNION ALL SELECT 'p', conv_id || '-' || turn, {closed(prompt)} FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+      pieces AS MATERIALIZED (
+        SELECT * FROM (SELECT kind, id, unnest(l) AS piece, unnest(range(len(l))) AS piece_no
+          FROM (SELECT *, string_split(regexp_replace(text, '({tags})', chr(30) || '\\1' || chr(30), 'g'), chr(30)) AS l FROM texts))
+        WHERE piece <> ''),
+      placed AS MATERIALIZED (
+        SELECT kind, id, piece_no, unnest(l) AS word, unnest(range(len(l))) AS word_no
+        FROM (SELECT *, CASE WHEN regexp_full_match(piece, '{tags}') THEN [piece] ELSE {encode} END AS l FROM pieces)),"""
+    words = f"""SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT unnest({learn}) AS word, 1 AS n FROM texts WHERE kind = 's' UNION ALL SELECT word, 0 FROM placed) GROUP BY word"""
+    models = []
+    for k in TOKEN_ORDERS:
+        context = " + ".join(f"coalesce(lag(t, {j}) OVER w, 0)::BIGINT * {base ** (j - 1)}" for j in range(1, k)) or "0::BIGINT"
+        window = "WINDOW w AS (PARTITION BY id ORDER BY token_no)" if k > 1 else ""
+        models.append(
+            f"model{k} AS MATERIALIZED (SELECT context, next, count(*) AS n FROM (SELECT {context} AS context, t AS next "
+            f"FROM token_rows {window}) GROUP BY ALL)"
+        )
+    packed = " + ".join(f"coalesce(ids[len(ids) - {j - 1}], 0)::BIGINT * {base ** (j - 1)}" for j in range(1, TOKEN_ORDERS[-1]))
+    prompts = f"""SELECT id, {packed}, least(64, {block} - least(len(ids), {block - 1}))
+        FROM (SELECT id, list(t ORDER BY token_no) AS ids FROM tokens WHERE kind = 'p' GROUP BY id)"""
+    more = "[89AB][0-9A-F]"
+    whole = (
+        f"[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F]){more}|E0[AB][0-9A-F]{more}|E[1-9A-CEF]{more}{more}|ED[89][0-9A-F]{more}"
+        f"|F0[9AB][0-9A-F]{more}{more}|F[1-3]{more}{more}{more}|F48[0-9A-F]{more}{more}"
+    )
+    begun = (
+        f"F0[9AB][0-9A-F]{more}|F[1-3]{more}{more}|F48[0-9A-F]{more}|E0[AB][0-9A-F]|E[1-9A-CEF]{more}|ED[89][0-9A-F]"
+        f"|F0[9AB][0-9A-F]|F[1-3]{more}|F48[0-9A-F]|[0-9A-F][0-9A-F]"
+    )
+    return learned_sql(PROMPT_MERGES, words, before) + f""",
+      final AS MATERIALIZED (SELECT word, s FROM learning WHERE step = {PROMPT_MERGES}),
+      tokens AS MATERIALIZED (
+        SELECT kind, id, t, row_number() OVER (PARTITION BY kind, id ORDER BY piece_no, word_no, char_no) AS token_no
         FROM (
-          SELECT walk.*, coalesce(t3.whole, t2.whole, t1.whole) * {sql.fraction("item_id || ':' || step")} AS u,
-                 CASE WHEN t3.whole IS NOT NULL THEN 3 WHEN t2.whole IS NOT NULL THEN 2 ELSE 1 END AS k,
-                 CASE WHEN t3.whole IS NOT NULL THEN a * 257 + b WHEN t2.whole IS NOT NULL THEN b ELSE 0 END AS context
-          FROM walk LEFT JOIN totals t3 ON t3.k = 3 AND t3.context = a * 257 + b
-          LEFT JOIN totals t2 ON t2.k = 2 AND t2.context = b LEFT JOIN totals t1 ON t1.k = 1
-          WHERE NOT done) w
-        JOIN cdf ON cdf.k = w.k AND cdf.context = w.context AND lo <= u AND u < hi)
-      SELECT item_id, length(out_hex) // 2 AS n_generated, out_hex FROM walk WHERE done"""
+          SELECT kind, id, piece_no, word_no, 0 AS char_no, CASE word {kinds} END AS t FROM placed WHERE word IN {tuple(specials)}
+          UNION ALL
+          SELECT kind, id, piece_no, word_no, unnest(range(1, length(s) + 1)), ord(s[unnest(range(1, length(s) + 1))]) - {bpe.SYMBOL_BASE}
+          FROM placed JOIN final USING (word) WHERE word NOT IN {tuple(specials)})),
+      token_rows AS MATERIALIZED (SELECT id, token_no, t FROM tokens WHERE kind = 's'),
+      {", ".join(models)},
+      {_walk("id", prompts, TOKEN_ORDERS, base=base, stop=specials['<|im_end|>'], piece=f"chr(({bpe.SYMBOL_BASE} + next)::INT)")},
+      merged AS (SELECT DISTINCT step, pair FROM learning WHERE step > 0),
+      unmerged AS (
+        SELECT id, done_out AS s, {PROMPT_MERGES} AS step FROM walked
+        UNION ALL
+        SELECT id, replace(s, chr({bpe.SYMBOL_BASE + len(specials) + 255} + step), pair), step - 1 FROM unmerged JOIN merged USING (step)),
+      spoken AS (
+        SELECT id, array_to_string(list_transform(range(1, length(s) + 1), lambda i: coalesce(m[ord(s[i]) - {bpe.SYMBOL_BASE}], '')), '') AS h
+        FROM unmerged, (SELECT map(list(id), list(h)) AS m FROM bytes) b WHERE step = 0),
+      raw AS (
+        SELECT id, decode(unhex(array_to_string(list_transform(regexp_extract_all(h, '{whole}|{begun}'),
+          lambda x: CASE WHEN regexp_full_match(x, '{whole}') THEN x ELSE 'EFBFBD' END), ''))) AS t FROM spoken)
+      SELECT id AS prompt_id,
+        {sql.strip("split_part(replace(replace(t, '<|im_start|>', ' '), '<pad>', ' '), '<|im_end|>', 1)")} AS reply FROM raw"""
 
 
-_FRAMED = f"hex(encode('<|user|> ' || {sql.sanitize_ascii('text')} || ' <|assistant|>'))"
+_FRAMED = f"hex(encode({_close("'<|user|> ' || " + sql.sanitize_ascii('text') + " || ' <|assistant|>'")}))"
 
 ORACLE = {
     "ngram_counts": model_setup(ORDERS, "true") + " " + " UNION ALL ".join(
@@ -411,17 +502,25 @@ ORACLE = {
             WHERE hi - n <= u AND u < hi""" for k in ORDERS
     ),
     "generate_free": model_setup([1, 2], "true") + "," + _walk(
-        "doc_id", f"SELECT doc_id, 256::BIGINT AS last, {FREE_BLOCK} AS budget FROM documents", "n", None
-    ),
-    "generate_prompted": model_setup([1, 2], "true") + "," + _walk(
+        "doc_id", f"SELECT doc_id, 256::BIGINT, {FREE_BLOCK} FROM documents", [1, 2], "BIGINT"
+    ) + _HEX_WALK.format(key="doc_id"),
+    "generate_prompted": model_setup(
+        CHAT_ORDERS,
+        "true",
+        f"SELECT conv_id || '-' || turn AS doc_id, {_close(sql.legacy('input', 'output'))} AS text FROM ({sql.PAIRS})",
+    ) + "," + _walk(
         "item_id",
-        f"""SELECT item_id, ('0x' || right(f, 2))::BIGINT AS last, {PROMPT_BLOCK - 1} - length(f) // 2 AS budget
+        f"""SELECT item_id, ({_packed('f', CHAT_ORDERS[-1])})::BIGINT, {PROMPT_BLOCK - 1} - length(f) // 2
             FROM (SELECT item_id, right({_FRAMED}, {2 * (PROMPT_BLOCK - 1)}) AS f FROM benchmark)""",
-        _tempered(),
-        bytes(END_TAG_BYTES).hex().upper(),
-        "DOUBLE",
-    ),
-    "generate_order3": model_setup(ORDERS, "true") + "," + _walk3(),
+        CHAT_ORDERS,
+        tag=bytes(END_TAG_BYTES).hex().upper(),
+    ) + _HEX_WALK.format(key="item_id"),
+    "generate_order3": model_setup(ORDERS, "true") + "," + _walk(
+        "item_id",
+        f"SELECT item_id, ({_packed('f', 3)})::BIGINT, {FEW_TOKENS} FROM (SELECT item_id, hex(encode(text)) AS f FROM benchmark)",
+        ORDERS,
+    ) + _HEX_WALK.format(key="item_id"),
+    "answer_prompts": _answers(),
     "cdf_draw_tempered": model_setup(ORDERS, "true") + " " + " UNION ALL ".join(
         f"""SELECT {k} AS model_order, context, next FROM (
               SELECT context, next, hi, coalesce(lag(hi) OVER (PARTITION BY context ORDER BY next), 0) AS lo,
@@ -430,7 +529,13 @@ ORACLE = {
                     FROM (SELECT context, next, {_tempered()} AS w FROM model{k})))
             WHERE lo <= u AND u < hi""" for k in ORDERS
     ),
-    "cdf_draw_weighted": model_setup([ORDER], "true") + f" SELECT count(DISTINCT context) AS n_contexts FROM grams{ORDER}",
+    "cdf_draw_weighted": model_setup([ORDER], "true") + f""",
+      sums AS (SELECT context, next, sum(n) OVER (PARTITION BY context ORDER BY next) AS hi FROM (
+        SELECT context, next, round(sum(1.0::DOUBLE / (octet_length(encode(text)) + 1)), 9) AS n
+        FROM grams{ORDER} JOIN docs USING (doc_id) GROUP BY context, next)),
+      cdf AS (SELECT context, next, hi, coalesce(lag(hi) OVER (PARTITION BY context ORDER BY next), 0) AS lo,
+              {sql.fraction("context")} * max(hi) OVER (PARTITION BY context) AS u FROM sums)
+      SELECT {ORDER} AS model_order, context, next FROM cdf WHERE lo <= u AND u < hi""",
     "sweep_summary": f"""
       SELECT model_order, lowered, count(*) AS n, round(avg(loss), 6) AS loss FROM ({_sweep()})
       GROUP BY GROUPING SETS ((model_order, lowered), (model_order), (lowered), ())""",

@@ -7,7 +7,10 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions.chat import close_turn
+from lexiloom.functions.text import byte_ids
 from lexiloom.functions.vectors import softmax
+from lexiloom.operators import generate as generation
 from lexiloom.operators import kernels, ngram
 from lexiloom.operators.evaluate import sweep_summary
 from lexiloom.operators.generate import byte_prompts, free_prompts, generate, token_prompts
@@ -179,12 +182,11 @@ def test_draws_from_example_weights(spark):
     assert ngram.cdf_draw(model).count() == n
 
 
-@pytest.mark.parametrize("shift, wanted", [(0, 4), (1, 0)])
-def test_the_weighted_query_counts_only_draws_that_occur(spark, tmp_path, monkeypatch, shift, wanted):
-    spark.createDataFrame([(1, "adg"), (2, "adg")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    draw = lambda counts: ngram.cdf_draw(counts).withColumn("next", F.col("next") + shift)
-    monkeypatch.setattr(model_queries, "cdf_draw", draw)
-    assert model_queries.cdf_draw_weighted(spark, str(tmp_path)).first()["n_contexts"] == wanted
+def test_the_weighted_query_returns_its_draws(spark, tmp_path):
+    spark.createDataFrame([(1, "adg"), (2, "adgg")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["context"]: r["next"] for r in model_queries.cdf_draw_weighted(spark, str(tmp_path)).collect()}
+    assert got.pop(ord("g")) in (ord("g"), 256)
+    assert got == {256: ord("a"), ord("a"): ord("d"), ord("d"): ord("g")}
 
 
 def test_rounds_end_both_ways_to_generate(spark):
@@ -224,27 +226,61 @@ def test_free_generation_follows_a_certain_model(spark):
             assert out == {0: want, 1: want, 2: want}
 
 
-@pytest.mark.parametrize("order", [1, 2])
-def test_both_ways_to_generate_agree(spark, order):
-    model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2])
-    prompts = byte_prompts(docs_of(spark, ["ab", "zz", "x" * 30, ""]), "doc_id", "text", 48)
-    a = generate(prompts, "doc_id", model, order, 48, temperature=0.7, end_tag=list(b"ca"))
-    b = generate(prompts, "doc_id", model, order, 48, temperature=0.7, end_tag=list(b"ca"), by_rounds=True)
-    assert generated(a) == generated(b)
-    assert any(generated(a).values())
-
-
-def test_shuffled_lookups_agree_with_broadcast_ones(spark, monkeypatch):
-    from lexiloom.operators import generate as module
-
-    model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2, 3])
-    prompts = free_prompts(spark.range(20).withColumnRenamed("id", "doc_id"), "doc_id", 12)
-    monkeypatch.setattr(module, "BROADCAST_ROWS", 1 << 30)
-    want = generated(generate(prompts, "doc_id", model, 3, 12))
-    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
-    for entries in (257 * 3, 1 << 18):
-        monkeypatch.setattr(module, "HOT_ENTRIES", entries)
-        assert generated(generate(prompts, "doc_id", model, 3, 12)) == want
+@pytest.mark.parametrize("order, temperature", [(1, 1.0), (2, 0.7), (5, 0.7), (3, 1.0)])
+def test_both_ways_to_generate_agree(spark, order, temperature, monkeypatch):
+    model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2, 3, 4, 5])
+    prompts = byte_prompts(docs_of(spark, ["ab", "zz", "x" * 30, "", "abc"]), "doc_id", "text", 48)
+    options = {"temperature": temperature, "end_tag": list(b"ca")}
+    want = generated(generate(prompts, "doc_id", model, order, 5, **options))
+    assert any(want.values())
+    for entries, block in ((1, 2), (1 << 18, 256)):
+        monkeypatch.setattr(generation, "HOT_ENTRIES", entries)
+        monkeypatch.setattr(generation, "BLOCK_ENTRIES", block)
+        assert generated(generate(prompts, "doc_id", model, order, 5, **options, by_rounds=True)) == want
+
+
+def test_longest_seen_suffix_by_brute_force(spark):
+    """Every token is drawn among those that followed the longest suffix seen in the texts."""
+    texts = ["abcd abce bbcf", "xbcd ybce", "abab"]
+    model = ngram.count_ngrams(docs_of(spark, texts), "text", [1, 2, 3, 4])
+    tokens = lambda t: [256] * 3 + list(t.encode()) + [256]
+    for by_rounds in (False, True):
+        prompts = docs_of(spark, ["abc", "zbc", "zzc", "zzz", "b", ""]).withColumn("prompt", byte_ids(F.col("text")))
+        asked = prompts.select("doc_id", "prompt", F.lit(6).alias("budget"))
+        out = {r["doc_id"]: r["out"] for r in generate(asked, "doc_id", model, 4, 6, by_rounds=by_rounds).collect()}
+        for r in prompts.collect():
+            seen = [256] * 3 + r["prompt"]
+            for t in [*out[r["doc_id"]], *([256] if len(out[r["doc_id"]]) < 6 else [])]:
+                for k in (3, 2, 1, 0):
+                    suffix = seen[len(seen) - k :]
+                    follow = {
+                        x[i + k] for x in map(tokens, texts) for i in range(3 - k, len(x) - k) if x[i : i + k] == suffix and i + k >= 3
+                    }
+                    if follow:
+                        break
+                assert t in follow
+                seen.append(t)
+
+
+def test_a_changed_word_reaches_the_reply(spark):
+    """The tags between prompt and reply are one sign, so the prompt's last word is in the context."""
+    samples = [f"<|user|> say {w} <|assistant|> {w[::-1]}! <|end|>" for w in ("left", "right", "north")]
+    closed = docs_of(spark, samples).withColumn("text", close_turn(F.col("text")))
+    prompts = docs_of(spark, ["say left", "say north", "say right"])
+    for rows, same in ((byte_prompts(prompts, "doc_id", "text", 64, closed=True), False), (byte_prompts(prompts, "doc_id", "text", 64), True)):
+        tails = [r["prompt"][-4:] for r in rows.orderBy("doc_id").collect()]
+        assert (len(set(map(tuple, tails))) == 1) == same
+    model = ngram.count_ngrams(closed, "text", [1, 2, 3, 4, 5])
+    asked = byte_prompts(prompts, "doc_id", "text", 64, closed=True)
+    for by_rounds in (False, True):
+        out = generated(generate(asked, "doc_id", model, 5, 16, end_tag=list(b"<|end|>"), by_rounds=by_rounds))
+        assert out == {0: b"tfel! ", 1: b"htron! ", 2: b"thgir! "}
+
+
+def test_an_empty_model_says_nothing(spark):
+    model = ngram.count_ngrams(docs_of(spark, []), "text", [1, 2])
+    prompts = byte_prompts(docs_of(spark, ["ab"]), "doc_id", "text", 48)
+    assert generated(generate(prompts, "doc_id", model, 2, 4)) == {0: b""}
 
 
 def test_budgets(spark):

@@ -62,6 +62,8 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(role,assistant)" in physical
 
 
-def test_windows_join_on_block_numbers(spark):
+def test_windows_join_on_ranges_and_texts_on_their_key(spark):
     physical = plan_of(spark, "sample_windows").split("== Physical Plan ==")[1]
-    assert re.search(r"(Hash|SortMerge)Join \[block_no", physical)
+    joins = set(re.findall(r"(?:Hash|SortMerge)Join \[(\w+)#", physical))
+    # documents and draws by ranges of the stream, texts by their key, carried totals by bucket
+    assert joins == {"_range", "doc_id", "_bucket"}

@@ -14,9 +14,6 @@ SMALL = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data")
 
-# No SQL: the whole chain from prompts to cleaned replies; test_files.py runs it end to end.
-WITHOUT_SQL = {"answer_prompts"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -29,8 +26,8 @@ def test_query(spark, con, name):
     assert ok, note
 
 
-def test_every_query_but_one_has_sql():
-    assert set(QUERIES) - set(ORACLE) == WITHOUT_SQL
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
