@@ -166,7 +166,7 @@ def linked_rows(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     _, at, n = np.unique(codes, return_inverse=True, return_counts=True)
     shared = n[at] > 1
     at, owner = at[shared], owner[shared]
-    both = np.zeros((rows, rows), np.float32)
+    both = np.zeros((rows, rows), np.int32)
     _, at = np.unique(at, return_inverse=True)
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
@@ -175,7 +175,9 @@ def linked_rows(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         first, last = np.searchsorted(at, [low, low + width])
         held = np.zeros((rows, width), np.float32)
         held[owner[first:last], at[first:last] - low] = 1
-        both += held @ held.T
+        # sums of up to 2,048 are exact in this type, longer ones are not
+        both += (held @ held.T).astype(np.int32)
+    both = both.astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - both
     a, b = np.nonzero(np.triu(100 * both >= PERCENT * union, 1))
     return np.stack([a, b], 1)
