@@ -6,9 +6,9 @@ verify that no two of them share an identifier, else all identifiers are widened
 documents are equal exactly when their ordered identifier lists (recipes) are, so after the chunks, only
 recipes move: a long document is never sorted, grouped or joined by its text.
 
-Defined results: null counts as empty, and all empty texts are equal; rows that share id and text share
-their fate; null ids come after all others, so a group of null ids only keeps its rows; an empty table gives
-an empty one.
+Defined results: null counts as empty, and all empty texts are equal; rows that share id and text are marked
+alike, and dropping leaves one of them; null ids come after all others, so in a group of null ids only, all rows
+are marked as kept, and dropping leaves one; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,20 +46,28 @@ def recipes(
     df: DataFrame, id_col: str, text_col: str, word: Callable[[Column, int], Column] = hash_word
 ) -> DataFrame:
     """(doc_id, text_sha256, recipe): the verified chunk identifiers of each document, in order."""
-    texts = df.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("text"))
-    chunks = F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0))
+    text = normalised(text_col)
+    texts = df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    cut = texts.select(
+        "doc_id",
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)).alias("chunks"),
+    )
+    # texts are cut once; verifying and listing both read the chunks
+    cut = stored(cut, "chunks")
+    chunks = F.col("chunks")
     words = 2
     while True:
         identifier = lambda chunk: F.array(*[word(chunk, i) for i in range(words)])  # noqa: E731, B023
-        found = texts.select(F.explode(chunks).alias("chunk")).select(identifier(F.col("chunk")).alias("identifier"), "chunk")
+        found = cut.select(F.explode(chunks).alias("chunk")).select(identifier(F.col("chunk")).alias("identifier"), "chunk")
         if clashes(found).isEmpty():
             break
         if words == MOST_WORDS:
             raise ValueError("chunk identifiers clash at every width")
         words += 1
-    return texts.select(
+    return cut.select(
         "doc_id",
-        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        "text_sha256",
         F.flatten(F.transform(chunks, identifier)).alias("recipe"),
     )
 
@@ -87,8 +95,17 @@ def mark_copies(
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group of equal texts: the one of the smallest id; all its columns stay."""
-    marked = mark_copies(df, id_col, text_col).where(~F.col("kept"))
-    dropped = marked.select(F.col(id_col).alias("_dropped"), F.col("text_sha256").alias("_dropped_text")).distinct()
+    """``df`` with one row of each group of equal texts: one of those of the smallest id; all its columns stay."""
+    marked = stored(mark_copies(df, id_col, text_col).select(id_col, "text_sha256", "kept"), "marks")
+    key = [F.col(id_col).alias("_copy_id"), F.col("text_sha256").alias("_copy_text")]
     digest = F.sha2(normalised(text_col).cast("binary"), 256)
-    return df.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")) & (digest == F.col("_dropped_text")), "left_anti")
+    here = F.col(id_col).eqNullSafe(F.col("_copy_id")) & (digest == F.col("_copy_text"))
+    left = df.join(marked.where(~F.col("kept")).select(*key).distinct(), here, "left_anti")
+    # rows that share id and text: rare, and only they are moved to leave one of each
+    again = marked.where("kept").groupBy(*key).agg(F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
+    again = stored(again, "repeated-rows")
+    if again.isEmpty():
+        return left
+    rows = left.withColumn("_copy_digest", digest).join(again, here, "left_semi")
+    one = rows.dropDuplicates([id_col, "_copy_digest"]).drop("_copy_digest")
+    return left.join(again, here, "left_anti").unionByName(one)
