@@ -10,9 +10,10 @@ bound reaches it. No bound below the threshold can hold a result, so the answer
 Queries meet vectors in blocks: a join of annulus blocks with blocks of queries, one matrix product each.
 Equal vectors are indexed once with their ``k + 1`` smallest ids, which are all that can be results.
 
-Defined results: vectors that are null, hold null or non-finite components or components over ``LIMIT`` / 256
-take no part, nor do null ids; shorter vectors count as padded with zeros; repeated rows count once; an empty
-table, or one without queries, gives no rows.
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do null ids;
+shorter vectors count as padded with zeros; repeated rows count once; an empty table, or one without queries,
+gives no rows. All other vectors take part: sums are exact modulo 2**64, and a component or score that fits no
+64-bit integer raises an error.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from lexiloom.shipping import ship
 ship(__name__)
 
 SCALE = 256
-LIMIT = 1 << 26
 #: Vectors that pivots and annulus borders are fitted on; all vectors are indexed by them.
 FIT_ROWS = 4096
+#: Pivots grow with the square root of the rows, between these.
 PIVOTS = 16
+MOST_PIVOTS = 256
 ANNULI = 8
 #: Rows of an annulus block and of a query block.
 BLOCK_ROWS = 1024
@@ -44,8 +46,8 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of integers as a matrix, padded with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(column.offsets.to_numpy()).astype(np.int64)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(sizes), width))
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), width), np.int64)
     at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[np.repeat(np.arange(len(sizes)), sizes), at] = values
     return out
@@ -57,18 +59,22 @@ def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer matrices."""
-    most = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, rows.shape[1])
+    """Exact inner products of integer matrices: by doubles where these hold all sums, else modulo 2**64."""
+    left, right = queries.astype(np.float64), rows.astype(np.float64)
+    scores = left @ right.T
+    most = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(1, rows.shape[1])
     if most < 2**53:
-        return (queries @ rows.T).astype(np.int64)
+        return scores.astype(np.int64)
+    if np.abs(scores).max(initial=0) >= 2.0**63 * (1 - 1e-9):
+        raise ValueError("a score fits no 64-bit integer")
     return queries.astype(np.int64) @ rows.astype(np.int64).T
 
 
-def fit_pivots(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fit_pivots(sample: np.ndarray, count: int = PIVOTS) -> tuple[np.ndarray, np.ndarray]:
     """Pivots by farthest-first choice and three rounds of means, and inner annulus borders of each."""
     chosen = [0]
     far = ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < min(PIVOTS, len(sample)) and far.max() > 0:
+    while len(chosen) < min(count, len(sample)) and far.max() > 0:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
     pivots = sample[chosen].astype(np.float64)
@@ -86,7 +92,7 @@ def key_batches(pivots: np.ndarray, borders: np.ndarray, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = matrix(batch.column("vector"), width)
+            rows = matrix(batch.column("vector"), width).astype(np.float64)
             between = distances(rows, pivots)
             near = between.argmin(1)
             own = between[np.arange(len(rows)), near]
@@ -116,15 +122,15 @@ def visit_batches(pivots: np.ndarray, cells: dict[str, np.ndarray], width: int,
         for batch in batches:
             for low in range(0, batch.num_rows, QUERY_ROWS):
                 piece = batch.slice(low, QUERY_ROWS)
-                upper = bounds(matrix(piece.column("vector"), width), pivots, cells)
+                upper = bounds(matrix(piece.column("vector"), width).astype(np.float64), pivots, cells)
                 order = np.argsort(-upper, 1)
                 held = np.cumsum(cells["rows"][order], 1) - cells["rows"][order]
                 first = np.zeros(upper.shape, bool)
                 np.put_along_axis(first, order, held <= k, 1)
                 visits = first
                 if again:
-                    known = piece.column("threshold").fill_null(-(2**62)).to_numpy(zero_copy_only=False)
-                    visits = ~first & (upper >= known[:, None])
+                    known = piece.column("threshold").cast(pa.float64(), safe=False).fill_null(-np.inf)
+                    visits = ~first & (upper >= known.to_numpy(zero_copy_only=False)[:, None])
                 for c in np.flatnonzero(visits.any(0)):
                     chosen = pa.array(np.flatnonzero(visits[:, c]))
                     ids, vectors = piece.column("id").take(chosen), piece.column("vector").take(chosen)
@@ -176,8 +182,10 @@ def best_batches(width: int, k: int):
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector) of the rows that take part, with integer components."""
-    grid = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE))
-    sound = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double") * SCALE) <= LIMIT, F.lit(False)))
+    too_large = F.raise_error(F.lit("a component times 256 fits no 64-bit integer")).cast("bigint")
+    scaled = lambda x: x.cast("double") * SCALE
+    grid = F.transform(vector_col, lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).otherwise(too_large))
+    sound = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound).select(
         F.col(id_col).cast("bigint").alias("id"), grid.alias("vector")
     )
@@ -205,7 +213,8 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     fitted = np.zeros((len(sample), width))
     for i, row in enumerate(sample):
         fitted[i, : len(row[0])] = row[0]
-    pivots, borders = fit_pivots(fitted)
+    count = min(MOST_PIVOTS, max(PIVOTS, round(unique.count() ** 0.5) // PIVOTS))
+    pivots, borders = fit_pivots(fitted, count)
     schema = "ids array<bigint>, vector array<bigint>, cell int, distance double, norm double"
     index = stored(unique.select("ids", "vector").mapInArrow(key_batches(pivots, borders, width), schema), "index")
     held = (
@@ -219,7 +228,7 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     cells = {
         "cell": cell, "pivot": cell // ANNULI, "low": low, "high": high, "norm": norm, "rows": n, "parts": parts,
     }
-    part = F.pmod(F.xxhash64("vector"), F.element_at(F.array(*_parts(cell, parts)), F.col("cell") + 1)).cast("int")
+    part = F.pmod(F.xxhash64("vector"), F.element_at(F.lit(_parts(cell, parts, len(pivots))), F.col("cell") + 1)).cast("int")
     blocks = (
         index.select("cell", part.alias("part"), F.struct("ids", "vector").alias("row"))
         .groupBy("cell", "part")
@@ -240,9 +249,9 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: s
     )
 
 
-def _parts(cell: np.ndarray, parts: np.ndarray) -> list[Column]:
+def _parts(cell: np.ndarray, parts: np.ndarray, pivots: int) -> list[int]:
     count = dict(zip(cell.tolist(), parts.tolist()))
-    return [F.lit(int(count.get(c, 1))) for c in range(PIVOTS * ANNULI)]
+    return [int(count.get(c, 1)) for c in range(pivots * ANNULI)]
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:

@@ -73,6 +73,28 @@ def test_large_values_stay_exact():
     assert products(a, a)[0, 0] == 2**52 + (2**26 - 1) ** 2 + 9
 
 
+def test_large_components_next_to_small_ones(spark):
+    rows = clustered(60, 3) + [(100, [1e6, -1e6] * 4), (105, [1e6, -0.9e6] * 4), (111, [9e5, -1e6] * 4), (112, [3e5] + [0.0] * 7)]
+    assert found(spark, rows) == brute(rows, 5, 5)
+
+
+def test_exact_beyond_doubles():
+    a, b = np.array([[2**40 + 1, 3, -(2**40)]]), np.array([[2**21 + 1, 2**40 + 7, 5]])
+    assert products(a, b)[0, 0] == (2**40 + 1) * (2**21 + 1) + 3 * (2**40 + 7) - 5 * 2**40
+
+
+def test_what_fits_no_integer_fails(spark):
+    for rows in ([(0, [1e18]), (1, [1.0])], [(0, [1e9]), (1, [1e9])]):
+        with pytest.raises(Exception, match="64-bit"):
+            found(spark, rows)
+
+
+def test_more_pivots_than_the_least(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PIVOTS", 2)
+    rows = clustered(400, 5)
+    assert found(spark, rows) == brute(rows, 5, 5)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     rows, queries = np.floor(rng.normal(size=(200, 16)) * 50), np.floor(rng.normal(size=(20, 16)) * 50)
