@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Fixed patterns find the seeds: e-mail addresses, IP addresses, payment cards and phone numbers. All
-identifier-like tokens (those with a digit, and whole phone numbers) are then listed with the lexical
-patterns around them: the two words before, and the word before with the word after. In each round, a
+Fixed patterns find the seeds: e-mail addresses, IP addresses, payment cards and phone numbers. These spans, and
+all further identifier-like tokens (those with a digit or an at sign, whole phone numbers, and groups of digits),
+are then listed with the lexical patterns around them: the two words before, and the word before with the word after. In each round, a
 pattern's confidence for a kind is the share of its distinct instances that are known to be of that kind,
 and an instance's score is the chance that not all its patterns err; patterns above ``CONFIDENCE`` with
 enough known instances vote, and instances above ``SCORE`` are known in the next round. Instances that are
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.draws import bind
 from lexiloom.llm.common import stored, text_or_empty
 
 #: The seed patterns, in the order in which spans are listed. They match what the plain
@@ -35,9 +36,13 @@ SEEDS = {
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = r"(?:0++|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 WHITE = r"\x20\x09-\x0D"
-#: A whole phone number, or a token with a digit.
-TOKEN = rf"\+[0-9][\x20().0-9-]+[0-9]|(?<![^{WHITE}])[^{WHITE}0-9]*+[0-9][^{WHITE}]*+"
-EDGES = r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9)]+$"
+#: A whole phone number, up to eight groups of digits, or a token with a digit or an at sign.
+TOKEN = (
+    rf"\+[0-9][\x20().0-9-]+[0-9]|(?<![^{WHITE}])[0-9]++(?:[\x20-][0-9]++){{1,7}}+(?![^{WHITE}])"
+    rf"|(?<![^{WHITE}])[^{WHITE}0-9@]*+[0-9@][^{WHITE}]*+"
+)
+#: Signs at either end that belong to no identifier; a run at the end is tried from its start only.
+EDGES = r"^[^A-Za-z0-9+(]++|(?<=[A-Za-z0-9)])[^A-Za-z0-9)]++$"
 #: Characters of the text beside a token that its patterns are looked for in.
 NEAR = 120
 CONFIDENCE = 0.8
@@ -46,6 +51,8 @@ SCORE = 0.9
 SUPPORT = 5
 SHORTEST = 5
 ROUNDS = 3
+#: Matches whose positions are gathered in one array before it is added to the others of the text.
+RUN = 512
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -82,7 +89,7 @@ def located(df: DataFrame, text: str, patterns: dict[str, str], near: bool = Fal
     out = df
     for name, pattern in patterns.items():
         sought = F.lit(True) if NEEDED.get(name) is None else F.col(text).contains(NEEDED[name])
-        sought = sought & F.col(text).rlike("[0-9]") if name != "email" else sought
+        sought = sought & F.col(text).rlike("[0-9@]" if name == "token" else "[0-9]") if name != "email" else sought
         none = F.array().cast("array<string>")
         out = out.withColumns(
             {
@@ -93,6 +100,21 @@ def located(df: DataFrame, text: str, patterns: dict[str, str], near: bool = Fal
     return _placed(out, patterns, near)
 
 
+def _run_start(seen: Column) -> Column:
+    return F.struct(seen["at"].alias("at"), F.array().cast("array<int>").alias("starts"))
+
+
+def _next_start(seen: Column, step: Column) -> Column:
+    return F.struct(
+        (seen["at"] + step["skip"] + step["size"]).alias("at"),
+        F.array_append(seen["starts"], seen["at"] + step["skip"]).alias("starts"),
+    )
+
+
+def _run_added(seen: Column, run: Column) -> Column:
+    return bind(run, lambda r: F.struct(r["at"].alias("at"), F.concat(seen["starts"], r["starts"]).alias("starts")))
+
+
 def _placed(df: DataFrame, names, near: bool) -> DataFrame:
     """Positions from the lengths of the matches and of the parts between them."""
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
@@ -105,12 +127,9 @@ def _placed(df: DataFrame, names, near: bool) -> DataFrame:
             lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("size")),
         )
         starts = F.aggregate(
-            sizes,
+            F.sequence(F.lit(0), F.expr(f"cast((size(_{name}_match) - 1) div {RUN} as int)")),
             begin,
-            lambda seen, step: F.struct(
-                (seen["at"] + step["skip"] + step["size"]).alias("at"),
-                F.concat(seen["starts"], F.array(seen["at"] + step["skip"])).alias("starts"),
-            ),
+            lambda seen, run: _run_added(seen, F.aggregate(F.slice(sizes, run * RUN + 1, F.lit(RUN)), _run_start(seen), _next_start)),
             lambda seen: seen["starts"],
         )
         zipped = [starts.alias("start"), match.alias("match")]
@@ -154,31 +173,52 @@ def _bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^\p{L}]+", ""))
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, end, value, kind, patterns) of every identifier-like token of (doc_id, mark, text)."""
-    held = texts.where(F.col("text").rlike("[0-9]"))
-    tokens = located(held, "text", {"token": TOKEN}, near=True).select("doc_id", "mark", F.explode("_token").alias("t"))
-    lead = F.length(F.regexp_extract("t.match", r"^[^A-Za-z0-9+(]+", 0))
-    value = F.regexp_replace("t.match", EDGES, "")
-    before = F.right(F.col("t.before"), F.lit(NEAR))
-    after = F.left(F.col("t.after"), F.lit(NEAR))
+def _patterns(before: Column, after: Column) -> Column:
+    """The lexical patterns around a place: the two words before, and the words before and after."""
+    before, after = F.right(before, F.lit(NEAR)), F.left(after, F.lit(NEAR))
     last, last_but_one = rf"([^{WHITE}]+)[{WHITE}]*$", rf"([^{WHITE}]+)[{WHITE}]+[^{WHITE}]+[{WHITE}]*$"
     near = _bare(F.regexp_extract(before, last, 1))
     far = _bare(F.regexp_extract(before, last_but_one, 1))
     follows = _bare(F.regexp_extract(after, rf"^[{WHITE}]*([^{WHITE}]+)", 1))
-    patterns = F.filter(
-        F.array(
-            F.when((near != "") & (far != ""), F.concat_ws(" ", far, near, F.lit("*"))),
-            F.when((near != "") & (follows != ""), F.concat_ws(" ", near, F.lit("*"), follows)),
-        ),
-        lambda p: p.isNotNull(),
+    patterns = F.array(
+        F.when((near != "") & (far != ""), F.concat_ws(" ", far, near, F.lit("*"))),
+        F.when((near != "") & (follows != ""), F.concat_ws(" ", near, F.lit("*"), follows)),
     )
+    return F.filter(patterns, lambda p: p.isNotNull())
+
+
+def _seen(kind: str) -> Column:
+    """The matches of a kind that pass its check, with the text beside them."""
+    found = F.filter(f"_{kind}", lambda x: CHECKS[kind](x["match"]))
+    fields = ("start", "end", "match", "before", "after")
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), *[x[c].alias(c) for c in fields]))
+
+
+def seed_occurrences(texts: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, end, value, kind, patterns) of every checked seed span of (doc_id, mark, text)."""
+    each = F.concat(*[_seen(kind) for kind in SEEDS])
+    spans = located(texts, "text", SEEDS, near=True).select("doc_id", "mark", F.explode(each).alias("s"))
+    return spans.select(
+        "doc_id", "mark", "s.start", "s.end", F.col("s.match").alias("value"), "s.kind",
+        _patterns(F.col("s.before"), F.col("s.after")).alias("patterns"),
+    )
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, end, value, kind, patterns): the seed spans, and every identifier-like token.
+
+    ``kind`` is null where a token is no seed.
+    """
+    held = texts.where(F.col("text").rlike("[0-9@]"))
+    tokens = located(held, "text", {"token": TOKEN}, near=True).select("doc_id", "mark", F.explode("_token").alias("t"))
+    lead = F.length(F.regexp_extract("t.match", r"^[^A-Za-z0-9+(]+", 0))
+    value = F.regexp_replace("t.match", EDGES, "")
     listed = tokens.select(
         "doc_id",
         "mark",
         (F.col("t.start") + lead).alias("start"),
         value.alias("value"),
-        patterns.alias("patterns"),
+        _patterns(F.col("t.before"), F.col("t.after")).alias("patterns"),
     ).where(F.length("value") >= SHORTEST)
     kind = F.coalesce(
         *[
@@ -187,7 +227,8 @@ def occurrences(texts: DataFrame) -> DataFrame:
         ]
     )
     end = F.col("start") + F.length("value")
-    return listed.select("doc_id", "mark", "start", end.alias("end"), "value", kind.alias("kind"), "patterns")
+    listed = listed.select("doc_id", "mark", "start", end.alias("end"), "value", kind.alias("kind"), "patterns")
+    return seed_occurrences(held).unionByName(listed.where("kind is null"))
 
 
 def bootstrap(found: DataFrame) -> DataFrame:

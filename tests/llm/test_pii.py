@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -71,6 +72,33 @@ def test_patterns_of_seeds_find_unseen_identifiers(docs):
     assert all(got[i].startswith("phone:18:") for i, _ in seeds)
 
 
+def test_seeds_without_digits_and_in_groups_teach_contexts(docs):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3782 8224 6310 0005 0006", "6011 0009 9013 9424", "4222 2222 2222 2220"]
+    names = ["ann", "ben", "cid", "dora", "eve", "finn"]
+    good = [c for c in cards if luhn(c.replace(" ", ""))] + ["4000 0000 0000 0002", "4917 6100 0000 0000", "5105 1051 0510 5100"]
+    rows = [(i, f"please write to {n}@mail.example about it") for i, n in enumerate(names)]
+    rows += [(20 + i, f"my card is {c} until may") for i, c in enumerate(good)]
+    # an address without a domain's dot, and a card that fails its check, in the same contexts
+    rows += [(50, "please write to gina@localhost about it"), (51, "my card is 4111 1111 1111 1112 until may"), (52, "lot 4111 1111 1111 1112 here")]
+    got = {r.doc_id: r.spans for r in find(docs(rows)).collect()}
+    assert got[50] == "email:16:30" and got[51] == "card:11:30"
+    assert got[52] == "" or got[52].startswith("card:4")
+    assert all(got[i] == f"email:16:{29 + len(n)}" for i, n in enumerate(names))
+
+
+@pytest.mark.parametrize("text", ["1" + "-" * 300_000 + "2", "a 1" + "." * 300_000, "1-" * 200_000 + "x", "7 " * 200_000 + "7a", "x@" * 100_000])
+def test_very_long_runs_take_linear_time(docs, text):
+    began = time.time()
+    assert len(find(docs([(1, text)])).collect()) == 1
+    assert time.time() - began < 60
+
+
+def test_many_matches_in_one_text(docs):
+    text = "+1 555 123 4567, " * 20_000
+    row = find(docs([(1, text)])).collect()[0]
+    assert row.n_phone == 20_000 and row.spans.endswith(f"phone:{17 * 19_999}:{17 * 19_999 + 15}")
+
+
 def test_masking_replaces_spans_and_nothing_else(docs):
     df = docs([*enumerate(TEXTS), (3, TEXTS[3])])
     out = mask(df)
