@@ -211,3 +211,56 @@ def causal_pool(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame
         return F.struct(row[key].alias(key), F.aggregate(parts, zeros, add).alias(vector))
 
     return blocks.select(F.explode(F.transform("seq", pooled)).alias("r")).select("r.*")
+
+
+def causal_pool_whole(rows: DataFrame, by: str, key: str, vector: str, block: int) -> DataFrame:
+    """Each row pools all rows of its sequence ``by`` up to itself, however long the sequence is: (key, vector).
+
+    Sequences are cut into blocks of about ``block`` consecutive rows, and each pair of a block with itself or an
+    earlier one is scored by a task of its own. That gives every row a softmax state over the earlier block's
+    rows: the largest score, the sum of the exponentials below it, and the weighted sum of the vectors. States
+    merge by rescaling to the larger maximum, so the blocks' states add up to the softmax over the whole.
+    Keys are unique.
+    """
+    if block <= 0:
+        raise ValueError("block must be positive")
+    bucket = F.floor(F.col(key) / block)
+    placed = rows.select(F.col(by).alias("seq"), F.col(key).alias("id"), doubles(F.col(vector)).alias("v"), bucket.alias("at"))
+    # one row per block of a sequence
+    blocks = placed.groupBy("seq", "at").agg(F.count("*").alias("n"))
+    earlier = blocks.select("seq", F.col("at").alias("seen"))
+    pairs = blocks.select("seq", "at").join(earlier, "seq").where("seen <= at")
+    asked = placed.join(pairs, ["seq", "at"])
+    given = pairs.join(placed.withColumnRenamed("at", "seen"), ["seq", "seen"]).select(
+        F.col("seq").alias("of_seq"), F.col("at").alias("of_at"), F.col("seen").alias("of_seen"), "id", "v"
+    )
+    kind = rows.schema[key].dataType.simpleString()
+
+    def states(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, seen = left.column("id").to_numpy(), right.column("id").to_numpy()
+        names = ["id", "top", "total", "v"]
+        if not len(ids) or not len(seen):
+            return pa.table([left.column("id").slice(0, 0), *([pa.array([], pa.float64())] * 2), pa.array([], pa.list_(pa.float64()))], names)
+        queries, vectors = _matrix(left.column("v")), _matrix(right.column("v"))
+        scores = queries @ vectors.T / np.sqrt(vectors.shape[1])
+        scores[seen[None, :] > ids[:, None]] = -np.inf
+        top = scores.max(1)
+        some = np.isfinite(top)
+        weights = np.exp(scores[some] - top[some, None])
+        pooled = weights @ vectors
+        bounds = pa.array(np.arange(len(pooled) + 1, dtype=np.int32) * vectors.shape[1])
+        lists = pa.ListArray.from_arrays(bounds, pa.array(pooled.ravel()))
+        return pa.table([pa.array(ids[some]), pa.array(top[some]), pa.array(weights.sum(1)), lists], names)
+
+    scored = (
+        asked.groupBy("seq", "at", "seen")
+        .cogroup(given.groupBy("of_seq", "of_at", "of_seen"))
+        .applyInArrow(states, f"id {kind}, top double, total double, v array<double>")
+    )
+    # one state per earlier block, rescaled to the row's largest score
+    most = scored.groupBy(F.col("id").alias("_id")).agg(F.max("top").alias("most"))
+    scaled = scored.join(most, F.col("id") == F.col("_id")).withColumn("scale", F.exp(F.col("top") - F.col("most")))
+    cells = scaled.select("id", (F.col("total") * F.col("scale")).alias("part"), "scale", F.posexplode("v").alias("dim", "x"))
+    merged = cells.groupBy("id", "dim").agg((F.sum(F.col("x") * F.col("scale")) / F.sum("part")).alias("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "value")))
+    return merged.groupBy("id").agg(ordered.alias("_v")).select(F.col("id").alias(key), F.col("_v.value").alias(vector))

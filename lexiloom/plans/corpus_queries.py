@@ -26,6 +26,8 @@ from lexiloom.sources.token_files import (
     explode_tokens,
     load_corpus,
     read_tokens,
+    token_count,
+    token_windows,
     write_corpus,
     write_tokens,
 )
@@ -33,6 +35,7 @@ from lexiloom.sources.token_files import (
 WINDOW = 64
 MERGES = 300
 FEW_MERGES = 64
+TOKEN_WINDOW = 32
 EVAL_RATIO = 0.05
 # small parts, so that the test tables too are written by several tasks
 PART = 1 << 21
@@ -246,6 +249,33 @@ def _written_sums(spark: SparkSession, stream: DataFrame) -> DataFrame:
     )
 
 
+def written_turns(spark: SparkSession, directory: str) -> tuple[DataFrame, str, bpe.Tokenizer]:
+    """All turns as BPE tokens (turn_id, tokens), and the path of the token file that they were written to."""
+    tokenizer = _tokenizer(spark, directory, FEW_MERGES)
+    turns = spread(_turns(spark, directory), "conv_id", "turn")
+    encoded = tokenizer.encode(turns).select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "tokens")
+    path = new_path(spark, "encoded")
+    encoded.write.parquet(path)
+    encoded = spark.read.parquet(path)
+    written = new_path(spark, "turn-tokens")
+    write_tokens(token_stream(encoded, "turn_id", F.size("tokens")), written, tokens_per_part=PART)
+    return encoded, written, tokenizer
+
+
+def turn_windows(encoded: DataFrame, path: str) -> DataFrame:
+    """One window per turn, read from the token file."""
+    total = F.lit(token_count(path)).cast("bigint")
+    draws = window_draws(encoded.select("turn_id"), "turn_id", total, TOKEN_WINDOW, "windows")
+    return token_windows(draws, "turn_id", path)
+
+
+def token_windows_query(spark: SparkSession, directory: str) -> DataFrame:
+    encoded, path, _ = written_turns(spark, directory)
+    return turn_windows(encoded, path).select(
+        "turn_id", "start_idx", "n", F.md5(join_ids(F.col("tokens"))).alias("ids_md5")
+    )
+
+
 def token_corpus_stats(spark: SparkSession, directory: str) -> DataFrame:
     """Both splits written with their metadata, found again by the name of the training file."""
     path = new_path(spark, "corpus")
@@ -338,6 +368,7 @@ QUERIES = {
     "next_token": next_token,
     "token_file_roundtrip": token_file_roundtrip,
     "token_file_eos": token_file_eos,
+    "token_windows": token_windows_query,
     "token_corpus_stats": token_corpus_stats,
     "samples_roundtrip": samples_roundtrip,
     "meta_document": meta_document_query,
@@ -388,6 +419,27 @@ def learned_sql(merges: int, words: str = "", before: str = "") -> str:
         WHERE step < {merges})"""
 
 
+_SYMBOLS = f"""
+      pieces AS (SELECT conv_id, turn, unnest(l) AS piece, unnest(range(len(l))) AS piece_no
+                 FROM (SELECT conv_id, turn, string_split({MARKED}, chr(31)) AS l FROM conversations)),
+      placed AS (SELECT conv_id, turn, piece_no, unnest(l) AS word, unnest(range(len(l))) AS word_no
+                 FROM (SELECT conv_id, turn, piece_no, regexp_extract_all(piece, {PIECES}) AS l FROM pieces)),
+      symbols AS (SELECT conv_id, turn, piece_no, word_no, unnest(range(1, length(s) + 1)) AS char_no, s
+                  FROM placed JOIN learning USING (word) WHERE step = {FEW_MERGES})"""
+
+# The tokens of all turns in stream order, and those of one window per turn.
+TURN_WINDOWS = learned_sql(FEW_MERGES) + f""",
+      {_SYMBOLS},
+      stream AS MATERIALIZED (
+        SELECT turn_id, t, row_number() OVER (PARTITION BY turn_id ORDER BY piece_no, word_no, char_no) AS pos,
+               row_number() OVER (ORDER BY md5('42:' || turn_id), turn_id, piece_no, word_no, char_no) - 1 AS idx
+        FROM (SELECT conv_id || '-' || turn AS turn_id, piece_no, word_no, char_no, ord(s[char_no]) - {bpe.SYMBOL_BASE} AS t FROM symbols)),
+      sized AS (SELECT count(*) AS total, least({TOKEN_WINDOW}, count(*) - 1) AS n FROM stream),
+      drawn AS (SELECT conv_id || '-' || turn AS turn_id, {sql.draw("(conv_id || '-' || turn)", '(total - n)', 'windows')} AS start_idx, n
+                FROM conversations, sized WHERE n > 0),
+      places AS (SELECT turn_id, start_idx, n, start_idx + unnest(range(n + 1)) AS idx FROM drawn),
+      windows AS (SELECT p.turn_id, start_idx, n, idx, t FROM places p JOIN stream USING (idx))"""
+
 _STREAM = """
   SELECT doc_id, first_idx, first_idx + n_tokens - 1 AS last_idx, n_tokens FROM (
     SELECT doc_id, n_tokens, (sum(n_tokens) OVER (ORDER BY md5('42:' || doc_id), doc_id) - n_tokens)::BIGINT AS first_idx
@@ -458,15 +510,13 @@ ORACLE = {
         ord(right(pair, 1)) - {bpe.SYMBOL_BASE} AS right_id, {_FIRST + 255} + step AS new_id, pair_n AS n
       FROM learning WHERE step > 0""",
     "bpe_encode": learned_sql(FEW_MERGES) + f""",
-      pieces AS (SELECT conv_id, turn, unnest(l) AS piece, unnest(range(len(l))) AS piece_no
-                 FROM (SELECT conv_id, turn, string_split({MARKED}, chr(31)) AS l FROM conversations)),
-      placed AS (SELECT conv_id, turn, piece_no, unnest(l) AS word, unnest(range(len(l))) AS word_no
-                 FROM (SELECT conv_id, turn, piece_no, regexp_extract_all(piece, {PIECES}) AS l FROM pieces)),
-      symbols AS (SELECT conv_id, turn, piece_no, word_no, unnest(range(1, length(s) + 1)) AS char_no, s
-                  FROM placed JOIN learning USING (word) WHERE step = {FEW_MERGES})
+      {_SYMBOLS}
       SELECT conv_id, turn, count(*) AS n_tokens,
         md5(string_agg((ord(s[char_no]) - {bpe.SYMBOL_BASE})::VARCHAR, ',' ORDER BY piece_no, word_no, char_no)) AS ids_md5
       FROM symbols GROUP BY conv_id, turn""",
+    "token_windows": TURN_WINDOWS + """
+      SELECT turn_id, start_idx, n, md5(string_agg(t::VARCHAR, ',' ORDER BY idx)) AS ids_md5
+      FROM windows GROUP BY turn_id, start_idx, n""",
     "bpe_roundtrip": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "shuffle_order": "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS pos FROM documents",
     "split_tail": f"SELECT doc_id, split FROM ({sql.TAIL_SPLIT})",

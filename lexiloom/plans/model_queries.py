@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,16 @@ from lexiloom.operators.order import draw_rows, split_tail
 from lexiloom.operators.selection import batch_loss, best_model, eval_steps, improvements
 from lexiloom.operators.evaluate import sweep_summary
 from lexiloom.plans import sql
-from lexiloom.plans.corpus_queries import MARKED, PIECES, byte_stream_sql, drawn_windows, learned_sql
+from lexiloom.plans.corpus_queries import (
+    MARKED,
+    PIECES,
+    TURN_WINDOWS,
+    byte_stream_sql,
+    drawn_windows,
+    learned_sql,
+    turn_windows,
+    written_turns,
+)
 from lexiloom.plans.evaluate import answer, token_alphabet
 from lexiloom.plans.prepare import framed
 from lexiloom.plans.train import CHAT_BLOCK, best_order, eval_log
@@ -95,6 +106,16 @@ def window_loss(spark: SparkSession, directory: str) -> DataFrame:
     return losses.select("draw", F.round("loss", 6).alias("loss"))
 
 
+def token_window_loss(spark: SparkSession, directory: str) -> DataFrame:
+    """Loss of windows read from the token file of all turns, under the model of the turns."""
+    encoded, path, tokenizer = written_turns(spark, directory)
+    alphabet = token_alphabet(tokenizer)
+    counts = count_ngrams(encoded, "tokens", [ORDER], alphabet)
+    windows = turn_windows(encoded, path)
+    losses = example_loss(windows, "turn_id", "tokens", counts, ORDER, replace(alphabet, given=1))
+    return losses.select("turn_id", F.round("loss", 6).alias("loss"))
+
+
 def _drawn_losses(spark: SparkSession, directory: str) -> DataFrame:
     """Losses of as many documents drawn with replacement as there are."""
     docs = _documents(spark, directory)
@@ -245,6 +266,7 @@ QUERIES = {
     "example_loss_order3": _example_loss_query(3),
     "split_loss": split_loss_query,
     "window_loss": window_loss,
+    "token_window_loss": token_window_loss,
     "sampled_loss": sampled_loss,
     "batch_loss": batch_loss_query,
     "eval_steps": eval_steps_query,
@@ -477,6 +499,12 @@ ORACLE = {
       pairs AS (SELECT draw, lag(b) OVER (PARTITION BY draw ORDER BY idx) AS context, b AS next FROM places JOIN tokens USING (idx))
       SELECT draw, round(avg({_LOSS}), 6) AS loss FROM pairs LEFT JOIN model2 USING (context, next)
       WHERE context IS NOT NULL GROUP BY draw""",
+    "token_window_loss": TURN_WINDOWS + f""",
+      rows AS (SELECT coalesce(lag(t) OVER (PARTITION BY turn_id ORDER BY pos), 0) AS context, t AS next FROM stream),
+      model AS (SELECT context, next, count(*) AS n, sum(count(*)) OVER (PARTITION BY context) AS total FROM rows GROUP BY context, next),
+      pairs AS (SELECT turn_id, lag(t) OVER (PARTITION BY turn_id ORDER BY idx) AS context, t AS next FROM windows)
+      SELECT turn_id, round(avg({_LOSS}), 6) AS loss FROM pairs LEFT JOIN model USING (context, next)
+      WHERE context IS NOT NULL GROUP BY turn_id""",
     "sampled_loss": _DRAWN + " SELECT count(*) AS n_draws, round(avg(loss), 6) AS loss FROM drawn_losses",
     "batch_loss": _DRAWN + " SELECT step, loss FROM batches",
     "eval_steps": _DRAWN + f"""

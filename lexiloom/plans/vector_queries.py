@@ -9,6 +9,7 @@ from lexiloom.functions.vectors import doubles, layer_norm, rms_norm
 from lexiloom.operators.pooling import (
     attention_pool,
     causal_pool,
+    causal_pool_whole,
     explode_vector,
     label_votes,
     lookup_sum,
@@ -20,6 +21,7 @@ from lexiloom.sources.tables import spread, table
 
 BLOCK = 8
 NEIGHBOURS = 16
+WHOLE_BLOCK = 1024
 
 
 def _vectors(spark: SparkSession, directory: str) -> DataFrame:
@@ -68,6 +70,12 @@ def causal_pool_query(spark: SparkSession, directory: str) -> DataFrame:
     return explode_vector(causal_pool(rows, "vec_id", "embedding", BLOCK), "embedding")
 
 
+def causal_pool_whole_query(spark: SparkSession, directory: str) -> DataFrame:
+    """All vectors of a label as one sequence."""
+    rows = _vectors(spark, directory).select("vec_id", "label", "embedding")
+    return explode_vector(causal_pool_whole(rows, "label", "vec_id", "embedding", WHOLE_BLOCK), "embedding")
+
+
 QUERIES = {
     "vector_lookup_sum": vector_lookup_sum,
     "rms_norm": _norm_query(rms_norm),
@@ -75,6 +83,7 @@ QUERIES = {
     "softmax_knn": softmax_knn,
     "attention_pool": attention_pool_query,
     "causal_pool": causal_pool_query,
+    "causal_pool_whole": causal_pool_whole_query,
 }
 
 _CELLS = """
@@ -113,4 +122,13 @@ ORACLE = {
       weights AS (SELECT vec_id, seen, e / sum(e) OVER (PARTITION BY vec_id) AS w FROM exps)
       SELECT weights.vec_id, dim, round(sum(w * x), 6) AS value
       FROM weights JOIN cells ON cells.vec_id = seen GROUP BY weights.vec_id, dim""",
+    "causal_pool_whole": f"""
+      WITH cells AS MATERIALIZED ({_CELLS}),
+      scores AS (SELECT q.vec_id, k.vec_id AS seen, sum(q.x * k.x) / sqrt(count(*)::DOUBLE) AS s
+                 FROM cells q JOIN cells k ON q.label = k.label AND k.vec_id <= q.vec_id AND q.dim = k.dim
+                 GROUP BY q.vec_id, k.vec_id),
+      exps AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM scores),
+      weights AS (SELECT vec_id, seen, e / sum(e) OVER (PARTITION BY vec_id) AS w FROM exps)
+      SELECT weights.vec_id, dim, round(sum(w * x), 6) AS value
+      FROM weights JOIN cells ON cells.vec_id = seen GROUP BY weights.vec_id, dim""",
 }

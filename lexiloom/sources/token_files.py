@@ -78,22 +78,25 @@ class TokenFile(DataSource):
         return _Writer(self.options["path"], self.options.get("dtype", "u16"))
 
 
+def listed_parts(path: str, dtype: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """The type of a token file, and name, first index and number of tokens of each of its parts."""
+    files, root = file_system(path)
+    if files.get_file_info(root).is_file:
+        size, width = files.get_file_info(root).size, np.dtype(DTYPES[dtype]).itemsize
+        if size % width:
+            raise ValueError(f"{path} holds no whole number of {dtype} tokens")
+        return dtype, [("", 0, size // width)]
+    with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
+        manifest = json.loads(stream.read())
+    return manifest["dtype"], manifest["parts"]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, dtype: str) -> None:
         self.path, self.dtype = path, dtype
 
     def partitions(self) -> list[_Range]:
-        files, root = file_system(self.path)
-        dtype = self.dtype
-        if files.get_file_info(root).is_file:
-            size, width = files.get_file_info(root).size, np.dtype(DTYPES[dtype]).itemsize
-            if size % width:
-                raise ValueError(f"{self.path} holds no whole number of {dtype} tokens")
-            parts = [("", 0, size // width)]
-        else:
-            with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
-                manifest = json.loads(stream.read())
-            dtype, parts = manifest["dtype"], manifest["parts"]
+        dtype, parts = listed_parts(self.path, self.dtype)
         return [
             _Range(name, skip, first + skip, min(TOKENS_PER_RANGE, n - skip), dtype)
             for name, first, n in parts
@@ -207,6 +210,66 @@ def read_tokens(spark: SparkSession, path: str, dtype: str = "u16") -> DataFrame
     return spark.read.format(FORMAT).option("dtype", dtype).load(path)
 
 
+class _Seeker:
+    """Reads ranges of a token file, each by seeking in the parts that hold it; ``bytes_read`` counts what was read."""
+
+    def __init__(self, path: str, dtype: str) -> None:
+        self.files, self.root = file_system(path)
+        dtype, parts = listed_parts(path, dtype)
+        self.dtype = np.dtype(DTYPES[dtype])
+        self.parts = sorted(parts, key=lambda p: p[1])
+        self.firsts = np.array([p[1] for p in self.parts], np.int64)
+        self.open_part, self.stream, self.bytes_read = None, None, 0
+
+    def range(self, first: int, stop: int) -> np.ndarray:
+        pieces = []
+        i = max(0, int(np.searchsorted(self.firsts, first, side="right")) - 1)
+        while i < len(self.parts) and self.parts[i][1] < stop:
+            name, start, n = self.parts[i]
+            low, high = max(first, start), min(stop, start + n)
+            if low < high:
+                if self.open_part != i:
+                    self.close()
+                    self.open_part = i
+                    self.stream = self.files.open_input_file(f"{self.root}/{name}".rstrip("/"))
+                self.stream.seek((low - start) * self.dtype.itemsize)
+                data = self.stream.read((high - low) * self.dtype.itemsize)
+                self.bytes_read += len(data)
+                pieces.append(np.frombuffer(data, self.dtype).astype(np.int32))
+            i += 1
+        return np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+
+    def close(self) -> None:
+        if self.stream is not None:
+            self.stream.close()
+        self.open_part, self.stream = None, None
+
+
+def token_windows(draws: DataFrame, key: str, path: str, dtype: str = "u16") -> DataFrame:
+    """(key, start_idx, n, tokens): the ``n + 1`` tokens of each drawn window of a token file.
+
+    Map-only: no scan and no join. Draws are dealt to tasks by their start, and a task reads only the ranges of
+    its draws, in order, by seeking. Where the file has a gap, a window is shorter.
+    """
+    kind = draws.schema[key].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeker = None
+        for batch in batches:
+            seeker = seeker or _Seeker(path, dtype)
+            starts, n = (batch.column(c).to_numpy() for c in ("start_idx", "n"))
+            found = [seeker.range(int(a), int(a + k + 1)) for a, k in zip(starts, n)]
+            sizes = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "tokens"])
+        if seeker is not None:
+            seeker.close()
+
+    wanted = draws.select(key, F.col("start_idx").cast("bigint"), F.col("n").cast("bigint"))
+    ordered = wanted.repartitionByRange("start_idx").sortWithinPartitions("start_idx")
+    return ordered.mapInArrow(read, f"{key} {kind}, start_idx bigint, n bigint, tokens array<int>")
+
+
 def token_count(path: str, dtype: str = "u16") -> int:
     """Number of tokens, from the manifest or the file size alone."""
     return sum(part.n_tokens for part in _Reader(path, dtype).partitions())

@@ -19,7 +19,7 @@ from lexiloom.sources.logs import EVALUATIONS, read_log, write_log
 from lexiloom.sources.metadata import int_field, meta_document, meta_fields, storage_type, string_field
 from lexiloom.sources.model_store import load_model, save_model
 from lexiloom.sources.samples import read_samples
-from lexiloom.sources.token_files import explode_tokens, load_corpus, read_tokens, sidecars, write_tokens
+from lexiloom.sources.token_files import explode_tokens, load_corpus, read_tokens, sidecars, token_windows, write_tokens
 
 
 def stream_of(spark, sizes, top=60_000):
@@ -223,3 +223,17 @@ def test_a_corpus_by_glob_is_read_and_only_an_absent_one_falls_back(spark, tmp_p
     kind, lines = read_corpus(spark, str(tmp_path / "*.txt"))
     assert kind == "lines" and sorted(r["line"] for r in lines.collect()) == ["one", "two"]
     assert "anna" in {r["line"] for r in read_corpus(spark, str(tmp_path / "absent" / "*.txt"))[1].collect()}
+
+
+def test_windows_are_read_by_seeking(spark, tmp_path):
+    """Windows of one and of several parts, at both ends; only their own bytes are read."""
+    path = f"{tmp_path}/tokens"
+    stream = spark.range(40).select((F.col("id") * 25).alias("first_idx"), F.transform(F.sequence(F.col("id") * 25, F.col("id") * 25 + 24), lambda x: x.cast("int")).alias("tokens"))
+    write_tokens(stream, path, tokens_per_part=100)
+    draws = spark.createDataFrame([(1, 0, 9), (2, 95, 9), (3, 990, 9), (4, 50, 400), (5, 998, 9)], "draw int, start_idx bigint, n bigint")
+    got = {r["draw"]: r["tokens"] for r in token_windows(draws, "draw", path).collect()}
+    assert got == {1: list(range(10)), 2: list(range(95, 105)), 3: list(range(990, 1000)), 4: list(range(50, 451)), 5: [998, 999]}
+    seeker = token_files._Seeker(path, "u16")
+    assert list(seeker.range(95, 105)) == list(range(95, 105)) and seeker.bytes_read == 2 * 10
+    seeker.close()
+    assert token_windows(draws.limit(0), "draw", path).collect() == []

@@ -85,3 +85,24 @@ def test_mean_vectors(spark):
     data, df = vectors(spark, 11)
     got = {r["label"]: r["v"] for r in pooling.mean_vectors(df.repartition(4), "label", "v").collect()}
     assert got == {k: pytest.approx(data[k::3].mean(axis=0)) for k in range(3)}
+
+
+@pytest.mark.parametrize("block", [3, 7, 1000])
+def test_causal_pooling_over_whole_sequences(spark, block):
+    rng = np.random.default_rng(block)
+    rows = [(int(i), int(i) % 3, [float(x) for x in 30 * rng.normal(size=4)]) for i in rng.permutation(60)]
+    df = spark.createDataFrame(rows, "id int, seq int, v array<double>")
+    got = {r["id"]: r["v"] for r in pooling.causal_pool_whole(df, "seq", "id", "v", block).collect()}
+    assert len(got) == 60
+    for i, s, v in rows:
+        seen = np.array([w for j, t, w in rows if t == s and j <= i])
+        scores = seen @ np.array(v) / 2
+        weights = np.exp(scores - scores.max())
+        assert got[i] == pytest.approx(list(weights @ seen / weights.sum()))
+
+
+def test_whole_sequences_of_nothing(spark):
+    df = spark.createDataFrame([], "id int, seq int, v array<double>")
+    assert pooling.causal_pool_whole(df, "seq", "id", "v", 4).collect() == []
+    with pytest.raises(ValueError):
+        pooling.causal_pool_whole(df, "seq", "id", "v", 0)
