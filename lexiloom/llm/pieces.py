@@ -155,12 +155,16 @@ class PieceEncoder:
             self._derive(held)
         bytes_at = np.flatnonzero(model.kinds == BYTE)
         self.byte_id = {int(model.pieces[i][3:5], 16): int(i) for i in bytes_at}
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
+        byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         unknown = np.flatnonzero(model.kinds == UNKNOWN)
         self.unknown_id = int(unknown[0]) if len(unknown) else 0
-        self.text_of = [
-            "" if k in (CONTROL, BYTE) else p.replace(SPACE, " ") for p, k in zip(model.pieces, model.kinds.tolist())
+        shown = [
+            byte_of.get(i, b"") if k in (CONTROL, BYTE) else p.replace(SPACE, " ").encode()
+            for i, (p, k) in enumerate(zip(model.pieces, model.kinds.tolist()))
         ]
+        self.spelled = np.frombuffer(b"".join(shown), np.uint8)
+        self.size_of = np.array([len(b) for b in shown], np.int64)
+        self.start_of = np.cumsum(self.size_of) - self.size_of
 
     @staticmethod
     def _raw(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -382,21 +386,33 @@ class PieceEncoder:
         at = np.arange(int(n.sum())) + np.repeat(begin[number] - (np.cumsum(n) - n), n)
         return flat[at], np.bincount(owner, n, len(texts)).astype(np.int64)
 
-    def decode(self, ids: list[int]) -> str:
-        parts: list[str] = []
-        held = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-                held.clear()
-            parts.append(self.text_of[i])
-        if held:
-            parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts)
-        return text[1:] if self.model.prefix and text[:1] == " " else text
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """Texts of rows of ids laid end to end, ``n`` ids each: the bytes of all pieces are gathered at once.
+
+        Byte runs that are no UTF-8 become U+FFFD.
+        """
+        sizes = self.size_of[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        shift = self.start_of[ids] - (ends - sizes)
+        flat = self.spelled[np.arange(total) + np.repeat(shift, sizes)]
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(n))]
+        starts, stops = bounds[:-1].copy(), bounds[1:]
+        if self.model.prefix:
+            led = np.flatnonzero(stops > starts)
+            led = led[flat[starts[led]] == ord(" ")]
+            # the space that encoding put before the text goes
+            starts[led] += 1
+            kept = np.ones(total, bool)
+            kept[starts[led] - 1] = False
+            flat = flat[kept]
+            bounds = np.append(0, np.cumsum(stops - starts))
+        data = pa.py_buffer(flat.tobytes())
+        raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), data])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in raw.to_pylist()], pa.string())
 
 
 def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> pa.Array:
@@ -407,7 +423,11 @@ def encoded(encoder: PieceEncoder, batch: pa.RecordBatch) -> pa.Array:
 
 
 def decoded(encoder: PieceEncoder, column: pa.Array) -> pa.Array:
-    return pa.array([encoder.decode(ids or []) for ids in column.to_pylist()], pa.string())
+    """The texts of lists of ids; a null list gives an empty text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return encoder.decode(column.flatten().to_numpy(zero_copy_only=False), n.astype(np.int64))
 
 
 def encode_batches(data, back: bool):

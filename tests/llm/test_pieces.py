@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -55,13 +56,21 @@ def test_ids_equal_the_library(own, library):
         assert ids == library.encode(text), text
 
 
+def decoded(encoder, rows):
+    flat = np.array([i for ids in rows for i in ids], np.int32)
+    return encoder.decode(flat, np.array([len(ids) for ids in rows], np.int64)).to_pylist()
+
+
 def test_decoding_equals_the_library_and_gives_texts_back(own, library):
-    for text, ids in zip(TEXTS, split(own, TEXTS)):
-        assert own.decode(ids) == text
+    assert decoded(own, split(own, TEXTS)) == TEXTS
+    assert decoded(own, []) == [] and decoded(own, [[], []]) == ["", ""]
     rng = random.Random(2)
-    for _ in range(200):
-        ids = [rng.randrange(3, 32000) for _ in range(rng.randint(0, 12))]
-        assert own.decode(ids) == library.decode(ids)
+    rows = [[rng.randrange(3, 32000) for _ in range(rng.randint(0, 12))] for _ in range(200)]
+    rows += [[rng.randrange(3, 259) for _ in range(rng.randint(0, 12))] for _ in range(200)]
+    got = decoded(own, rows)
+    assert got == [decoded(own, [ids])[0] for ids in rows]
+    for ids, text in zip(rows[:200], got):
+        assert text == library.decode(ids)
 
 
 def varint(n):
