@@ -14,6 +14,7 @@ from lexiloom.functions.scoring import (
     style_ok,
 )
 from lexiloom.operators.order import range_bucket, running
+from lexiloom.session import stored
 
 # Rows that one report document can hold.
 REPORT_ROWS = 10_000
@@ -101,8 +102,8 @@ def report_lines(scored: DataFrame) -> Column:
 
 def score_history(scored: DataFrame, run: str, case: str = "case_id") -> DataFrame:
     """Mean score of each case in each run, with the run before it and the change."""
-    per_run = scored.groupBy(case, run).agg(F.avg("score").alias("score"))
-    bucket = range_bucket(scored, run)
+    per_run = stored(scored.groupBy(case, run).agg(F.avg("score").alias("score")), "scores")
+    bucket = range_bucket(per_run, run)
     return running(per_run, "last", F.col("score"), bucket, [run], (case,), "prev_score").withColumn(
         "delta", F.col("score") - F.col("prev_score")
     )

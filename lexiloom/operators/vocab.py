@@ -85,3 +85,16 @@ def corpus_stats(docs: DataFrame, split: str = "split", text: str = "text") -> D
         .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         .select(F.coalesce(split, F.lit("all")).alias("split"), "n_docs", "n_tokens", size.alias("vocab_size"))
     )
+
+
+def encoded_stats(encoded: DataFrame, split: str, tokens: str, text: str) -> DataFrame:
+    """Samples, tokens, token range per sample and bytes of each split of encoded texts; no token becomes a row."""
+    sized = encoded.select(split, F.size(tokens).alias("n"), F.octet_length(text).alias("size"))
+    return sized.groupBy(split).agg(
+        F.count("*").alias("n_samples"),
+        F.sum("n").cast("bigint").alias("n_tokens"),
+        F.min("n").alias("min_tokens"),
+        F.max("n").alias("max_tokens"),
+        F.sum("size").cast("bigint").alias("n_bytes"),
+        F.try_divide(F.sum("size"), F.sum("n")).cast("double").alias("bytes_per_token"),
+    )

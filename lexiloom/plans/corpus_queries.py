@@ -22,11 +22,12 @@ from lexiloom.sources.pairs import chat_pairs
 from lexiloom.sources.samples import read_samples, write_samples
 from lexiloom.sources.tables import spread, table
 from lexiloom.sources.token_files import (
+    append_tokens,
     corpus_stats,
-    explode_tokens,
     load_corpus,
     read_tokens,
     token_count,
+    token_sums,
     token_windows,
     write_corpus,
     write_tokens,
@@ -39,6 +40,7 @@ TOKEN_WINDOW = 32
 EVAL_RATIO = 0.05
 # small parts, so that the test tables too are written by several tasks
 PART = 1 << 21
+SUM_RANGE = 1000
 
 
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -241,12 +243,29 @@ def token_file_eos(spark: SparkSession, directory: str) -> DataFrame:
 def _written_sums(spark: SparkSession, stream: DataFrame) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(stream, path, tokens_per_part=PART)
-    tokens = explode_tokens(read_tokens(spark, path))
-    return tokens.groupBy(F.floor(F.col("idx") / 1000).cast("bigint").alias("part")).agg(
-        F.count("*").alias("n"),
-        F.sum("token").alias("token_sum"),
-        F.sum(F.col("token") * (F.col("idx") % 1000)).alias("weighted_sum"),
-    )
+    return token_sums(read_tokens(spark, path), SUM_RANGE)
+
+
+def token_file_append(spark: SparkSession, directory: str) -> DataFrame:
+    """A token file of one half of the documents, to which the other half is added: the sums of both versions."""
+    path = new_path(spark, "tokens")
+    docs = _spread_documents(spark, directory)
+    halves = [docs.where(F.col("doc_id") % 2 == half) for half in (0, 1)]
+    first, second = (_byte_tokens(token_stream(d, "doc_id", F.octet_length("text"))) for d in halves)
+    write_tokens(first, path, tokens_per_part=PART)
+    added = append_tokens(second, path, tokens_per_part=PART)
+    sums = [
+        token_sums(read_tokens(spark, path, version=v), SUM_RANGE).withColumn("version", F.lit(v)) for v in (0, added)
+    ]
+    return sums[0].unionByName(sums[1])
+
+
+def bpe_split_stats(spark: SparkSession, directory: str) -> DataFrame:
+    """Samples, tokens and bytes of both splits of the turns, in tokens learned on them."""
+    turns = spread(_turns(spark, directory), "conv_id", "turn").withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
+    encoded = _tokenizer(spark, directory, FEW_MERGES).encode(split_head(turns, "turn_id", EVAL_RATIO))
+    stats = vocab.encoded_stats(encoded, "split", "tokens", "text")
+    return stats.withColumn("bytes_per_token", F.round("bytes_per_token", 6))
 
 
 def written_turns(spark: SparkSession, directory: str) -> tuple[DataFrame, str, bpe.Tokenizer]:
@@ -368,6 +387,8 @@ QUERIES = {
     "next_token": next_token,
     "token_file_roundtrip": token_file_roundtrip,
     "token_file_eos": token_file_eos,
+    "token_file_append": token_file_append,
+    "bpe_split_stats": bpe_split_stats,
     "token_windows": token_windows_query,
     "token_corpus_stats": token_corpus_stats,
     "samples_roundtrip": samples_roundtrip,
@@ -558,6 +579,27 @@ ORACLE = {
       tokens AS (SELECT first_idx + pos AS idx, b FROM ({sql.byte_rows(end=True)}) JOIN sized USING (doc_id))
       SELECT (idx // 1000)::BIGINT AS part, count(*) AS n, sum(b)::BIGINT AS token_sum, sum(b * (idx % 1000))::BIGINT AS weighted_sum
       FROM tokens GROUP BY 1""",
+    "token_file_append": f"""
+      WITH sized AS (
+        SELECT doc_id, doc_id % 2 AS half, octet_length(encode(text)) AS n, sum(n) OVER (ORDER BY doc_id % 2, md5('42:' || doc_id), doc_id) - n AS first_idx
+        FROM documents),
+      tokens AS (SELECT half, first_idx + pos AS idx, b FROM ({_BYTES}) JOIN sized USING (doc_id))
+      SELECT version, (idx // {SUM_RANGE})::BIGINT AS part, count(*) AS n, sum(b)::BIGINT AS token_sum,
+        sum(b * (idx % {SUM_RANGE}))::BIGINT AS weighted_sum
+      FROM tokens, (VALUES (0), (1)) versions(version) WHERE half <= version GROUP BY 1, 2""",
+    "bpe_split_stats": learned_sql(FEW_MERGES) + f""",
+      {_SYMBOLS},
+      sized AS (SELECT conv_id, turn, count(*) AS n FROM symbols GROUP BY conv_id, turn),
+      placed_turns AS (
+        SELECT conv_id, turn, text, row_number() OVER (ORDER BY md5('42:' || conv_id || '-' || turn), conv_id || '-' || turn) - 1 AS pos,
+          count(*) OVER () AS n_turns FROM conversations),
+      split_turns AS (
+        SELECT n, octet_length(encode(text)) AS size,
+          CASE WHEN pos < greatest(1, floor(n_turns * {EVAL_RATIO}::DOUBLE)) THEN 'eval' ELSE 'train' END AS split
+        FROM placed_turns JOIN sized USING (conv_id, turn))
+      SELECT split, count(*) AS n_samples, sum(n)::BIGINT AS n_tokens, min(n)::INT AS min_tokens, max(n)::INT AS max_tokens,
+        sum(size)::BIGINT AS n_bytes, round(sum(size)::DOUBLE / sum(n)::DOUBLE, 6) AS bytes_per_token
+      FROM split_turns GROUP BY split""",
     "token_corpus_stats": f"""
       SELECT split, count(*) AS n_tokens, min(b) AS min_token, max(b) AS max_token, sum(b)::BIGINT AS token_sum
       FROM ({_BYTES}) JOIN ({_HEAD}) USING (doc_id) GROUP BY split""",

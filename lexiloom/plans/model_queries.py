@@ -39,7 +39,8 @@ from lexiloom.plans.corpus_queries import (
 )
 from lexiloom.plans.evaluate import answer, token_alphabet
 from lexiloom.plans.prepare import framed
-from lexiloom.plans.train import CHAT_BLOCK, best_order, eval_log
+from lexiloom.plans.train import CHAT_BLOCK, best_order, eval_log, measured_log
+from lexiloom.session import stored
 from lexiloom.sources.metadata import SPECIAL_TOKENS
 from lexiloom.sources.pairs import chat_pairs
 from lexiloom.sources.tables import spread, table
@@ -146,7 +147,9 @@ def eval_steps_query(spark: SparkSession, directory: str) -> DataFrame:
 
 def best_so_far(spark: SparkSession, directory: str) -> DataFrame:
     """The steps at which the smallest loss so far was undercut."""
-    return improvements(_batches(spark, directory), "loss").where("improved").select("step", "loss")
+    # the log is small, and its range, its running minima and its rows are all read from it
+    log = stored(_batches(spark, directory), "log")
+    return improvements(log, "loss").where("improved").select("step", "loss")
 
 
 def best_step(spark: SparkSession, directory: str) -> DataFrame:
@@ -160,6 +163,16 @@ def _log(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def train_throughput(spark: SparkSession, directory: str) -> DataFrame:
+    """The log with what was observed while each order was counted; of the times, only that they were taken."""
+    log = measured_log(_documents(spark, directory), "doc_id", "text", LOG_ORDERS)
+    same = F.abs(F.col("targets_per_sec") * F.col("seconds") - F.col("n_targets")) < 1
+    return log.select(
+        "step", "n_examples", "n_targets", "n_entries", ((F.col("seconds") > 0) & same).alias("timed"),
+        F.round("train_loss", 6).alias("train_loss"), F.round("val_loss", 6).alias("val_loss"),
+    )
+
+
 def best_model_query(spark: SparkSession, directory: str) -> DataFrame:
     return best_order(_log(spark, directory)).select("model_order", "val_loss")
 
@@ -273,6 +286,7 @@ QUERIES = {
     "best_so_far": best_so_far,
     "best_step": best_step,
     "eval_log": _log,
+    "train_throughput": train_throughput,
     "best_model": best_model_query,
     "model_size": model_size_query,
     "softmax_temperature": softmax_temperature,
@@ -514,6 +528,13 @@ ORACLE = {
         FROM batches) WHERE before IS NULL OR loss < before""",
     "best_step": _DRAWN + " SELECT step, loss FROM batches ORDER BY loss, step LIMIT 1",
     "eval_log": LOG_SQL,
+    "train_throughput": model_setup(LOG_ORDERS) + " " + " UNION ALL ".join(
+        f"""SELECT {k} AS step, (SELECT count(*) FROM docs WHERE split = 'train') AS n_examples,
+            (SELECT sum(n)::BIGINT FROM model{k}) AS n_targets, (SELECT count(*) FROM model{k}) AS n_entries, true AS timed,
+            round(avg(loss) FILTER (split = 'train'), 6) AS train_loss, round(avg(loss) FILTER (split = 'val'), 6) AS val_loss
+            FROM ({_losses(k)}) JOIN docs USING (doc_id)"""
+        for k in LOG_ORDERS
+    ),
     "best_model": f"SELECT model_order, val_loss FROM ({LOG_SQL}) ORDER BY val_loss, model_order LIMIT 1",
     "model_size": model_setup(ORDERS, "true") + " " + " UNION ALL ".join(
         f"""SELECT {k} AS model_order, count(*) AS n_entries, count(DISTINCT context) AS n_contexts,

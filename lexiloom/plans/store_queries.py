@@ -13,9 +13,9 @@ from lexiloom.plans.corpus_queries import EVAL_RATIO, FEW_MERGES, learned_sql
 from lexiloom.plans.model_queries import LOG_ORDERS, LOG_SQL, model_setup
 from lexiloom.plans.prepare import framed
 from lexiloom.plans.train import eval_log
-from lexiloom.session import new_path
-from lexiloom.sources.logs import EVALUATIONS, read_log, write_log
-from lexiloom.sources.model_store import load_model, save_model
+from lexiloom.session import new_path, stored
+from lexiloom.sources.logs import EVALUATIONS, append_steps, read_log, read_steps, write_log
+from lexiloom.sources.model_store import append_model, load_model, save_model
 from lexiloom.sources.pairs import chat_pairs, choose_splits
 from lexiloom.sources.samples import read_samples, write_samples
 from lexiloom.sources.tables import table
@@ -51,6 +51,29 @@ def model_store(spark: SparkSession, directory: str) -> DataFrame:
     return load_model(spark, path, config).withColumn("refused", F.lit(refused))
 
 
+def model_append(spark: SparkSession, directory: str) -> DataFrame:
+    """A model of one half of the documents that was saved, to which the counts of the other half were added."""
+    path = new_path(spark, "model")
+    docs = _documents(spark, directory)
+    config = {"model_order": ORDER, "base": BYTES.base, "pad": BYTES.pad, "end": BYTES.end, "vocab_size": 257}
+    save_model(count_ngrams(docs.where("doc_id % 2 = 0"), "text", [ORDER]), config, path)
+    append_model(count_ngrams(docs.where("doc_id % 2 = 1"), "text", [ORDER]), config, path)
+    return load_model(spark, path, config)
+
+
+def log_resume(spark: SparkSession, directory: str) -> DataFrame:
+    """A log whose run broke off after step 3, without validation losses, and was resumed from step 2 on."""
+    path = new_path(spark, "log")
+    log = eval_log(_documents(spark, directory), "doc_id", "text", LOG_ORDERS)
+    log = stored(log.select(F.col("model_order").alias("step"), "train_loss", "val_loss", F.lit(RATE).alias("lr")), "log")
+    broken = log.where("step <= 3").withColumn("val_loss", F.lit(None).cast("double"))
+    append_steps(broken, path, "documents", EVALUATIONS)
+    append_steps(log.where("step >= 2"), path, "documents", EVALUATIONS)
+    return read_steps(spark, path, EVALUATIONS).select(
+        "run", "step", F.round("train_loss", 6).alias("train_loss"), F.round("val_loss", 6).alias("val_loss"), "lr"
+    )
+
+
 def log_store(spark: SparkSession, directory: str) -> DataFrame:
     """The evaluation log, written as CSV step by step and read back."""
     path = new_path(spark, "log")
@@ -93,7 +116,9 @@ def sample_cap(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "tokenizer_store": tokenizer_store,
     "model_store": model_store,
+    "model_append": model_append,
     "log_store": log_store,
+    "log_resume": log_resume,
     "samples_parquet": samples_parquet,
     "chosen_splits": chosen_splits,
     "sample_cap": sample_cap,
@@ -106,6 +131,11 @@ ORACLE = {
       FROM learning WHERE step > 0""",
     "model_store": model_setup([ORDER], "true") + f"""
       SELECT {ORDER} AS model_order, context, next, n, 3 AS refused FROM model{ORDER}""",
+    "model_append": model_setup([ORDER], "true") + f"""
+      SELECT {ORDER} AS model_order, context, next, n FROM model{ORDER}""",
+    "log_resume": f"""
+      SELECT 'documents' AS run, model_order AS step, train_loss, CASE WHEN model_order >= 2 THEN val_loss END AS val_loss,
+        {RATE!r}::DOUBLE AS lr FROM ({LOG_SQL})""",
     "log_store": f"SELECT model_order AS step, train_loss, val_loss, {RATE!r}::DOUBLE AS lr FROM ({LOG_SQL})",
     "samples_parquet": f"""
       WITH samples AS (

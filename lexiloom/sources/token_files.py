@@ -2,7 +2,8 @@
 
 A token file is a folder of part files plus ``_parts.json``, which lists the parts of the tasks that
 succeeded. Read in that order, the parts are the bytes of one plain ``.bin`` file, which the reader
-takes as well.
+takes as well. An append is a version of its own: ``_parts-1.json`` and so on list the parts that were added, and
+the file is the chain of all versions. A list is written last, so a failed append leaves the file as it was.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from lexiloom.operators.kernels import flat_values
 from lexiloom.shipping import ship
 from lexiloom.sources.metadata import meta_fields
 
@@ -72,31 +74,45 @@ class TokenFile(DataSource):
         return "first_idx bigint, tokens array<int>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("dtype", "u16"))
+        upto = self.options.get("version")
+        return _Reader(self.options["path"], self.options.get("dtype", "u16"), None if upto is None else int(upto))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], self.options.get("dtype", "u16"))
+        return _Writer(self.options["path"], self.options.get("dtype", "u16"), int(self.options.get("version", 0)))
 
 
-def listed_parts(path: str, dtype: str) -> tuple[str, list[tuple[str, int, int]]]:
-    """The type of a token file, and name, first index and number of tokens of each of its parts."""
+def manifest_name(version: int) -> str:
+    return MANIFEST if version == 0 else MANIFEST.replace(".", f"-{version}.")
+
+
+def listed_parts(
+    path: str, dtype: str, upto: int | None = None
+) -> tuple[str, list[tuple[str, int, int]], int]:
+    """The type of a token file, name, first index and number of tokens of each part, and the last version read."""
     files, root = file_system(path)
     if files.get_file_info(root).is_file:
         size, width = files.get_file_info(root).size, np.dtype(DTYPES[dtype]).itemsize
         if size % width:
             raise ValueError(f"{path} holds no whole number of {dtype} tokens")
-        return dtype, [("", 0, size // width)]
-    with files.open_input_stream(f"{root}/{MANIFEST}") as stream:
-        manifest = json.loads(stream.read())
-    return manifest["dtype"], manifest["parts"]
+        return dtype, [("", 0, size // width)], 0
+    parts, version, kind = [], 0, dtype
+    while True:
+        with files.open_input_stream(f"{root}/{manifest_name(version)}") as stream:
+            manifest = json.loads(stream.read())
+        kind = manifest["dtype"]
+        parts += manifest["parts"]
+        following = files.get_file_info(f"{root}/{manifest_name(version + 1)}")
+        if version == upto or following.type == fs.FileType.NotFound:
+            return kind, parts, version
+        version += 1
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, dtype: str) -> None:
-        self.path, self.dtype = path, dtype
+    def __init__(self, path: str, dtype: str, upto: int | None = None) -> None:
+        self.path, self.dtype, self.upto = path, dtype, upto
 
     def partitions(self) -> list[_Range]:
-        dtype, parts = listed_parts(self.path, self.dtype)
+        dtype, parts, _ = listed_parts(self.path, self.dtype, self.upto)
         return [
             _Range(name, skip, first + skip, min(TOKENS_PER_RANGE, n - skip), dtype)
             for name, first, n in parts
@@ -120,8 +136,8 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, dtype: str) -> None:
-        self.path, self.dtype = path, dtype
+    def __init__(self, path: str, dtype: str, version: int = 0) -> None:
+        self.path, self.dtype, self.version = path, dtype, version
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         """Rows come in index order; every gap starts a new part, named so that no retry reuses it."""
@@ -160,8 +176,11 @@ class _Writer(DataSourceArrowWriter):
         files, root = file_system(self.path)
         files.create_dir(root, recursive=True)
         parts = sorted((p for m in messages if m for p in m.parts), key=lambda p: p[1])
-        with files.open_output_stream(f"{root}/{MANIFEST}") as stream:
+        # the list comes into being whole, under a name that no reader looks for, and is then put in its place
+        draft = f"{root}/_draft-{uuid.uuid4().hex}"
+        with files.open_output_stream(draft) as stream:
             stream.write(json.dumps({"dtype": self.dtype, "parts": parts}).encode())
+        files.move(draft, f"{root}/{manifest_name(self.version)}")
 
     def abort(self, messages: list[_Part | None]) -> None:
         files, root = file_system(self.path)
@@ -185,12 +204,31 @@ def write_tokens(
 ) -> None:
     """Write ``stream(first_idx, tokens)``; parts hold equal ranges of the index.
 
-    A path that holds a token file already is refused, for its manifest would be lost.
+    A path that holds a token file already is refused; ``append_tokens`` adds to it.
     """
     if dtype not in DTYPES:
         raise ValueError(f"dtype must be one of {sorted(DTYPES)}")
-    register(stream.sparkSession)
     refuse_written(path)
+    _write_version(stream, path, dtype, 0, tokens_per_part)
+
+
+def append_tokens(stream: DataFrame, path: str, tokens_per_part: int = TOKENS_PER_PART) -> int:
+    """Add ``stream(first_idx, tokens)``, whose index starts at 0, after the last token; returns the new version.
+
+    One writer at a time. The versions before stay readable, also when the append fails.
+    """
+    files, root = file_system(path)
+    if files.get_file_info(root).is_file:
+        raise ValueError(f"{path} is a plain file")
+    dtype, parts, version = listed_parts(path, "u16")
+    end = max((first + n for _, first, n in parts), default=0)
+    moved = stream.withColumn("first_idx", F.col("first_idx") + F.lit(end).cast("bigint"))
+    _write_version(moved, path, dtype, version + 1, tokens_per_part)
+    return version + 1
+
+
+def _write_version(stream: DataFrame, path: str, dtype: str, version: int, tokens_per_part: int) -> None:
+    register(stream.sparkSession)
     part = F.floor(F.col("first_idx") / tokens_per_part)
     (
         stream.where(F.size("tokens") > 0)
@@ -201,13 +239,16 @@ def write_tokens(
         .write.format(FORMAT)
         .mode("append")
         .option("dtype", dtype)
+        .option("version", version)
         .save(path)
     )
 
 
-def read_tokens(spark: SparkSession, path: str, dtype: str = "u16") -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, dtype: str = "u16", version: int | None = None) -> DataFrame:
+    """All tokens; with ``version``, those that the file held after it."""
     register(spark)
-    return spark.read.format(FORMAT).option("dtype", dtype).load(path)
+    reader = spark.read.format(FORMAT).option("dtype", dtype)
+    return (reader if version is None else reader.option("version", version)).load(path)
 
 
 class _Seeker:
@@ -215,7 +256,7 @@ class _Seeker:
 
     def __init__(self, path: str, dtype: str) -> None:
         self.files, self.root = file_system(path)
-        dtype, parts = listed_parts(path, dtype)
+        dtype, parts, _ = listed_parts(path, dtype)
         self.dtype = np.dtype(DTYPES[dtype])
         self.parts = sorted(parts, key=lambda p: p[1])
         self.firsts = np.array([p[1] for p in self.parts], np.int64)
@@ -282,6 +323,31 @@ def explode_tokens(tokens: DataFrame) -> DataFrame:
     return exploded.select(*keep, (F.col("first_idx") + F.col("_at")).alias("idx"), "token")
 
 
+def token_sums(tokens: DataFrame, per: int) -> DataFrame:
+    """Number, sum and place-weighted sum of the tokens in each range of ``per`` indices.
+
+    Each batch gives one row per range that it touches; no token becomes a row.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, sizes = flat_values(batch.column("tokens"))
+            if not len(values):
+                continue
+            shift = batch.column("first_idx").to_numpy() - (np.cumsum(sizes) - sizes)
+            idx = np.arange(len(values)) + np.repeat(shift, sizes)
+            values = values.astype(np.int64)
+            order = np.argsort(idx // per, kind="stable")
+            part, at, n = np.unique((idx // per)[order], return_index=True, return_counts=True)
+            total = np.add.reduceat(values[order], at)
+            weighted = np.add.reduceat((values * (idx % per))[order], at)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (part, n, total, weighted)], names)
+
+    names = ["part", "n", "token_sum", "weighted_sum"]
+    found = tokens.select("first_idx", "tokens").mapInArrow(sums, ", ".join(f"{c} bigint" for c in names))
+    return found.groupBy("part").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
 def sidecars(train_path: str) -> tuple[str, str]:
     """The evaluation tokens and the metadata that lie next to the training tokens."""
     folder = train_path.rstrip("/").rpartition("/")[0] or "."

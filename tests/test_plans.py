@@ -69,3 +69,10 @@ def test_windows_join_on_ranges_and_texts_on_their_key(spark):
     joins = set(re.findall(r"(?:Hash|SortMerge)Join \[(\w+)#", physical))
     # documents and draws by ranges of the stream, texts by their key, carried totals by bucket
     assert joins == {"_range", "doc_id", "_bucket"}
+
+
+@pytest.mark.parametrize("name, source", [("best_so_far", "documents"), ("score_history", "conversations")])
+def test_running_values_read_a_stored_log(spark, name, source):
+    physical = plan_of(spark, name).split("== Physical Plan ==")[1]
+    assert 0 < physical.count("FileScan") < 20
+    assert f"{source}.parquet" not in physical
