@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,13 +13,19 @@ from pyspark.sql import types as T
 
 from lexiloom.functions.draws import bind
 from lexiloom.functions.vectors import add, dot, doubles, softmax
+from lexiloom.session import stored
 from lexiloom.shipping import ship
 
 ship(__name__)
 
-# Up to this many queries are sent to every task; more are joined block by block.
+# Up to this many queries are sent to every task; more are joined in blocks of about so many.
 QUERIES_PER_BLOCK = 1024
 ROWS_PER_PART = 20_000
+# Norms of one bucket differ by this factor; the last bucket holds all smaller ones.
+RATIO = 1.1
+LEVELS = 256
+# Scores are rounded to nine digits.
+SLACK = 1e-8
 
 
 def lookup_sum(
@@ -121,14 +130,59 @@ def _sent_to_tasks(rows: DataFrame, queries: pa.Table, vector: str, key: str, k:
     return rows.mapInArrow(search, schema)
 
 
-def _block_by_block(rows: DataFrame, queries: DataFrame, n: int, vector: str, key: str, k: int, schema) -> DataFrame:
-    """Every row part meets every query block once, as an equi-join on the pair of numbers."""
-    blocks = -(-n // QUERIES_PER_BLOCK)
-    parts = -(-rows.count() // ROWS_PER_PART) or 1
-    row_part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")
-    query_block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("_block")
-    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).alias("_part")
+@dataclass(frozen=True)
+class NormIndex:
+    """Rows in buckets of falling norm, bucket ``i`` holding norms from ``top / RATIO**i`` downwards.
+
+    ``norms`` is the largest norm and ``sizes`` the number of rows of each bucket; a bucket is cut into parts of about
+    ``ROWS_PER_PART`` rows, numbered from the bucket of the largest norms on. There are at most ``LEVELS`` buckets.
+    """
+
+    top: float
+    norms: list[float]
+    sizes: list[int]
+
+    @property
+    def parts(self) -> list[int]:
+        return [-(-n // ROWS_PER_PART) for n in self.sizes]
+
+    @property
+    def seed_parts(self) -> int:
+        """Parts of the largest norms that hold about one part's rows together."""
+        rows = taken = 0
+        for n, parts in zip(self.sizes, self.parts):
+            if rows + n >= ROWS_PER_PART:
+                return taken + 1
+            rows, taken = rows + n, taken + parts
+        return taken
+
+    @staticmethod
+    def bucket(norm: Column, top: float) -> Column:
+        steps = F.floor(F.ln(F.lit(top) / norm) / math.log(RATIO))
+        return F.when(norm > 0, F.least(F.greatest(steps, F.lit(0)), F.lit(LEVELS - 1))).otherwise(LEVELS - 1).cast("int")
+
+    @classmethod
+    def of(cls, rows: DataFrame, vector: str) -> NormIndex:
+        norms = rows.select(_norm(F.col(vector)).alias("norm"))
+        top = norms.agg(F.max("norm")).first()[0] or 0.0
+        found = norms.groupBy(cls.bucket(F.col("norm"), top).alias("b")).agg(F.max("norm"), F.count("*")).collect()
+        held = {b: (norm, n) for b, norm, n in found}
+        spans = [held.get(b, (0.0, 0)) for b in range(max(held, default=-1) + 1)]
+        # an empty bucket takes the norm of the next one, so that norms never rise
+        return cls(top, [max(s[0] for s in spans[i:]) for i in range(len(spans))], [s[1] for s in spans])
+
+
+def _norm(vector: Column) -> Column:
+    numbers = doubles(vector)
+    return F.sqrt(dot(numbers, numbers))
+
+
+def _looked_up(values: list[int], at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), at)
+
+
+def _cogrouped(rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int, schema) -> DataFrame:
+    """The ``k`` best of each ``_part`` of the rows for each query of each ``_block`` that it meets."""
     fields = [f.name for f in schema]
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -138,29 +192,80 @@ def _block_by_block(rows: DataFrame, queries: DataFrame, n: int, vector: str, ke
         ids = right.column("query_id").combine_chunks()
         return _best_rows(left, vector, key, ids, _matrix(right.column("query")), k).select(fields)
 
-    left = rows.select("*", row_part).select("*", every_block)
-    right = queries.select("query_id", "query", query_block).select("*", every_part)
-    return (
-        left.groupBy("_part", "_block")
-        .cogroup(right.groupBy("_part", "_block"))
-        .applyInArrow(search, schema)
-    )
+    return rows.groupBy("_part", "_block").cogroup(queries.groupBy("_part", "_block")).applyInArrow(search, schema)
+
 
+def _upto(n: Column) -> Column:
+    return F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)))
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+
+def bounded_search(
+    rows: DataFrame, queries: DataFrame, vector: str, key: str, k: int, schema, per_block: int
+) -> tuple[DataFrame, float]:
+    """The rows that can be among the ``k`` best of each query, and the share of all pairs that is scored for it.
+
+    By Cauchy and Schwarz, no row scores above the product of the two norms. A first pass scores about one part's rows of
+    the largest norms, which gives each query a threshold, its ``k``-th best there. A query then meets only the buckets
+    whose largest norm can reach it, and queries that need equally many buckets share blocks. Only bucket
+    counts reach the driver. Where all norms are equal, nothing can be ruled out and all pairs are scored.
+    """
+    index = NormIndex.of(rows, vector)
+    norm = _norm(F.col(vector))
+    parts = index.parts
+    before = [sum(parts[:i]) for i in range(len(parts) + 1)]
+    bucket = index.bucket(norm, index.top)
+    in_bucket = F.pmod(F.xxhash64(key), F.greatest(_looked_up(parts, F.col("_bucket")), F.lit(1)))
+    placed = rows.withColumn("_bucket", bucket).withColumn("_part", _looked_up(before, F.col("_bucket")) + in_bucket)
+    queries = queries.select("query_id", "query", _norm(F.col("query")).alias("_norm"))
+
+    seed_blocks = -(-queries.count() // per_block)
+    first = placed.where(F.col("_part") < index.seed_parts).withColumn("_part", F.lit(0).cast("bigint"))
+    first = first.withColumn("_block", _upto(F.lit(seed_blocks).cast("bigint")))
+    asked = queries.withColumns(
+        {"_part": F.lit(0).cast("bigint"), "_block": F.pmod(F.xxhash64("query_id"), F.lit(seed_blocks))}
+    )
+    seeds = _cogrouped(first.drop("_bucket"), asked, vector, key, k, schema)
+    # of fewer than k seeds no threshold follows
+    least = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("_least"))
+    reach = F.array(*[F.lit(n) for n in index.norms]) if index.norms else F.array().cast("array<double>")
+    root = F.sqrt(F.size("query"))
+    reached = F.filter(reach, lambda n: n * F.col("_norm") * (1 + SLACK) / root + SLACK >= F.col("_least"))
+    level = F.when(F.col("_least").isNull(), F.lit(len(parts))).otherwise(F.size(reached))
+    levelled = stored(queries.join(least, "query_id", "left").withColumn("_level", level), "levelled")
+
+    counts = {r["_level"]: r["n"] for r in levelled.groupBy("_level").agg(F.count("*").alias("n")).collect()}
+    blocks = [-(-counts.get(at, 0) // per_block) for at in range(len(parts) + 1)]
+    # blocks of queries that need more buckets come first, so that those a bucket meets are the first ones
+    begins = [sum(blocks[at + 1 :]) for at in range(len(blocks))]
+    of_level = F.pmod(F.xxhash64("query_id"), F.greatest(_looked_up(blocks, F.col("_level")), F.lit(1)))
+    left = placed.withColumn("_block", _upto(_looked_up(begins, F.col("_bucket")))).drop("_bucket")
+    right = levelled.select(
+        "query_id", "query", (_looked_up(begins, F.col("_level")) + of_level).alias("_block"),
+        _upto(_looked_up(before, F.col("_level"))).alias("_part"),
+    )
+    pairs = sum(n * sum(index.sizes[:at]) for at, n in counts.items())
+    every = sum(counts.values()) * sum(index.sizes)
+    return _cogrouped(left, right, vector, key, k, schema), pairs / max(every, 1)
+
+
+def nearest(
+    rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int, per_block: int | None = None
+) -> DataFrame:
     """The ``k`` rows with the largest scaled dot product for each ``queries(query_id, query)``.
 
-    Each batch of rows gives only its own ``k`` best per query, so that no pair table arises.
+    Each batch of rows gives only its own ``k`` best per query, so that no pair table arises. Up to ``per_block``
+    queries travel to the tasks; for more, norms bound which rows a query meets. Query ids are unique.
     """
+    per_block = per_block or QUERIES_PER_BLOCK
     schema = T.StructType(
         [*rows.schema.fields, queries.schema["query_id"], T.StructField("score", T.DoubleType())]
     )
     queries = queries.select("query_id", doubles(F.col("query")).alias("query"))
-    few = queries.limit(QUERIES_PER_BLOCK + 1).toArrow()
-    if few.num_rows <= QUERIES_PER_BLOCK:
+    few = queries.limit(per_block + 1).toArrow()
+    if few.num_rows <= per_block:
         found = _sent_to_tasks(rows if few.num_rows else rows.limit(0), few, vector, key, k, schema)
     else:
-        found = _block_by_block(rows, queries, queries.count(), vector, key, k, schema)
+        found, _ = bounded_search(rows, queries, vector, key, k, schema, per_block)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 

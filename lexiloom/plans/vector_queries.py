@@ -21,6 +21,9 @@ from lexiloom.sources.tables import spread, table
 
 BLOCK = 8
 NEIGHBOURS = 16
+FEW_NEIGHBOURS = 5
+# small blocks, so that the test tables too have several
+SMALL_BLOCK = 128
 WHOLE_BLOCK = 1024
 
 
@@ -65,6 +68,15 @@ def attention_pool_query(spark: SparkSession, directory: str) -> DataFrame:
     return pooled.select("query_id", "dim", F.round("value", 6).alias("value"))
 
 
+def nearest_weighted(spark: SparkSession, directory: str) -> DataFrame:
+    """The rows nearest to every row among all vectors, each scaled by its label plus one; norms bound the search."""
+    scaled = F.transform(doubles(F.col("embedding")), lambda x: x * (F.col("label") + 1))
+    rows = _vectors(spark, directory).select("vec_id", scaled.alias("v"))
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+    found = nearest(rows, queries, "vec_id", "v", FEW_NEIGHBOURS, SMALL_BLOCK)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def causal_pool_query(spark: SparkSession, directory: str) -> DataFrame:
     rows = _vectors(spark, directory).select("vec_id", doubles(F.col("embedding")).alias("embedding"))
     return explode_vector(causal_pool(rows, "vec_id", "embedding", BLOCK), "embedding")
@@ -82,6 +94,7 @@ QUERIES = {
     "layer_norm": _norm_query(layer_norm),
     "softmax_knn": softmax_knn,
     "attention_pool": attention_pool_query,
+    "nearest_weighted": nearest_weighted,
     "causal_pool": causal_pool_query,
     "causal_pool_whole": causal_pool_whole_query,
 }
@@ -113,6 +126,13 @@ ORACLE = {
     "softmax_knn": _WEIGHTED + " SELECT query_id, label, round(sum(p), 6) AS p FROM weighted GROUP BY query_id, label",
     "attention_pool": _WEIGHTED + """
       SELECT query_id, dim, round(sum(p * x), 6) AS value FROM weighted JOIN cells USING (vec_id) GROUP BY query_id, dim""",
+    "nearest_weighted": f"""
+      WITH scaled AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (label + 1)) AS v FROM embeddings),
+      scores AS (SELECT q.vec_id AS query_id, r.vec_id, round(list_dot_product(q.v, r.v) / sqrt(len(q.v)::DOUBLE), 9) AS score
+                 FROM scaled q, scaled r)
+      SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scores)
+      WHERE rank <= {FEW_NEIGHBOURS}""",
     "causal_pool": f"""
       WITH cells AS MATERIALIZED ({_CELLS}),
       scores AS (SELECT q.vec_id, k.vec_id AS seen, sum(q.x * k.x) / sqrt(count(*)::DOUBLE) AS s

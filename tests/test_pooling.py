@@ -65,6 +65,36 @@ def test_nearest_rows(spark, monkeypatch, per_block):
     assert [r["value"] for r in pooled] == pytest.approx(weights @ data[list(got[0])])
 
 
+@pytest.mark.parametrize("spread, most", [(0.0, 1.0), (3.0, 0.6)])
+def test_norms_bound_the_search(spark, monkeypatch, spread, most):
+    """Results are exact; the more norms differ, the fewer pairs are scored. Zero vectors are rows and queries too."""
+    monkeypatch.setattr(pooling, "ROWS_PER_PART", 30)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(200, 6))
+    data *= np.exp(spread * rng.normal(size=200))[:, None] / np.linalg.norm(data, axis=1)[:, None]
+    data[[7, 8]] = 0
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id int, v array<double>")
+    queries = rows.select(F.col("id").alias("query_id"), F.col("v").alias("query"))
+    found = pooling.nearest(rows.repartition(3), queries, "id", "v", 4, 16).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    scores = np.round(data @ data.T / np.sqrt(6), 9)
+    for q in range(200):
+        assert got[q] == sorted(range(200), key=lambda i: (-scores[q, i], i))[:4]
+    schema = pooling.T.StructType([*rows.schema.fields, queries.schema["query_id"], pooling.T.StructField("score", pooling.T.DoubleType())])
+    _, share = pooling.bounded_search(rows, queries, "v", "id", 4, schema, 16)
+    assert 0 < share <= most
+
+
+def test_more_neighbours_than_rows(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "id int, v array<double>")
+    queries = spark.range(20).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("query"))
+    found = pooling.nearest(rows, queries, "id", "v", 5, 4)
+    assert found.count() == 60
+    assert pooling.nearest(rows.limit(0), queries, "id", "v", 5, 4).count() == 0
+
+
 def test_ties_go_to_the_smaller_key(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "id int, v array<float>")
     queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query array<double>")
