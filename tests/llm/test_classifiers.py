@@ -69,6 +69,14 @@ def test_labels_of_the_held_out_fold_are_not_learned(docs, labels):
     assert a == b
 
 
+def test_toxicity_does_not_learn_from_the_held_out_fold(docs, labels):
+    rows, marks = corpus(200)
+    flipped = [(i, q, 1 - t) if crc(i) % 4 == 2 else (i, q, t) for i, q, t in marks]
+    assert flipped != marks
+    a, b = (sorted(map(tuple, toxicity.score(docs(rows), labels(m)).collect())) for m in (marks, flipped))
+    assert a == b and len({r[2] for r in a}) > 1
+
+
 def test_training_sample_is_bounded(docs, labels):
     rows, marks = corpus(100)
     usable = quality.id_hash("doc_id") % 5 != 0
