@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.ids import next_token_arrays
+from lexiloom.operators.kernels import next_token_batches
+
 
 def example(tokens: Column, marker: Column, block: int | None = None) -> Column:
     """Inputs and targets of one document, the marker being both begin and end.
@@ -37,3 +40,12 @@ def explode_examples(examples: DataFrame) -> DataFrame:
         *keep,
         F.posexplode(F.arrays_zip("inputs", "targets")).alias("pos", "_e"),
     ).select(*keep, "pos", F.col("_e.inputs").alias("input_id"), F.col("_e.targets").alias("target_id"))
+
+
+def next_token_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(token, next_token, n): how often each id follows each other id within a row; no id becomes a row."""
+    shifted = docs.where(F.col(tokens).isNotNull()).select(next_token_arrays(F.col(tokens)).alias("e"))
+    tallied = shifted.select("e.inputs", "e.targets").mapInArrow(
+        next_token_batches, "token int, next_token int, n bigint"
+    )
+    return tallied.groupBy("token", "next_token").agg(F.sum("n").alias("n"))

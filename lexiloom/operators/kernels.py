@@ -277,3 +277,14 @@ def continue_batches(
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "out"])
 
     return run
+
+
+def next_token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, next_token, n) of a batch of two list columns of equal lengths: inputs and targets."""
+    for batch in batches:
+        inputs, targets = (
+            c.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns
+        )
+        keys, n = np.unique(inputs << 32 | targets, return_counts=True)
+        columns = [(keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), n.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "next_token", "n"])

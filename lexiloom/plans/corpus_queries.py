@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.draws import draw
-from lexiloom.functions.ids import join_ids, next_token_arrays
+from lexiloom.functions.ids import join_ids
 from lexiloom.functions.text import byte_ids, utf8
 from lexiloom.operators import bpe, vocab
-from lexiloom.operators.examples import doc_examples, explode_examples
+from lexiloom.operators.examples import doc_examples, explode_examples, next_token_counts
 from lexiloom.operators.order import draw_rows, shuffled, split_head, split_tail
 from lexiloom.operators.synth import PROMPTS, part_rows, prompt_rows, reply_rows, synth_chat
 from lexiloom.operators.token_stream import sample_byte_windows, token_stream, window_draws, with_end_token
@@ -199,12 +199,7 @@ def doc_examples_query(spark: SparkSession, directory: str) -> DataFrame:
 
 def next_token(spark: SparkSession, directory: str) -> DataFrame:
     """How often each byte follows each other byte within a conversation turn."""
-    turns = _byte_tokens(spread(_turns(spark, directory), "conv_id", "turn"))
-    shifted = turns.select(next_token_arrays(F.col("tokens")).alias("e"))
-    pairs = shifted.select(F.explode(F.arrays_zip("e.inputs", "e.targets")).alias("p"))
-    return pairs.groupBy(F.col("p.inputs").alias("token"), F.col("p.targets").alias("next_token")).agg(
-        F.count("*").alias("n")
-    )
+    return next_token_counts(_byte_tokens(spread(_turns(spark, directory), "conv_id", "turn")))
 
 
 # files and metadata

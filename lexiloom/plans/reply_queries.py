@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.draws import draw
-from lexiloom.functions.text import normalize
+from lexiloom.functions.text import WHITESPACE, normalize
 from lexiloom.operators.evaluate import (
     CASES,
     average_score,
@@ -19,8 +19,12 @@ from lexiloom.operators.evaluate import (
     score_replies,
     with_penalties,
 )
+from lexiloom.operators.keywords import find_keywords
 from lexiloom.plans import sql
-from lexiloom.sources.tables import table
+from lexiloom.sources.tables import spread, table
+
+# Keywords of ``many_keyword_hits``: a top list of words.
+KEYWORDS = 10_000
 
 
 def _replies(spark: SparkSession, directory: str) -> DataFrame:
@@ -106,8 +110,22 @@ def reply_compare(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def many_keyword_hits(spark: SparkSession, directory: str) -> DataFrame:
+    """The most frequent words of the documents as keywords of all replies."""
+    spelled = F.split(F.lower("text"), WHITESPACE + "+")
+    words = table(spark, directory, "documents").select(F.explode(spelled).alias("keyword")).where("keyword <> ''")
+    counts = words.groupBy("keyword").agg(F.count("*").alias("n"))
+    keywords = counts.orderBy(F.desc("n"), "keyword").limit(KEYWORDS)
+    turns = spread(table(spark, directory, "conversations"), "conv_id", "turn").where(F.col("role") == "assistant")
+    found = find_keywords(turns.select("conv_id", "turn", F.lower("text").alias("text")), keywords)
+    return found.select(
+        "conv_id", "turn", F.size("hits").cast("bigint").alias("n_hits"), F.md5(F.array_join("hits", ",")).alias("hits_md5")
+    )
+
+
 QUERIES = {
     "keyword_hits": keyword_hits,
+    "many_keyword_hits": many_keyword_hits,
     "style_ok": style_ok,
     "case_score": case_score,
     "avg_score": avg_score,
@@ -135,6 +153,13 @@ _SCORED = f"""
 _W = sql.words("text")
 
 ORACLE = {
+    "many_keyword_hits": f"""
+      WITH words AS (SELECT unnest({sql.words('lower(text)')}) AS keyword FROM documents),
+      keywords AS (SELECT keyword FROM words GROUP BY keyword ORDER BY count(*) DESC, keyword LIMIT {KEYWORDS}),
+      listed AS (SELECT list(keyword ORDER BY keyword) AS l FROM keywords),
+      found AS (SELECT conv_id, turn, list_filter(l, lambda k: contains(lower(text), k)) AS hits
+                FROM conversations, listed WHERE role = 'assistant')
+      SELECT conv_id, turn, len(hits)::BIGINT AS n_hits, md5(array_to_string(hits, ',')) AS hits_md5 FROM found""",
     "keyword_hits": _SCORED + " SELECT conv_id, turn, case_id, array_to_string(hits, ',') AS hits FROM scored",
     "style_ok": _SCORED + " SELECT conv_id, turn, style_ok FROM scored",
     "case_score": _SCORED + """

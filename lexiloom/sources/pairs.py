@@ -17,19 +17,18 @@ def chat_pairs(turns: DataFrame) -> DataFrame:
     each range is carried to the range before, so no task holds a long conversation.
     """
     order = F.struct("turn", "role", "text")
-    ranged = turns.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / RANGE).alias("_range"))
-    within = Window.partitionBy("conv_id", "_range").orderBy("turn", "role", "text")
-    firsts = ranged.groupBy("conv_id", "_range").agg(F.min(order).alias("_first"))
+    # one key that is never NULL, so that the join keeps the partitioning of the window
+    at = F.struct("conv_id", F.floor(F.col("turn") / RANGE).alias("range"))
+    ranged = turns.select("conv_id", "turn", "role", "text", at.alias("_at"))
+    within = Window.partitionBy("_at").orderBy("turn", "role", "text")
+    firsts = ranged.groupBy("_at").agg(F.min(order).alias("_first"))
     after = firsts.select(
-        F.col("conv_id").alias("_conv"),
-        F.col("_range").alias("_at"),
-        F.lead("_first").over(Window.partitionBy("conv_id").orderBy("_range")).alias("_carried"),
+        "_at", F.lead("_first").over(Window.partitionBy("_at.conv_id").orderBy("_at.range")).alias("_carried")
     )
-    follows = F.coalesce(F.lead(order).over(within), F.col("_carried"))
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_range").eqNullSafe(F.col("_at"))
     return (
-        ranged.join(after, same)
-        .withColumn("_next", follows)
+        ranged.withColumn("_follows", F.lead(order).over(within))
+        .join(after, "_at")
+        .withColumn("_next", F.coalesce("_follows", "_carried"))
         .where((F.col("role") == "user") & (F.col("_next.role") == "assistant"))
         .where(F.col("text").isNotNull() & F.col("_next.text").isNotNull())
         .select("conv_id", "turn", F.col("text").alias("input"), F.col("_next.text").alias("output"))

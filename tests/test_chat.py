@@ -118,3 +118,16 @@ def test_samples_that_hold_the_separator(spark, tmp_path):
         write_samples(df, str(tmp_path / "t"))
     with pytest.raises(ValueError):
         write_samples(df, str(tmp_path / "x"), form="csv")
+
+
+def test_pairs_of_conversations_without_an_id(spark, monkeypatch):
+    from lexiloom.sources import pairs
+
+    turns = spark.createDataFrame(
+        [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (None, None, "user", "c"), (3, 1, "user", "d")],
+        "conv_id int, turn int, role string, text string",
+    )
+    for width in (1, 4096):
+        monkeypatch.setattr(pairs, "RANGE", width)
+        assert [tuple(r) for r in pairs.chat_pairs(turns).collect()] == [(None, 1, "a", "b")]
+    assert pairs.chat_pairs(turns.limit(0)).count() == 0

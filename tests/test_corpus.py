@@ -146,3 +146,15 @@ def test_long_texts_are_encoded_whole(spark):
     tokens = vocab.encode_bytes(docs, vocab.byte_vocab(docs)).select(F.size("tokens"), F.array_max("tokens")).first()
     assert tuple(tokens) == (600_000, 1)
     assert docs.select(F.size(byte_ids(utf8(F.col("text"))))).first()[0] == 600_000
+
+
+def test_next_token_counts_stay_within_rows(spark):
+    from collections import Counter
+
+    from lexiloom.operators.examples import next_token_counts
+
+    rows = [[1, 2, 1, 2, 2], [2**31 - 1, 0], [7], [], None, [1, 2]]
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, tokens array<int>")
+    want = Counter(p for r in rows if r for p in zip(r, r[1:]))
+    assert {(r["token"], r["next_token"]): r["n"] for r in next_token_counts(docs).collect()} == dict(want)
+    assert next_token_counts(docs.limit(0)).count() == 0

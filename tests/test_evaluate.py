@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,19 @@ def test_case_table(spark):
     rows = evaluate.case_table(spark).collect()
     assert len(rows) == 16 and len({r["case_id"] for r in rows}) == 16
     assert all(3 <= len(r["keywords"]) <= 5 for r in rows)
+
+
+def test_many_keywords_equal_contains(spark):
+    from lexiloom.operators.keywords import find_keywords
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abé\U0001f600", k=rng.randint(1, 5))) for _ in range(400)]
+    texts = ["".join(rng.choices("abé\U0001f600 ", k=rng.randint(0, 60))) for _ in range(60)] + ["", None, "ab" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    keywords = spark.createDataFrame([(w,) for w in [*words, words[0], "", None]], "keyword string")
+    found = {r["i"]: r["hits"] for r in find_keywords(docs, keywords).collect()}
+    for i, text in enumerate(texts):
+        assert found[i] == (None if text is None else sorted(w for w in set(words) if w in text))
+    none = find_keywords(docs, keywords.where("keyword = 'absent'")).collect()
+    assert all(r["hits"] == (None if r["text"] is None else []) for r in none)
+    assert find_keywords(docs.limit(0), keywords).count() == 0
