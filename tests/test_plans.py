@@ -76,3 +76,18 @@ def test_running_values_read_a_stored_log(spark, name, source):
     physical = plan_of(spark, name).split("== Physical Plan ==")[1]
     assert 0 < physical.count("FileScan") < 20
     assert f"{source}.parquet" not in physical
+
+
+def test_pairing_moves_texts_once(spark):
+    """Windows and join share one key; what else is shuffled is one row per range."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        lines = plan_of(spark, "chat_pairs").split("== Physical Plan ==")[1].splitlines()
+    finally:
+        spark.conf.set(threshold, before)
+    join = next(i for i, line in enumerate(lines) if re.search(r"(Hash|SortMerge)Join \[_at", line))
+    window = next(i for i, line in enumerate(lines) if "Window [lead(" in line)
+    # the texts reach the join in the partitioning of their window
+    assert join < window and not any("Exchange" in line for line in lines[join:window])
