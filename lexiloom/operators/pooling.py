@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,11 @@ ROWS_PER_PART = 20_000
 # Norms of one bucket differ by this factor; the last bucket holds all smaller ones.
 RATIO = 1.1
 LEVELS = 256
+# Blocks of a long sequence, each pooled by one task, and rows that one holds at most.
+SEQUENCE_BLOCKS = 32
+BLOCK_ROWS = 1 << 16
+BLOCK_TASKS = 192
+TILE = 1024
 # Scores are rounded to nine digits.
 SLACK = 1e-8
 
@@ -318,54 +324,126 @@ def causal_pool(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame
     return blocks.select(F.explode(F.transform("seq", pooled)).alias("r")).select("r.*")
 
 
+def _sequence_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Add to ``rows(seq, id, v)`` the number ``at`` of the row's block in its sequence and the number of ``blocks``.
+
+    Blocks hold at least about ``block`` consecutive rows, and longer sequences have longer blocks, not more of them:
+    at most ``SEQUENCE_BLOCKS``, unless these would hold over ``BLOCK_ROWS`` rows. Only the cuts of sequences of
+    over ``block`` rows are broadcast, less than one for each ``block`` rows.
+    """
+    sizes = rows.groupBy("seq").agg(F.count("*").alias("n"))
+    longest = sizes.agg(F.max("n")).first()[0] or 0
+    most = max(SEQUENCE_BLOCKS, -(-longest // BLOCK_ROWS))
+    shares = F.array(*[F.lit(i / most) for i in range(1, most)])
+    cuts = rows.groupBy("seq").agg(
+        F.count("*").alias("n"), F.percentile_approx("id", shares, F.lit(max(1000, 4 * most))).alias("all_cuts")
+    )
+    blocks = F.least(F.ceil(F.col("n") / block), F.lit(most)).cast("int")
+    used = F.transform(
+        F.sequence(F.lit(1), F.col("blocks") - 1), lambda i: F.get("all_cuts", F.floor(i * most / F.col("blocks")).cast("int") - 1)
+    )
+    long = cuts.where(F.col("n") > block).withColumn("blocks", blocks).select("seq", "blocks", used.alias("cuts"))
+    before = F.size(F.filter("cuts", lambda c: c < F.col("id")))
+    return (
+        rows.where(F.col("seq").isNotNull())
+        .join(F.broadcast(long), "seq", "left")
+        .withColumn("at", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(before))
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .drop("cuts")
+    )
+
+
+class _Pooled:
+    """The softmax state of a block's rows over what came so far: largest score, sum of exponentials, weighted sum."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.top = np.full(len(ids), -np.inf)
+        self.total, self.sum = np.zeros(len(ids)), np.zeros(vectors.shape)
+
+    def see(self, ids: np.ndarray, vectors: np.ndarray, own: bool) -> None:
+        """Add rows of an earlier block or, with ``own``, of the block itself, of which each row sees those up to it."""
+        root = np.sqrt(max(vectors.shape[1], 1))
+        for low in range(0, len(self.ids), TILE):
+            rows = slice(low, low + TILE)
+            for first in range(0, len(ids), TILE):
+                seen = vectors[first : first + TILE]
+                scores = self.vectors[rows] @ seen.T / root
+                if own:
+                    scores[ids[None, first : first + TILE] > self.ids[rows, None]] = -np.inf
+                top = np.maximum(self.top[rows], scores.max(1))
+                # rows that have seen nothing so far stay as they are
+                base = np.where(np.isfinite(top), top, 0)
+                weights = np.exp(scores - base[:, None])
+                scale = np.exp(self.top[rows] - base)
+                self.total[rows] = self.total[rows] * scale + weights.sum(1)
+                self.sum[rows] = self.sum[rows] * scale[:, None] + weights @ seen
+                self.top[rows] = top
+
+    def results(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        pooled = self.sum / self.total[:, None]
+        for low in range(0, len(pooled), TILE):
+            part = pooled[low : low + TILE]
+            bounds = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+            lists = pa.ListArray.from_arrays(bounds, pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[low : low + TILE]).cast(kind), lists], ["id", "v"])
+
+
+def _pool_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, v) of every block of rows (seq, at, earlier, id, v) that are sorted by the first three columns."""
+    block, held, state = None, [], None
+
+    def opened() -> _Pooled:
+        ids, vectors = (np.concatenate(c) for c in zip(*held))
+        pooled = _Pooled(ids, vectors)
+        pooled.see(ids, vectors, own=True)
+        return pooled
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind = batch.schema.field("id").type
+        names = batch.column("seq").dictionary_encode()
+        seq = names.indices.to_numpy()
+        at, earlier = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "earlier"))
+        ids, vectors = batch.column("id").to_numpy(), _matrix(batch.column("v"))
+        changed = (seq[1:] != seq[:-1]) | (at[1:] != at[:-1]) | (earlier[1:] != earlier[:-1])
+        ends = [*(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        low = 0
+        for high in ends:
+            of = (names.dictionary[int(seq[low])].as_py(), int(at[low]))
+            if of != block:
+                if held:
+                    yield from (state or opened()).results(kind)
+                block, held, state = of, [], None
+            if earlier[low]:
+                state = state or opened()
+                state.see(ids[low:high], vectors[low:high], own=False)
+            else:
+                held.append((ids[low:high], vectors[low:high]))
+            low = high
+    if held:
+        yield from (state or opened()).results(kind)
+
+
 def causal_pool_whole(rows: DataFrame, by: str, key: str, vector: str, block: int) -> DataFrame:
     """Each row pools all rows of its sequence ``by`` up to itself, however long the sequence is: (key, vector).
 
-    Sequences are cut into blocks of about ``block`` consecutive rows, and each pair of a block with itself or an
-    earlier one is scored by a task of its own. That gives every row a softmax state over the earlier block's
-    rows: the largest score, the sum of the exponentials below it, and the weighted sum of the vectors. States
-    merge by rescaling to the larger maximum, so the blocks' states add up to the softmax over the whole.
-    Keys are unique.
+    Sequences are cut into blocks of at least about ``block`` consecutive rows, at most ``SEQUENCE_BLOCKS`` of them. A block
+    is a group of its own: it holds its own rows, and the rows of all earlier blocks stream past, from Spark's sorter. Each
+    row has one softmax state, the largest score, the sum of the exponentials below it and the weighted sum of
+    the vectors, which is rescaled when a larger score comes. So every row is sent to at most as many blocks as there
+    are in its sequence, whatever the number of rows, and no state is shuffled. Keys are unique.
     """
     if block <= 0:
         raise ValueError("block must be positive")
-    bucket = F.floor(F.col(key) / block)
-    placed = rows.select(F.col(by).alias("seq"), F.col(key).alias("id"), doubles(F.col(vector)).alias("v"), bucket.alias("at"))
-    # one row per block of a sequence
-    blocks = placed.groupBy("seq", "at").agg(F.count("*").alias("n"))
-    earlier = blocks.select("seq", F.col("at").alias("seen"))
-    pairs = blocks.select("seq", "at").join(earlier, "seq").where("seen <= at")
-    asked = placed.join(pairs, ["seq", "at"])
-    given = pairs.join(placed.withColumnRenamed("at", "seen"), ["seq", "seen"]).select(
-        F.col("seq").alias("of_seq"), F.col("at").alias("of_at"), F.col("seen").alias("of_seen"), "id", "v"
-    )
+    named = rows.select(F.col(by).alias("seq"), F.col(key).alias("id"), F.col(vector).alias("v"))
+    placed = _sequence_blocks(named, block)
+    sent = placed.withColumn("to", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1)))
+    sent = sent.select("seq", F.col("to").alias("at"), (F.col("at") < F.col("to")).alias("earlier"), "id", "v")
+    # explicit, so that blocks of few bytes and long work are not put together
+    tasks = max(BLOCK_TASKS, rows.sparkSession.sparkContext.defaultParallelism)
+    grouped = sent.repartition(tasks, "seq", "at").sortWithinPartitions("seq", "at", "earlier")
     kind = rows.schema[key].dataType.simpleString()
-
-    def states(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, seen = left.column("id").to_numpy(), right.column("id").to_numpy()
-        names = ["id", "top", "total", "v"]
-        if not len(ids) or not len(seen):
-            return pa.table([left.column("id").slice(0, 0), *([pa.array([], pa.float64())] * 2), pa.array([], pa.list_(pa.float64()))], names)
-        queries, vectors = _matrix(left.column("v")), _matrix(right.column("v"))
-        scores = queries @ vectors.T / np.sqrt(vectors.shape[1])
-        scores[seen[None, :] > ids[:, None]] = -np.inf
-        top = scores.max(1)
-        some = np.isfinite(top)
-        weights = np.exp(scores[some] - top[some, None])
-        pooled = weights @ vectors
-        bounds = pa.array(np.arange(len(pooled) + 1, dtype=np.int32) * vectors.shape[1])
-        lists = pa.ListArray.from_arrays(bounds, pa.array(pooled.ravel()))
-        return pa.table([pa.array(ids[some]), pa.array(top[some]), pa.array(weights.sum(1)), lists], names)
-
-    scored = (
-        asked.groupBy("seq", "at", "seen")
-        .cogroup(given.groupBy("of_seq", "of_at", "of_seen"))
-        .applyInArrow(states, f"id {kind}, top double, total double, v array<double>")
-    )
-    # one state per earlier block, rescaled to the row's largest score
-    most = scored.groupBy(F.col("id").alias("_id")).agg(F.max("top").alias("most"))
-    scaled = scored.join(most, F.col("id") == F.col("_id")).withColumn("scale", F.exp(F.col("top") - F.col("most")))
-    cells = scaled.select("id", (F.col("total") * F.col("scale")).alias("part"), "scale", F.posexplode("v").alias("dim", "x"))
-    merged = cells.groupBy("id", "dim").agg((F.sum(F.col("x") * F.col("scale")) / F.sum("part")).alias("value"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "value")))
-    return merged.groupBy("id").agg(ordered.alias("_v")).select(F.col("id").alias(key), F.col("_v.value").alias(vector))
+    pooled = grouped.mapInArrow(_pool_blocks, f"id {kind}, v array<double>")
+    return pooled.select(F.col("id").alias(key), F.col("v").alias(vector))

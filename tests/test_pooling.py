@@ -136,3 +136,14 @@ def test_whole_sequences_of_nothing(spark):
     assert pooling.causal_pool_whole(df, "seq", "id", "v", 4).collect() == []
     with pytest.raises(ValueError):
         pooling.causal_pool_whole(df, "seq", "id", "v", 0)
+
+
+def test_long_sequences_have_longer_blocks_and_not_more(spark):
+    """A row is sent to a bounded number of blocks, however long its sequence is and however its keys lie."""
+    ids = [*range(3000), *(10**9 + 7 * i for i in range(3000))]
+    rows = spark.createDataFrame([(1, i, [1.0, 0.0]) for i in ids] + [(2, 5, [1.0, 0.0])], "seq int, id bigint, v array<double>")
+    placed = pooling._sequence_blocks(rows, 8).orderBy("seq", "id").collect()
+    at = [r["at"] for r in placed if r["seq"] == 1]
+    assert at == sorted(at) and len(set(at)) == placed[0]["blocks"] == pooling.SEQUENCE_BLOCKS
+    assert max(at.count(b) for b in set(at)) <= 1.2 * len(ids) / pooling.SEQUENCE_BLOCKS
+    assert (placed[-1]["at"], placed[-1]["blocks"]) == (0, 1)
