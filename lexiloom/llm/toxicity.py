@@ -74,6 +74,8 @@ LONGEST = 18
 OVERLAP = 9
 #: The same for shares, so that the longest landmark with a letter in every gap is looked at whole.
 LONGEST_SPREAD = 2 * LONGEST
+#: Spans whose shares are found at once.
+SHARE_SPANS = 1 << 13
 #: The letter that marks both ends of a word.
 EDGE = 63
 ROUNDS = 3
@@ -106,6 +108,24 @@ def triples(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterat
             yield at, base + wide[at + middle] * 64, DECAY ** (last + 1)
 
 
+class Cells:
+    """The cells of a matrix that are not 0, row by row: a triple belongs to few landmarks."""
+
+    def __init__(self, dense: np.ndarray):
+        rows, self.column = np.nonzero(dense)
+        self.value = dense[rows, self.column]
+        self.size = np.bincount(rows, minlength=len(dense))
+        self.first = np.cumsum(self.size) - self.size
+
+    def add(self, out: np.ndarray, owner: np.ndarray, rows: np.ndarray, weight: float = 1.0) -> None:
+        """Add ``weight`` times each of ``rows`` to the row ``owner`` of ``out``, in that order."""
+        n = self.size[rows]
+        upto = np.cumsum(n)
+        cell = np.repeat(self.first[rows] - (upto - n), n) + np.arange(upto[-1] if len(n) else 0)
+        # over flat cells, which numpy adds much faster than whole rows
+        np.add.at(out.reshape(-1), np.repeat(owner * out.shape[1], n) + self.column[cell], weight * self.value[cell])
+
+
 class Landmarks:
     """The triples of all landmarks: their weights, the landmarks' kernel matrix and the summed bound."""
 
@@ -125,15 +145,20 @@ class Landmarks:
         table = np.zeros((len(codes), len(words)))
         np.add.at(table, (at, who), weight)
         self.gram = table.T @ table
-        self.table = table / np.maximum(self.gram.diagonal(), 1e-300)
+        relative = table / np.maximum(self.gram.diagonal(), 1e-300)
+        self.table = Cells(relative)
         self.bound = np.zeros(1 << 18)
-        self.bound[codes] = self.table.max(1, initial=0)
+        self.bound[codes] = relative.max(1, initial=0)
         close = np.zeros_like(table)
         near = weight > DECAY ** (CLOSE + 0.5)
         np.maximum.at(close, (at[near], who[near]), weight[near])
-        self.close = close / np.maximum(close.sum(0), 1e-300)
+        close /= np.maximum(close.sum(0), 1e-300)
         self.share_bound = np.zeros(1 << 18)
-        self.share_bound[codes] = self.close.max(1, initial=0)
+        self.share_bound[codes] = close.max(1, initial=0)
+        some = np.flatnonzero(close.any(1))
+        self.close = Cells(close[some])
+        self.close_index = np.full(1 << 18, -1, np.int32)
+        self.close_index[codes[some]] = np.arange(len(some))
 
     def likeness(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The kernel of each span with each landmark, relative to the landmark's kernel with itself."""
@@ -142,19 +167,25 @@ class Landmarks:
         for at, code, weight in triples(letters, starts, ends):
             row = self.index[code]
             some = row >= 0
-            np.add.at(out, owner[at[some]], weight * self.table[row[some]])
+            self.table.add(out, owner[at[some]], row[some], weight)
         return out
 
     def share(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The share of each landmark's close triples that each span holds, at any gaps; 0 below ``SHARE_FLOOR``."""
-        owner = np.repeat(np.arange(len(starts)), ends - starts)
-        held = [np.empty(0, np.int64)]
-        for at, code, _ in triples(letters, starts, ends):
-            some = self.share_bound[code] > 0
-            held.append(owner[at[some]] << 18 | code[some])
-        distinct = np.unique(np.concatenate(held))
         out = np.zeros((len(starts), len(self.words)))
-        np.add.at(out, distinct >> 18, self.close[self.index[distinct & (1 << 18) - 1]])
+        known = len(self.close.size)
+        for low in range(0, len(starts), SHARE_SPANS):
+            high = min(low + SHARE_SPANS, len(starts))
+            begin = starts[low]
+            inside = letters[begin : ends[high - 1]]
+            owner = np.repeat(np.arange(high - low), ends[low:high] - starts[low:high])
+            held = np.zeros((high - low, known), bool)
+            for at, code, _ in triples(inside, starts[low:high] - begin, ends[low:high] - begin):
+                row = self.close_index[code]
+                some = row >= 0
+                held[owner[at[some]], row[some]] = True
+            span, row = np.nonzero(held)
+            self.close.add(out, span + low, row)
         return np.where(out >= SHARE_FLOOR, out, 0)
 
 

@@ -187,3 +187,19 @@ def test_dropping_toxic_texts_keeps_columns(docs, labels):
     assert kept.columns == df.columns
     scored = {r.doc_id: r.predicted for r in toxicity.score(df, labels(marks)).collect()}
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(i if i is not None else -1 for i, p in scored.items() if not p)
+
+
+def test_sparse_cells_add_what_whole_rows_add():
+    """Likeness and shares add only the landmarks that a triple belongs to; sums are the same to the last bit."""
+    from lexiloom.llm.toxicity import Cells
+
+    rng = np.random.default_rng(3)
+    dense = rng.random((40, 7)) * (rng.random((40, 7)) < 0.2)
+    owner, rows = rng.integers(0, 9, 500), rng.integers(0, 40, 500)
+    got, whole = np.zeros((9, 7)), np.zeros((9, 7))
+    Cells(dense).add(got, owner, rows, 0.3)
+    np.add.at(whole, owner, 0.3 * dense[rows])
+    assert (got == whole).all()
+    Cells(dense).add(got, owner[:0], rows[:0])
+    Cells(np.zeros((5, 7))).add(got, np.array([0, 1]), np.array([4, 0]))
+    assert (got == whole).all()
