@@ -80,6 +80,8 @@ def log_store(spark: SparkSession, directory: str) -> DataFrame:
     log = eval_log(_documents(spark, directory), "doc_id", "text", LOG_ORDERS).select(
         F.col("model_order").alias("step"), "train_loss", "val_loss", F.lit(RATE).alias("lr")
     )
+    # each write below would learn the models again
+    log = stored(log, "log")
     write_log(log.where(F.col("step") <= 2), path)
     write_log(log.where(F.col("step") > 2), path)
     read = read_log(spark, path, EVALUATIONS)

@@ -12,7 +12,7 @@ from lexiloom.functions.chat import is_chat
 from lexiloom.operators.ngram import BYTES, Alphabet, own_loss, split_loss, tally_ngrams
 from lexiloom.operators.order import first_in_order, split_tail
 from lexiloom.operators.selection import best_model
-from lexiloom.session import new_path
+from lexiloom.session import new_path, stored
 
 CHAT_ROWS = 8
 CHAT_BLOCK = 128
@@ -50,7 +50,8 @@ def eval_log(
     """(model_order, train_loss, val_loss): models of the training documents on both splits."""
     split = split_tail(docs.select(key, text), key, seed)
     train, val = split.where(F.col("split") == "train"), split.where(F.col("split") == "val")
-    counts = tally_ngrams(train, text, orders, alphabet)
+    # the losses of both splits read the counts, which one pass over the texts gives
+    counts = stored(tally_ngrams(train, text, orders, alphabet), "tallied")
     on_train = own_loss(counts)
     on_val = split_loss(val, text, counts.drop("w"), orders, alphabet)
     return on_train.select("model_order", F.col("loss").alias("train_loss")).join(

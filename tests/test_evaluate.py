@@ -103,3 +103,35 @@ def test_many_keywords_equal_contains(spark):
     none = find_keywords(docs, keywords.where("keyword = 'absent'")).collect()
     assert all(r["hits"] == (None if r["text"] is None else []) for r in none)
     assert find_keywords(docs.limit(0), keywords).count() == 0
+
+
+def test_a_stored_log_is_made_once(spark, monkeypatch):
+    """The log is written in two parts, but the models behind it are learned once."""
+    from lexiloom.plans import store_queries
+
+    made = spark.sparkContext.accumulator(0)
+
+    def row(step):
+        made.add(1)
+        return step / 2
+
+    def eval_log(*args):
+        steps = spark.range(1, 5).select(F.col("id").cast("int").alias("model_order"))
+        loss = F.udf(row, "double")("model_order")
+        return steps.withColumn("train_loss", loss).withColumn("val_loss", F.lit(1.0))
+
+    monkeypatch.setattr(store_queries, "eval_log", eval_log)
+    monkeypatch.setattr(store_queries, "_documents", lambda *args: None)
+    got = sorted(tuple(r) for r in store_queries.log_store(spark, "").collect())
+    assert got == [(i, i / 2, 1.0, store_queries.RATE) for i in range(1, 5)]
+    assert made.value == 4
+
+
+def test_losses_of_both_splits_read_the_counts_of_one_pass(spark):
+    from lexiloom.plans.train import eval_log
+
+    docs = spark.createDataFrame([(i, "abc " * i) for i in range(20)], "id int, text string")
+    log = eval_log(docs, "id", "text", [1, 2])
+    # only the validation texts are still to be counted
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert log.count() == 2
