@@ -36,7 +36,9 @@ MIN_FREQUENCY = 2
 SYMBOL_BASE = 0x20000
 TOP_PAIRS = 64
 ROUNDS_PER_CUT = 16
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 17
+# Words of a batch that are spelled at once.
+WORDS_PER_STEP = 1 << 17
 # Longer words are segmented with a heap and not remembered.
 LONG_WORD = 64
 
@@ -258,17 +260,21 @@ def _encoder(ranks: dict[str, tuple[int, str]]):
     @F.arrow_udf("array<int>")
     def encode(words: pa.Array) -> pa.Array:
         offsets = words.offsets.to_numpy()
-        flat = words.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        spelled = [ids_of(w) for w in flat.dictionary.to_pylist()]
-        sizes = np.array([len(s) for s in spelled], np.int64)
-        pool = np.array([i for s in spelled for i in s], np.int32)
-        index = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = sizes[index]
-        ends = np.cumsum(n)
-        begin = (np.cumsum(sizes) - sizes)[index]
-        out = pool[np.repeat(begin - (ends - n), n) + np.arange(n.sum())]
-        bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out))
+        flat = words.values.slice(offsets[0], offsets[-1] - offsets[0])
+        ids, counts = [np.empty(0, np.int32)], np.zeros(len(flat) + 1, np.int64)
+        # a step at a time, so that a batch of long texts needs little besides its ids
+        for low in range(0, len(flat), WORDS_PER_STEP):
+            step = flat.slice(low, WORDS_PER_STEP).dictionary_encode()
+            spelled = [ids_of(w) for w in step.dictionary.to_pylist()]
+            sizes = np.array([len(s) for s in spelled], np.int64)
+            pool = np.fromiter((i for s in spelled for i in s), np.int32, int(sizes.sum()))
+            index = step.indices.to_numpy(zero_copy_only=False)
+            n = sizes[index]
+            begin = (np.cumsum(sizes) - sizes)[index]
+            ids.append(pool[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            counts[low + 1 : low + 1 + len(n)] = n
+        bounds = np.cumsum(counts)[offsets - offsets[0]]
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(ids)))
 
     return encode
 

@@ -164,3 +164,25 @@ def test_long_words_are_segmented_like_short_ones():
                 slow = slow.replace(min(fits)[2], min(fits)[1])
             assert bpe.segment_long(word, ranks) == slow == bpe.segment(word, ranks)
     assert len(bpe.segment("".join(rng.choices("abcd", k=1_000_000)), ranks)) < 1_000_000
+
+
+def test_batches_are_spelled_in_steps(monkeypatch):
+    """A batch of many words is encoded a few words at a time, to the same ids, and the memo stays small."""
+    import pyarrow as pa
+
+    from lexiloom.operators import bpe
+
+    found = []
+    monkeypatch.setattr(bpe.F, "arrow_udf", lambda kind: lambda f: found.append(f) or f)
+    ranks = {bpe.symbol(260) + bpe.symbol(261): (0, bpe.symbol(400))}
+    rows = [["ab", " c"], [], ["x" * 100, "ab", "<|im_end|>", "é"], ["ab"], []] * 5
+    words = pa.array(rows, pa.list_(pa.string())).slice(1)
+    bpe._encoder(ranks)
+    whole = found[0](words).to_pylist()
+    assert bpe.MEMO_WORDS <= 1 << 17
+    monkeypatch.setattr(bpe, "WORDS_PER_STEP", 3)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 2)
+    bpe._encoder(ranks)
+    assert found[1](words).to_pylist() == whole
+    assert [len(w) > 0 for w in whole] == [len(r) > 0 for r in rows[1:]]
+    assert found[1](words.slice(0, 0)).to_pylist() == []
