@@ -22,6 +22,10 @@ ship(__name__)
 # Up to this many queries are sent to every task; more are joined in blocks of about so many.
 QUERIES_PER_BLOCK = 1024
 ROWS_PER_PART = 20_000
+QUERIES_AT_ONCE = 128
+# Blocks that the queries are cut into at most, unless a block would hold over MOST_QUERIES.
+QUERY_BLOCKS = 32
+MOST_QUERIES = 1 << 15
 # Norms of one bucket differ by this factor; the last bucket holds all smaller ones.
 RATIO = 1.1
 LEVELS = 256
@@ -114,12 +118,17 @@ def _best_rows(table, vector: str, key: str, query_ids: pa.Array, queries: np.nd
     """The ``k`` best rows of a batch for each query, ties by key."""
     rows = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
     vectors = _matrix(rows.column(vector))
-    scores = np.round(vectors @ queries.T / np.sqrt(vectors.shape[1]), 9)
     keys = rows.column(key).to_numpy()
-    take = [_top(scores[:, q], keys, k) for q in range(len(query_ids))]
+    take, best = [], []
+    # some queries at a time, so that no table of all pairs arises
+    for low in range(0, len(query_ids), QUERIES_AT_ONCE):
+        scores = np.round(queries[low : low + QUERIES_AT_ONCE] @ vectors.T / np.sqrt(vectors.shape[1]), 9)
+        some = [_top(own, keys, k) for own in scores]
+        take += some
+        best += [own[t] for own, t in zip(scores, some)]
     picked = rows.take(pa.array(np.concatenate(take)))
     owner = np.repeat(np.arange(len(query_ids)), [len(t) for t in take])
-    best = np.concatenate([scores[t, q] for q, t in enumerate(take)])
+    best = np.concatenate(best)
     picked = picked.append_column("query_id", query_ids.take(pa.array(owner)))
     return picked.append_column("score", pa.array(best))
 
@@ -224,7 +233,10 @@ def bounded_search(
     placed = rows.withColumn("_bucket", bucket).withColumn("_part", _looked_up(before, F.col("_bucket")) + in_bucket)
     queries = queries.select("query_id", "query", _norm(F.col("query")).alias("_norm"))
 
-    seed_blocks = -(-queries.count() // per_block)
+    # every row is sent to every block that it meets, so more queries make larger blocks, not more of them
+    asking = queries.count()
+    per_block = max(per_block, min(-(-asking // QUERY_BLOCKS), MOST_QUERIES))
+    seed_blocks = -(-asking // per_block)
     first = placed.where(F.col("_part") < index.seed_parts).withColumn("_part", F.lit(0).cast("bigint"))
     first = first.withColumn("_block", _upto(F.lit(seed_blocks).cast("bigint")))
     asked = queries.withColumns(

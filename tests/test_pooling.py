@@ -147,3 +147,24 @@ def test_long_sequences_have_longer_blocks_and_not_more(spark):
     assert at == sorted(at) and len(set(at)) == placed[0]["blocks"] == pooling.SEQUENCE_BLOCKS
     assert max(at.count(b) for b in set(at)) <= 1.2 * len(ids) / pooling.SEQUENCE_BLOCKS
     assert (placed[-1]["at"], placed[-1]["blocks"]) == (0, 1)
+
+
+def test_more_queries_make_larger_blocks(spark, monkeypatch):
+    """Each row is sent to a bounded number of query blocks; scores are found some queries at a time."""
+    monkeypatch.setattr(pooling, "QUERY_BLOCKS", 3)
+    monkeypatch.setattr(pooling, "QUERIES_AT_ONCE", 7)
+    met, cogrouped = [], pooling._cogrouped
+
+    def counted(rows, queries, *args):
+        met.append(rows.select("_block").distinct().count())
+        return cogrouped(rows, queries, *args)
+
+    monkeypatch.setattr(pooling, "_cogrouped", counted)
+    data, df = vectors(spark, 90)
+    queries = df.select(F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("query"))
+    got = {}
+    for r in sorted(pooling.nearest(df, queries, "id", "v", 3, 4).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    scores = np.round(data @ data.T / np.sqrt(6), 9)
+    assert got == {q: sorted(range(90), key=lambda i: (-scores[q, i], i))[:3] for q in range(90)}
+    assert met[0] == 3
