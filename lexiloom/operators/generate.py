@@ -4,7 +4,8 @@ A row's next token is drawn in the context of the longest suffix of its tokens t
 of up to ``KERNEL_ENTRIES`` entries travel to the tasks, which continue whole batches of rows. Larger ones stay
 tables, two levels deep: the suffixes of all lengths, each with the bounds of its blocks, and the blocks of at
 most ``BLOCK_ENTRIES`` tokens. A round probes the first table with all suffixes of the rows at once, keeps the
-longest that is there, and fetches the one block that the row's draw falls into.
+longest that is there, and fetches the one block that the row's draw falls into. Both tables are dealt out and
+sorted once, before the first round, so that a round moves its rows only and never the model.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ KERNEL_ENTRIES = 1 << 20
 BLOCK_ENTRIES = 256
 # Entries of the contexts of one length that are broadcast.
 HOT_ENTRIES = 1 << 18
+# Entries of the model in one part of its tables.
+ENTRIES_PER_PART = 1 << 18
 
 
 def free_prompts(seeds: DataFrame, key: str, block: int) -> DataFrame:
@@ -90,14 +93,22 @@ def back_off_table(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class _Table:
-    """A table of the model split once: the contexts that hold a large share of it, broadcast, and the others."""
+    """A table of the model split once: the contexts that hold a large share of it, broadcast, and the others.
 
-    def __init__(self, table: DataFrame, hot: DataFrame, keys: list[str], value: str):
+    The others are cached in ``parts`` by their keys, in order, so that joins neither shuffle nor sort them; a lost
+    part is made again from its checkpoint.
+    """
+
+    def __init__(self, table: DataFrame, hot: DataFrame, keys: list[str], value: str, parts: int):
         names = ["model_order", "context"]
         self.keys, self.value = keys, value
         self.hot = cut_lineage(table.join(F.broadcast(hot), names, "left_semi").select(*keys, F.col(value).alias("_hot")))
         cold = table.join(F.broadcast(hot), names, "left_anti")
-        self.cold = cut_lineage(cold.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.col(value).alias("_cold")))
+        cold = cut_lineage(cold.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.col(value).alias("_cold")))
+        placed = [f"_cold_{k}" for k in keys]
+        self.cold = cold.repartition(parts, *placed).sortWithinPartitions(*placed).persist()
+        # only a cache that is filled tells a plan how it is dealt out
+        self.cold.count()
 
     def attach(self, rows: DataFrame, salt: str) -> DataFrame:
         """Add ``value``, NULL where the keys are in neither part. Rows found in the hot part match nothing cold."""
@@ -116,6 +127,7 @@ def _by_rounds(
     prompts: DataFrame,
     key: str,
     entries: DataFrame,
+    size: int,
     order: int,
     rounds: int,
     alphabet: Alphabet,
@@ -125,27 +137,31 @@ def _by_rounds(
     whole: bool,
 ) -> DataFrame:
     heads, blocks = back_off_table(entries)
+    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // ENTRIES_PER_PART)
     share = max(1, HOT_ENTRIES // alphabet.base)
     per_order = heads.groupBy("model_order").agg(F.sum("n").alias("grand"))
     hot = heads.join(F.broadcast(per_order), "model_order").where(F.col("n") * share >= F.col("grand"))
     hot = cut_lineage(hot.where("model_order > 1").select("model_order", "context"))
     longer = F.col("model_order") > 1
-    head_table = _Table(heads.where(longer), hot, ["model_order", "context"], "bounds")
+    head_table = _Table(heads.where(longer), hot, ["model_order", "context"], "bounds", parts)
     # the shortest context is every row's last resort: its bounds are one value, its blocks count as hot
-    any_bounds = heads.where(~longer).agg(F.first("bounds").alias("bounds")).scalar()
+    any_bounds = cut_lineage(heads.where(~longer).agg(F.first("bounds").alias("bounds"))).scalar()
     shortest = heads.where(~longer).select("model_order", "context")
-    block_table = _Table(blocks, hot.unionByName(shortest), ["model_order", "context", "block"], "steps")
+    block_table = _Table(blocks, hot.unionByName(shortest), ["model_order", "context", "block"], "steps", parts)
     bases = F.array(*[F.lit(alphabet.base ** (k - 1)).cast("bigint") for k in range(1, order + 1)])
     lengths = F.sequence(F.lit(2), F.lit(order)) if order > 1 else F.array().cast("array<int>")
+    # of what a row has said, a round moves the tokens since the last cut, and as many as the end tag may reach back
     state = prompts.select(
         key,
         _pack(F.col("prompt"), order, alphabet).alias("full"),
         F.array().cast("array<int>").alias("out"),
+        F.array().cast("array<int>").alias("last"),
+        F.lit(0).alias("size"),
         "budget",
         (F.col("budget") <= 0).alias("done"),
     )
-    tag = None if end_tag is None else F.array(*[F.lit(t) for t in end_tag])
-    finished = []
+    tag = end_tag or []
+    said = []
     for step in range(rounds):
         # the suffixes of all lengths, and the longest that the model has seen
         probes = state.withColumn("model_order", F.explode_outer(F.when(~F.col("done"), lengths)))
@@ -153,7 +169,7 @@ def _by_rounds(
         found = head_table.attach(probes, key)
         hit = F.struct("model_order", "context", "bounds")
         longest = F.max_by(hit, F.when(F.col("bounds").isNotNull(), F.col("model_order"))).alias("hit")
-        state = found.groupBy(key, "full", "out", "budget", "done").agg(longest)
+        state = found.groupBy(key, "full", "out", "last", "size", "budget", "done").agg(longest)
         bounds = F.coalesce("hit.bounds", any_bounds)
         at = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{step}"))
         state = state.withColumn("_bounds", bounds).withColumns(
@@ -164,32 +180,43 @@ def _by_rounds(
             }
         )
         below = F.filter("_bounds", lambda hi: hi <= F.col("_u"))
-        state = block_table.attach(state.withColumn("block", F.size(below)), key)
+        state = block_table.attach(state.withColumn("block", F.size(below)).drop("_bounds", "hit"), key)
         above = F.filter("steps", lambda s: s["hi"] > F.col("_u"))
         state = state.withColumn("_t", F.get(above, F.lit(0))["next"])
         stops = F.lit(False) if stop is None else F.col("_t") == stop
-        longer_out = F.array_append("out", F.col("_t"))
-        state = state.withColumn("_out", F.when(F.col("done") | stops, F.col("out")).otherwise(longer_out))
-        tagged = F.lit(False)
-        if tag is not None:
-            size = len(end_tag)
-            tagged = ~F.col("done") & (F.slice(tail_tokens(F.col("_out"), size), 1, size) == tag)
+        state = state.withColumn("_speaks", ~(F.col("done") | stops))
+        longer_out, longer_last = (F.array_append(name, F.col("_t")) for name in ("out", "last"))
+        state = state.withColumns(
+            {
+                "out": F.when(F.col("_speaks"), longer_out).otherwise(F.col("out")),
+                "last": F.when(F.col("_speaks"), tail_tokens(longer_last, len(tag))) if tag else F.col("last"),
+                "size": F.col("size") + F.col("_speaks").cast("int"),
+            }
+        )
+        tagged = F.col("_speaks") & (F.col("last") == F.array(*[F.lit(t) for t in tag])) if tag else F.lit(False)
         state = state.select(
             key,
             ((F.col("full") * alphabet.base + F.col("_t")) % F.lit(alphabet.base ** (order - 1))).alias("full"),
-            F.when(tagged, F.slice("_out", F.lit(1), F.size("_out") - len(end_tag or [])))
-            .otherwise(F.col("_out"))
-            .alias("out"),
+            "out",
+            "last",
+            F.when(tagged, F.col("size") - len(tag)).otherwise(F.col("size")).alias("size"),
             "budget",
-            (F.col("done") | stops | tagged | (F.size("_out") >= F.col("budget"))).alias("done"),
+            (F.col("done") | stops | tagged | (F.col("size") >= F.col("budget"))).alias("done"),
         )
-        if (step + 1) % ROUNDS_PER_CUT == 0 and step + 1 < rounds:
+        if (step + 1) % ROUNDS_PER_CUT == 0 or step + 1 == rounds:
             state = cut_lineage(state)
-            finished.append(state.where("done").select(key, "out"))
-            state = state.where(~F.col("done"))
+            said.append(state.select(key, F.lit(step).alias("step"), "out", "size"))
+            state = state.where(~F.col("done")).withColumn("out", F.array().cast("array<int>"))
             if state.isEmpty():
                 break
-    return reduce(DataFrame.unionByName, [*finished, state.select(key, "out")])
+    head_table.cold.unpersist()
+    block_table.cold.unpersist()
+    if not said:
+        return state.select(key, "out")
+    # at most ``rounds`` tokens of a row; an end tag may lie in several cuts
+    pieces = F.array_sort(F.collect_list(F.struct("step", "out")))
+    whole_out = reduce(DataFrame.unionByName, said).groupBy(key).agg(pieces.alias("pieces"), F.max_by("size", "step").alias("size"))
+    return whole_out.select(key, F.slice(F.flatten("pieces.out"), F.lit(1), F.col("size")).alias("out"))
 
 
 def generate(
@@ -221,7 +248,7 @@ def generate(
     if size == 0:
         return prompts.select(key, F.array().cast("array<int>").alias("out"))
     if by_rounds or size > KERNEL_ENTRIES:
-        return _by_rounds(prompts, key, entries, order, rounds, alphabet, stop, end_tag, seed, whole)
+        return _by_rounds(prompts, key, entries, size, order, rounds, alphabet, stop, end_tag, seed, whole)
     model = entries.drop("n").orderBy("model_order", "context", "next").toArrow()
     kind = prompts.schema[key].dataType.simpleString()
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))

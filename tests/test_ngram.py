@@ -239,6 +239,39 @@ def test_both_ways_to_generate_agree(spark, order, temperature, monkeypatch):
         assert generated(generate(prompts, "doc_id", model, order, 5, **options, by_rounds=True)) == want
 
 
+def test_rounds_move_rows_and_not_the_model(spark, monkeypatch):
+    """Joins with a cached table of the model neither shuffle nor sort it, and rows leave behind what they have said."""
+    seen = []
+    attach = generation._Table.attach
+
+    def watched(self, rows, salt):
+        out = attach(self, rows, salt)
+        seen.append((out._jdf.queryExecution().executedPlan().toString(), self.value))
+        return out
+
+    monkeypatch.setattr(generation._Table, "attach", watched)
+    model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2, 3, 4])
+    prompts = byte_prompts(docs_of(spark, ["ab", "zz", "x" * 30, "", "abc"]), "doc_id", "text", 48)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = generated(generate(prompts, "doc_id", model, 4, 7, end_tag=list(b"ca")))
+        assert generated(generate(prompts, "doc_id", model, 4, 7, end_tag=list(b"ca"), by_rounds=True)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert seen and {value for _, value in seen} == {"bounds", "steps"}
+    for plan, _ in seen:
+        # between a cached table and its join lies a filter at most
+        lines = plan.splitlines()
+        tables = [i for i, line in enumerate(lines) if "+- InMemoryTableScan [_cold_model_order" in line]
+        assert tables
+        for i in tables:
+            above = lines[i - 1] if "Filter" in lines[i - 1] else lines[i]
+            assert "Exchange" not in lines[i - 1] and "Sort " not in lines[i - 1]
+            if above is not lines[i]:
+                assert "Exchange" not in lines[i - 2] and "Sort " not in lines[i - 2]
+
+
 def test_longest_seen_suffix_by_brute_force(spark):
     """Every token is drawn among those that followed the longest suffix seen in the texts."""
     texts = ["abcd abce bbcf", "xbcd ybce", "abab"]
