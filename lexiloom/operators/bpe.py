@@ -1,13 +1,14 @@
 """Byte-level byte-pair encoding: learning on a distributed word table, encoding and decoding.
 
-A word is held as a string with one supplementary code point per symbol, so a merge is a native
+Learning holds the words of an Arrow batch as one block: all their ids end to end, their lengths and their counts.
+Encoding holds a word as a string with one supplementary code point per symbol, so a merge is a native
 ``replace`` (leftmost, non-overlapping) and code-point order is id order.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import utf8
+from lexiloom.operators.kernels import flat_values
 from lexiloom.session import cut_lineage
 from lexiloom.shipping import ship
 from lexiloom.sources.metadata import SPECIAL_TOKENS
@@ -36,6 +38,9 @@ MIN_FREQUENCY = 2
 SYMBOL_BASE = 0x20000
 TOP_PAIRS = 64
 ROUNDS_PER_CUT = 16
+# Pairs that are counted in an array of all of them, rather than by sorting.
+DENSE_PAIRS = 1 << 22
+BLOCKS = "ids binary, sizes binary, n binary"
 MEMO_WORDS = 1 << 17
 # Words of a batch that are spelled at once.
 WORDS_PER_STEP = 1 << 17
@@ -101,12 +106,109 @@ def pair_counts(words: DataFrame) -> DataFrame:
     )
 
 
-def merge_words(words: DataFrame, merges: list[tuple[int, int, int, int]]) -> DataFrame:
-    """Apply merges in order. One fold over an array of them, so every round has the same plan."""
-    # each step is the two symbols of the pair and the new one
-    steps = " ".join(symbol(left) + symbol(right) + symbol(new) for left, right, new, _ in merges)
-    fold = f"aggregate(split('{steps}', ' '), word, (w, m) -> replace(w, left(m, 2), right(m, 1)))"
-    return words.selectExpr(f"{fold} AS word", "n")
+def _block(*columns: np.ndarray) -> pa.RecordBatch:
+    kinds = (np.int32, np.int32, np.int64)
+    data = [pa.array([c.astype(kind).tobytes()], pa.binary()) for c, kind in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(data, ["ids", "sizes", "n"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, lengths and counts of the words of each block."""
+    for batch in batches:
+        for ids, sizes, n in zip(*(batch.column(i) for i in range(3))):
+            yield (
+                np.frombuffer(ids.as_buffer(), np.int32),
+                np.frombuffer(sizes.as_buffer(), np.int32),
+                np.frombuffer(n.as_buffer(), np.int64),
+            )
+
+
+def _joints(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each id but the last is followed by one of its own word."""
+    inside = np.ones(max(len(ids) - 1, 0), bool)
+    inside[np.cumsum(sizes)[:-1] - 1] = False
+    return inside
+
+
+def word_blocks(words: DataFrame) -> DataFrame:
+    """The words (word, n) of two or more bytes as blocks of ids."""
+    first_ids = np.empty(256, np.int32)
+    first_ids[byte_order()] = len(SPECIAL_TOKENS) + np.arange(256)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, sizes = flat_values(batch.column(0))
+            long = sizes > 1
+            yield _block(first_ids[values][np.repeat(long, sizes)], sizes[long], batch.column(1).to_numpy()[long])
+
+    return words.select("word", "n").mapInArrow(run, BLOCKS)
+
+
+def block_pairs(blocks: DataFrame, base: int) -> DataFrame:
+    """(left, right, n): adjacent ids, all below ``base``, weighted by the count of their word."""
+
+    def table(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [(codes // base).astype(np.int32), (codes % base).astype(np.int32), n.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["left", "right", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(base**2 if base**2 <= DENSE_PAIRS else 0)
+        for ids, sizes, n in _blocks(batches):
+            inside = _joints(ids, sizes)
+            codes = (ids[:-1].astype(np.int64) * base + ids[1:])[inside]
+            weights = np.repeat(n, sizes)[:-1][inside]
+            if len(total):
+                total += np.bincount(codes, weights, len(total))
+            elif len(codes):
+                order = np.argsort(codes)
+                seen, at = np.unique(codes[order], return_index=True)
+                yield table(seen, np.add.reduceat(weights[order], at))
+        if len(total):
+            seen = np.flatnonzero(total)
+            yield table(seen, total[seen])
+
+    counted = blocks.mapInArrow(run, "left int, right int, n bigint")
+    return counted.groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def merge_ids(
+    ids: np.ndarray, sizes: np.ndarray, merges: list[tuple[int, int, int, int]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and lengths of words after a batch of merges, which is one of :func:`_next_batch`.
+
+    No two pairs of a batch overlap; a pair of equal ids overlaps itself in runs, and every second place counts.
+    """
+    pairs = np.array([m[:3] for m in merges], np.int64)
+    base = int(max(ids.max(initial=0), pairs[:, :2].max())) + 1
+    starts, ends = np.zeros(base, bool), np.zeros(base, bool)
+    starts[pairs[:, 0]], ends[pairs[:, 1]] = True, True
+    hits = np.flatnonzero(starts[ids[:-1]] & ends[ids[1:]] & _joints(ids, sizes))
+    codes = pairs[:, 0] * base + pairs[:, 1]
+    order = np.argsort(codes)
+    sought = ids[hits].astype(np.int64) * base + ids[hits + 1]
+    at = order[np.minimum(np.searchsorted(codes[order], sought), len(order) - 1)]
+    found = codes[at] == sought
+    hits, at = hits[found], at[found]
+    place = np.arange(len(hits))
+    runs = np.append(True, np.diff(hits) != 1)[: len(hits)]
+    taken = (place - np.maximum.accumulate(np.where(runs, place, 0))) % 2 == 0
+    hits, at = hits[taken], at[taken]
+    owner = np.searchsorted(np.cumsum(sizes), hits, side="right")
+    out, kept = ids.copy(), np.ones(len(ids), bool)
+    out[hits], kept[hits + 1] = pairs[at, 2], False
+    return out[kept], sizes - np.bincount(owner, minlength=len(sizes)).astype(sizes.dtype)
+
+
+def merge_blocks(blocks: DataFrame, merges: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Apply a batch of merges; words of which one id is left have no pair any more and go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, n in _blocks(batches):
+            ids, sizes = merge_ids(ids, sizes, merges)
+            long = sizes > 1
+            yield _block(ids[np.repeat(long, sizes)], sizes[long], n[long])
+
+    return blocks.mapInArrow(run, BLOCKS)
 
 
 def _next_batch(
@@ -292,34 +394,34 @@ def learn(
     vocab = [t.encode() for t in SPECIAL_TOKENS] + [bytes([b]) for b in byte_order()]
     known = {b: i for i, b in enumerate(vocab)}
     merges: list[tuple[int, int, int, int]] = []
-    words = pretoken_counts(docs, text).select(word_symbols(F.col("word")).alias("word"), "n")
-    words = cut_lineage(words.where(F.length("word") > 1))
+    words = cut_lineage(pretoken_counts(docs, text).where(F.octet_length("word") > 1))
     if needs_spread(words):
-        words = cut_lineage(spread(words, "word"))
+        words = spread(words, "word")
+    blocks = cut_lineage(word_blocks(words))
     rounds, previous = 0, None
     while len(vocab) < vocab_size:
         top = (
-            pair_counts(words)
+            block_pairs(blocks, len(vocab))
             .where(f"n >= {min_frequency}")
-            .orderBy(F.desc("n"), "pair")
+            .orderBy(F.desc("n"), "left", "right")
             .limit(TOP_PAIRS)
             .collect()
         )
-        # counting has filled the cache of ``words``; the table before it is no longer needed
+        # counting has filled the cache of ``blocks``; the table before it is no longer needed
         if previous is not None:
             previous.unpersist()
-        ranked = [(*(ord(c) - SYMBOL_BASE for c in r["pair"]), r["n"]) for r in top]
+        ranked = [(r["left"], r["right"], r["n"]) for r in top]
         batch = _next_batch(ranked, vocab, known, vocab_size - len(vocab))
         if not batch:
             break
         merges += batch
         rounds += 1
-        previous, words = words, merge_words(words, batch).where("length(word) > 1")
+        previous, blocks = blocks, merge_blocks(blocks, batch)
         if rounds % ROUNDS_PER_CUT == 0:
-            words = cut_lineage(words)
+            blocks = cut_lineage(blocks)
         else:
-            words = words.persist()
-    for table in (previous, words):
+            blocks = blocks.persist()
+    for table in (previous, blocks):
         if table is not None:
             table.unpersist()
     return Tokenizer(merges, vocab)

@@ -186,3 +186,25 @@ def test_batches_are_spelled_in_steps(monkeypatch):
     assert found[1](words).to_pylist() == whole
     assert [len(w) > 0 for w in whole] == [len(r) > 0 for r in rows[1:]]
     assert found[1](words.slice(0, 0)).to_pylist() == []
+
+
+@pytest.mark.parametrize("dense", [1 << 22, 1])
+def test_blocks_of_words_merge_as_words_do(spark, monkeypatch, dense):
+    """A round reads blocks of many words each, and counts and merges in them as in single words."""
+    monkeypatch.setattr(bpe, "DENSE_PAIRS", dense)
+    texts = [*TEXTS, "", "x", "aaa aaaa aaaaa", "\u00e9\u00e9\u00e9 \u65e5\u672c\u65e5\u672c"]
+    words = bpe.pretoken_counts(docs_of(spark, texts))
+    blocks = bpe.word_blocks(words.coalesce(1))
+    assert blocks.count() == 1
+    held = [(w, n) for w, n in words.collect() if len(w.encode()) > 1]
+    vocab = [t.encode() for t in SPECIAL_TOKENS] + [bytes([b]) for b in bpe.byte_order()]
+    table = [([vocab.index(bytes([b])) for b in w.encode()], n) for w, n in held]
+    for left, right, new in (("a", "t", 259), ("a", "a", 260), ("h", "e", 261)):
+        pairs = Counter()
+        for ids, n in table:
+            for pair in zip(ids, ids[1:]):
+                pairs[pair] += n
+        assert {(r["left"], r["right"]): r["n"] for r in bpe.block_pairs(blocks, new).collect()} == pairs
+        merge = (vocab.index(left.encode()), vocab.index(right.encode()), new, 0)
+        blocks = bpe.merge_blocks(blocks, [merge])
+        table = [(ids, n) for ids, n in ((merged(ids, *merge[:3]), n) for ids, n in table) if len(ids) > 1]
