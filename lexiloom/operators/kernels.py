@@ -16,7 +16,8 @@ from lexiloom.shipping import ship
 ship(__name__)
 
 DENSE_LIMIT = 1 << 22
-PIECE = 1 << 21
+# Ids that a kernel works on at once: a dozen arrays of 8 bytes each, whatever the batch holds.
+PIECE = 1 << 18
 
 
 def flat_values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,8 @@ def packed(flat: np.ndarray, at: np.ndarray, order: int, base: int) -> np.ndarra
 
 def tally(codes: np.ndarray, size: int, weights: np.ndarray):
     """Distinct codes with their counts and summed weights."""
-    if size <= DENSE_LIMIT:
+    # an array of all codes only where it is no larger than a few arrays of the codes given
+    if size <= min(DENSE_LIMIT, max(4 * len(codes), 1 << 16)):
         n, w = np.bincount(codes), np.bincount(codes, weights)
         seen = np.flatnonzero(n)
         return seen, n[seen], w[seen]

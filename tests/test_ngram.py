@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,3 +391,25 @@ def test_sweep(spark):
     assert got[None, None] == (3, pytest.approx(7 / 3))
     assert got[1, None] == (2, 3.0) and got[None, True] == (2, 2.5) and got[2, True] == (1, 1.0)
     assert len(got) == 8
+
+
+def peak_mb(kernel, batch):
+    """Peak MB of a kernel over one batch, each result dropped as it comes."""
+    tracemalloc.start()
+    try:
+        for _ in kernel(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def large_batch():
+    """4 MB of text in rows of 20 kB, of few distinct bytes."""
+    letters = np.random.default_rng(1).integers(97, 123, (200, 20_000), np.uint8)
+    return pa.RecordBatch.from_arrays([pa.array([row.tobytes().decode() for row in letters])], ["text"])
+
+
+def test_counting_needs_little_memory_beside_its_batch():
+    """However large a batch is, pairs are counted a bounded piece at a time."""
+    assert peak_mb(kernels.ngram_batches([2], 257, 256, 256, 0), large_batch()) < 50
