@@ -413,3 +413,9 @@ def large_batch():
 def test_counting_needs_little_memory_beside_its_batch():
     """However large a batch is, pairs are counted a bounded piece at a time."""
     assert peak_mb(kernels.ngram_batches([2], 257, 256, 256, 0), large_batch()) < 50
+
+
+def test_counting_many_orders_needs_little_memory_too():
+    """As above, for the five orders of the chat model."""
+    orders = model_queries.CHAT_ORDERS
+    assert peak_mb(kernels.ngram_batches(orders, 257, 256, 256, 0), large_batch()) < 80
