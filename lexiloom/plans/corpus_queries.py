@@ -59,6 +59,11 @@ def _byte_tokens(docs: DataFrame) -> DataFrame:
     return docs.withColumn("tokens", byte_ids(utf8(F.col("text")))).drop("text")
 
 
+def _text_bytes(docs: DataFrame) -> DataFrame:
+    """The bytes themselves, which are ids where they are written to a token file."""
+    return docs.withColumn("tokens", utf8(F.col("text"))).drop("text")
+
+
 # vocabulary
 
 
@@ -207,7 +212,7 @@ def next_token(spark: SparkSession, directory: str) -> DataFrame:
 
 def _split_streams(spark: SparkSession, directory: str) -> DataFrame:
     docs = split_head(_spread_documents(spark, directory), "doc_id", EVAL_RATIO)
-    return _byte_tokens(token_stream(docs, "doc_id", F.octet_length("text"), by=("split",)))
+    return _text_bytes(token_stream(docs, "doc_id", F.octet_length("text"), by=("split",)))
 
 
 def _split_meta(spark: SparkSession, directory: str) -> DataFrame:
@@ -226,7 +231,7 @@ def token_file_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     Offsets come from the byte lengths, so texts and not token arrays move; ids are made where they are written.
     """
     stream = token_stream(_spread_documents(spark, directory), "doc_id", F.octet_length("text"))
-    return _written_sums(spark, _byte_tokens(stream))
+    return _written_sums(spark, _text_bytes(stream))
 
 
 def token_file_eos(spark: SparkSession, directory: str) -> DataFrame:
@@ -246,7 +251,7 @@ def token_file_append(spark: SparkSession, directory: str) -> DataFrame:
     path = new_path(spark, "tokens")
     docs = _spread_documents(spark, directory)
     halves = [docs.where(F.col("doc_id") % 2 == half) for half in (0, 1)]
-    first, second = (_byte_tokens(token_stream(d, "doc_id", F.octet_length("text"))) for d in halves)
+    first, second = (_text_bytes(token_stream(d, "doc_id", F.octet_length("text"))) for d in halves)
     write_tokens(first, path, tokens_per_part=PART)
     added = append_tokens(second, path, tokens_per_part=PART)
     sums = [

@@ -39,6 +39,8 @@ TOKENS_PER_PART = 1 << 26
 TOKENS_PER_RANGE = 1 << 25
 TOKENS_PER_ROW = 1 << 16
 TOKENS_PER_BATCH = 1 << 20
+# Tokens that are summed up at once.
+TOKENS_PER_SUM = 1 << 18
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -147,12 +149,10 @@ class _Writer(DataSourceArrowWriter):
         parts: list[tuple[str, int, int]] = []
         stream, expected = None, None
         for batch in iterator:
-            tokens = batch.column("tokens")
-            offsets = tokens.offsets.to_numpy().astype(np.int64)
-            values = tokens.values.to_numpy(zero_copy_only=False)
+            values, sizes = flat_values(batch.column("tokens"))
+            offsets = np.append(0, np.cumsum(sizes))
             first = batch.column("first_idx").to_numpy()
-            kept = values[offsets[0] : offsets[-1]]
-            if len(kept) and (kept.min() < 0 or kept.max() > limit):
+            if len(values) and (values.min() < 0 or values.max() > limit):
                 raise ValueError(f"token id out of range for {self.dtype}")
             ends = first + np.diff(offsets)
             starts = np.flatnonzero(np.append(True, first[1:] != ends[:-1])) if len(first) else []
@@ -204,6 +204,7 @@ def write_tokens(
 ) -> None:
     """Write ``stream(first_idx, tokens)``; parts hold equal ranges of the index.
 
+    ``tokens`` is an ARRAY<INT>, or BINARY, each byte of which is an id: then bytes are moved and not ids.
     A path that holds a token file already is refused; ``append_tokens`` adds to it.
     """
     if dtype not in DTYPES:
@@ -230,8 +231,9 @@ def append_tokens(stream: DataFrame, path: str, tokens_per_part: int = TOKENS_PE
 def _write_version(stream: DataFrame, path: str, dtype: str, version: int, tokens_per_part: int) -> None:
     register(stream.sparkSession)
     part = F.floor(F.col("first_idx") / tokens_per_part)
+    size = F.octet_length if stream.schema["tokens"].dataType.typeName() == "binary" else F.size
     (
-        stream.where(F.size("tokens") > 0)
+        stream.where(size("tokens") > 0)
         .select("first_idx", "tokens", part.alias("part"))
         .repartition("part")
         .sortWithinPartitions("first_idx")
@@ -326,22 +328,22 @@ def explode_tokens(tokens: DataFrame) -> DataFrame:
 def token_sums(tokens: DataFrame, per: int) -> DataFrame:
     """Number, sum and place-weighted sum of the tokens in each range of ``per`` indices.
 
-    Each batch gives one row per range that it touches; no token becomes a row.
+    Each piece of a batch gives one row per run of tokens of one range; no token becomes a row.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, sizes = flat_values(batch.column("tokens"))
-            if not len(values):
-                continue
-            shift = batch.column("first_idx").to_numpy() - (np.cumsum(sizes) - sizes)
-            idx = np.arange(len(values)) + np.repeat(shift, sizes)
-            values = values.astype(np.int64)
-            order = np.argsort(idx // per, kind="stable")
-            part, at, n = np.unique((idx // per)[order], return_index=True, return_counts=True)
-            total = np.add.reduceat(values[order], at)
-            weighted = np.add.reduceat((values * (idx % per))[order], at)
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (part, n, total, weighted)], names)
+            ends = np.cumsum(sizes)
+            shift = batch.column("first_idx").to_numpy() - (ends - sizes)
+            for low in range(0, len(values), TOKENS_PER_SUM):
+                piece = values[low : low + TOKENS_PER_SUM].astype(np.int64)
+                at = np.arange(low, low + len(piece))
+                part, place = np.divmod(at + shift[np.searchsorted(ends, at, side="right")], per)
+                runs = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                n = np.diff(np.append(runs, len(piece)))
+                columns = (part[runs], n, np.add.reduceat(piece, runs), np.add.reduceat(piece * place, runs))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names)
 
     names = ["part", "n", "token_sum", "weighted_sum"]
     found = tokens.select("first_idx", "tokens").mapInArrow(sums, ", ".join(f"{c} bigint" for c in names))

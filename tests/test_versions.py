@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import byte_ids
 from lexiloom.operators.ngram import BYTES, count_ngrams
 from lexiloom.operators.order import split_tail
 from lexiloom.operators.vocab import encoded_stats
@@ -154,3 +155,17 @@ def test_stats_of_encoded_texts(spark):
     df = spark.createDataFrame(rows, "split string, tokens array<int>, text string")
     got = {r["split"]: tuple(r)[1:] for r in encoded_stats(df, "split", "tokens", "text").collect()}
     assert got == {"a": (3, 3, 0, 2, 5, pytest.approx(5 / 3)), "b": (1, 0, 0, 0, 0, None)}
+
+
+def test_bytes_are_written_and_appended_as_ids(spark, tmp_path):
+    """A stream of bytes makes the file that the stream of their ids makes."""
+    texts = spark.createDataFrame([(0, "ab\u00e9"), (4, ""), (4, "xyz"), (9, "\u65e5"), (12, None)], "first_idx bigint, text string")
+    data = texts.select("first_idx", F.encode("text", "UTF-8").alias("tokens"))
+    ids = texts.select("first_idx", byte_ids(F.encode("text", "UTF-8")).alias("tokens"))
+    found = []
+    for name, stream in (("bytes", data), ("ids", ids)):
+        path = f"{tmp_path}/{name}"
+        write_tokens(stream, path, tokens_per_part=4)
+        append_tokens(stream, path, tokens_per_part=4)
+        found.append(sorted(map(tuple, explode_tokens(read_tokens(spark, path)).collect())))
+    assert found[0] == found[1] and len(found[0]) == 20
