@@ -1,11 +1,13 @@
-"""Batch generation: one token per round for every unfinished row of a prompt table.
+"""Batch generation: every unfinished row of a prompt table is continued token by token.
 
 A row's next token is drawn in the context of the longest suffix of its tokens that the model has seen. Models
-of up to ``KERNEL_ENTRIES`` entries travel to the tasks, which continue whole batches of rows. Larger ones stay
-tables, two levels deep: the suffixes of all lengths, each with the bounds of its blocks, and the blocks of at
-most ``BLOCK_ENTRIES`` tokens. A round probes the first table with all suffixes of the rows at once, keeps the
-longest that is there, and fetches the one block that the row's draw falls into. Both tables are dealt out and
-sorted once, before the first round, so that a round moves its rows only and never the model.
+of up to ``KERNEL_ENTRIES`` entries travel to the tasks, which continue whole batches of rows to their ends. Of
+a larger one the most frequent contexts travel, as many as fit, and all rows go on there until they come to a
+context of full length that is not among them. Only then the others are asked, which stay tables, two levels deep:
+the suffixes of all lengths, each with the bounds of its blocks, and the blocks of at most ``BLOCK_ENTRIES`` tokens.
+A round probes the first table with all longer suffixes of the rows at once, keeps the longest that is there, and
+fetches the one block that the row's draw falls into. Both tables are dealt out and sorted once, before the first
+round, so that a round moves its rows only and never the model.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from pyspark.sql import functions as F
 from lexiloom.functions.chat import END_TAG, close_turn, legacy_prompt
 from lexiloom.functions.ids import tail_tokens
 from lexiloom.functions.text import byte_ids, byte_tail
-from lexiloom.operators.kernels import continue_batches
+from lexiloom.operators.kernels import STATE, ContextModel, Continuer, advance_batches, continue_batches
 from lexiloom.operators.ngram import BYTES, Alphabet, cumulative, place_in, whole_counts
 from lexiloom.session import cut_lineage
 
-ROUNDS_PER_CUT = 2
-KERNEL_ENTRIES = 1 << 20
+# Entries that travel: 12 bytes each, and 16 for each context.
+KERNEL_ENTRIES = 1 << 22
+# Steps per doubling of a context's total by which contexts are ranked.
+GRADES = 8
 BLOCK_ENTRIES = 256
-# Entries of the contexts of one length that are broadcast.
+# Entries of the contexts of one length that are broadcast, of those that stay tables.
 HOT_ENTRIES = 1 << 18
 # Entries of the model in one part of its tables.
 ENTRIES_PER_PART = 1 << 18
@@ -102,7 +106,8 @@ class _Table:
     def __init__(self, table: DataFrame, hot: DataFrame, keys: list[str], value: str, parts: int):
         names = ["model_order", "context"]
         self.keys, self.value = keys, value
-        self.hot = cut_lineage(table.join(F.broadcast(hot), names, "left_semi").select(*keys, F.col(value).alias("_hot")))
+        hot_rows = cut_lineage(table.join(F.broadcast(hot), names, "left_semi").select(*keys, F.col(value).alias("_hot")))
+        self.hot = None if hot_rows.isEmpty() else hot_rows
         cold = table.join(F.broadcast(hot), names, "left_anti")
         cold = cut_lineage(cold.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], F.col(value).alias("_cold")))
         placed = [f"_cold_{k}" for k in keys]
@@ -113,9 +118,12 @@ class _Table:
     def attach(self, rows: DataFrame, salt: str) -> DataFrame:
         """Add ``value``, NULL where the keys are in neither part. Rows found in the hot part match nothing cold."""
         apart = -1 - F.pmod(F.xxhash64(salt), F.lit(4096)).cast("int")
-        keyed = rows.join(F.broadcast(self.hot), self.keys, "left").withColumn(
-            "_order", F.when(F.col("_hot").isNull(), F.col("model_order")).otherwise(apart)
-        )
+        if self.hot is None:
+            keyed = rows.withColumn("_hot", F.lit(None).cast(self.cold.schema["_cold"].dataType))
+        else:
+            keyed = rows.join(F.broadcast(self.hot), self.keys, "left")
+        sought = F.col("_hot").isNull() & F.col("model_order").isNotNull()
+        keyed = keyed.withColumn("_order", F.when(sought, F.col("model_order")).otherwise(apart))
         same = F.col("_order") == F.col("_cold_model_order")
         for k in self.keys[1:]:
             same = same & (F.col(k) == F.col(f"_cold_{k}"))
@@ -123,100 +131,92 @@ class _Table:
         return joined.drop("_hot", "_cold", "_order", *[f"_cold_{k}" for k in self.keys])
 
 
+def _travelling(entries: DataFrame, room: int) -> tuple[Column, int]:
+    """Which entries travel, and how many stay: the shortest context, and the most frequent others while there is room.
+
+    Contexts of totals within an eighth of a doubling go or stay together.
+    """
+    grade = F.floor(F.log2("total") * GRADES)
+    shortest = F.col("model_order") == 1
+    # at most GRADES rows for each doubling that a total can have
+    graded = entries.groupBy(F.when(~shortest, grade).alias("grade")).agg(F.count("*").alias("n")).collect()
+    sizes = {r["grade"]: r["n"] for r in graded}
+    room -= sizes.pop(None, 0)
+    least = None
+    for g in sorted(sizes, reverse=True):
+        if sizes[g] > room:
+            break
+        room, least = room - sizes.pop(g), g
+    return shortest if least is None else shortest | (grade >= least), sum(sizes.values())
+
+
 def _by_rounds(
-    prompts: DataFrame,
-    key: str,
-    entries: DataFrame,
-    size: int,
-    order: int,
-    rounds: int,
-    alphabet: Alphabet,
-    stop: int | None,
-    end_tag: list[int] | None,
-    seed: int | str,
-    whole: bool,
+    prompts: DataFrame, key: str, entries: DataFrame, rounds: int, alphabet: Alphabet, rows: dict, room: int
 ) -> DataFrame:
-    heads, blocks = back_off_table(entries)
-    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // ENTRIES_PER_PART)
+    order, seed, whole = rows["order"], rows["seed"], rows["whole"]
+    travels, stay = _travelling(entries, room)
+    kernel = advance_batches(Continuer(_model(entries.where(travels)), partial=True, **rows))
+    heads, blocks = back_off_table(entries.where(~travels))
+    parts = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), stay // ENTRIES_PER_PART)
     share = max(1, HOT_ENTRIES // alphabet.base)
     per_order = heads.groupBy("model_order").agg(F.sum("n").alias("grand"))
     hot = heads.join(F.broadcast(per_order), "model_order").where(F.col("n") * share >= F.col("grand"))
-    hot = cut_lineage(hot.where("model_order > 1").select("model_order", "context"))
-    longer = F.col("model_order") > 1
-    head_table = _Table(heads.where(longer), hot, ["model_order", "context"], "bounds", parts)
-    # the shortest context is every row's last resort: its bounds are one value, its blocks count as hot
-    any_bounds = cut_lineage(heads.where(~longer).agg(F.first("bounds").alias("bounds"))).scalar()
-    shortest = heads.where(~longer).select("model_order", "context")
-    block_table = _Table(blocks, hot.unionByName(shortest), ["model_order", "context", "block"], "steps", parts)
+    hot = cut_lineage(hot.select("model_order", "context"))
+    head_table = _Table(heads, hot, ["model_order", "context"], "bounds", parts)
+    block_table = _Table(blocks, hot, ["model_order", "context", "block"], "steps", parts)
     bases = F.array(*[F.lit(alphabet.base ** (k - 1)).cast("bigint") for k in range(1, order + 1)])
-    lengths = F.sequence(F.lit(2), F.lit(order)) if order > 1 else F.array().cast("array<int>")
-    # of what a row has said, a round moves the tokens since the last cut, and as many as the end tag may reach back
-    state = prompts.select(
-        key,
-        _pack(F.col("prompt"), order, alphabet).alias("full"),
-        F.array().cast("array<int>").alias("out"),
-        F.array().cast("array<int>").alias("last"),
-        F.lit(0).alias("size"),
-        "budget",
-        (F.col("budget") <= 0).alias("done"),
+    # of what a row has said, a round moves as many tokens as the end tag may reach back; rows of one key stay apart
+    kept = ["row", "key", "full", "last", "size", "budget"]
+    name = F.coalesce(F.col("key").cast("string"), F.lit(""))
+    state = cut_lineage(
+        prompts.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(key).alias("key"),
+            _pack(F.col("prompt"), order, alphabet).alias("full"),
+            F.array().cast("array<int>").alias("last"),
+            F.lit(0).alias("size"),
+            "budget",
+            F.lit(-1).alias("given"),
+            F.lit(False).alias("asked"),
+        )
     )
-    tag = end_tag or []
+    kind = prompts.schema[key].dataType.simpleString()
     said = []
-    for step in range(rounds):
-        # the suffixes of all lengths, and the longest that the model has seen
-        probes = state.withColumn("model_order", F.explode_outer(F.when(~F.col("done"), lengths)))
+    # each round goes on by one token at least
+    for step in range(rounds + 1):
+        state = state.select(*kept, name.alias("name"), "given", "asked").mapInArrow(kernel, STATE.format(kind=kind))
+        state = cut_lineage(state)
+        said.append(state.select("row", "key", F.lit(step).alias("step"), "out", "size"))
+        state = state.where(~F.col("done"))
+        if state.isEmpty():
+            break
+        # the suffixes longer than what travels, and the longest that is there
+        longer = F.when(F.col("known") < order, F.sequence(F.col("known") + 1, F.lit(order)))
+        probes = state.withColumn("model_order", F.explode_outer(longer))
         probes = probes.withColumn("context", F.col("full") % F.element_at(bases, F.coalesce("model_order", F.lit(1))))
-        found = head_table.attach(probes, key)
+        found = head_table.attach(probes, "row")
         hit = F.struct("model_order", "context", "bounds")
         longest = F.max_by(hit, F.when(F.col("bounds").isNotNull(), F.col("model_order"))).alias("hit")
-        state = found.groupBy(key, "full", "out", "last", "size", "budget", "done").agg(longest)
-        bounds = F.coalesce("hit.bounds", any_bounds)
-        at = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{step}"))
-        state = state.withColumn("_bounds", bounds).withColumns(
-            {
-                "model_order": F.coalesce("hit.model_order", F.lit(1)),
-                "context": F.coalesce("hit.context", F.lit(0).cast("bigint")),
-                "_u": place_in(F.element_at("_bounds", -1), at, whole, seed),
-            }
-        )
-        below = F.filter("_bounds", lambda hi: hi <= F.col("_u"))
-        state = block_table.attach(state.withColumn("block", F.size(below)).drop("_bounds", "hit"), key)
+        state = found.groupBy(*kept).agg(longest).select(*kept, "hit.*")
+        at = F.concat(name, F.lit(":"), F.col("size"))
+        state = state.withColumn("_u", place_in(F.element_at("bounds", -1), at, whole, seed))
+        below = F.filter("bounds", lambda hi: hi <= F.col("_u"))
+        state = block_table.attach(state.withColumn("block", F.size(below)).drop("bounds"), "row")
         above = F.filter("steps", lambda s: s["hi"] > F.col("_u"))
-        state = state.withColumn("_t", F.get(above, F.lit(0))["next"])
-        stops = F.lit(False) if stop is None else F.col("_t") == stop
-        state = state.withColumn("_speaks", ~(F.col("done") | stops))
-        longer_out, longer_last = (F.array_append(name, F.col("_t")) for name in ("out", "last"))
-        state = state.withColumns(
-            {
-                "out": F.when(F.col("_speaks"), longer_out).otherwise(F.col("out")),
-                "last": F.when(F.col("_speaks"), tail_tokens(longer_last, len(tag))) if tag else F.col("last"),
-                "size": F.col("size") + F.col("_speaks").cast("int"),
-            }
-        )
-        tagged = F.col("_speaks") & (F.col("last") == F.array(*[F.lit(t) for t in tag])) if tag else F.lit(False)
-        state = state.select(
-            key,
-            ((F.col("full") * alphabet.base + F.col("_t")) % F.lit(alphabet.base ** (order - 1))).alias("full"),
-            "out",
-            "last",
-            F.when(tagged, F.col("size") - len(tag)).otherwise(F.col("size")).alias("size"),
-            "budget",
-            (F.col("done") | stops | tagged | (F.col("size") >= F.col("budget"))).alias("done"),
-        )
-        if (step + 1) % ROUNDS_PER_CUT == 0 or step + 1 == rounds:
-            state = cut_lineage(state)
-            said.append(state.select(key, F.lit(step).alias("step"), "out", "size"))
-            state = state.where(~F.col("done")).withColumn("out", F.array().cast("array<int>"))
-            if state.isEmpty():
-                break
+        token = F.get(above, F.lit(0))["next"]
+        state = state.select(*kept, F.coalesce(token, F.lit(-1)).alias("given"), F.lit(True).alias("asked"))
     head_table.cold.unpersist()
     block_table.cold.unpersist()
-    if not said:
-        return state.select(key, "out")
     # at most ``rounds`` tokens of a row; an end tag may lie in several cuts
     pieces = F.array_sort(F.collect_list(F.struct("step", "out")))
-    whole_out = reduce(DataFrame.unionByName, said).groupBy(key).agg(pieces.alias("pieces"), F.max_by("size", "step").alias("size"))
-    return whole_out.select(key, F.slice(F.flatten("pieces.out"), F.lit(1), F.col("size")).alias("out"))
+    whole_out = reduce(DataFrame.unionByName, said).groupBy("row", "key")
+    whole_out = whole_out.agg(pieces.alias("pieces"), F.max_by("size", "step").alias("size"))
+    return whole_out.select(F.col("key").alias(key), F.slice(F.flatten("pieces.out"), F.lit(1), F.col("size")).alias("out"))
+
+
+def _model(entries: DataFrame) -> ContextModel:
+    ordered = entries.select("model_order", "context", "next", "hi").orderBy("model_order", "context", "next")
+    return ContextModel(ordered.toArrow())
 
 
 def generate(
@@ -236,25 +236,33 @@ def generate(
 
     A context that was never seen falls back to a shorter one. A row ends at ``stop`` (not part of the
     output), when its output ends in ``end_tag`` (cut off), or with its budget, or after ``rounds`` tokens.
-    The size of the model decides how, unless ``by_rounds`` asks for the joins; the draws are the same.
+    The size of the model decides how much of it travels, unless ``by_rounds`` asks for none; the draws are the same.
     """
     alphabet.check(order)
     prompts = prompts.withColumn("budget", F.least("budget", F.lit(rounds)))
     whole = whole_counts(counts) and temperature == 1.0
-    stop = alphabet.end if stop is None else stop
+    rows = {
+        "order": order,
+        "base": alphabet.base,
+        "stop": alphabet.end if stop is None else stop,
+        "end_tag": end_tag or [],
+        "seed": seed,
+        "whole": whole,
+    }
     wanted = counts.where(F.col("model_order") <= order)
-    entries = cut_lineage(cumulative(wanted, temperature).select("model_order", "context", "next", "n", "hi"))
+    total = F.sum("n").over(Window.partitionBy("model_order", "context"))
+    entries = cumulative(wanted, temperature).withColumn("total", total)
+    entries = cut_lineage(entries.select("model_order", "context", "next", "n", "hi", "total"))
     size = entries.count()
     if size == 0:
         return prompts.select(key, F.array().cast("array<int>").alias("out"))
     if by_rounds or size > KERNEL_ENTRIES:
-        return _by_rounds(prompts, key, entries, size, order, rounds, alphabet, stop, end_tag, seed, whole)
-    model = entries.drop("n").orderBy("model_order", "context", "next").toArrow()
+        return _by_rounds(prompts, key, entries, rounds, alphabet, rows, 0 if by_rounds else KERNEL_ENTRIES)
     kind = prompts.schema[key].dataType.simpleString()
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    rows = prompts.select(F.col(key).alias("key"), name.alias("name"), _pack(F.col("prompt"), order, alphabet).alias("full"), "budget")
-    kernel = continue_batches(model, order, alphabet.base, stop, end_tag, seed, whole)
-    return rows.mapInArrow(kernel, f"key {kind}, out array<int>").withColumnRenamed("key", key)
+    batch = prompts.select(F.col(key).alias("key"), name.alias("name"), _pack(F.col("prompt"), order, alphabet).alias("full"), "budget")
+    kernel = continue_batches(Continuer(_model(entries), **rows))
+    return batch.mapInArrow(kernel, f"key {kind}, out array<int>").withColumnRenamed("key", key)
 
 
 END_TAG_BYTES = list(END_TAG.encode())

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,10 @@ def byte_count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 class ContextModel:
-    """Cumulative entries of all orders: per order the sorted contexts, and where each one's entries begin."""
+    """Cumulative entries of all orders: per order the sorted contexts, and where each one's entries begin.
+
+    Without the entries' own orders and contexts, that is 12 bytes an entry and 16 a context.
+    """
 
     def __init__(self, entries: pa.Table):
         orders, contexts = (entries.column(c).to_numpy() for c in ("model_order", "context"))
@@ -204,21 +208,21 @@ class ContextModel:
         ends = np.append(begins[1:], len(orders))
         for k in np.unique(orders).tolist():
             own = orders[begins] == k
-            self.by_order[k] = (contexts[begins[own]], begins[own], ends[own])
+            self.by_order[k] = (contexts[begins[own]], begins[own].astype(np.int32), ends[own].astype(np.int32))
 
-    def longest(self, full: np.ndarray, order: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of the entries of each row's longest suffix that is there."""
-        begin, end = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
+    def longest(self, full: np.ndarray, order: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end of the entries of each row's longest suffix that is there, and its order."""
+        begin, end, found = (np.zeros(len(full), np.int64) for _ in range(3))
         for k in range(order, 0, -1):
             contexts, begins, ends = self.by_order.get(k, (np.empty(0, np.int64),) * 3)
-            rows = np.flatnonzero(end == begin)
+            rows = np.flatnonzero(found == 0)
             if not len(contexts) or not len(rows):
                 continue
             sought = full[rows] % base ** (k - 1)
             at = np.minimum(np.searchsorted(contexts, sought), len(contexts) - 1)
             rows, at = rows[contexts[at] == sought], at[contexts[at] == sought]
-            begin[rows], end[rows] = begins[at], ends[at]
-        return begin, end
+            begin[rows], end[rows], found[rows] = begins[at], ends[at], k
+        return begin, end, found
 
     def pick(self, begin: np.ndarray, end: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The token of the first entry above each row's place, by halving all ranges at once."""
@@ -231,10 +235,10 @@ class ContextModel:
         return self.next[low]
 
 
-def drawn_places(names: list[str], step: int, totals: list, whole: bool, seed: int | str) -> list:
+def drawn_places(names: list[str], steps: list[int], totals: list, whole: bool, seed: int | str) -> list:
     """Where each row's draw falls, as ``place_in`` says."""
     places = []
-    for name, total in zip(names, totals):
+    for name, step, total in zip(names, steps, totals):
         digest = hashlib.md5(f"{seed}:{name}:{step}".encode()).hexdigest()
         if whole:
             places.append(int(digest[: 8 if total <= 1 << 24 else 15], 16) % total)
@@ -243,44 +247,105 @@ def drawn_places(names: list[str], step: int, totals: list, whole: bool, seed: i
     return places
 
 
-def continue_batches(
-    entries: pa.Table, order: int, base: int, stop: int | None, end_tag: list[int] | None, seed: int | str, whole: bool
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+@dataclass(frozen=True)
+class Continuer:
+    """Continues rows by ``model``, which holds all contexts or, if ``partial``, some of each length and the empty one."""
+
+    model: ContextModel
+    order: int
+    base: int
+    stop: int | None
+    end_tag: list[int]
+    seed: int | str
+    whole: bool
+    partial: bool = False
+
+    def run(self, names: list[str], full, budget, size, last: list[list[int]], given, asked):
+        """Tokens, ends and orders: what rows say until they end or, in a partial model, the longest context is unknown.
+
+        ``full``, ``size`` and ``last`` (as many tokens as the end tag has) are brought up to date. The first token
+        of a row is ``given`` or, where it is below 0 and other tables were ``asked`` in vain, of the longest context here.
+        """
+        tag = self.end_tag
+        out: list[list[int]] = [[] for _ in names]
+        done = size >= budget
+        orders = np.zeros(len(names), np.int32)
+        active = np.flatnonzero(~done)
+        settled = asked | (given >= 0)
+        while len(active):
+            begin, end, found = self.model.longest(full[active], self.order, self.base)
+            if self.partial:
+                goes_on = (found == self.order) | settled[active]
+                orders[active[~goes_on]] = found[~goes_on]
+                active, begin, end = active[goes_on], begin[goes_on], end[goes_on]
+                if not len(active):
+                    break
+            totals = self.model.hi[end - 1].tolist()
+            places = drawn_places([names[i] for i in active], size[active].tolist(), totals, self.whole, self.seed)
+            tokens = self.model.pick(begin, end, np.array(places, self.model.hi.dtype))
+            tokens = np.where(given[active] >= 0, given[active], tokens)
+            settled[active], given[active] = False, -1
+            full[active] = (full[active] * self.base + tokens) % self.base ** (self.order - 1)
+            ended = tokens == self.stop if self.stop is not None else np.zeros(len(tokens), bool)
+            size[active[~ended]] += 1
+            for j, (i, token) in enumerate(zip(active.tolist(), tokens.tolist())):
+                if ended[j]:
+                    continue
+                out[i].append(token)
+                if tag and token == tag[-1] and (last[i] + out[i][-len(tag) :])[-len(tag) :] == tag:
+                    size[i] -= len(tag)
+                    ended[j] = True
+            ended |= size[active] >= budget[active]
+            done[active[ended]] = True
+            active = active[~ended]
+        if tag:
+            last[:] = [(a + b)[-len(tag) :] for a, b in zip(last, out)]
+        return out, done, orders
+
+
+def continue_batches(rows: Continuer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(key, out): rows of (key, name, full, budget) continued token by token, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ContextModel(entries)
         for batch in batches:
             names = batch.column("name").to_pylist()
             full = batch.column("full").to_numpy().copy()
             budget = batch.column("budget").to_numpy(zero_copy_only=False)
-            out: list[list[int]] = [[] for _ in names]
-            active = np.flatnonzero(budget > 0)
-            step = 0
-            while len(active):
-                begin, end = model.longest(full[active], order, base)
-                totals = model.hi[end - 1].tolist()
-                places = drawn_places([names[i] for i in active], step, totals, whole, seed)
-                tokens = model.pick(begin, end, np.array(places, model.hi.dtype))
-                full[active] = (full[active] * base + tokens) % base ** (order - 1)
-                step += 1
-                goes_on = np.ones(len(active), bool)
-                for j, (i, token) in enumerate(zip(active.tolist(), tokens.tolist())):
-                    if token == stop:
-                        goes_on[j] = False
-                        continue
-                    out[i].append(token)
-                    if end_tag and out[i][-len(end_tag) :] == end_tag:
-                        del out[i][-len(end_tag) :]
-                        goes_on[j] = False
-                    elif step >= budget[i]:
-                        goes_on[j] = False
-                active = active[goes_on]
+            size = np.zeros(len(names), np.int64)
+            given, asked = np.full(len(names), -1), np.zeros(len(names), bool)
+            out, _, _ = rows.run(names, full, budget, size, [[] for _ in names], given, asked)
+            out = [tokens[:n] for tokens, n in zip(out, size.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "out"])
 
     return run
 
 
+STATE = "row bigint, key {kind}, full bigint, out array<int>, last array<int>, size int, budget int, done boolean, known int"
+
+
+def advance_batches(rows: Continuer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``STATE``: rows of (row, key, name, full, last, size, budget, given, asked) continued as far as a partial model goes.
+
+    ``known`` is the order of the longest context that it has of a row that stopped for a longer one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(n) for n in batch.schema.names}
+            full, given = (column[n].to_numpy().copy() for n in ("full", "given"))
+            size = column["size"].to_numpy().astype(np.int64)
+            budget, asked = (column[n].to_numpy(zero_copy_only=False) for n in ("budget", "asked"))
+            last = column["last"].to_pylist()
+            out, done, known = rows.run(column["name"].to_pylist(), full, budget, size, last, given, asked)
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (out, last)]
+            yield pa.RecordBatch.from_arrays(
+                [column["row"], column["key"], pa.array(full), *lists, pa.array(size.astype(np.int32)), column["budget"], pa.array(done), pa.array(known)],
+                ["row", "key", "full", "out", "last", "size", "budget", "done", "known"],
+            )
+
+    return run
+
+
 def next_token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, next_token, n) of a batch of two list columns of equal lengths: inputs and targets."""
     for batch in batches:

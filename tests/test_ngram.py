@@ -275,6 +275,43 @@ def test_rounds_move_rows_and_not_the_model(spark, monkeypatch):
                 assert "Exchange" not in lines[i - 2] and "Sort " not in lines[i - 2]
 
 
+def test_frequent_contexts_travel_and_others_are_joined(spark, monkeypatch):
+    """Of a model that does not travel whole, rows take a round only where they need a context that stays."""
+    rounds = []
+    attach = generation._Table.attach
+    monkeypatch.setattr(generation._Table, "attach", lambda self, *rest: rounds.append(self.value) or attach(self, *rest))
+    model = ngram.count_ngrams(docs_of(spark, ["abcd" * 30 + "!", "abcd" * 20, "zqabcd"]), "text", [1, 2, 3, 4])
+    prompts = docs_of(spark, ["abc", "zq", "", "yyy"]).withColumn("prompt", byte_ids(F.col("text")))
+    asked = prompts.select("doc_id", "prompt", F.lit(12).alias("budget"))
+    options = {"temperature": 0.7, "end_tag": list(b"!")}
+    want = generated(generate(asked, "doc_id", model, 4, 12, **options))
+    assert not rounds and want[0] == b"dabcdabcdabc"
+    monkeypatch.setattr(generation, "KERNEL_ENTRIES", model.count() - 1)
+    assert generated(generate(asked, "doc_id", model, 4, 12, **options)) == want
+    # each of the two tables is asked once in a round, and some row speaks twelve times
+    assert 0 < len(rounds) < 12
+
+
+@pytest.mark.parametrize("order, temperature", [(4, 1.0), (5, 0.7)])
+def test_any_part_of_a_model_draws_the_same(spark, order, temperature, monkeypatch):
+    model = ngram.count_ngrams(docs_of(spark, TEXTS), "text", [1, 2, 3, 4, 5])
+    prompts = byte_prompts(docs_of(spark, ["ab", "zz", "x" * 30, "", "abc"]), "doc_id", "text", 48)
+    options = {"temperature": temperature, "end_tag": list(b"ca")}
+    want = generated(generate(prompts, "doc_id", model, order, 5, **options))
+    size = model.where(F.col("model_order") <= order).count()
+    monkeypatch.setattr(generation, "KERNEL_ENTRIES", size // 2)
+    assert generated(generate(prompts, "doc_id", model, order, 5, **options)) == want
+
+
+def test_rows_of_one_key_stay_apart_in_rounds(spark):
+    model = ngram.count_ngrams(docs_of(spark, ["abc", "xyz"]), "text", [1, 2, 3])
+    rows = spark.createDataFrame([(1, "a"), (1, "x"), (1, "a"), (None, "ab")], "doc_id bigint, text string")
+    asked = rows.select("doc_id", byte_ids(F.col("text")).alias("prompt"), F.lit(2).alias("budget"))
+    for by_rounds in (False, True):
+        out = generate(asked, "doc_id", model, 3, 2, by_rounds=by_rounds).collect()
+        assert sorted((r["doc_id"] or 0, bytes(r["out"])) for r in out) == [(0, b"c"), (1, b"bc"), (1, b"bc"), (1, b"yz")]
+
+
 def test_longest_seen_suffix_by_brute_force(spark):
     """Every token is drawn among those that followed the longest suffix seen in the texts."""
     texts = ["abcd abce bbcf", "xbcd ybce", "abab"]
