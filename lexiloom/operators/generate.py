@@ -24,8 +24,8 @@ from lexiloom.operators.kernels import STATE, ContextModel, Continuer, advance_b
 from lexiloom.operators.ngram import BYTES, Alphabet, cumulative, place_in, whole_counts
 from lexiloom.session import cut_lineage
 
-# Entries that travel: 12 bytes each, and 16 for each context.
-KERNEL_ENTRIES = 1 << 22
+# Entries that travel, 12 bytes each, and 16 for each context. They pass through the driver.
+KERNEL_ENTRIES = 3 << 20
 # Steps per doubling of a context's total by which contexts are ranked.
 GRADES = 8
 BLOCK_ENTRIES = 256
